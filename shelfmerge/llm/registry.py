@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmerge.llm import decontaminate, packing, simhash
+from shelfmerge.llm import decontaminate, language, line_dedup, packing, simhash
 from shelfmerge.llm.common import table
 
 
@@ -22,7 +22,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op4_simhash, op7_packing, op8_decontamination]
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op4_simhash, op7_packing, op8_decontamination, op9_line_dedup, op10_language]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
