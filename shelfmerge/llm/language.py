@@ -160,16 +160,14 @@ def train(docs: DataFrame) -> Classifier:
 def identify(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs with lang_pred and score; existing columns of these names are replaced."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = shared.value
         for batch in batches:
             made = []
             for t in batch.column("text").to_pylist():
-                known = t and classifier.languages and HAS_LETTER.search(t)
-                made.append(classifier.predict(t.encode()) if known else ("und", 0.0))
+                known = t and model.languages and HAS_LETTER.search(t)
+                made.append(model.predict(t.encode()) if known else ("und", 0.0))
             new = {"lang_pred": [a for a, _ in made], "score": [b for _, b in made]}
             arrays = [
                 pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)

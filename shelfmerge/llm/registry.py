@@ -6,14 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmerge.llm import decontaminate, language, line_dedup, packing, simhash
+from shelfmerge.llm import (
+    chat_format,
+    decontaminate,
+    extract_text,
+    knn_join,
+    language,
+    line_dedup,
+    link_graph,
+    packing,
+    simhash,
+    warc,
+)
 from shelfmerge.llm.common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_report(spark, table(spark, sf_dir, "conversations"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op5_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.knn_join(table(spark, sf_dir, "embeddings"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(spark, table(spark, sf_dir, "documents"))
 
@@ -30,7 +61,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op4_simhash, op7_packing, op8_decontamination, op9_line_dedup, op10_language]
+QUERIES = [
+    op1_chat_format,
+    op2_warc,
+    op3_html_extraction,
+    op4_simhash,
+    op5_knn_join,
+    op6_url_filter,
+    op7_packing,
+    op8_decontamination,
+    op9_line_dedup,
+    op10_language,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
