@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +49,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 def text_batches(spark: SparkSession) -> None:
     """Bounds the rows of the Arrow batches that carry texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+
+
+def per_worker(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() returns, kept for the later tasks of this Python worker; a few things at most."""
+    kept = sys.modules.setdefault("_shelfmerge_worker", types.ModuleType("_shelfmerge_worker")).__dict__
+    held = kept.setdefault("held", {})
+    if key not in held:
+        while len(held) > 3:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]

@@ -14,9 +14,10 @@ empty table gives no pieces.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmerge.llm.common import materialise, text_batches
+from shelfmerge.llm.common import materialise, per_worker, text_batches
 
 WINDOW = 2048
 END_ID = 1
 #: Words that a worker remembers at most; then it starts afresh.
-CACHE_WORDS = 300_000
-#: Words that are letters, all single characters in normal form, and a tail of marks.
-PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([.,;:!?]*)")
+CACHE_WORDS = 500_000
+#: A letter and the run of marks that ends its word. Arrow matches bytes: the second
+#: choice is a lower-case Latin letter of two.
+MARKS = r"([a-z]|\xC3[\xA0-\xB6\xB8-\xBF])([.,;:!?]+)(?:[ \n]|$)"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,45 +45,71 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Token ids by white-space separated word, each kind of word encoded once.
 
-    The tokenizer never joins text across white space, so the ids of a text are
-    those of its words in order. A plain word and the marks after it are separate
-    pre-tokens and are remembered apart.
+    The tokenizer lowers letters, and never joins text across white space, nor a
+    letter with a mark; so texts may be lowered and marks set apart beforehand,
+    which leaves few kinds of words, and the ids of a text are those of its words
+    in order. Only its own special strings, ``<|...|>``, it looks up unlowered:
+    texts with ``<|`` are encoded as they are.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, list[int]] = {"": []}
-
-    def learn(self, fresh: list[str]) -> dict[str, list[int]]:
-        """Ids of words; plain ones come from their letters and marks."""
-        known = self.words
-        split = {w: m.groups() for w in fresh if (m := PLAIN.fullmatch(w.lower()))}
-        parts = {p for pair in split.values() for p in pair} | {w for w in fresh if w not in split}
-        unseen = [p for p in parts if p not in known]
-        for p, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            known[p] = e.ids
-        return {w: known[split[w][0]] + known[split[w][1]] if w in split else known[w] for w in fresh}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.end = np.zeros(1 << 16, np.int64)
+        self.learn([""])
+
+    def learn(self, fresh: list[str]) -> None:
+        """Appends the ids of unseen words to the store."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        at = len(self.place)
+        used = int(self.end[at - 1]) if at else 0
+        ends = used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        while len(self.flat) < ends[-1]:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.end) < at + len(fresh):
+            self.end = np.concatenate([self.end, np.zeros_like(self.end)])
+        self.flat[used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]) - used)
+        self.end[at : at + len(fresh)] = ends
+        self.place.update(zip(fresh, range(at, at + len(fresh)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each text."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower misreads slices
+        odd = pc.match_substring(texts, "<|")
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r"\1 \2 ")
+        lists = pc.ascii_split_whitespace(pc.if_else(odd, "", plain))
         codes = lists.flatten().dictionary_encode()
         values = codes.dictionary.to_pylist()
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": []}
-        ids = self.learn(values)
-        size = np.fromiter((len(ids[v]) for v in values), np.int64, len(values))
-        flat = np.fromiter((i for v in values for i in ids[v]), np.uint32, int(size.sum()))
-        first = np.cumsum(size) - size
-        code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self.place) > CACHE_WORDS:
+            self.forget()
+        place = self.place
+        if fresh := [v for v in values if v not in place]:
+            self.learn(fresh)
+        kind = np.fromiter(map(place.__getitem__, values), np.int64, len(values))
+        first = np.where(kind > 0, self.end[kind - 1], 0)
+        size = self.end[kind] - first
+        code = codes.indices.to_numpy(zero_copy_only=False)
         per_word = size[code]
         ends = np.cumsum(per_word)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total, dtype=np.int64) + np.repeat(first[code] - (ends - per_word), per_word)
+        at = np.repeat(first[code] - (ends - per_word), per_word)
+        at += np.arange(total)
         bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets)]
-        return flat[at], np.diff(bounds)
+        ids, sizes = self.flat[at], np.diff(bounds)
+        if pc.any(odd).as_py():
+            parts = np.split(ids, bounds[1:-1])
+            for k in np.nonzero(odd.to_numpy(zero_copy_only=False))[0].tolist():
+                parts[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, sizes
 
 
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -96,7 +124,8 @@ def token_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, encoder = TaskContext.get().partitionId(), 0, WordEncoder(path)
+        part, at = TaskContext.get().partitionId(), 0
+        encoder = per_worker(("word-encoder", path), lambda: WordEncoder(path))
         for batch in batches:
             ids, sizes = encoder.encode(batch.column("text"))
             ends = np.cumsum(sizes)
