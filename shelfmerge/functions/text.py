@@ -126,7 +126,7 @@ def slugify(c: Column) -> Column:
 
 def ordered_distinct(c: Column) -> Column:
     """Array without blanks and repeats, in order."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def sorted_distinct(c: Column) -> Column:

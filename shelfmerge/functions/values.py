@@ -184,7 +184,7 @@ def placeholder_cover(c: Column) -> Column:
 
 def best_srcset(src: Column, srcset: Column, last: bool = False) -> Column:
     """The widest address of a srcset (first of equals), or its last; src where there is none."""
-    parts = F.filter(F.transform(F.split(F.coalesce(srcset, F.lit("")), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(srcset, F.lit("")), ","), lambda x: F.trim(x)), lambda p: p != "")
     if last:
         return F.coalesce(F.split(F.try_element_at(parts, F.lit(-1)), " ")[0], src, F.lit(""))
     ranked = F.transform(

@@ -204,7 +204,7 @@ def extract_block(pages: DataFrame, mark: str) -> DataFrame:
 def extract_breadcrumb(pages: DataFrame) -> DataFrame:
     """(page_id, path, last): the category path and its end."""
     nav = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<(?:nav|ol|ul)[^>]*breadcrumb[^>]*>(.*?)</(?:nav|ol|ul)>", 1)
-    path = ordered_distinct(F.transform(F.regexp_extract_all(nav, F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1)), strip_html))
+    path = ordered_distinct(F.transform(F.regexp_extract_all(nav, F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1)), lambda x: strip_html(x)))
     return pages.select("page_id", path.alias("path"), F.try_element_at(path, F.lit(-1)).alias("last"))
 
 
