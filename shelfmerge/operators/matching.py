@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from shelfmerge.functions.ids import isbn_candidates, normalize_isbn
@@ -16,7 +17,7 @@ from shelfmerge.operators.worklist import dedupe_keep_first
 SCORED = "titulo autor editorial idioma paginas encuadernacion fecha_publicacion url_portada sinopsis".split()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two titles; missing ones give 0."""
     return pd.Series(

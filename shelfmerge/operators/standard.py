@@ -36,18 +36,13 @@ LEGACY = {
     "isbn": ["isbn", "ISBN", "isbn13", "ean", "gtin13"],
     "precio": ["precio", "price", "PRECIO"],
     "descripcion": ["descripcion", "sinopsis", "SINOPSIS", "description", "summary"],
-    "portada_url": ["portada_url", "url_portada", "URL PORTADA", "cover_url", "image"],
+    "portada_url": ["portada_url", "url_portada", "URL PORTADA", "cover_url", "image", "image_url"],
     "sitio": ["sitio", "site", "SITE", "source"],
 }
 #: Extras of the older form.
 LEGACY_INFO = {
-    "editorial": ["editorial", "EDITORIAL", "publisher"],
-    "encuadernacion": ["encuadernacion", "ENCUADERNACION", "binding", "formato", "format"],
-    "idioma": ["idioma", "IDIOMA", "language"],
-    "paginas": ["paginas", "PAGINAS", "pages"],
-    "dimensiones": ["dimensiones", "DIMENSIONES", "medidas", "dimensions"],
-    "fecha_publicacion": ["fecha_publicacion", "FECHA PUBLICACION", "fecha_edicion", "published"],
-    "categoria": ["categoria", "CATEGORIA", "category", "genre"],
+    f: ALIASES[f]
+    for f in ("editorial", "encuadernacion", "idioma", "paginas", "dimensiones", "fecha_publicacion", "categoria")
 }
 STD = list(ALIASES)
 

@@ -59,7 +59,7 @@ FROM (
 
 #: A lease log: who took which work when.
 LEASE_EVENTS = """
-SELECT event_id, ts, CAST(user_id AS STRING) AS isbn, 'w' || CAST(event_id % 5 AS STRING) AS worker,
+SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(user_id AS STRING) AS isbn, 'w' || CAST(event_id % 5 AS STRING) AS worker,
   CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'signup' THEN 'release'
     WHEN 'purchase' THEN 'done' ELSE 'skip' END AS action
 FROM events
