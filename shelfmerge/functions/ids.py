@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmerge.functions.text import let
+
 
 def normalize_isbn(c: Column) -> Column:
     """Upper-case digits and X; a whole number written as a float loses its fraction."""
@@ -22,32 +24,36 @@ def weighted(digits: Column, weights: list[int]) -> Column:
     """Sum of the digits by weight."""
     total = F.lit(0)
     for k, w in enumerate(weights):
-        total = total + F.substring(digits, k + 1, 1).cast("int") * w
+        total = total + F.substring(digits, k + 1, 1).try_cast("int") * w
     return total
 
 
+def short_form(n: Column) -> Column:
+    """The ten-digit form of a cleaned 978 number, else empty."""
+    check = F.substring(F.lit("0123456789X"), (weighted(F.substring(n, 4, 9), list(range(1, 10))) % 11 + 1).cast("int"), F.lit(1))
+    return F.when(n.rlike("^978[0-9]{9}[0-9X]$"), F.concat(F.substring(n, 4, 9), check)).otherwise("")
+
+
+def long_form(n: Column) -> Column:
+    """The thirteen-digit form of a cleaned ten-digit number, else empty."""
+    check = (10 - (38 + weighted(n, [3, 1] * 4 + [3])) % 10) % 10  # 38: the weighted sum of 978
+    return F.when(n.rlike("^[0-9]{9}[0-9X]$"), F.concat(F.lit("978"), F.substring(n, 1, 9), check.cast("string"))).otherwise("")
+
+
 def isbn13_to_isbn10(c: Column) -> Column:
     """The ten-digit form of a 978 number, else empty."""
-    n = normalize_isbn(c)
-    core = F.substring(n, 4, 9)
-    r = weighted(core, list(range(1, 10))) % 11
-    check = F.when(r == 10, "X").otherwise(r.cast("string"))
-    return F.when(n.rlike("^978[0-9]{9}[0-9X]$"), F.concat(core, check)).otherwise("")
+    return let(normalize_isbn(c), short_form)
 
 
 def isbn10_to_isbn13(c: Column) -> Column:
     """The thirteen-digit form; the old check digit is not verified."""
-    n = normalize_isbn(c)
-    core = F.concat(F.lit("978"), F.substring(n, 1, 9))
-    check = (10 - weighted(core, [1, 3] * 6) % 10) % 10
-    return F.when(n.rlike("^[0-9]{9}[0-9X]$"), F.concat(core, check.cast("string"))).otherwise("")
+    return let(normalize_isbn(c), long_form)
 
 
 def isbn_candidates(c: Column) -> Column:
     """The number and its other form, distinct, in this order."""
-    n = normalize_isbn(c)
-    other = F.when(F.length(n) == 13, isbn13_to_isbn10(n)).when(F.length(n) == 10, isbn10_to_isbn13(n)).otherwise("")
-    return F.array_distinct(F.filter(F.array(n, other), lambda x: x != ""))
+    other = lambda n: F.when(F.length(n) == 13, short_form(n)).otherwise(long_form(n))
+    return let(normalize_isbn(c), lambda n: F.array_distinct(F.filter(F.array(n, other(n)), lambda x: x != "")))
 
 
 def isbn_from_url(c: Column, rule: str = "run") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,6 +34,16 @@ LANGUAGE_NAMES = {
 }
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once per row, however often f names it."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
+
+
+def look_up(table: dict, key: Column) -> Column:
+    """The table's value for a key, else null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
 def is_blank(c: Column) -> Column:
     """The one meaning of "missing": null, or nothing but spaces."""
     return c.isNull() | (F.trim(c) == "")
@@ -93,12 +104,10 @@ def fold_accents(c: Column) -> Column:
 
 
 def normalize_language(c: Column) -> Column:
-    t = titleish(c)
-    key = F.regexp_replace(fold_accents(F.lower(t)), "[^a-z]+", "")
-    known = F.lit(None).cast("string")
-    for name, kept in LANGUAGE_NAMES.items():
-        known = F.when(key == name, kept).otherwise(known)
-    return F.coalesce(known, t)
+    def named(t: Column) -> Column:
+        return F.coalesce(look_up(LANGUAGE_NAMES, F.regexp_replace(fold_accents(F.lower(t)), "[^a-z]+", "")), t)
+
+    return let(titleish(c), named)
 
 
 def normalize_title(c: Column, fold: bool = True) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmerge.functions.text import clean_text, collapse, fold_accents, strip_html, titleish
+from shelfmerge.functions.text import clean_text, collapse, fold_accents, let, look_up, strip_html, titleish
 
 #: Words that say "nothing here".
 NO_BINDING = ["-", "–", "—", "N/A", "n/a", "NA", "na", "None", "null", "NULL", "s/d", "sin dato"]
@@ -45,9 +45,15 @@ def any_in(c: Column, texts: list[str]) -> Column:
 
 def normalize_binding(c: Column) -> Column:
     v = F.trim(F.coalesce(c, F.lit("")))
-    kept = F.trim(F.regexp_replace(v, r"\s*\([^)]*\)\s*", ""))
-    low = collapse(F.lower(fold_accents(kept)))
-    out = F.when(v.isin(NO_BINDING), "")
+
+    def named(kept: Column) -> Column:
+        return let(collapse(F.lower(fold_accents(kept))), lambda low: binding_of(kept, low))
+
+    return F.when(v.isin(NO_BINDING), "").otherwise(let(F.trim(F.regexp_replace(v, r"\s*\([^)]*\)\s*", "")), named))
+
+
+def binding_of(kept: Column, low: Column) -> Column:
+    out = F.when(F.lit(False), "")
     for name, texts in BINDINGS:
         out = out.when(any_in(low, texts), name)
     return out.when(low.isin("de bolsillo", "bolsillo"), "De Bolsillo").otherwise(kept)
@@ -85,7 +91,10 @@ def binding_from_subtitle(c: Column) -> Column:
 
 def parse_date_iso(c: Column) -> Column:
     """d/m/y and y-m-d to ISO, not validated; other text as it is."""
-    t = titleish(c)
+    return let(titleish(c), date_of)
+
+
+def date_of(t: Column) -> Column:
     dmy, ymd = r"^\s*(\d{1,2})[/-](\d{1,2})[/-](\d{4})\s*$", r"^\s*(\d{4})[/-](\d{1,2})[/-](\d{1,2})\s*$"
     part = lambda form, k: F.regexp_extract(t, form, k)
     return (
@@ -96,11 +105,7 @@ def parse_date_iso(c: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    key = fold_accents(F.lower(name))
-    out = F.lit(None).cast("string")
-    for month, n in MONTHS.items():
-        out = F.when(key == month, str(n)).otherwise(out)
-    return out
+    return look_up(MONTHS, fold_accents(F.lower(name))).cast("string")
 
 
 def parse_month_date(c: Column) -> Column:
@@ -119,7 +124,10 @@ def parse_month_date(c: Column) -> Column:
 
 def format_pages(c: Column) -> Column:
     """struct(display, num): the first whole number of the text."""
-    t = strip_html(c)
+    return let(strip_html(c), pages_of)
+
+
+def pages_of(t: Column) -> Column:
     n = F.regexp_extract(t, r"(\d+)", 1).try_cast("int")
     return F.struct(
         F.when(n.isNull(), t).otherwise(F.concat(n.cast("string"), F.lit(" págs"))).alias("display"), n.alias("num")
@@ -128,7 +136,10 @@ def format_pages(c: Column) -> Column:
 
 def format_dimensions(c: Column) -> Column:
     """``21,5 X 14`` to ``21.5 x 14 cm``; a unit that is there stays."""
-    t = collapse(F.regexp_replace(strip_html(c), r"\s*[xX]\s*", " x "))
+    return let(collapse(F.regexp_replace(strip_html(c), r"\s*[xX]\s*", " x ")), size_of)
+
+
+def size_of(t: Column) -> Column:
     form = r"(\d+(?:[.,]\d+)?) x (\d+(?:[.,]\d+)?)"
     part = lambda k: F.replace(F.regexp_extract(t, form, k), F.lit(","), F.lit("."))
     base = F.concat(part(1), F.lit(" x "), part(2))
@@ -174,7 +185,10 @@ def url_path(c: Column) -> Column:
 
 def placeholder_cover(c: Column) -> Column:
     """Why an address shows no cover, else null."""
-    u = F.lower(collapse(F.coalesce(c, F.lit(""))))
+    return let(F.lower(collapse(F.coalesce(c, F.lit("")))), why_no_cover)
+
+
+def why_no_cover(u: Column) -> Column:
     out = F.when(u == "", F.lit(None)).when(u.startswith("data:"), "data_uri")
     for p in NO_COVER:
         out = out.when(u.contains(p), f"pattern:{p}")
@@ -214,23 +228,24 @@ def best_cover(urls: Column, isbn: Column) -> Column:
 
 def guess_language(c: Column) -> Column:
     """struct(lang, conf): Spanish or English by stop words and accents; empty where undecided."""
-    t = F.lower(collapse(F.coalesce(c, F.lit(""))))
+    return let(F.lower(collapse(F.coalesce(c, F.lit("")))), lambda t: let(scores_of(t), decide))
+
+
+def scores_of(t: Column) -> Column:
     words = F.regexp_extract_all(t, F.lit("([a-záéíóúñ]+)"), F.lit(1))
     count = lambda stop: F.size(F.filter(words, lambda w: w.isin(stop))).cast("double")
     accents = F.length(t) - F.length(F.translate(t, "áéíóúñ", ""))
     es = count(STOP_ES) + F.least(F.lit(3), accents) * 0.75
-    return F.transform(
-        F.array(F.struct(es.alias("es"), count(STOP_EN).alias("en"))),
-        lambda s: F.struct(
-            F.when(((s["es"] < 2) & (s["en"] < 2)) | (s["es"] == s["en"]), "")
-            .when(s["es"] > s["en"], "Español")
-            .otherwise("Inglés")
-            .alias("lang"),
-            F.when(((s["es"] < 2) & (s["en"] < 2)) | (s["es"] == s["en"]), 0.0)
-            .otherwise(F.abs(s["es"] - s["en"]) / F.greatest(s["es"], s["en"], F.lit(1.0)))
-            .alias("conf"),
-        ),
-    )[0]
+    return F.struct(es.alias("es"), count(STOP_EN).alias("en"))
+
+
+def decide(s: Column) -> Column:
+    es, en = s["es"], s["en"]
+    undecided = ((es < 2) & (en < 2)) | (es == en)
+    return F.struct(
+        F.when(undecided, "").when(es > en, "Español").otherwise("Inglés").alias("lang"),
+        F.when(undecided, 0.0).otherwise(F.abs(es - en) / F.greatest(es, en, F.lit(1.0))).alias("conf"),
+    )
 
 
 def availability(schema: Column, variants: Column, text: Column) -> Column:

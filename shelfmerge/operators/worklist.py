@@ -43,15 +43,20 @@ def parse_query_items(lines: DataFrame, mode: str = "pair") -> DataFrame:
         found = rows.select("line_no", normalize_isbn(F.regexp_extract("raw", r"[0-9Xx-]{10,}", 0)).alias("isbn"))
         return dedupe_keep_first(found.filter(is_isbn(F.col("isbn"))), ["isbn"], "line_no")
     cut = F.when(F.col("raw").contains("|"), F.instr("raw", "|")).otherwise(F.instr("raw", "\t"))
-    left = F.when(cut > 0, F.trim(F.substr("raw", F.lit(1), cut - 1))).otherwise(F.col("raw"))
-    right = F.when(cut > 0, F.trim(F.substr("raw", cut + 1)))
-    long_left, long_right = F.length(digits(left)) >= 8, F.length(digits(right)) >= 8
-    isbn = F.when(long_left, digits(left)).when(long_right, digits(right))
-    title = F.when(cut == 0, F.when(~long_left, F.col("raw"))).when(
-        (right != "") & (long_left | ~long_right), right
+    sides = rows.withColumn("_cut", cut).withColumns(
+        {
+            "_l": F.expr("CASE WHEN _cut > 0 THEN trim(substr(raw, 1, _cut - 1)) ELSE raw END"),
+            "_r": F.expr("CASE WHEN _cut > 0 THEN trim(substr(raw, _cut + 1)) END"),
+        }
+    )
+    sides = sides.withColumns({"_ld": digits(F.col("_l")), "_rd": digits(F.col("_r"))})
+    long_left, long_right = F.length("_ld") >= 8, F.length("_rd") >= 8
+    isbn = F.when(long_left, F.col("_ld")).when(long_right, F.col("_rd"))
+    title = F.when(F.col("_cut") == 0, F.when(~long_left, F.col("raw"))).when(
+        (F.col("_r") != "") & (long_left | ~long_right), F.col("_r")
     )
     url = F.regexp_extract("raw", r"https?://[^\s|]+", 0)
-    out = rows.select(
+    out = sides.select(
         "line_no",
         "raw",
         isbn.alias("isbn"),
