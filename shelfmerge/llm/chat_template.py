@@ -83,7 +83,7 @@ class Generation:
 # ---- words of the language
 
 PARTS = re.compile(r"\{#.*?#\}|\{\{(?P<minus>-?)(?P<value>.*?)(?P<end>-?)\}\}|\{%(?P<lead>-?)(?P<tag>.*?)(?P<tail>-?)%\}", re.S)
-TOKENS = re.compile(r"""\s*(?:(?P<num>\d+)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>()\[\].,|]))""", re.S)
+TOKENS = re.compile(r"""\s*(?:(?P<num>\d+)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>()\[\].,|=]))""", re.S)
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"'}
 WORDS = {"and", "or", "not", "in", "if", "else", "true", "false", "none"}
 
@@ -277,8 +277,7 @@ def block(parts: list, at: int, ends: tuple[str, ...]) -> tuple[tuple, int, Any]
             out.append(If(tuple(arms)))
         elif word == "set":
             name = part.name()
-            rest = part.tokens[part.at :]
-            raise_unless(rest[:1] == [("op", "==")] or part.peek()[0] != "end", "set without a value")
+            part.need("=")
             out.append(Assign(name, part.whole()))
         elif word == "generation":
             body, at, _ = block(parts, at, ("endgeneration",))
@@ -290,11 +289,6 @@ def block(parts: list, at: int, ends: tuple[str, ...]) -> tuple[tuple, int, Any]
     return tuple(out), at, None
 
 
-def raise_unless(good: bool, why: str) -> None:
-    if not good:
-        raise TemplateError(why)
-
-
 # ---- operations
 
 #: Strings that mark turns in rendered text; inside texts they are escaped.

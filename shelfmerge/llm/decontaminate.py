@@ -14,7 +14,6 @@ benchmark leaves every document clean.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -210,7 +209,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.size("hit_spans") > 0).alias("contaminated"),
-        "hit_spans",
     )
 
 

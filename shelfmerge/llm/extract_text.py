@@ -108,7 +108,7 @@ class Lines:
             return
         if tag not in INLINE:
             self.line()
-        if tag in EMPTY or attrs.endswith("/") and tag not in ("p", "div"):
+        if tag in EMPTY:
             return
         if tag in ("article", "main"):
             while self.beside:
