@@ -47,38 +47,46 @@ LEGACY_INFO = {
 STD = list(ALIASES)
 
 
+def non_empty(m: Column) -> Column:
+    """The map without null and empty values."""
+    return F.map_filter(m, lambda k, v: v.isNotNull() & (v != ""))
+
+
 def pick(raw: Column, names: list[str], extra: Column | None = None) -> Column:
-    """The first name with a non-empty value in the row's map, then in its extras'."""
-    found = [F.nullif(F.try_element_at(raw, F.lit(n)), F.lit("")) for n in names]
-    if extra is not None:
-        found += [F.nullif(F.try_element_at(extra, F.lit(n)), F.lit("")) for n in names]
+    """The first name that the row's map has, then its extras'. Both hold no empty values."""
+    found = [F.try_element_at(m, F.lit(n)) for m in (raw, extra) if m is not None for n in names]
     return F.coalesce(*found, F.lit(""))
 
 
 def standardize(raw: DataFrame) -> DataFrame:
     """(site, raw map, info map) to the standard columns, quality rules applied in fix mode."""
     r, info = F.col("raw"), F.col("info")
-    p = {f: pick(r, names, None if f in OWN_ONLY else info) for f, names in ALIASES.items()}
-    cover = resolve_url(p["url"], p["url_portada"])
-    no_photo = F.lower(F.trim(vl.url_path(cover))).endswith("sin_foto.jpg")
-    pages = vl.format_pages(p["paginas"])
+    # step by step: what several expressions need is a column, and worked out once
+    raw = raw.select("site", non_empty(r).alias("raw"), non_empty(info).alias("info"))
+    picked = raw.select("site", *[pick(r, names, None if f in OWN_ONLY else info).alias(f) for f, names in ALIASES.items()])
     lead = r"(?i)^\s*Información adicional\s*Descripción\s*"
-    std = raw.select(
+    plain = picked.withColumns(
+        {
+            "encuadernacion": tx.strip_html(F.col("encuadernacion")),
+            "categoria": tx.strip_html(F.col("categoria")),
+            "sinopsis": F.trim(F.regexp_replace(tx.strip_html(F.col("sinopsis")), lead, "")),
+            "url_portada": resolve_url(F.col("url"), F.col("url_portada")),
+            "_pages": vl.format_pages(F.col("paginas")),
+        }
+    )
+    no_photo = F.lower(F.trim(vl.url_path(F.col("url_portada")))).endswith("sin_foto.jpg")
+    std = plain.select(
         "site",
-        p["url"].alias("url"),
-        normalize_isbn(p["isbn"]).alias("isbn"),
-        tx.titleish(p["titulo"]).alias("titulo"),
-        tx.titleish(p["autor"]).alias("autor"),
-        tx.titleish(p["editorial"]).alias("editorial"),
-        tx.titleish(tx.strip_html(p["encuadernacion"])).alias("encuadernacion"),
-        tx.titleish(tx.strip_html(p["categoria"])).alias("categoria"),
-        F.trim(F.regexp_replace(tx.strip_html(p["sinopsis"]), lead, "")).alias("sinopsis"),
-        tx.normalize_language(p["idioma"]).alias("idioma"),
-        pages["display"].alias("paginas"),
-        vl.format_dimensions(p["dimensiones"]).alias("dimensiones"),
-        vl.parse_date_iso(p["fecha_publicacion"]).alias("fecha_publicacion"),
-        F.when(no_photo, "").otherwise(cover).alias("url_portada"),
-        pages["num"].alias("paginas_num"),
+        "url",
+        normalize_isbn(F.col("isbn")).alias("isbn"),
+        *[tx.titleish(F.col(c)).alias(c) for c in ("titulo", "autor", "editorial", "encuadernacion", "categoria")],
+        "sinopsis",
+        tx.normalize_language(F.col("idioma")).alias("idioma"),
+        F.col("_pages.display").alias("paginas"),
+        vl.format_dimensions(F.col("dimensiones")).alias("dimensiones"),
+        vl.parse_date_iso(F.col("fecha_publicacion")).alias("fecha_publicacion"),
+        F.when(no_photo, "").otherwise(F.col("url_portada")).alias("url_portada"),
+        F.col("_pages.num").alias("paginas_num"),
     )
     return qc_rules(std, "fix")
 
@@ -131,7 +139,9 @@ def qc_rules(std: DataFrame, mode: str = "fix", fix: float = 0.75, warn: float =
 
 def harmonize(raw: DataFrame) -> DataFrame:
     """(site, raw map, info map) to the older row form; extras are filled from the row, never overwritten."""
-    r, info = F.col("raw"), F.coalesce(F.col("info"), F.create_map().cast("map<string,string>"))
+    none = F.create_map().cast("map<string,string>")
+    raw = raw.select("site", non_empty(F.col("raw")).alias("raw"), F.coalesce("info", none).alias("info"))
+    r, info = F.col("raw"), F.col("info")
     top = [pick(r, names).alias(f) for f, names in LEGACY.items()]
     added = F.map_from_arrays(
         F.array(*[F.lit(f) for f in LEGACY_INFO]), F.array(*[pick(r, names) for names in LEGACY_INFO.values()])

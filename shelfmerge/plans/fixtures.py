@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmerge.sources.readers import exists
+
 SITES = ["yenny", "el_lector", "contrapunto", "bookpeople", "cuspide", "casa_del_libro", "amazon_books"]
 
 _CHECK = "(10 - (38 + " + " + ".join(f"{3 if i % 2 else 1} * CAST(substr(k, {i}, 1) AS INT)" for i in range(1, 10)) + ") % 10) % 10"
@@ -76,24 +82,41 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 
 
+#: Derived tables that this process has written: (application, folder of inputs, name) to path.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def table_of(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per application to the shared folder and read as the Parquet table it stands for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN or not exists(spark, f"{_WRITTEN[key]}/_SUCCESS"):
+        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+        path = f"{named.rstrip('/')}/shelfmerge/{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str, *inputs: str) -> DataFrame:
+    views(spark, sf_dir, *inputs)
+    return spark.sql(sql)
+
+
 def book_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "lineitem", "part", "documents")
-    return spark.sql(BOOK_STD)
+    make = lambda: derived(spark, sf_dir, BOOK_STD, "lineitem", "part", "documents")
+    return table_of(spark, sf_dir, "book_std", make)
 
 
 def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "part")
-    return spark.sql(QUERIES)
+    return table_of(spark, sf_dir, "queries", lambda: derived(spark, sf_dir, QUERIES, "part"))
 
 
 def lease_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "events")
-    return spark.sql(LEASE_EVENTS)
+    return derived(spark, sf_dir, LEASE_EVENTS, "events")
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "events")
-    return spark.sql(QUEUE)
+    return derived(spark, sf_dir, QUEUE, "events")
 
 
 def with_book_std(sql: str) -> str:
