@@ -15,6 +15,7 @@ empty table gives no pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -35,6 +36,13 @@ CACHE_WORDS = 500_000
 #: choice is a lower-case Latin letter of two.
 MARKS = r"([a-z]|\xC3[\xA0-\xB6\xB8-\xBF])([.,;:!?]+)(?:[ \n]|$)"
 
+#: Words of Latin letters are one pre-token and stay as they are when normalized, so the
+#: tokenizer's merges can be asked directly; it names the two bytes of an accented letter
+#: by the characters of their codes, those from 0x80 to 0xA0 and 0xAD by ones past 0xFF.
+LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+SIGNS = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
+BYTE_SIGNS = {c: "".join(chr(256 + SIGNS.index(b)) if b in SIGNS else chr(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -67,7 +75,13 @@ class WordEncoder:
 
     def learn(self, fresh: list[str]) -> None:
         """Appends the ids of unseen words to the store."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        plain = [bool(LATIN.fullmatch(w)) for w in fresh]
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(fresh, plain, strict=True) if not p], add_special_tokens=False))
+        merge = self.tokenizer.model.tokenize
+        found = [
+            [t.id for t in merge(w.lower().translate(BYTE_SIGNS))] if p else next(rest).ids
+            for w, p in zip(fresh, plain, strict=True)
+        ]
         at = len(self.place)
         used = int(self.end[at - 1]) if at else 0
         ends = used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
@@ -100,8 +114,9 @@ class WordEncoder:
         per_word = size[code]
         ends = np.cumsum(per_word)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(first[code] - (ends - per_word), per_word)
-        at += np.arange(total)
+        kind = np.int32 if max(total, len(self.flat)) < 2**31 else np.int64
+        at = np.repeat((first[code] - (ends - per_word)).astype(kind), per_word)
+        at += np.arange(total, dtype=kind)
         bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets)]
         ids, sizes = self.flat[at], np.diff(bounds)
         if pc.any(odd).as_py():
