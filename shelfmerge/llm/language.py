@@ -32,7 +32,8 @@ SAMPLE_BYTES = 16384
 LANGUAGES = 64
 SIZE = 1 << 13
 PIECE = 4 << 20
-REJECT_BELOW = 0.5
+#: Score below which keep_identified() rejects a text; by default only texts without a language go.
+REJECT_BELOW = 0.0
 
 #: Families of the languages that have relatives among the usual ones; any other is its own.
 FAMILIES = {
@@ -184,7 +185,7 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, below: float = REJECT_BELOW) -> DataFrame:
-    """Documents whose language is told with a score of at least ``below``, with their own columns."""
+    """Documents that are not ``und`` and score at least ``below``, with their own columns."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), "text")
     kept = identify(packed, train(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= below))
     return kept.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
