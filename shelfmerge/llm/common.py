@@ -10,6 +10,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch for columns of whole texts: bounds a worker's memory.
 TEXT_BATCH = 256
@@ -46,6 +47,17 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """About the n first of total rows by the hash of their keys, at most n.
+
+    Nearly all others are dropped where they are read, so what reaches the driver
+    does not grow with the number of partitions.
+    """
+    span, order = 1 << 40, F.xxhash64(*keys)
+    few = df.filter(F.pmod(order, F.lit(span)) < min(span, 2 * n * span // max(1, total) + 1))
+    return few.orderBy(F.pmod(order, F.lit(span)), *keys).limit(n)
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bounds the rows of the Arrow batches that carry texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmerge.llm.common import materialise
+from shelfmerge.llm.common import hash_sample, materialise
 
 K = 5
 EVERY = 50
@@ -83,7 +83,7 @@ def clean_vectors(embeddings: DataFrame, width: int) -> DataFrame:
 
 def choose_pivots(vectors: DataFrame, n: int, sample: int = SAMPLE, most: int = PIVOTS) -> np.ndarray:
     """Centres of a bounded sample, about the fourth root of the table's square in number."""
-    rows = vectors.orderBy(F.xxhash64("vec_id")).limit(sample).collect()
+    rows = hash_sample(vectors, sample, n, "vec_id").collect()
     x = np.unique(np.array([r.v for r in rows]), axis=0)
     k = min(len(x), most, max(1, int(np.sqrt(n) / 2)))
     p = x[np.linspace(0, len(x) - 1, k).astype(int)]

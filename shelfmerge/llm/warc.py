@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmerge.llm.common import materialise, scratch, text_batches
+from shelfmerge.llm.common import hash_sample, materialise, scratch, text_batches
 
 MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 32 << 20
@@ -51,13 +51,9 @@ def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages, or a raw one where they are too few."""
     import zstandard
 
-    rows = (
-        pages.filter("html <> ''")
-        .select(F.expr(f"substring(encode(html, 'UTF-8'), 1, {SAMPLE_BYTES})").alias("h"), F.xxhash64("page_id", "url").alias("o"))
-        .orderBy("o")
-        .limit(SAMPLE_PAGES)
-        .collect()
-    )
+    filled = pages.filter("html <> ''").select("page_id", "url", F.encode("html", "UTF-8").alias("h"))
+    few = hash_sample(filled, SAMPLE_PAGES, pages.count(), "page_id", "url")
+    rows = few.select(F.substring("h", 1, SAMPLE_BYTES).alias("h")).collect()
     samples = [bytes(r.h) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
