@@ -1,9 +1,11 @@
 """Removal of repeated passages by overlapping three-line windows.
 
-A line is a stretch of at most ``LINE_WORDS`` words of one physical line that
-ends early at a sentence's end, so that a passage set as one long line has
-windows too, and they fall alike wherever it stands. All windows of three
-consecutive lines are hashed (128 bits). Of all occurrences of a window the one
+A line is a sentence or what a physical line holds of it. One of more than
+``LINE_WORDS`` words is cut where its content says: after a word whose three-word
+hash is the least of ``NEAR`` words to either side, and after ``LINE_WORDS`` words
+at the latest. So a passage set as one long line has windows too, and they fall
+alike wherever it stands. All windows of three consecutive lines are hashed (128
+bits), however short. Of all occurrences of a window the one
 with the smallest (doc_id, line) stays; every other covers its three lines, and
 the union of the covered lines goes. An occurrence that overlaps the first in
 the same document covers only the lines after the first.
@@ -12,8 +14,8 @@ A map task decides what it can: an occurrence that is not the least in its batch
 is not the least anywhere, so only one row per batch and window meets the others
 in a shuffle, however frequent the window.
 
-Defined results: null texts stay null, texts of fewer than three lines and
-windows under ``MIN_CHARS`` characters stay whole; rows with a null doc_id stay
+Defined results: null texts stay null, texts of fewer than three lines stay
+whole; rows with a null doc_id stay
 as they are; rows that repeat a doc_id count as one document and keep the same
 lines.
 """
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +35,63 @@ from shelfmerge.llm.common import text_batches
 
 LINES = 3
 LINE_WORDS = 16
-#: Shorter windows ("Yes." "No." "Yes.") repeat by chance.
-MIN_CHARS = 60
+#: Words to either side that a cut inside a long sentence is compared with; its lines have more words than these.
+NEAR = 3
+#: Characters of a window at least: none are left out.
+MIN_CHARS = 0
 
-LINE = re.compile(r"\s*+\S++(?:(?<![.!?])[^\S\n]++\S++){0,%d}+[^\S\n]*+\n?" % (LINE_WORDS - 1))
+STRETCH = re.compile(r"\s*+\S++(?:(?<![.!?])[^\S\n]++\S++)*+[^\S\n]*+\n?")
+#: So many words and the blanks behind them.
+WORDS = [re.compile(r"(?:\s*+\S++){%d}[^\S\n]*+" % n) for n in range(LINE_WORDS + 1)]
+PAD = [""] * NEAR
 
 
 def lines(text: str | None) -> list[tuple[int, int]]:
     """Spans of the lines, white space before and behind included: they tile the text but for its end."""
-    return [m.span() for m in LINE.finditer(text or "")]
+    spans = [m.span() for m in STRETCH.finditer(text or "")]
+    flat, long = PAD.copy(), []
+    for k, (a, b) in enumerate(spans):
+        # more than LINE_WORDS words have at least twice as many characters, blanks between them included
+        if b - a > 2 * LINE_WORDS and len(words := text[a:b].split()) > LINE_WORDS:
+            long.append((k, len(flat), len(flat) + len(words)))
+            flat += words + PAD
+    if not long:
+        return spans
+    cuts = iter(content_cuts(flat).tolist())
+    cut, out, done = next(cuts, len(flat)), [], 0
+    for k, first, end in long:
+        out += spans[done:k]
+        done = k + 1
+        at, stop = spans[k]
+        while first < end:
+            if cut < first:
+                cut = next(cuts, len(flat))
+                continue
+            n = min(LINE_WORDS, cut + 1 - first, end - first)
+            first += n
+            to = stop if first == end else WORDS[n].match(text, at).end()
+            out.append((at, to))
+            at = to
+    return out + spans[done:]
+
+
+def content_cuts(words: list[str]) -> np.ndarray:
+    """After which words a cut falls, by the words around them; sentences have PAD before and behind."""
+    import xxhash
+
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h[1:] = mix(h[1:] * np.uint64(5) + h[:-1])
+    h[1:] = mix(h[1:] * np.uint64(7) + h[:-1])
+    h[[not w for w in words]] = 2**64 - 1
+    n = len(h) - 2 * NEAR
+    mid, least = h[NEAR : NEAR + n], np.ones(n, bool)
+    for k in range(NEAR):
+        least &= (mid < h[k : k + n]) & (mid <= h[NEAR + 1 + k : NEAR + 1 + k + n])
+    return np.nonzero(least)[0] + NEAR
 
 
-def window_hashes(text: str | None, width: int = LINES, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, ...]:
-    """(two 64-bit hashes, position) of each window that is long enough."""
+def window_hashes(text: str | None, width: int = LINES) -> tuple[np.ndarray, ...]:
+    """(two 64-bit hashes, position) of each window."""
     import xxhash
 
     parts = [text[a:b].strip() for a, b in lines(text)]
@@ -53,14 +100,11 @@ def window_hashes(text: str | None, width: int = LINES, min_chars: int = MIN_CHA
         none = np.array([], np.uint64)
         return none, none, np.array([], np.int64)
     h = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    a, b, chars = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for k in range(width):
         a = mix((a ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
         b = mix((b + h[k : k + n]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(k + 7))
-        chars += size[k : k + n]
-    at = np.nonzero(chars >= min_chars)[0]
-    return a[at], b[at], at
+    return a, b, np.arange(n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,7 +134,24 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1 = np.concatenate([a for _, a, _, _ in found]).view(np.int64)
         h2 = np.concatenate([b for _, _, b, _ in found]).view(np.int64)
         at = np.concatenate([p for *_, p in found]).astype(np.int64)
-        yield resolve(h1, h2, doc, at, None)[0]
+        out = resolve(h1, h2, doc, at, None)[0]
+        decided = out.column("decided")
+        yield out.filter(pc.invert(decided))
+        yield merged(*(out.column(k).filter(decided).to_numpy() for k in ("doc_id", "start", "end")))
+
+
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Decided spans with those that touch made one; dealt by their place, as a frequent window has very many."""
+    keep = start < end
+    order = np.lexsort((end[keep], doc[keep]))
+    doc, start, end = doc[keep][order], start[keep][order], end[keep][order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    first = np.nonzero(new)[0]
+    last = np.append(first[1:], len(doc)) - 1 if len(first) else first
+    doc, end = doc[first], end[last]
+    start = np.minimum.reduceat(start, first) if len(first) else start[first]
+    return rows_of([np.ones(len(first), bool), doc, start, doc, start, end])
 
 
 def resolve(h1, h2, doc, at, before) -> tuple[pa.RecordBatch | None, tuple | None]:

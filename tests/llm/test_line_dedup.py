@@ -1,3 +1,7 @@
+import random
+
+import pyarrow as pa
+
 from shelfmerge.llm import line_dedup as ld
 
 
@@ -96,3 +100,45 @@ def test_whole_table(spark, sf):
     docs = {r.doc_id: r.text for r in df.collect()}
     texts, _ = slow(docs)
     assert {r.doc_id: r.text for r in ld.line_dedup_report(df.repartition(4)).collect()} == texts
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+
+
+def test_passages_in_short_lines(spark):
+    w = words(60, 0)
+    short = "\n".join(" ".join(w[i : i + 3]) for i in range(0, 60, 3))
+    single = ". ".join(w) + "."
+    docs = {1: f"Start one.\n{short}\nStop one.", 2: f"Other start.\n{short}\nOther stop.", 3: f"A. {single} B.", 4: f"C. {single} D.", 5: "Les Rech.\n" * 140}
+    _, got = run(spark, docs)
+    assert short in got[1].text and single in got[3].text
+    assert got[2].text == "Other start.\nOther stop." and got[4].text == "C. D."
+    assert got[5].text == "Les Rech.\n" * 3
+
+
+def test_passages_without_stops_at_several_offsets(spark):
+    passage = words(90, 1)
+    docs = {k: " ".join(words(20 + k, 100 + k) + passage + words(30, 200 + k)) for k in range(20)}
+    _, got = run(spark, docs)
+    assert got[0].text == docs[0]
+    for k in range(1, 20):
+        left = set(got[k].text.split())
+        assert len(left & set(passage)) <= 2 * ld.LINE_WORDS
+        assert left - set(passage) == set(docs[k].split()) - set(passage)
+
+
+def test_long_lines_are_bounded():
+    for t in [" ".join(["same"] * 200), " ".join(words(500, 2)), "a b " * 100]:
+        sizes = [len(t[a:b].split()) for a, b in ld.lines(t)]
+        assert sum(sizes) == len(t.split()) and max(sizes) <= ld.LINE_WORDS
+
+
+def test_frequent_windows_are_dealt_by_document():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": ["a\nb\nc\nd"] * 200})
+    rows = pa.Table.from_batches(list(ld.occurrences(iter([batch])))).to_pylist()
+    assert sum(not r["decided"] for r in rows) == 2
+    covered = [r for r in rows if r["decided"]]
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in covered) == [(d, 0, 4) for d in range(1, 200)]
+    assert len({(r["h1"], r["h2"]) for r in covered}) == 199
