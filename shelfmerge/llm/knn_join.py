@@ -2,12 +2,13 @@
 
 Pivots, drawn from a bounded sample, split the vectors into cells. A cell's
 summary is its count, its radius and the distances of the few vectors nearest
-its pivot. For a query q and a cell with pivot p and radius r no product exceeds
+its pivot, each vec_id counted once over all cells. For a query q and a cell with pivot p and radius r no product exceeds
 q.p + |q| r, and a vector at distance d from p reaches at least q.p - |q| d; the
 k-th highest of these floors, over all summaries, is a score that q's answer
 surely reaches. So q is sent only to the cells whose ceiling reaches it; queries
 are the smaller side, so they are what is replicated, and each vector crosses
-the shuffle once. Cells are dealt out in chunks of bounded size, whatever their
+the shuffle once for every ``QUERY_BLOCK`` queries that its own cell is needed for,
+and not at all if no query needs it. Cells are dealt out in chunks of bounded size, whatever their
 own size; a chunk is solved block by block, and its best k per query are merged.
 
 Components become floor(256 x); products are exact integers. Defined results:
@@ -120,35 +121,46 @@ class Summary:
 
     def __init__(self, assigned: DataFrame, pivots: np.ndarray, k: int):
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, tuple[int, float, np.ndarray]] = {}
+            held: dict[int, tuple[int, float]] = {}
             for batch in batches:
                 cell, dist = batch.column("cell").to_numpy(), batch.column("dist").to_numpy()
                 for c in np.unique(cell).tolist():
                     d = dist[cell == c]
-                    n, far, near = held.get(c, (0, 0.0, np.array([])))
-                    held[c] = n + len(d), max(far, float(d.max())), np.sort(np.append(near, d))[: k + 1]
+                    n, far = held.get(c, (0, 0.0))
+                    held[c] = n + len(d), max(far, float(d.max()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(list(held), pa.int32()),
                     pa.array([v[0] for v in held.values()], pa.int64()),
                     pa.array([v[1] for v in held.values()], pa.float64()),
-                    pa.array([v[2].tolist() for v in held.values()], pa.list_(pa.float64())),
                 ],
-                ["cell", "n", "far", "near"],
+                ["cell", "n", "far"],
             )
 
-        parts = assigned.select("cell", "dist").mapInArrow(partial, "cell int, n bigint, far double, near array<double>")
-        rows = parts.groupBy("cell").agg(
-            F.sum("n").alias("n"),
-            F.max("far").alias("far"),
-            F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"),
-        ).collect()
+        def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                cell, dist = batch.column("cell").to_numpy(), batch.column("dist").to_numpy()
+                for c in np.unique(cell).tolist():
+                    held[c] = np.sort(np.append(held.get(c, []), dist[cell == c]))[: k + 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.int32()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))],
+                ["cell", "near"],
+            )
+
+        parts = assigned.select("cell", "dist").mapInArrow(partial, "cell int, n bigint, far double")
+        rows = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()
+        # one row of each vec_id: at most one floor is a query's own, whatever the number of its rows
+        once = assigned.groupBy("vec_id").agg(F.min(F.struct("dist", "cell")).alias("m")).select("m.cell", "m.dist")
+        lists = once.mapInArrow(closest, "cell int, near array<double>").groupBy("cell")
+        nearby = lists.agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
         self.k, self.pivots = k, pivots
         self.count = np.zeros(len(pivots), np.int64)
         self.far = np.full(len(pivots), -np.inf)
         self.near = np.full((len(pivots), k + 1), np.inf)
         for r in rows:
             self.count[r.cell], self.far[r.cell] = r.n, r.far
+        for r in nearby:
             self.near[r.cell, : len(r.near)] = r.near
         self.chunks = np.maximum(1, -(-self.count // CHUNK))
 
@@ -158,7 +170,7 @@ class Summary:
         norm = np.sqrt((q**2).sum(1))[:, None]
         slack = SLACK * (1 + norm * np.sqrt((self.pivots**2).sum(1))[None, :])
         floors = (at_pivot - slack)[:, :, None] - norm[:, :, None] * self.near[None]
-        # one more than k: the query itself is among the vectors
+        # one more than k: the query's own vec_id has one floor at most
         floors = np.sort(np.where(np.isnan(floors), -np.inf, floors).reshape(len(q), -1), axis=1)[:, ::-1]
         reach = floors[:, self.k] if floors.shape[1] > self.k else np.full(len(q), -np.inf)
         ceiling = np.where(self.count > 0, at_pivot + slack + norm * self.far[None, :], -np.inf)
@@ -168,8 +180,25 @@ class Summary:
 DEALT = "cell int, chunk int, part int, kind int, vec_id bigint, v array<double>"
 
 
-def deal(s: Summary, parts: int, queries: bool):
-    """Rows by (cell, chunk, part of the queries): a query goes to all chunks of its cells, a vector to one chunk."""
+def parts_of(s: Summary, queries: DataFrame) -> np.ndarray:
+    """Into how many parts the queries that need a cell are dealt: none, if no query does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(s.pivots), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n += s.needed(matrix(batch.column("v"))).sum(0)
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
+
+    parts = np.zeros(len(s.pivots), np.int64)
+    for r in queries.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        parts[r.cell] = -(-r.n // QUERY_BLOCK)
+    return parts
+
+
+def deal(s: Summary, parts: np.ndarray, queries: bool):
+    """Rows by (cell, chunk, part of the cell's queries): a query goes to all chunks of its cells, a vector to one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,12 +209,13 @@ def deal(s: Summary, parts: int, queries: bool):
                 n = s.chunks[cell]
                 row, cell = np.repeat(row, n), np.repeat(cell, n)
                 chunk = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                part = mixed[row] % np.uint64(parts)
+                part = mixed[row] % parts[cell].astype(np.uint64)
             else:
                 cell = batch.column("cell").to_numpy()
-                chunk = np.repeat(mixed % s.chunks[cell].astype(np.uint64), parts)
-                row, cell = np.repeat(np.arange(len(ids)), parts), np.repeat(cell, parts)
-                part = np.tile(np.arange(parts), len(ids))
+                n = parts[cell]
+                row, cell = np.repeat(np.arange(len(ids)), n), np.repeat(cell, n)
+                chunk = mixed[row] % s.chunks[cell].astype(np.uint64)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = pa.array(row)
             for a in range(0, len(row), 4096):
                 few = at.slice(a, 4096)
@@ -287,7 +317,7 @@ def knn_join(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
     assigned = assign(vectors, pivots)
     summary = Summary(assigned, pivots, k)
     queries = assigned.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "cell", "v").dropDuplicates(["vec_id"])
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = parts_of(summary, queries)
     sent = queries.mapInArrow(deal(summary, parts, True), DEALT)
     data = assigned.select("vec_id", "cell", "v").mapInArrow(deal(summary, parts, False), DEALT)
     place = ["cell", "chunk", "part"]

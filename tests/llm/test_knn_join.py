@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from shelfmerge.llm import knn_join as kj
 
@@ -66,3 +67,20 @@ def test_bounds_leave_cells_out():
 
 def test_whole_table(spark, sf):
     check(spark, [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()])
+
+
+def test_copies_of_a_query_are_not_its_candidates(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 0.0, 0.0])] * 6
+    for n, centre in enumerate(([0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [-1.0, 0.0, 0.0], [0.0, -1.0, 0.0])):
+        rows += [(1 + 100 * n + k, (np.array(centre) + rng.normal(0, 0.02, 3)).tolist()) for k in range(100)]
+    rows = [(i, v) for i, v in rows if i == 0 or i % 50]
+    check(spark, rows)
+
+
+def test_cells_that_no_query_needs_are_not_dealt():
+    s = object.__new__(kj.Summary)
+    s.chunks = np.array([1, 1])
+    batch = pa.RecordBatch.from_pydict({"vec_id": [1, 2, 3], "cell": pa.array([0, 1, 0], pa.int32()), "v": [[1.0], [2.0], [3.0]]})
+    got = pa.Table.from_batches(list(kj.deal(s, np.array([0, 3]), False)(iter([batch])))).to_pylist()
+    assert [(r["vec_id"], r["part"]) for r in got] == [(2, 0), (2, 1), (2, 2)]
