@@ -2,7 +2,10 @@
 
 Hosts of allowed pages seed personalised PageRank along links; hosts of blocked
 pages seed the same walk along reversed links, since a page that points to bad
-places is suspect. A host whose distrust exceeds its trust is blocked.
+places is suspect. A host whose distrust exceeds its trust is blocked; they are
+compared by their ratio, and a host that only distrust reaches is blocked however
+little arrives. The walks go on until they reach no new host and the verdicts are
+settled: no score that has to be compared can still cross the other.
 
 Everything is DataFrame work: links are counted per pair of hosts before any
 join, a round is two joins and one aggregation over host pairs, and its result
@@ -29,8 +32,11 @@ RULES = [
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 ]
+#: Rounds at least.
 ROUNDS = 8
 DAMPING = 0.85
+#: Trust and distrust that differ by less than this share are equal; scores that change by less are settled.
+EQUAL = 1e-9
 #: Links with a host of their own.
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -97,26 +103,69 @@ def shares(links: DataFrame) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after some rounds. seeds: (host, trust, distrust), each summing to one."""
+    """(host, trust, distrust, liked, feared) after ``rounds`` rounds, and as many more as the verdicts need.
+
+    seeds: (host, trust, distrust), each summing to one. liked and feared: the
+    walk reaches the host, even where its score is too small for a double.
+    """
     links = materialise(shares(links), "host-links")
-    seeds = materialise(seeds, "host-seeds")
-    rank = seeds
-    for k in range(rounds):
+    seeds = materialise(seeds.withColumns({"liked": F.col("trust") > 0, "feared": F.col("distrust") > 0}), "host-seeds")
+    rank, reached, k = seeds, None, 0
+    while True:
         there = links.join(rank, links.src == rank.host).select(
-            links.dst.alias("host"), (F.col("trust") * F.col("forward")).alias("trust"), F.lit(0.0).alias("distrust")
+            links.dst.alias("host"),
+            (damping * F.col("trust") * F.col("forward")).alias("trust"),
+            F.lit(0.0).alias("distrust"),
+            "liked",
+            F.lit(False).alias("feared"),
         )
         back = links.join(rank, links.dst == rank.host).select(
-            links.src.alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("backward")).alias("distrust")
+            links.src.alias("host"),
+            F.lit(0.0).alias("trust"),
+            (damping * F.col("distrust") * F.col("backward")).alias("distrust"),
+            F.lit(False).alias("liked"),
+            "feared",
         )
         fresh = seeds.select(
-            "host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust")
+            "host",
+            ((1 - damping) * F.col("trust")).alias("trust"),
+            ((1 - damping) * F.col("distrust")).alias("distrust"),
+            "liked",
+            "feared",
         )
-        moved = there.union(back).select(
-            "host", (damping * F.col("trust")).alias("trust"), (damping * F.col("distrust")).alias("distrust")
+        summed = (
+            there.union(back)
+            .union(fresh)
+            .groupBy("host")
+            .agg(
+                F.sum("trust").alias("trust"),
+                F.sum("distrust").alias("distrust"),
+                F.bool_or("liked").alias("liked"),
+                F.bool_or("feared").alias("feared"),
+            )
         )
-        summed = moved.union(fresh).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        rank = materialise(summed, f"host-rank-{k}")
-    return rank
+        before, rank, k = rank, materialise(summed, f"host-rank-{k}"), k + 1
+        if k < rounds:
+            continue
+        now = tuple(rank.agg(F.count_if("liked"), F.count_if("feared")).first())
+        if now == reached and settled(before, rank, damping):
+            return rank
+        reached = now
+
+
+def settled(before: DataFrame, rank: DataFrame, damping: float) -> bool:
+    """Whether no host that both walks reach can change its verdict.
+
+    What all later rounds move is at most damping / (1 - damping) of what the last one moved.
+    """
+    old = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+    both = rank.join(old, "host", "left").withColumns(
+        {"dt": F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))), "dd": F.abs(F.col("distrust") - F.coalesce("d", F.lit(0.0)))}
+    )
+    moved = both.agg(F.sum(F.col("dt") + F.col("dd"))).first()[0] or 0.0
+    far = F.abs(F.col("trust") - F.col("distrust")) > moved * damping / (1 - damping) + EQUAL * F.col("trust")
+    still = (F.col("dt") <= EQUAL * F.col("trust") * (1 - damping)) & (F.col("dd") <= EQUAL * F.col("distrust") * (1 - damping))
+    return both.filter(F.col("liked") & F.col("feared")).filter(~far & ~still).isEmpty()
 
 
 def blocked_hosts(pages: DataFrame, verdicts: DataFrame) -> DataFrame | None:
@@ -135,7 +184,8 @@ def blocked_hosts(pages: DataFrame, verdicts: DataFrame) -> DataFrame | None:
         "host", (F.col("a") / max(1, total.sa or 0)).alias("trust"), (F.col("b") / max(1, total.sb or 0)).alias("distrust")
     )
     rank = propagate(links, seeds)
-    return rank.filter(F.round("distrust", 12) > F.round("trust", 12)).select("host")
+    more = F.col("distrust") > F.col("trust") * (1 + EQUAL)
+    return rank.filter("feared").filter(~F.col("liked") | more).select("host")
 
 
 def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -94,3 +94,33 @@ def test_empty_and_whole_table(spark, sf):
 def test_native_plan(spark, sf):
     plan = lg.url_verdicts(spark.read.parquet(f"{sf}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_chain_and_many_seeds(spark):
+    link = lambda *h: "".join(f"<a href='https://{x}/p'>t</a>" for x in h)
+    rows = [(k, f"http://h{k}.com/", link(f"h{k + 1}.com")) for k in range(11)] + [(11, "http://h11.com/", link("bad.net"))]
+    rows += [(20, "http://bad.net/a", link("other.com"))]
+    got = {r.page_id: r.verdict for r in lg.url_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: "block" for k in (*range(12), 20)}
+
+
+def test_verdicts_do_not_depend_on_the_number_of_seeds(spark):
+    link = lambda h, n: f"<a href='https://{h}/p'>t</a>" * n
+    rows = [(1, "http://bad.net/a", None), (2, "http://a.com/", link("bad.net", 1)), (3, "http://b.com/", link("bad.net", 1_000_000))]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    more = spark.range(1_000_000).selectExpr("id + 10 AS page_id", "'http://x' || id % 1000 || '.net/' AS url", "CAST(NULL AS STRING) AS html")
+    got = {r.page_id: r.verdict for r in lg.url_verdicts(pages.union(more)).filter("page_id < 10").collect()}
+    assert got == {1: "block", 2: "block", 3: "block"}
+
+
+def test_cycles_settle(spark):
+    link = lambda *h: "".join(f"<a href='https://{x}/p'>t</a>" for x in h)
+    rows = [
+        (1, "http://good.org/fr/x", link("a.com", "b.com")),
+        (2, "http://a.com/", link("b.com", "bad.net")),
+        (3, "http://b.com/", link("a.com", "c.com")),
+        (4, "http://c.com/", link("a.com", "bad.net")),
+        (5, "http://bad.net/a", link("c.com")),
+    ]
+    got = {tuple(r) for r in lg.url_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == slow_verdicts(rows, rounds=300)
