@@ -24,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    made and set as the context's checkpoint folder.
+    Where the session names none, a local master (tests on one machine) gets a
+    temporary folder, set as the context's checkpoint folder; any other master has
+    executors with disks of their own, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -59,8 +62,19 @@ def hash_sample(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bounds the rows of the Arrow batches that carry texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    """Lowers the session's rows in an Arrow batch to TEXT_BATCH, as batches carry whole texts.
+
+    Spark reads the setting when a plan runs, not when it is made, so it stays lowered.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
+def in_text_batches(df: DataFrame, run: Callable, schema: Any) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches small enough for whole texts."""
+    text_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def per_worker(key: Any, make: Callable[[], Any]) -> Any:

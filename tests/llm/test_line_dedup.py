@@ -1,28 +1,61 @@
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 
+from shelfmerge.llm import common
 from shelfmerge.llm import line_dedup as ld
 
 
+def lines(text):
+    """The definition, word by word: (start, end) of every line."""
+    text, spans, at = text or "", [], 0
+    words = [m.span() for m in re.finditer(r"[^ \t\n\v\f\r]+", text)]
+    for k, (a, b) in enumerate(words):
+        gap = text[b : words[k + 1][0]] if k + 1 < len(words) else text[b:]
+        if text[b - 1] in ".!?" or "\n" in gap or k + 1 == len(words):
+            spans.append(words[at : k + 1])
+            at = k + 1
+    out, place = [], 0
+    for w in spans:
+        if len(w) > ld.LINE_WORDS:
+            h = ld.find_words(*ld.text_bytes(pa.array([text])))
+            n = sum(len(s) for s in spans[: spans.index(w)])
+            cuts = ld.content_cuts(h.hash[n : n + len(w)], np.zeros(len(w), int)).tolist()
+            pieces, piece = [], []
+            for x, c in zip(w, cuts):
+                piece.append(x)
+                if c or len(piece) == ld.LINE_WORDS:
+                    pieces.append(piece)
+                    piece = []
+            pieces += [piece] if piece else []
+        else:
+            pieces = [w]
+        for piece in pieces:
+            b = piece[-1][1]
+            m = re.compile(r"[ \t\v\f\r]*\n|[ \t\n\v\f\r]*").match(text, b)
+            out.append((place, m.end()))
+            place = m.end()
+    return out
+
+
 def slow(docs):
     """docs: {doc_id: text}; the definition, window by window."""
-    seen, gone = {}, {d: set() for d in docs}
+    seen, gone, held = {}, {d: set() for d in docs}, {}
     for d in sorted(docs):
-        at = ld.lines(docs[d])
-        parts = [docs[d][a:b].strip() for a, b in at]
+        at = held[d] = lines(docs[d])
+        parts = [tuple(docs[d][a:b].split()) for a, b in at]
         for i in range(len(parts) - 2):
             w = tuple(parts[i : i + 3])
-            if sum(map(len, w)) < ld.MIN_CHARS:
-                continue
             if w not in seen:
                 seen[w] = (d, i)
             else:
                 fd, fi = seen[w]
                 gone[d] |= set(range(max(i, fi + 3) if fd == d else i, i + 3))
     return {
-        d: None if docs[d] is None else "".join(docs[d][a:b] for k, (a, b) in enumerate(ld.lines(docs[d])) if k not in gone[d])
-        + docs[d][(ld.lines(docs[d]) or [(0, 0)])[-1][1] :]
+        d: None if docs[d] is None else "".join(docs[d][a:b] for k, (a, b) in enumerate(held[d]) if k not in gone[d])
+        + docs[d][(held[d] or [(0, 0)])[-1][1] :]
         for d in docs
     }, {d: len(g) for d, g in gone.items()}
 
@@ -51,13 +84,21 @@ def run(spark, docs, n=3):
     return df, {r.doc_id: r for r in ld.line_dedup_report(df).collect()}
 
 
-def test_lines_tile_the_text():
-    for t in DOCS.values():
-        at = 0
-        for a, b in ld.lines(t):
+def spans(text):
+    return ld.Lines(pa.array([text], pa.string())).spans(0)
+
+
+def test_lines_match_the_definition_and_tile_the_text():
+    texts = [*DOCS.values(), " ".join(words(300, 7)), " \n\n a", "x. y! z?\n\n\nw  ", ". . .", "é" * 40 + " ü. " * 5]
+    found = ld.Lines(pa.array(texts))
+    for k, t in enumerate(texts):
+        data, at = (t or "").encode(), 0
+        want = [(len((t or "")[:a].encode()), len((t or "")[:b].encode())) for a, b in lines(t)]
+        assert found.spans(k) == want == spans(t)
+        for a, b in want:
             assert a == at and b > a
             at = b
-        assert not (t or "")[at:].strip()
+        assert not data[at:].strip()
 
 
 def test_against_definition(spark):
@@ -80,7 +121,9 @@ def test_batches_do_not_matter(spark, monkeypatch):
     docs = {i: f"Start {i} here.\n" + " ".join(PASSAGE.split()[i % 5 :]) + f"\n{PASSAGE}\nStop {i}." for i in range(60)}
     texts, n = slow(docs)
     for size in (1, 7, 256):
-        monkeypatch.setattr(ld, "text_batches", lambda s, z=size: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(z)))
+        monkeypatch.setattr(common, "TEXT_BATCH", size)
+        monkeypatch.setattr(ld, "HELD", 50 * size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
         _, got = run(spark, docs)
         assert {d: r.text for d, r in got.items()} == texts
         assert {d: r.n_removed for d, r in got.items()} == n
@@ -131,14 +174,43 @@ def test_passages_without_stops_at_several_offsets(spark):
 
 def test_long_lines_are_bounded():
     for t in [" ".join(["same"] * 200), " ".join(words(500, 2)), "a b " * 100]:
-        sizes = [len(t[a:b].split()) for a, b in ld.lines(t)]
+        sizes = [len(t[a:b].split()) for a, b in spans(t)]
         assert sum(sizes) == len(t.split()) and max(sizes) <= ld.LINE_WORDS
 
 
-def test_frequent_windows_are_dealt_by_document():
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": ["a\nb\nc\nd"] * 200})
-    rows = pa.Table.from_batches(list(ld.occurrences(iter([batch])))).to_pylist()
-    assert sum(not r["decided"] for r in rows) == 2
-    covered = [r for r in rows if r["decided"]]
-    assert sorted((r["doc_id"], r["start"], r["end"]) for r in covered) == [(d, 0, 4) for d in range(1, 200)]
-    assert len({(r["h1"], r["h2"]) for r in covered}) == 199
+def test_frequent_windows_cross_the_shuffle_once_a_task():
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(200)), "text": ["a\nb\nc\nd"] * 200, "text_key": [9] * 200},
+        pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("text_key", pa.int64())]),
+    )
+    rows = pa.Table.from_batches(list(ld.occurrences(4)(iter([batch, batch.slice(100)])))).to_pylist()
+    assert sum(len(r["data"]) for r in rows if not r["decided"]) == 2 * ld.WINDOW.itemsize
+    covered = [(r["doc_id"], *np.frombuffer(r["data"], ld.SPAN)[0].tolist()) for r in rows if r["decided"]]
+    assert sorted(covered) == [(d, 0, 4) for d in range(1, 200)]
+
+
+def test_rows_that_share_an_id_but_differ_in_text(spark):
+    own = "This one is its own. It has lines of its own. And a third. And a fourth."
+    df = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE), (2, own), (2, own), (3, own)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.text) for r in ld.line_dedup_report(df.repartition(3)).collect())
+    assert got == [(1, PASSAGE), (2, ""), (2, own), (2, own), (3, "")]
+    assert sorted((r.doc_id, r.text) for r in ld.drop_repeats(df).collect()) == [(1, PASSAGE), (2, own), (2, own)]
+
+
+def test_a_very_long_text_and_clashing_columns(spark, monkeypatch):
+    long = " ".join(words(200_000, 3)) + "\n" + PASSAGE
+    df = spark.createDataFrame([(1, long, 7, "a"), (2, "Start.\n" + long[100_000:], 8, "b")], "doc_id bigint, text string, covered int, removed string")
+    got = {r.doc_id: r for r in ld.dedup_lines(df).collect()}
+    assert got[1].text == long and got[1].covered == 7 and got[1].removed == []
+    assert len(got[2].text) < 300 and got[2].n_removed > 10_000
+    whole = [x for x in ld.Lines(pa.array([long])).windows()]
+    monkeypatch.setattr("shelfmerge.llm.words.PIECE", 1000)
+    assert all((x == y).all() for x, y in zip(whole, ld.Lines(pa.array([long])).windows()))
+
+
+def test_many_ranges_find_the_same(spark, monkeypatch):
+    docs = {i: f"Start {i} here.\n{PASSAGE}\nStop {i % 7}. And so on. It ends." for i in range(40)}
+    texts, n = slow(docs)
+    monkeypatch.setattr(ld, "RANGE", 1)
+    _, got = run(spark, docs)
+    assert {d: (r.text, r.n_removed) for d, r in got.items()} == {d: (texts[d], n[d]) for d in docs}
