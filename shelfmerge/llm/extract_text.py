@@ -1,95 +1,142 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. Lines in places that
-never hold the article (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts) count as empty, as do lines that are mostly links. A
-window of three lines slides over the text lengths; where its sum surges past
-the threshold a stretch begins, at the dive back to nothing it ends, and the
-text between is kept. On a page that marks its article, lines outside the mark
-count as empty, links inside it as text, and any text starts a stretch.
-
-Elements left open end with the element around them; an article is never part
-of a menu or advert, so its start ends those still open.
-
-Defined results: null or empty html gives an empty text; a page without a
-stretch gives an empty text; repeated rows are extracted each.
+Markup is stripped into lines, one for each block element. Places that never hold the
+article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts)
+give no lines. A line has the length of its text outside links, and none if it is
+mostly links. On a page that marks its article a line inside the mark has ``MARKED``
+characters more, links count as its text, and a line outside has none. A window of
+three lines slides over these lengths; where its sum surges past the threshold a
+stretch begins, with the short lines that lead up to it; at the dive back to nothing
+it ends, and all lines between are kept. The threshold is ``SURGE`` characters, or
+``SHARE`` of the page's fullest window where that is less, so short articles count.
+
+The page is read forward once. Elements left open end with the element around them;
+an article is never part of a menu or advert, so its start ends those still open. A tag
+whose quotes do not close ends at the next ``>``.
+
+Defined results: null or empty html gives an empty text; a page without a stretch gives
+an empty text; repeated rows are extracted each; a tag that never ends is text; numbers
+of characters that cannot be are U+FFFD.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfmerge.llm.common import text_batches
+from shelfmerge.llm.common import in_text_batches
 
 WINDOW = 3
-#: Characters that a stretch must surge past where no article is marked.
+#: Characters that a stretch must surge past at most, and what share of the fullest window is enough.
 SURGE = 80
+SHARE = 0.25
+#: Characters that the mark of an article is worth: its lines surge on their own.
+MARKED = 4 * SURGE
 #: Share of a line's characters in links from which it counts as a menu's.
 LINKED = 0.6
+#: Tags of a page whose quotes may be looked for to its end; further ones end at the next ``>``.
+BROKEN = 64
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
-    r"(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
+TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
+SIMPLE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>[^>]*+)>")
+BEGINS = re.compile(r"</?[a-zA-Z]")
+RAW = set("script style noscript template textarea iframe svg math object title".split())
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set("nav header footer aside form menu dialog button select head fieldset".split())
-#: Parts of class names, ids and roles of elements that do not hold the article.
-BESIDE = set(
-    "ad ads adv advert advertisement adverts advertising adsense sponsor sponsored promo banner cookie cookies consent gdpr "
-    "notice notices alert sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer header comment comments "
-    "disqus reply replies share sharing social related recommended newsletter subscribe signup login popup modal widget "
-    "toolbar pagination pager search complementary contentinfo masthead".split()
+#: Parts of class names, ids and roles of elements that hold no text of the article, wherever they stand.
+FOREIGN = set(
+    "ad ads adv advert advertisement adverts advertising adsense sponsor sponsored comment comments disqus share sharing "
+    "newsletter subscribe signup login cookie cookies consent gdpr".split()
+)
+#: As FOREIGN, but only outside a marked article.
+BESIDE = FOREIGN | set(
+    "sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar".split()
 )
+#: Whole class names, ids and roles that do the same outside a marked article.
+WHOLE = set(
+    "promo banner notice notices alert header reply replies social related recommended popup modal widget search "
+    "complementary contentinfo".split()
+)
+#: Class names that begin so tell of an element beside, and are on the one around it.
+AROUND = ("with", "has", "no", "without", "show", "hide")
 CUTS_P = set("p div ul ol li table tr td th h1 h2 h3 h4 h5 h6 pre blockquote section article main dl dt dd hr form".split())
 
 
-def is_beside(tag: str, attrs: str) -> bool:
+def is_beside(tag: str, attrs: str, inside: bool) -> bool:
     if tag in NEVER:
         return True
     if "=" not in attrs or tag in ("article", "main", "body", "html"):
         return False
-    found = NAMES.findall(attrs)
-    return any(part in BESIDE for v in found for part in re.split(r"[^a-z0-9]+", v.lower()))
+    for value in NAMES.findall(attrs):
+        for token in value.strip("\"'").lower().split():
+            parts = re.split(r"[^a-z0-9]+", token)
+            if parts[0] in AROUND:
+                continue
+            if not FOREIGN.isdisjoint(parts) or not inside and (token in WHOLE or not BESIDE.isdisjoint(parts)):
+                return True
+    return False
 
 
 class Lines:
-    """The lines of a page: text, length outside links, and whether each lies in the article and may count."""
+    """The lines of a page: text, length outside links, and whether each lies in the article."""
 
     def __init__(self, page: str):
-        self.rows: list[tuple[str, int, bool, bool]] = []
+        self.rows: list[tuple[str, int, bool]] = []
         self.open: list[tuple[str, bool]] = []
+        self.opened: Counter[str] = Counter()
         self.beside = self.article = self.link = 0
         self.parts: list[str] = []
         self.linked = 0
         self.marked = False
-        at = 0
-        for m in MARKUP.finditer(page):
-            self.add(page[at : m.start()])
-            at = m.end()
-            if tag := m["tag"]:
-                (self.end if m["end"] else self.start)(tag.lower(), m["attrs"] or "")
-            elif m["raw"]:
-                self.add(" ") if m["raw"].lower() in INLINE else self.line()
-        self.add(page[at:])
+        self.read(page)
         self.line()
 
+    def read(self, page: str) -> None:
+        at, look, broken, last = 0, 0, 0, page.rfind(">")
+        while (lt := page.find("<", look)) >= 0:
+            if page.startswith("<!--", lt):
+                self.add(page[at:lt])
+                end = page.find("-->", lt + 4)
+                at = look = end + 3 if end >= 0 else len(page)
+                continue
+            if lt > last:
+                look = lt + 1
+                continue
+            if page.startswith(("<!", "<?"), lt):
+                self.add(page[at:lt])
+                at = look = page.find(">", lt) + 1
+                continue
+            m = BEGINS.match(page, lt) and (broken < BROKEN and TAG.match(page, lt) or SIMPLE.match(page, lt))
+            if not m:
+                look = lt + 1
+                continue
+            broken += m.re is SIMPLE
+            self.add(page[at:lt])
+            at, tag = m.end(), m["tag"].lower()
+            if tag in RAW and not m["end"]:
+                self.line()
+                stop = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+                at = stop.end() if stop else len(page)
+            else:
+                (self.end if m["end"] else self.start)(tag, m["attrs"])
+            look = at
+        self.add(page[at:])
+
     def add(self, text: str) -> None:
         if text and not self.beside:
-            text = entities.unescape(text) if "&" in text else text
+            text = entities.unescape(NUMBER.sub("\ufffd", text)) if "&" in text else text
             self.parts.append(text)
             if self.link:
                 self.linked += len("".join(text.split()))
@@ -99,7 +146,7 @@ class Lines:
         if text:
             solid = len(text.replace(" ", ""))
             free = solid - self.linked
-            self.rows.append((text, free if free > (1 - LINKED) * solid else 0, self.article > 0, not self.beside))
+            self.rows.append((text, free if free > (1 - LINKED) * solid else 0, self.article > 0))
         self.parts, self.linked = [], 0
 
     def start(self, tag: str, attrs: str) -> None:
@@ -117,10 +164,11 @@ class Lines:
             self.end("p", "")
         if tag == "li" and self.open and self.open[-1][0] == "li":
             self.end("li", "")
-        beside = is_beside(tag, attrs)
+        beside = is_beside(tag, attrs, self.article > 0)
         if beside:
             self.line()
         self.open.append((tag, beside))
+        self.opened[tag] += 1
         self.beside += beside
         self.article += tag in ("article", "main")
         self.marked |= tag in ("article", "main")
@@ -129,12 +177,13 @@ class Lines:
     def end(self, tag: str, _: str) -> None:
         if tag not in INLINE:
             self.line()
-        if any(t == tag for t, _ in self.open):
+        if self.opened[tag]:
             while self.close() != tag:
                 pass
 
     def close(self) -> str:
         tag, beside = self.open.pop()
+        self.opened[tag] -= 1
         if beside or tag in ("article", "main"):
             self.line()
         self.beside -= beside
@@ -145,38 +194,35 @@ class Lines:
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surge and dive points, one line a block."""
-    if not page:
+    found = Lines(page or "")
+    if not found.rows:
         return ""
-    found = Lines(page)
     if found.marked:
-        surge = 1
-        length = np.array([len(t) if ok and inside else 0 for t, _, inside, ok in found.rows], np.int64)
+        length = np.array([len(t) + MARKED if inside else 0 for t, _, inside in found.rows], np.int64)
     else:
-        length = np.array([free if ok else 0 for _, free, _, ok in found.rows], np.int64)
-    if not len(length):
-        return ""
+        length = np.array([free for _, free, _ in found.rows], np.int64)
     sums = np.convolve(length, np.ones(window, np.int64))[window - 1 :]
-    out, k = [], 0
+    least = min(surge, SHARE * sums.max())
+    out, k, done = [], 0, 0
     while k < len(sums):
-        if not length[k] or sums[k] < surge:
+        if not length[k] or sums[k] < least:
             k += 1
             continue
         first, stop = k, k
-        while first and length[first - 1]:  # short lines that lead up to the surge
+        while first > done and length[first - 1]:  # short lines that lead up to the surge
             first -= 1
         while stop < len(sums) and sums[stop]:
             stop += 1
-        last = max(j for j in range(k, stop) if length[j])
-        out += [t for t, _, inside, ok in found.rows[first : last + 1] if ok and (inside or not found.marked)]
+        done = k + 1 + int(np.flatnonzero(length[k:stop])[-1])
+        out += [t for t, _, _ in found.rows[first:done]]
         k = stop
     return "\n".join(out)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points)."""
-    text_batches(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(
-        text_rows, "page_id bigint, url string, text string, n_chars bigint"
+    return in_text_batches(
+        pages.select("page_id", "url", "html"), text_rows, "page_id bigint, url string, text string, n_chars bigint"
     )
 
 

@@ -1,45 +1,79 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has two segments of 32 bits. Two fingerprints that differ in at
-most three bits differ in at most one bit in one segment, so every fingerprint
-looks up, in each segment's table, the ball of radius one around its segment.
-Of two segments that differ in one bit, the one that has the bit set finds the
-other, so only set bits are turned over. Complete distances are then verified.
-
-Equal fingerprints are one node. The rows under one table key are joined inside
-a task, which returns a spanning forest of the verified links: all that the
-components need, and fewer rows than nodes, however dense the group. A key with
-more than ``LIMIT`` rows is not solved as one: its rows are dealt anew by the
-16-bit halves of the other segment, again with balls of radius one. Under such a
-key 48 bits are given up to two flips, which bounds its distinct fingerprints
-whatever the size of the corpus.
-
-Defined results: null texts and texts without words have fingerprint zero and
-link like others; fewer than three words make one shingle; repeated rows share
-one node; a null doc_id never becomes a component's id unless all are null.
+A fingerprint is cut into segments. Two fingerprints that differ in few bits differ in
+at most one bit in some segment, so every fingerprint looks up, in each segment's
+table, the ball of radius one around its segment. Of two segments that differ in one
+bit, the one that has the bit set finds the other, so only set bits are turned over.
+Complete distances are then verified.
+
+Two kinds are built from this. ``near_duplicates`` keeps a fixed contract: 64 bits over
+three-word shingles, two segments of 32 bits, three bits or fewer; by the pigeonhole
+principle no link is lost. ``similar_groups``, which the pipeline uses, is for a
+Jaccard similarity of 0.8 over five-word shingles: 192 bits, eight segments of 24
+bits, ``WIDE.distance`` bits or fewer, which is what texts of such a similarity differ
+in; there both sides turn bits off, so segments meet that differ in one bit or in two,
+one set on either side, and of eight segments nearly always some meet.
+
+Equal fingerprints are one node. The rows under one table key are compared inside a
+task, which returns links that connect what the verified links connect, fewer than
+rows, however dense the group. A key with more than ``LIMIT`` rows, found by counts
+before any row is dealt, is not solved as one: its rows are dealt by the parts of the
+rest of the fingerprint too, again with balls of radius one. In a large group what has
+been reached once is not compared again, so a dense one costs little more than its rows.
+
+Defined results: null texts and texts without words have fingerprint zero and link like
+others; a text with fewer words than a shingle is one shingle; repeated rows share one
+node; a null doc_id never becomes a component's id unless all are null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmerge.llm.common import materialise, text_batches
+from shelfmerge.llm.common import in_text_batches, materialise
 from shelfmerge.llm.components import components
+from shelfmerge.llm.words import find_words, mix, text_bytes
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 #: Rows under one table key that are solved at once.
 LIMIT = 4096
+WIDE_LIMIT = 1 << 16
+#: Rows from which a group is searched from node to node.
+LARGE = 1024
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Pairs of rows compared at once.
+PAIRS = 1 << 21
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Whatever is neither an ASCII letter, a digit nor part of another letter parts words of similar_groups.
+PARTING = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How fingerprints are cut and compared."""
+
+    bits: int
+    width: int
+    distance: int
+    #: Whether rows meet at what both reach by turning bits off, or only at one's own segment.
+    both: bool
+    #: Bits of a part by which the rows of large keys are dealt again.
+    part: int
+
+
+NARROW = Scheme(64, 32, DISTANCE, False, 16)
+WIDE = Scheme(192, 24, 30, True, 24)
 
 
 def shingle_hashes(data: bytes | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -71,197 +105,268 @@ def fingerprint(data: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp the 64 bits as a signed long."""
-    text_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(fingerprint_rows, "doc_id bigint, fp bigint")
+    """(doc_id, fp) with fp the 64 bits, highest byte first."""
+    return in_text_batches(docs.select("doc_id", "text"), fingerprint_rows, "doc_id bigint, fp binary")
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.array([fingerprint(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        fps = [fingerprint(t).to_bytes(8, "big") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+
+
+#: The bits of a byte as eight bytes of zero or one.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+#: Shingles whose spread bits can be added without a carry.
+ADDED = 255
+
+
+def wide_fingerprints(texts: pa.Array, width: int = 5) -> np.ndarray:
+    """192 majority bits of each text's shingles, as (texts, 24) bytes; zero without words."""
+    data, bounds = text_bytes(pc.utf8_lower(texts))
+    w = find_words(data, bounds, PARTING)
+    n = len(bounds) - 1
+    many = np.diff(np.searchsorted(w.text, np.arange(n + 1)))
+    # a short text's words come again until they fill one shingle, then the shingle's length is its own
+    short = np.flatnonzero((many > 0) & (many < width))
+    first = np.searchsorted(w.text, np.arange(n))
+    h, text = w.hash, w.text
+    if len(short):
+        at = np.concatenate([first[k] + np.arange(width) % many[k] for k in short.tolist()])
+        extra = h[at] + np.repeat(many[short].astype(np.uint64), width)
+        keep = ~np.isin(text, short)
+        h, text = np.concatenate([h[keep], extra]), np.concatenate([text[keep], np.repeat(short, width)])
+        order = np.argsort(text, kind="stable")
+        h, text = h[order], text[order]
+    ones, total = np.zeros((n, 192), np.int64), np.zeros(n, np.int64)
+    for k in range(0, len(h), CHUNK):
+        piece, own = h[k : k + CHUNK + width - 1], text[k : k + CHUNK + width - 1]
+        m = len(piece) - width + 1
+        if m < 1:
+            break
+        a = piece[:m]
+        for j in range(1, width):
+            a = mix(a * np.uint64(0x9E3779B97F4A7C15) + piece[j : j + m])
+        inside = own[:m] == own[width - 1 :]
+        a, own = a[inside], own[:m][inside]
+        if not len(a):
+            continue
+        more = [mix(a ^ np.uint64(x)) for x in (0xC2B2AE3D27D4EB4F, 0xE7037ED1A0B428DB)]
+        all_bits = np.stack([a, *more], axis=1).view(np.uint8).reshape(len(a), 24)
+        place = np.arange(len(own))
+        begin = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], place, 0))
+        starts = np.flatnonzero((place - begin) % ADDED == 0)
+        added = np.add.reduceat(SPREAD[all_bits], starts, axis=0)
+        np.add.at(ones, own[starts], added.view(np.uint8).reshape(len(starts), 192))
+        np.add.at(total, own[starts], np.diff(np.r_[starts, len(own)]))
+    return np.packbits(2 * ones > total[:, None], axis=1)
+
+
+def wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = wide_fingerprints(batch.column("text"))
+        offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * 24).buffers()[1]
+        column = pa.Array.from_buffers(pa.binary(), len(fp), [None, offsets, pa.py_buffer(fp.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), column], ["doc_id", "text_key", "fp"])
 
 
-def balls(nodes: DataFrame) -> DataFrame:
+def balls(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(key, probe, fp): each table entry (probe false), and its ball of set bits turned off.
 
-    The key is the segment's number above its 32 bits.
+    The key is the segment's number above its bits.
     """
-    bit = F.explode(F.sequence(F.lit(-2), F.lit(63))).alias("b")
-    seg = F.when(F.col("b") < 0, F.col("b") + 2).otherwise(F.floor(F.col("b") / 32)).cast("int")
-    half = F.when(seg == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
-    flip = F.when(F.col("b") < 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftleft(1L, b % 32)"))
-    set_bit = (F.col("b") < 0) | (F.expr("getbit(fp, greatest(b, 0))") == 1)
-    key = half.bitwiseXOR(flip).bitwiseOR(F.expr("shiftleft(1L, 32)") * seg)
-    return nodes.select("fp", bit).filter(set_bit).select(key.alias("key"), (F.col("b") >= 0).alias("probe"), "fp")
-
-
-def halves_again(rows: DataFrame) -> DataFrame:
-    """The rows of keys over the limit, dealt by (key, 16-bit half of the other segment) with its ball."""
-    other = F.when(F.shiftright("key", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(
-        F.col("fp").bitwiseAND(0xFFFFFFFF)
-    )
-    spread = rows.select("key", "probe", "fp", other.alias("o"), F.explode(F.sequence(F.lit(-2), F.lit(31))).alias("b"))
-    part = F.when(F.col("b") < 0, F.col("b") + 2).otherwise(F.floor(F.col("b") / 16)).cast("int")
-    value = F.when(part == 0, F.col("o").bitwiseAND(0xFFFF)).otherwise(F.shiftright("o", 16))
-    flip = F.when(F.col("b") < 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftleft(1L, b % 16)"))
-    set_bit = (F.col("b") < 0) | (F.expr("getbit(o, greatest(b, 0))") == 1)
-    sub = value.bitwiseXOR(flip).bitwiseOR(F.lit(1 << 16).cast("bigint") * part)
-    return spread.filter(set_bit).select("key", sub.alias("sub"), (F.col("b") >= 0).alias("probe"), "fp")
-
-
-def forest(table: np.ndarray, probes: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest over table x (table and probes) at this distance or less."""
-    values = np.concatenate([table, probes]).view(np.uint64)
-    signed, parent = values.view(np.int64), np.arange(len(values))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    for i in range(len(table)):
-        near = np.nonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= distance)[0] + i + 1
-        if len(near):
-            a = root(i)
-            for j in near[parent[near] != parent[i]].tolist():
-                if (b := root(j)) != a and values[i] != values[j]:
-                    parent[b] = a
-                    out.append((int(signed[i]), int(signed[j])))
-    return out
-
-
-def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-    """(key, table entries, probes) of each key with a table entry and another row; rows come sorted by key, probe."""
-    held: list[tuple] = []
-    last = None
-
-    def done():
-        probe = np.concatenate([p for p, _ in held])
-        fp = np.concatenate([f for _, f in held])
-        return last, fp[~probe], fp[probe]
+    rows = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(scheme.bits // scheme.width - 1))).alias("seg"))
+    return with_ball(rows, scheme.width).select(F.col("made").alias("key"), F.col("off").alias("probe"), "fp")
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy() for k in keys]
-        probe = batch.column("probe").to_numpy(zero_copy_only=False)
-        fp = batch.column("fp").to_numpy()
-        change = np.zeros(len(fp), bool)
-        change[0] = True
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.nonzero(change)[0]
-        ends = np.append(starts[1:], len(fp))
-        keep = (ends - starts > 1) & ~probe[starts]
-        keep[0] = keep[-1] = True
-        for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True):
-            key = tuple(c[a].item() for c in cols)
-            if held and key != last:
-                yield done()
-                held = []
-            last = key
-            held.append((probe[a:b], fp[a:b]))
-    if held:
-        yield done()
-
-
-def solver(keys: list[str], limit: int | None, distance: int):
-    """Links (kind 0: u, v) of small keys; the rows of keys over the limit (kind 1: key, probe, u)."""
+
+def with_ball(rows: DataFrame, size: int) -> DataFrame:
+    """rows with made, part seg of fp, of ``size`` bits, below its number; once as it is, and with each set bit turned off."""
+    value = F.conv(F.hex(F.substring("fp", F.col("seg") * (size // 8) + 1, size // 8)), 16, 10).cast("bigint")
+    rows = rows.withColumn("value", value).withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(size - 1))))
+    rows = rows.filter("bit < 0 or getbit(value, greatest(bit, 0)) = 1")
+    flip = F.when(F.col("bit") < 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftleft(1L, bit)"))
+    made = F.col("value").bitwiseXOR(flip).bitwiseOR(F.shiftleft(F.col("seg").cast("bigint"), size))
+    return rows.withColumns({"made": made, "off": F.col("bit") >= 0})
+
+
+def dealt_again(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """The rows of keys over the limit, dealt by (key, part of the fingerprint outside the key's segment) with its ball.
+
+    Where both sides turn bits off, only later segments: what meets in two segments meets under the earlier one.
+    """
+    size = scheme.part
+    rows = rows.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(scheme.bits // size - 1))))
+    own, there = F.shiftright("key", scheme.width), F.floor(F.col("seg") * size / scheme.width)
+    spread = with_ball(rows.filter(there > own if scheme.both else there != own), size)
+    return spread.select("key", F.col("made").alias("sub"), (F.col("probe") | F.col("off")).alias("probe"), "fp")
+
+
+def solve_groups(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows u, v whose links connect, within each group, what the links of the scheme connect.
+
+    group: sorted numbers; fp: rows of 64-bit words. A link has a table entry on one
+    side at least, unless both.
+    """
+    n = len(group)
+    end = np.searchsorted(group, group, "right")
+    start = np.searchsorted(group, group)
+    fan = end - np.arange(n) - 1
+    if not both:  # entries come first in their group; a probe starts no pair
+        fan = np.where(probe, 0, fan)
+    large = end - start > LARGE
+    some = [spread_from(np.arange(a, end[a]), probe, fp, distance, both) for a in np.unique(start[large]).tolist()]
+    fan[large] = 0
+    upto, at = np.cumsum(fan), 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
+        few = fan[at:stop]
+        u = np.repeat(np.arange(at, at + len(few)), few)
+        v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(few) - few, few)
+        near = np.bitwise_count(fp[u] ^ fp[v]).sum(1, np.int64) <= distance
+        some.append(tree(u[near], v[near]))
+        at = stop
+    return tree(*(np.concatenate(x) for x in zip(*some))) if some else tree(fan, fan)
+
+
+def tree(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from every node to the least node of its component: as many as nodes at most."""
+    if not len(u):
+        return u, v
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[label[moved]], nodes[moved]
+
+
+def spread_from(rows: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a large group, found from node to node: what has been reached is not compared again."""
+    left, out_u, out_v = rows, [], []
+    while len(left):
+        todo, left = left[:1], left[1:]
+        while len(todo) and len(left):
+            some, todo = todo[: max(1, PAIRS // len(left))], todo[max(1, PAIRS // len(left)) :]
+            near = np.bitwise_count(fp[some][:, None] ^ fp[left][None]).sum(2, np.int64) <= distance
+            if not both:
+                near &= ~probe[some][:, None] | ~probe[left][None]
+            hit = near.any(0)
+            if hit.any():
+                out_u.append(some[near[:, hit].argmax(0)])
+                out_v.append(left[hit])
+                todo, left = np.concatenate([todo, left[hit]]), left[~hit]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_u, out_v))
+
+
+#: Rows solved together; a group ends where they do.
+SOLVED = 1 << 16
+
+
+def solver(keys: list[str], scheme: Scheme, both: bool):
+    """Links (u, v) of the rows, which come sorted by key and probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("kind", pa.int32()), ("key", pa.int64()), ("probe", pa.bool_()), ("u", pa.int64()), ("v", pa.int64())]
-        )
-        links: list[tuple[int, int]] = []
-
-        def made():
-            a = np.array(links, np.int64).reshape(-1, 2)
-            n = len(a)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.zeros(n, np.int32)),
-                    pa.array(np.zeros(n, np.int64)),
-                    pa.array(np.zeros(n, bool)),
-                    pa.array(np.ascontiguousarray(a[:, 0])),
-                    pa.array(np.ascontiguousarray(a[:, 1])),
-                ],
-                schema=schema,
-            )
-
-        for key, entries, probes in by_key(batches, keys):
-            size = len(entries) + len(probes)
-            if not len(entries) or size < 2:
+        def solve(part: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [part.column(k).to_numpy() for k in keys]
+            change = np.zeros(part.num_rows, bool)
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            group = np.cumsum(change)
+            fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), "<u8").reshape(part.num_rows, -1)
+            u, v = solve_groups(group, part.column("probe").to_numpy(zero_copy_only=False), fp, scheme.distance, both)
+            u, v = (part.column("fp").take(pa.array(x)) for x in (u, v))
+            out = pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+            return out.filter(pc.not_equal(u, v))
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if limit and size > limit and len(entries) > 1:
-                for rows, probe in ((entries, False), (probes, True)):
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.ones(n, np.int32)),
-                            pa.array(np.full(n, key[0])),
-                            pa.array(np.full(n, probe)),
-                            pa.array(rows),
-                            pa.array(np.zeros(n, np.int64)),
-                        ],
-                        schema=schema,
-                    )
+            held.append(batch)
+            if sum(b.num_rows for b in held) < SOLVED:
                 continue
-            links += forest(entries, probes, distance)
-            if len(links) > 10_000:
-                yield made()
-                links = []
-        if links:
-            yield made()
+            part = pa.concat_batches(held)
+            same = np.ones(part.num_rows, bool)
+            for k in keys:
+                c = part.column(k).to_numpy()
+                same &= c == c[-1]
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield solve(part.slice(0, cut))
+            held = [part.slice(cut)]
+        if held:
+            yield solve(pa.concat_batches(held))
 
     return run
 
 
-def links_between(nodes: DataFrame, limit: int = LIMIT, distance: int = DISTANCE) -> DataFrame:
-    """(u, v): links between distinct fingerprints that give the same components as all links."""
-    schema = "kind int, key bigint, probe boolean, u bigint, v bigint"
-    dealt = balls(nodes).repartition("key").sortWithinPartitions("key", "probe")
-    solved = materialise(dealt.mapInArrow(solver(["key"], limit, distance), schema), "simhash-links")
-    large = solved.filter("kind = 1").select("key", "probe", F.col("u").alias("fp"))
-    again = halves_again(large).repartition("key", "sub").sortWithinPartitions("key", "sub", "probe")
-    more = again.mapInArrow(solver(["key", "sub"], None, distance), schema)
-    return solved.filter("kind = 0").select("u", "v").union(more.select("u", "v"))
+def links_between(nodes: DataFrame, limit: int = LIMIT, scheme: Scheme = NARROW) -> DataFrame:
+    """(u, v): links between distinct fingerprints (column fp, binary) that give the same components as all links."""
+    dealt = balls(nodes, scheme)
+    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("entries"))
+    large = materialise(counts.filter((F.col("n") > limit) & ((F.col("entries") > 0) | F.lit(scheme.both))).select("key"), "simhash-large")
+    if large.isEmpty():
+        return solved(dealt, ["key"], scheme, scheme.both)
+    small = solved(dealt.join(large, "key", "left_anti"), ["key"], scheme, scheme.both)
+    again = dealt_again(dealt.join(large, "key", "left_semi"), scheme)
+    return small.union(solved(again, ["key", "sub"], scheme, True))
+
+
+def solved(rows: DataFrame, keys: list[str], scheme: Scheme, both: bool) -> DataFrame:
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "probe")
+    return dealt.mapInArrow(solver(keys, scheme, both), "u binary, v binary")
+
+
+def rooted(nodes: DataFrame, limit: int, scheme: Scheme) -> DataFrame:
+    """nodes (distinct fp) with root, the least fingerprint of their component."""
+    roots = components(links_between(nodes.select("fp"), limit, scheme)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Per document: doc_id, fp, fingerprint (16 hex digits), component_id."""
+    """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     marked = materialise(fingerprints(docs), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links_between(nodes.select("fp"), limit))
-    placed = materialise(
-        nodes.join(roots, nodes.fp == roots.node, "left").select(
-            "fp", "least", F.coalesce("root", "fp").alias("root")
-        ),
-        "simhash-nodes",
-    )
+    placed = materialise(rooted(nodes, limit, NARROW), "simhash-nodes")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = placed.join(ids, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return marked.join(of_fp, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def similar_groups(docs: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
+    """(doc_id, text_key, root): the group of every row over five-word shingles; text_key is the text's hash."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    marked = materialise(in_text_batches(rows, wide_rows, "doc_id bigint, text_key bigint, fp binary"), "fingerprints")
+    placed = rooted(marked.select("fp").distinct(), limit, WIDE)
+    return marked.join(placed, "fp").select("doc_id", "text_key", "root")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of every component; rows without an id stay.
+    """One document of every group of similar_groups: the least by (doc_id, text hash); rows without an id stay.
 
-    Of repeated rows with that id one stays.
+    Of rows that repeat its id and text one stays.
     """
-    kept = (
-        near_duplicates(docs)
-        .filter("doc_id = component_id")
-        .select(F.col("doc_id").alias("kept_doc_id"))
-        .distinct()
-    )
-    once = docs.join(kept, docs["doc_id"] == kept["kept_doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    name = "text_key"
+    while name in docs.columns:
+        name += "_"
+    known = docs.filter(docs["doc_id"].isNotNull())
+    first = similar_groups(known).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("m"))
+    kept = first.select(F.col("m.doc_id").alias("kept_doc_id"), F.col("m.text_key").alias("kept_key"))
+    keyed = known.withColumn(name, F.xxhash64("text"))
+    same = (keyed["doc_id"].cast("bigint") == kept["kept_doc_id"]) & (keyed[name] == kept["kept_key"])
+    once = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
     return once.unionByName(docs.filter(docs["doc_id"].isNull()))

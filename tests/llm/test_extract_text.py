@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -21,7 +22,13 @@ LONG = "This is a paragraph of the article with enough words to count as text in
         ("<div class='page with-sidebar'><article><p>kept</p></article></div>", "kept"),
         ("<article><ul><li><a href='/x'>link one</a></li><li>two</li></ul></article>", "link one\ntwo"),
         (f"<ul><li><a href=/>menu</a></li><li><a href=/>more</a></li></ul><div><h1>Title</h1><p>{LONG}</p><p>To.</p><p>{LONG}</p></div><div class=footer>c</div>", f"Title\n{LONG}\nTo.\n{LONG}"),
-        ("<p>tiny</p>", ""),
+        ("<p>tiny</p>", "tiny"),
+        ("<div><h1>Short note</h1><p>A short paragraph here.</p><p>Another one of five words.</p></div>", "Short note\nA short paragraph here.\nAnother one of five words."),
+        ("<ul><li><a href=/>only</a></li><li><a href=/>links</a></li></ul>", ""),
+        ("<article><p class='related'>r</p><div class='social-history'>s</div><div class='post-comments'>c</div><p class='related'>t</p></article>", "r\ns\nt"),
+        (f"<div class='has-sidebar'><div class='social'>f</div><p>{LONG}</p><div id='left-sidebar'>s</div></div>", LONG),
+        ("<article>a < b <b <i>c</i> &#99999999999999999999; &#x110000; d</article>", "a < b c \ufffd \ufffd d"),
+        ("<article><p title='x>y' class=\"q\">one</p><p title='odd>two</p><p>three</p></article>", "one\ntwo\nthree"),
         ("<!-- <article>no</article> --><article>yes &#233;&eacute; &lt;b&gt;</article>", "yes éé <b>"),
     ],
 )
@@ -29,6 +36,26 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+def test_the_window_decides_on_marked_pages_too():
+    page = "<article><p>one</p></article><p>between</p><p>them</p><article><p>two</p></article><p>after</p><p>all</p>"
+    assert main_text(page) == "one\nbetween\nthem\ntwo"
+    assert main_text(page, window=1) == main_text(page, window=2) == "one\ntwo"
+    far = page.replace("<p>them</p>", "<p>them</p><p>and</p>")
+    assert main_text(far) == "one\ntwo" and main_text(far, window=4) == "one\nbetween\nthem\nand\ntwo"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div>" * 100_000 + "</b>" * 100_000, "<a '" * 200_001 + ">", "<a \"'>" * 150_001, "<!--" * 200_000, "<script>" * 100_000,
+     "&#" * 400_000, "<![" * 300_000, "<p class='" * 100_000 + ">", "<p" * 300_000 + ">", "<a x=\"" + "'>\" <a y='" * 100_000],
+)
+def test_a_megabyte_of_broken_markup_takes_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    main_text("<article>" + page + ">")
+    assert time.process_time() - began < 6
+
+
 def truth(html):
     """What the test tables' pages hold between article tags, block by block."""
     import html as h

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from shelfmerge.llm import simhash
 from shelfmerge.llm.components import components
+from shelfmerge.llm.words import find_words, mix, text_bytes
 
 ID_TEXT = "doc_id bigint, text string"
 
@@ -36,10 +38,6 @@ def slow_components(fps):
     return {d: root(d) for d, _ in fps}
 
 
-def signed(x):
-    return x - 2**64 if x >= 2**63 else x
-
-
 def test_fingerprints_match_definition():
     texts = [None, "", " \t", "One", "A b", "a b c", "A B\x0bC d é É " * 40, "x" * 10]
     for t in texts:
@@ -67,10 +65,10 @@ def test_links_equal_brute_force_with_dense_groups(spark):
             fps.add((b & 0xFFFFFFFF) | (rng.getrandbits(6) << 40))
     rows = [(i, x) for i, x in enumerate(sorted(fps))]
     want = slow_components(rows)
-    by_fp = {signed(x): i for i, x in rows}
-    nodes = spark.createDataFrame([(signed(x),) for _, x in rows], "fp bigint")
+    by_fp = {x.to_bytes(8, "big"): i for i, x in rows}
+    nodes = spark.createDataFrame([(bytearray(f),) for f in by_fp], "fp binary")
     for limit in (4096, 8):
-        got = {r.node: r.root for r in components(simhash.links_between(nodes, limit)).collect()}
+        got = {bytes(r.node): bytes(r.root) for r in components(simhash.links_between(nodes, limit)).collect()}
         groups = {}
         for f, i in by_fp.items():
             groups.setdefault(got.get(f, f), set()).add(i)
@@ -100,32 +98,91 @@ def test_report_matches_brute_force(spark):
     assert got == {(i, f"{x:016x}", comp[i]) for i, x in fps}
     assert comp[2] == 1
     kept = sorted(r.doc_id for r in simhash.keep_one(df).collect())
-    assert kept == sorted({comp[i] for i, _ in fps})
+    assert kept == [1, 3, 4, 7]  # 1 and 2 have no words, 3, 5 and 9 are alike
     assert simhash.keep_one(df.filter("doc_id < 0")).count() == 0
 
 
+def test_one_of_each_group_stays_whatever_ids_repeat(spark):
+    texts = [" ".join(f"{c}{i * i}" for i in range(60)) for c in "abc"]
+    rows = [(1, texts[0], "x"), (1, texts[1], "x"), (2, texts[1], "y"), (2, texts[2], "y"), (None, texts[2], "z"), (2, texts[2], "w")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, text_key string")
+    got = simhash.keep_one(df)
+    assert got.dtypes == df.dtypes
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (0, texts[2])])
+
+
+def slow_wide(text):
+    """Five-word shingles of a text, and its 192 majority bits, shingle by shingle."""
+    import re
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower())
+    ones, n = np.zeros(192, int), 0
+    for i in range(max(0, len(words) - 4)):
+        w = find_words(*text_bytes(pa.array([" ".join(words[i : i + 5])]))).hash
+        a = w[0:1]
+        for x in w[1:]:
+            a = mix(a * np.uint64(0x9E3779B97F4A7C15) + x)
+        h = np.concatenate([a, mix(a ^ np.uint64(0xC2B2AE3D27D4EB4F)), mix(a ^ np.uint64(0xE7037ED1A0B428DB))])
+        ones += np.unpackbits(h.view(np.uint8))
+        n += 1
+    return set(zip(*(words[k:] for k in range(5)))), np.packbits(2 * ones > n).tobytes()
+
+
+def test_wide_fingerprints_match_definition(monkeypatch):
+    texts = ["A b c d e", "One, two; three-four. É five six " * 30, None, "", "- -", *(" ".join(f"w{i % 91}" for i in range(n)) for n in (5, 9, 700))]
+    want = [slow_wide(t)[1] for t in texts]
+    assert [x.tobytes() for x in simhash.wide_fingerprints(pa.array(texts))] == want
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "ADDED", 7)
+    assert [x.tobytes() for x in simhash.wide_fingerprints(pa.array(texts))] == want
+    few = simhash.wide_fingerprints(pa.array(["a", "A!", "b", "a a", "a b", "b a", "a b c d"]))
+    assert len({x.tobytes() for x in few}) == 6 and (few[0] == few[1]).all()
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=7))
+    base = [[word() for _ in range(rng.randint(60, 500))] for _ in range(120)]
+    rows, pairs = [], []
+    for k, w in enumerate(base):
+        near, far = list(w), list(w)
+        for p in range(30, len(w), 100):
+            near[p] = word()
+        for p in range(0, len(w), 7):
+            far[p] = word()
+        for j, x in enumerate((w, near, far)):
+            rows.append((3 * k + j, " ".join(x)))
+        pairs.append((3 * k, 3 * k + 1))
+    text = dict(rows)
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    near = [(a, b) for a, b in pairs if jaccard(slow_wide(text[a])[0], slow_wide(text[b])[0]) >= 0.87]
+    assert len(near) > 60
+    for limit in (simhash.WIDE_LIMIT, 1):
+        df = spark.createDataFrame(rows, ID_TEXT)
+        root = {r.doc_id: bytes(r.root) for r in simhash.similar_groups(df, limit).collect()}
+        assert sum(root[a] == root[b] for a, b in near) >= (0.85 if limit > 1 else 0.75) * len(near)
+        assert len({root[3 * k + 2] for k in range(120)} | {root[3 * k] for k in range(120)}) == 240
+
+
+def test_large_and_dense_groups_are_solved_alike(monkeypatch):
+    rng = np.random.default_rng(1)
+    fp = rng.integers(0, 2**63, (1, 3), np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (300, 3)).astype(np.uint64))
+    fp = np.concatenate([fp, rng.integers(0, 2**63, (200, 3), np.uint64)])
+    group = np.sort(rng.integers(0, 4, 500))
+    probe = np.zeros(500, bool)
+    found = []
+    for large, pairs in ((10**6, 1 << 21), (10, 1 << 21), (10**6, 50), (10, 50)):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        u, v = simhash.solve_groups(group, probe, fp, 30, True)
+        assert len(u) < 500
+        found.append(sorted(zip(u.tolist(), v.tolist())))
+    assert found[0] and all(f == found[0] for f in found)
+
+
 def test_whole_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, slow_fingerprint(r.text)) for r in df.collect()]
     comp = slow_components(rows)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicate_report(df).collect()}
     assert got == {i: (f"{x:016x}", comp[i]) for i, x in rows}
-
-
-def test_forest_spans_what_all_pairs_connect():
-    rng = np.random.default_rng(0)
-    v = np.unique(rng.integers(0, 1 << 10, 200))
-    out = simhash.forest(v, np.array([], np.int64), 1)
-    assert len(out) == len(v) - len({_root(out, x) for x in v.tolist()})
-
-
-def _root(links, x):
-    seen, todo = {x}, [x]
-    while todo:
-        y = todo.pop()
-        for a, b in links:
-            for p, q in ((a, b), (b, a)):
-                if p == y and q not in seen:
-                    seen.add(q)
-                    todo.append(q)
-    return min(seen)
