@@ -77,12 +77,11 @@ def in_text_batches(df: DataFrame, run: Callable, schema: Any) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def per_worker(key: Any, make: Callable[[], Any]) -> Any:
-    """What make() returns, kept for the later tasks of this Python worker; a few things at most."""
+def per_worker(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What make() returns, kept for the later tasks of this Python worker; of each kind the last one alone."""
     kept = sys.modules.setdefault("_shelfmerge_worker", types.ModuleType("_shelfmerge_worker")).__dict__
     held = kept.setdefault("held", {})
-    if key not in held:
-        while len(held) > 3:
-            held.pop(next(iter(held)))
-        held[key] = make()
-    return held[key]
+    if held.get(kind, (None,))[0] != (key,):
+        held.pop(kind, None)
+        held[kind] = ((key,), make())
+    return held[kind][1]

@@ -14,18 +14,19 @@ benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmerge.llm.common import materialise, text_batches
+from shelfmerge.llm.common import in_text_batches, materialise, per_worker
 
 #: Words in a benchmark window.
 WINDOW = 10
 #: Benchmark bytes searched in one pass; a larger benchmark takes several passes.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 4 << 20
 #: Bytes of a text held as words at once; longer texts go through in pieces.
 PIECE = 4 << 20
 
@@ -83,10 +84,10 @@ class Matcher:
     """The windows of benchmark items, searched length by length."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.items: dict[tuple, set[str]] = {}
+        self.items: dict[tuple, list[str]] = {}
         for item_id, text in items:
             for w in windows(words(text), window):
-                self.items.setdefault(w, set()).add(item_id)
+                self.items.setdefault(w, []).append(item_id)
         by_length: dict[int, list[tuple]] = {}
         for w in self.items:
             by_length.setdefault(len(w), []).append(w)
@@ -103,7 +104,7 @@ class Matcher:
             for t in self.tables:
                 for start, p in t.find(text):
                     spans.append((base + start, base + start + t.length))
-                    found |= self.items[p]
+                    found.update(self.items[p])
             tail = text[len(text) - self.overlap :] if self.overlap and self.overlap < len(text) else text[:]
             tail = tail if self.overlap else []
         return total, merged(spans), found
@@ -135,18 +136,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def benchmark_parts(benchmark: DataFrame, pass_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in parts of about pass_bytes, so that no broadcast grows with the benchmark."""
+def benchmark_parts(benchmark: DataFrame, pass_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """The number of parts of about pass_bytes, and the items of one after another.
+
+    Only one part is in the driver, or broadcast, at a time.
+    """
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"),
         F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"),
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // pass_bytes
-    if n == 1:
-        return [[(r.id, bytes(r.text)) for r in items.collect()]]
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [[(r.id, bytes(r.text)) for r in items.filter(part == k).collect()] for k in range(n)]
+    return n, ([(r.id, bytes(r.text)) for r in items.filter(part == k).collect()] for k in range(n))
 
 
 def find_contamination(
@@ -158,8 +160,7 @@ def find_contamination(
     without a shuffle for each pass_bytes of benchmark.
     """
     spark = docs.sparkSession
-    text_batches(spark)
-    parts = benchmark_parts(benchmark, pass_bytes)
+    n, parts = benchmark_parts(benchmark, pass_bytes)
     out = (
         docs.withColumn("n_words", F.lit(0).cast("bigint"))
         .withColumn("hit_spans", F.array().cast(SPANS))
@@ -167,15 +168,16 @@ def find_contamination(
     )
     for k, items in enumerate(parts):
         shared = spark.sparkContext.broadcast(items)
-        out = out.mapInArrow(searcher(shared, window), out.schema)
-        if len(parts) > 1:
+        out = in_text_batches(out, searcher(shared, window, uuid.uuid4().hex), out.schema)
+        if n > 1:
             out = materialise(out, f"decontaminate-{k}")
+            shared.destroy()
     return out
 
 
-def searcher(shared, window: int):
+def searcher(shared, window: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, window)
+        matcher = per_worker("matcher", name, lambda: Matcher(shared.value, window))
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             before = zip(batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)

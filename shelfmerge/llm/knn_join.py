@@ -1,7 +1,8 @@
 """Exact top-k inner products as a Voronoi join.
 
-Pivots, drawn from a bounded sample, split the vectors into cells. A cell's
-summary is its count, its radius and the distances of the few vectors nearest
+Pivots, drawn from a bounded sample, split the vectors into cells; there are about
+as many as chunks, up to ``PIVOTS``, and a vector finds its own in two steps, by
+coarse pivots first. A cell's summary is its count, its radius and the distances of the few vectors nearest
 its pivot, each vec_id counted once over all cells. For a query q and a cell with pivot p and radius r no product exceeds
 q.p + |q| r, and a vector at distance d from p reaches at least q.p - |q| d; the
 k-th highest of these floors, over all summaries, is a score that q's answer
@@ -12,10 +13,12 @@ and not at all if no query needs it. Cells are dealt out in chunks of bounded si
 own size; a chunk is solved block by block, and its best k per query are merged.
 
 Components become floor(256 x); products are exact integers. Defined results:
-vectors that are null, or hold null or non-finite components, and rows without a
-vec_id take no part; shorter vectors are filled up with zeros; equal scores go
-to the smaller vec_id; rows that repeat a query's vec_id are not its candidates
-and are one query; a lone vector gives no rows; nor does an empty table.
+vectors that are null, or hold null or non-finite components or ones whose 256-fold
+is beyond a double, and rows without a vec_id take no part; shorter vectors are
+filled up with zeros; equal scores go to the smaller vec_id; rows that repeat a
+query's vec_id are not its candidates and are one query, that of the least vector;
+scores beyond a long are ranked exactly and shown as the nearest long; a lone vector
+gives no rows; nor does an empty table.
 """
 
 from __future__ import annotations
@@ -33,14 +36,17 @@ from shelfmerge.llm.common import hash_sample, materialise
 K = 5
 EVERY = 50
 SCALE = 256
-#: Vectors the pivots are drawn from, pivots at most, rounds that centre them.
-SAMPLE = 2048
-PIVOTS = 128
+#: Vectors that each pivot is drawn from; pivots of a small table, and of any, at most; rounds that centre them.
+SAMPLE = 16
+FEW_PIVOTS = 128
+PIVOTS = 4096
 ROUNDS = 4
 #: Vectors in a chunk of a cell, about; queries solved together; vectors compared at once.
 CHUNK = 8192
 QUERY_BLOCK = 8192
 BLOCK = 2048
+#: Numbers in a block of bounds.
+BOUNDS = 1 << 22
 #: Room for rounding in bounds, which are floating point.
 SLACK = 1e-6
 
@@ -48,13 +54,14 @@ SLACK = 1e-6
 def quantised(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of floor(256 x), zero-filled to width, and which rows take part."""
     n = len(column)
-    out, good = np.zeros((n, width)), np.zeros(n, bool)
-    for k, v in enumerate(column.to_pylist()):
-        if v is not None and None not in v:
-            x = np.asarray(v, np.float64)
-            if np.isfinite(x).all():
-                out[k, : len(x)] = np.floor(SCALE * x)
-                good[k] = True
+    size = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        flat = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    row = np.repeat(np.arange(n), size)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros((n, width))
+    out[row, at] = flat
+    good = column.is_valid().to_numpy(zero_copy_only=False) & (np.bincount(row[~np.isfinite(flat)], minlength=n) == 0)
     return out, good
 
 
@@ -68,48 +75,69 @@ def vector_list(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(x.reshape(-1)))
 
 
-def clean_vectors(embeddings: DataFrame, width: int) -> DataFrame:
-    """(vec_id, v) of the vectors that take part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, good = quantised(batch.column("embedding"), width)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").filter(pa.array(good)), vector_list(x[good])], ["vec_id", "v"]
-            )
-
-    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").filter("vec_id is not null")
-    return rows.mapInArrow(run, "vec_id bigint, v array<double>")
-
-
-def choose_pivots(vectors: DataFrame, n: int, sample: int = SAMPLE, most: int = PIVOTS) -> np.ndarray:
-    """Centres of a bounded sample, about the fourth root of the table's square in number."""
-    rows = hash_sample(vectors, sample, n, "vec_id").collect()
-    x = np.unique(np.array([r.v for r in rows]), axis=0)
-    k = min(len(x), most, max(1, int(np.sqrt(n) / 2)))
-    p = x[np.linspace(0, len(x) - 1, k).astype(int)]
-    for _ in range(ROUNDS):
-        own = nearest(x, p)[0]
-        p = np.array([x[own == j].mean(0) if (own == j).any() else p[j] for j in range(k)])
-    return p
+def choose_pivots(vectors: DataFrame, n: int, width: int, most: int = PIVOTS) -> np.ndarray:
+    """Centres of a bounded sample: the root of a small table's size, as many as chunks in a larger one."""
+    k = max(1, min(most, max(n // CHUNK, min(FEW_PIVOTS, int(np.sqrt(n) / 2)))))
+    rows = hash_sample(vectors, SAMPLE * k, n, "vec_id").toArrow().combine_chunks()
+    x, good = quantised(rows.column("embedding").combine_chunks(), width)
+    x = np.unique(x[good], axis=0) if good.any() else np.zeros((1, width))
+    p = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _ in range(ROUNDS):
+            own = nearest(x, p)[0]
+            count = np.bincount(own, minlength=len(p))
+            total = np.zeros_like(p)
+            np.add.at(total, own, x)
+            p = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], p)
+    return np.nan_to_num(p)
 
 
 def nearest(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each vector, and its distance to the pivot, rounded up a little."""
-    square = (p**2).sum(1)[None, :] - 2 * (x @ p.T)
-    cell = square.argmin(1)
-    return cell, np.sqrt(((x - p[cell]) ** 2).sum(1)) * (1 + SLACK)
-
-
-def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(vec_id, cell, dist, v), written once."""
+    """The cell of each vector, and its distance to the pivot, rounded up a little.
+
+    Any cell is right as long as the distance is to its own pivot; numbers too large to square are at no known distance.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        square = np.nan_to_num((p**2).sum(1)[None, :] - 2 * (x @ p.T), nan=np.inf)
+        cell = square.argmin(1)
+        return cell, np.nan_to_num(np.sqrt(((x - p[cell]) ** 2).sum(1)), nan=np.inf) * (1 + SLACK)
+
+
+class Coarse:
+    """Pivots in groups: a vector looks at the pivots of its nearest group only."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        n = len(pivots)
+        self.lead = pivots[np.linspace(0, n - 1, max(1, int(np.sqrt(n)))).astype(int)]
+        group = nearest(pivots, self.lead)[0]
+        self.groups = [np.flatnonzero(group == j) for j in range(len(self.lead))]
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.pivots) <= FEW_PIVOTS:
+            return nearest(x, self.pivots)
+        own = nearest(x, self.lead)[0]
+        cell, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for j in np.unique(own).tolist():
+            at = own == j
+            among = self.groups[j] if len(self.groups[j]) else np.array([0])
+            near, dist[at] = nearest(x[at], self.pivots[among])
+            cell[at] = among[near]
+        return cell, dist
+
+
+def assign(vectors: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
+    """(vec_id, cell, dist, v) of the vectors that take part, cleaned and written once."""
+    coarse = Coarse(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cell, dist = nearest(matrix(batch.column("v")), pivots)
+            x, good = quantised(batch.column("embedding"), width)
+            if good.any():
+                x = x[good]
+                cell, dist = coarse.cells(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array(dist), batch.column("v")],
+                    [batch.column("vec_id").filter(pa.array(good)), pa.array(cell.astype(np.int32)), pa.array(dist), vector_list(x)],
                     ["vec_id", "cell", "dist", "v"],
                 )
 
@@ -166,6 +194,11 @@ class Summary:
 
     def needed(self, q: np.ndarray) -> np.ndarray:
         """Which cells each query must see."""
+        size = max(1, BOUNDS // self.near.size)
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.concatenate([self.needed_by(q[k : k + size]) for k in range(0, max(1, len(q)), size)])
+
+    def needed_by(self, q: np.ndarray) -> np.ndarray:
         at_pivot = q @ self.pivots.T
         norm = np.sqrt((q**2).sum(1))[:, None]
         slack = SLACK * (1 + norm * np.sqrt((self.pivots**2).sum(1))[None, :])
@@ -174,7 +207,8 @@ class Summary:
         floors = np.sort(np.where(np.isnan(floors), -np.inf, floors).reshape(len(q), -1), axis=1)[:, ::-1]
         reach = floors[:, self.k] if floors.shape[1] > self.k else np.full(len(q), -np.inf)
         ceiling = np.where(self.count > 0, at_pivot + slack + norm * self.far[None, :], -np.inf)
-        return (ceiling >= reach[:, None]) & (self.count > 0)[None, :]
+        # a bound that overflowed says nothing, so the cell is seen
+        return ~(ceiling < reach[:, None]) & (self.count > 0)[None, :]
 
 
 DEALT = "cell int, chunk int, part int, kind int, vec_id bigint, v array<double>"
@@ -237,7 +271,8 @@ def best(q_ids, q, ids, x, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     n = len(ids)
-    top = max(1.0, float(np.abs(q).max(initial=0))) * max(1.0, float(np.abs(x).max(initial=0))) * q.shape[1]
+    with np.errstate(over="ignore"):
+        top = max(1.0, float(np.abs(q).max(initial=0))) * max(1.0, float(np.abs(x).max(initial=0))) * q.shape[1]
     if top * (n + 1) < 2**62 and top < 2**53:
         key = (q @ x.T).astype(np.int64) * n + (n - 1 - np.arange(n))[None, :]
     else:  # numbers that only Python's integers hold
@@ -256,6 +291,17 @@ def best(q_ids, q, ids, x, k: int) -> tuple[np.ndarray, np.ndarray]:
     return scores, found
 
 
+def beyond(score: int) -> str | None:
+    """For scores that a long cannot hold: a text that sorts as they do."""
+    if -(2**63) < score < 2**63 - 1:
+        return None
+    digits = str(abs(score)).rjust(700, "0")
+    return "1" + digits if score > 0 else "0" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
+SOLVED = "query_id bigint, score bigint, beyond string, vec_id bigint"
+
+
 def solve(k: int):
     """Rows sorted by (cell, chunk, part, kind): each query's best of a chunk."""
 
@@ -268,9 +314,10 @@ def solve(k: int):
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([min(max(r[1], -(2**63)), 2**63 - 1) for r in rows], pa.int64()),
+                    pa.array([beyond(r[1]) for r in rows], pa.string()),
                     pa.array([r[2] for r in rows], pa.int64()),
                 ],
-                ["query_id", "score", "vec_id"],
+                ["query_id", "score", "beyond", "vec_id"],
             )
 
         for batch in batches:
@@ -308,20 +355,23 @@ def knn_join(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
     """(query_id, rank, vec_id, score): the k highest products of every row whose vec_id is divisible by ``every``."""
     spark = embeddings.sparkSession
     form = "query_id bigint, rank int, vec_id bigint, score bigint"
-    width = embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
-    vectors = clean_vectors(embeddings, max(1, width))
-    n = vectors.count()
+    vectors = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").filter(
+        F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
+    )
+    n, width = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    width = max(1, width or 0)
     if n < 2:
         return spark.createDataFrame([], form)
-    pivots = choose_pivots(vectors, n)
-    assigned = assign(vectors, pivots)
+    pivots = choose_pivots(vectors, n, width)
+    assigned = assign(vectors, pivots, width)
     summary = Summary(assigned, pivots, k)
-    queries = assigned.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "cell", "v").dropDuplicates(["vec_id"])
+    every_one = assigned.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = every_one.groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("m")).select("vec_id", "m.cell", "m.v")
     parts = parts_of(summary, queries)
     sent = queries.mapInArrow(deal(summary, parts, True), DEALT)
     data = assigned.select("vec_id", "cell", "v").mapInArrow(deal(summary, parts, False), DEALT)
     place = ["cell", "chunk", "part"]
     dealt = sent.union(data).repartition(*place).sortWithinPartitions(*place, "kind")
-    partial = dealt.mapInArrow(solve(k), "query_id bigint, score bigint, vec_id bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    partial = dealt.mapInArrow(solve(k), SOLVED)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id"))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

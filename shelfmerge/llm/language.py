@@ -5,7 +5,8 @@ SVM per family, each against the others, names the family; inside it, linear
 SVMs for every pair of its languages vote. All are fitted on the driver from at
 most ``SAMPLE`` labelled texts, dealt evenly over the languages and drawn by a
 hash from the documents whose crc32(doc_id) mod 5 is not 0; only their text and
-lang are used. A long text is counted whole, piece by piece.
+lang are used. Of a longer text ``SAMPLE_CHARS`` characters are learned from, at a
+place drawn by hash. A text to be named is counted whole, piece by piece.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 without any labelled text to learn from, every text is ``und``; a null doc_id
@@ -14,7 +15,6 @@ hashes as the empty string and so is held out; repeated rows each get a row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmerge.llm.common import text_batches
+from shelfmerge.llm.common import in_text_batches
 
-#: Labelled texts to learn from, at most; their longest in bytes; languages at most.
+#: Labelled texts to learn from, at most (so these are the languages at most); characters learned from each.
 SAMPLE = 2400
-SAMPLE_BYTES = 16384
-LANGUAGES = 64
+SAMPLE_CHARS = 16384
 SIZE = 1 << 13
 PIECE = 4 << 20
 #: Score below which keep_identified() rejects a text; by default only texts without a language go.
@@ -47,8 +46,11 @@ FAMILIES = {
 FAMILY = {lang: name for name, langs in FAMILIES.items() for lang in langs}
 
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: A letter in any script.
-HAS_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a letter of any script is in the text; numerals such as a half are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def features(data: bytes) -> np.ndarray:
@@ -128,19 +130,20 @@ def held_out() -> F.Column:
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, str]]:
     """The bounded sample: for each of the most frequent languages equally many texts, by hash, and a snippet of each."""
-    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(
-        F.octet_length("text") <= SAMPLE_BYTES
-    )
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
     if not common:
         return []
-    each, span = max(8, sample // len(common)), 1 << 40
+    each, span = max(1, sample // len(common)), 1 << 40
     order = F.xxhash64("doc_id", "text")
+    length = F.length("text")
+    begin = F.when(length > SAMPLE_CHARS, F.pmod(order, length - SAMPLE_CHARS + 1)).otherwise(F.lit(0)).cast("int")
+    snippet = F.substr("text", begin + 1, F.lit(SAMPLE_CHARS))
     # about twice as many as needed pass by their hash alone, so few rows are dealt by language
     share = F.lit(False)
     for r in common:
         share |= (F.col("lang") == r.lang) & (F.pmod(order, F.lit(span)) < min(span, 2 * each * span // r["count"] + 1))
-    few = usable.filter(share).select("lang", "text", order.alias("o"))
+    few = usable.filter(share).select("lang", snippet.alias("text"), order.alias("o"))
     top = Window.partitionBy("lang").orderBy("o", "text")
     rows = few.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= each).orderBy("lang", "n").collect()
     out = []
@@ -160,14 +163,13 @@ def train(docs: DataFrame) -> Classifier:
 
 def identify(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs with lang_pred and score; existing columns of these names are replaced."""
-    text_batches(docs.sparkSession)
     out = docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for t in batch.column("text").to_pylist():
-                known = t and model.languages and HAS_LETTER.search(t)
+                known = model.languages and has_letter(t)
                 made.append(model.predict(t.encode()) if known else ("und", 0.0))
             new = {"lang_pred": [a for a, _ in made], "score": [b for _, b in made]}
             arrays = [
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, model: Classifier) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return out.mapInArrow(run, out.schema)
+    return in_text_batches(out, run, out.schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

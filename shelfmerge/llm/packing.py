@@ -140,7 +140,7 @@ def token_rows(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
-        encoder = per_worker(("word-encoder", path), lambda: WordEncoder(path))
+        encoder = per_worker("word-encoder", path, lambda: WordEncoder(path))
         for batch in batches:
             ids, sizes = encoder.encode(batch.column("text"))
             ends = np.cumsum(sizes)

@@ -75,6 +75,20 @@ def test_several_passes(spark):
     assert sorted(one) == sorted(many)
 
 
+def test_one_part_of_the_benchmark_at_a_time(spark, monkeypatch):
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    n, parts = d.benchmark_parts(bench, 40)
+    assert n > 3 and iter(parts) is parts
+    assert sorted(i for p in parts for i, _ in p) == sorted(str(i) for i, _ in ITEMS)
+
+
+def test_repeated_rows_are_judged_each(spark):
+    df = spark.createDataFrame(DOCS[:2] * 3 + [(1, "clean")], "doc_id bigint, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = sorted((r.doc_id, r.contaminated) for r in d.contamination_report(df, bench).collect())
+    assert got == [(1, False)] + [(1, True)] * 3 + [(2, True)] * 3
+
+
 def test_pieces_of_long_texts(monkeypatch):
     m = d.Matcher([(str(i), (t or "").encode()) for i, t in ITEMS])
     text = ("filler words, " * 30 + "One two three four five six seven eight nine ten. gamma " + "alpha beta " * 5).encode()

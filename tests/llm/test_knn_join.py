@@ -8,27 +8,26 @@ from shelfmerge.llm import knn_join as kj
 SCHEMA = "vec_id bigint, embedding array<float>"
 
 
-def slow(rows, k=5, every=50):
-    good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for q, v in {i: v for i, v in good if i % every == 0}.items():
+def slow(rows, k=5, every=50, single=np.float32):
+    good = [(i, [math.floor(256 * float(single(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(256 * x) for x in v)]
+    out = []
+    for q in {i for i, _ in good if i % every == 0}:
+        v = min(v for i, v in good if i == q)
         s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:k]
-        out |= {(q, r + 1, i, -x) for r, (x, i) in enumerate(s)}
-    return out
+        out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -x))) for r, (x, i) in enumerate(s)]
+    return sorted(out)
 
 
-def check(spark, rows, **options):
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA + ", score int").repartition(3)
+def check(spark, rows, schema=SCHEMA, single=np.float32, **options):
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], schema + ", score int").repartition(3)
     got = [tuple(r) for r in kj.knn_join(df, **options).collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == slow(rows, **options)
+    assert sorted(got) == slow(rows, single=single, **options)
 
 
 def test_odd_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(0, 0.1, 6).tolist()) for i in range(1, 200)]
     rows += [(0, None), (50, [None] * 6), (100, [math.nan] * 6), (150, [math.inf, 0.0, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6), (300, [0.5, 0.25]), (350, []), (-50, [0.1] * 6)]
-    rows = [r for n, r in enumerate(rows) if r[0] is None or r[0] not in {x[0] for x in rows[n + 1 :]}]
     check(spark, rows)
 
 
@@ -53,6 +52,29 @@ def test_huge_components(spark):
     check(spark, [(0, [1e5, 1.0]), (1, [1e5, 2.0]), (2, [-1e5, 3.0]), (50, [3e5, 0.0])])
 
 
+def test_scores_beyond_a_long_and_components_beyond_a_double(spark):
+    big = [(0, [1e38, 1.0]), (1, [1e38, 0.0]), (2, [2e38, 0.0]), (3, [-3e38, 0.0]), (4, [-2e38, 0.0]), (5, [3e38, 0.0]), (6, [3e38, 1e38]), (50, [-1e38, 0.0])]
+    check(spark, big, k=7)
+    huge = [(0, [1e307, 0.0]), (1, [1e300, 2.0]), (2, [1e305, 0.0]), (3, [-1e305, 0.0]), (4, [1.0, 1.0]), (50, [1e305, 1.0]), (100, [2.0, 3.0])]
+    check(spark, huge, "vec_id bigint, embedding array<double>", float, k=4)
+
+
+def test_repeated_rows_and_ids_with_differing_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 0.2, 4).tolist()) for i in range(120)]
+    check(spark, rows + rows[40:70] + [(50, [1.0] * 4), (50, [-1.0] * 4), (7, [0.5] * 4)])
+
+
+def test_many_pivots_in_two_steps(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v) for i, v in enumerate(np.repeat(rng.normal(0, 0.3, (40, 5)), 30, 0).tolist())]
+    rows = [(i, (np.array(v) + rng.normal(0, 0.01, 5)).tolist()) for i, v in rows]
+    monkeypatch.setattr(kj, "FEW_PIVOTS", 4)
+    monkeypatch.setattr(kj, "CHUNK", 20)
+    monkeypatch.setattr(kj, "BOUNDS", 500)
+    check(spark, rows)
+
+
 def test_bounds_leave_cells_out():
     rng = np.random.default_rng(2)
     x = np.floor(256 * np.concatenate([rng.normal(3, 0.01, (50, 4)), rng.normal(-3, 0.01, (50, 4))]))

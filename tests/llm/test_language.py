@@ -33,6 +33,25 @@ def test_odd_rows(spark, sf):
     assert not {-1, -2, -3} & {r.doc_id for r in kept.collect()}
 
 
+def test_numerals_are_no_letters_and_repeats_are_rows(spark, sf):
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "½ ²", "en"), (-1, "½ ²", "en"), (-2, "٣ Ⅷ", "en"), (-3, "ß", "de"), (-3, "ß", "de")], "doc_id bigint, text string, lang string")
+    got = language.language_report(real.union(odd)).filter("doc_id < 0").collect()
+    assert sorted((r.doc_id, r.lang_pred == "und") for r in got) == [(-3, False)] * 2 + [(-2, True)] + [(-1, True)] * 2
+
+
+def test_a_language_of_long_texts_only_and_many_languages(spark):
+    long = [(i, f"zwölf boxkämpfer jagen viktor {i} quer " * 3000, "de") for i in range(12)]
+    short = [(100 + i, "how now brown cow and the rest of them", "en") for i in range(12)]
+    many = [(200 + i, f"{chr(0x4E00 + i // 6) * 12}", f"l{i // 6}") for i in range(6 * 70)]
+    df = spark.createDataFrame(long + short + many, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.language_report(df).collect()}
+    assert {got[i] for i in range(12)} == {"de"} and {got[100 + i] for i in range(12)} == {"en"}
+    assert len({got[200 + i] for i in range(6 * 70)}) > 64
+    rows = language.training_rows(df)
+    assert max(len(t.decode()) for t, _ in rows) <= language.SAMPLE_CHARS
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     assert [r.lang_pred for r in language.language_report(df).collect()] == ["und"]

@@ -26,7 +26,7 @@ def test_against_brute_force(spark, folder):
     model = language.train(docs)
     texts = {}
     for r in docs.collect():
-        if r.text and language.HAS_LETTER.search(r.text):
+        if language.has_letter(r.text):
             lang, score = model.predict(r.text.encode())
             if score >= language.REJECT_BELOW:
                 texts[r.doc_id] = r.text
