@@ -2,7 +2,7 @@
 
 Turns are sorted by (turn, role, text) within a conversation and rendered one by
 one as they stream through a task, so a conversation of any length needs the
-memory of one batch. A segment is what one turn adds to the conversation's text;
+memory of one batch; as its digests run over all turns in order, it is one task's work. A segment is what one turn adds to the conversation's text;
 segments in order are the whole text. Loss spans count code points within the
 segment.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmerge.llm.chat_template import Template, TemplateError, unescape
-from shelfmerge.llm.common import text_batches
+from shelfmerge.llm.common import in_text_batches
 
 TEMPLATE = """{% for m in messages %}<s>[ROLE]{{ m.role | escape }}[/ROLE]
 {%- if m.role == "assistant" %}{% generation %}{{ m.text | escape }}{% endgeneration %}
@@ -36,8 +36,8 @@ SEGMENTS = "conv_id bigint, seq bigint, text string, loss_spans array<struct<sta
 
 def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """(conv_id, seq, text, loss_spans): the segments of every conversation, in order within a partition."""
-    text_batches(turns.sparkSession)
-    Template(template)  # a bad template fails here
+    if not Template(template).streams:  # a bad template fails here, not inside a task
+        raise TemplateError("this template reads the messages as a whole")
     rows = turns.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.col("turn").cast("bigint").alias("turn"),
@@ -45,7 +45,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
         F.coalesce("text", F.lit("")).alias("text"),
     )
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(renderer(template), SEGMENTS)
+    return in_text_batches(dealt, renderer(template), SEGMENTS)
 
 
 def renderer(template: str):

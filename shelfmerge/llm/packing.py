@@ -14,6 +14,7 @@ empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmerge.llm.common import materialise, per_worker, text_batches
+from shelfmerge.llm.common import in_text_batches, materialise, per_worker
 
 WINDOW = 2048
 END_ID = 1
@@ -36,6 +37,44 @@ CACHE_WORDS = 500_000
 #: choice is a lower-case Latin letter of two.
 MARKS = r"([a-z]|\xC3[\xA0-\xB6\xB8-\xBF])([.,;:!?]+)(?:[ \n]|$)"
 
+# The parts of a tokenizer file under which words may be encoded one by one.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(config: dict) -> bool:
+    """Whether the tokenizer treats words as WordEncoder assumes; else texts are encoded whole."""
+    model = config["model"]
+    return (
+        config["normalizer"] == NORMALIZER
+        and config["pre_tokenizer"] == PRE_TOKENIZER
+        and not config["post_processor"]
+        and not config["truncation"]
+        and model["type"] == "BPE"
+        and not model["dropout"]
+        and not model["ignore_merges"]
+        and all(t["content"].startswith("<|") for t in config["added_tokens"])
+    )
+
+
 #: Words of Latin letters are one pre-token and stay as they are when normalized, so the
 #: tokenizer's merges can be asked directly; it names the two bytes of an accented letter
 #: by the characters of their codes, those from 0x80 to 0xA0 and 0xAD by ones past 0xFF.
@@ -57,7 +96,8 @@ class WordEncoder:
     letter with a mark; so texts may be lowered and marks set apart beforehand,
     which leaves few kinds of words, and the ids of a text are those of its words
     in order. Only its own special strings, ``<|...|>``, it looks up unlowered:
-    texts with ``<|`` are encoded as they are.
+    texts with ``<|`` are encoded as they are. So are all texts where the file's
+    normalizer, pre-tokenizer or model is another.
     """
 
     def __init__(self, path: str):
@@ -65,13 +105,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.end = np.zeros(1 << 16, np.int64)
-        self.learn([""])
+        if self.by_words:
+            self.learn([""])
 
     def learn(self, fresh: list[str]) -> None:
         """Appends the ids of unseen words to the store."""
@@ -96,6 +139,9 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not self.by_words:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([*found, np.zeros(0, np.uint32)]), np.fromiter(map(len, found), np.int64, len(found))
         texts = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower misreads slices
         odd = pc.match_substring(texts, "<|")
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r"\1 \2 ")
@@ -129,10 +175,9 @@ class WordEncoder:
 
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Per row: doc_id, part, start_in_part, ids (with the closing id); materialised."""
-    text_batches(docs.sparkSession)
     schema = "doc_id bigint, part int, start_in_part bigint, ids array<int>"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialise(rows.mapInArrow(token_rows(path or tokenizer_path(), end_id), schema), "tokens")
+    return materialise(in_text_batches(rows, token_rows(path or tokenizer_path(), end_id), schema), "tokens")
 
 
 def token_rows(path: str, end_id: int):
@@ -161,7 +206,11 @@ def token_rows(path: str, end_id: int):
 
 
 def part_offsets(tokens: DataFrame) -> dict[int, int]:
-    """Global offset of each part: prefix sums over one total for each task of the first pass."""
+    """Global offset of each part: prefix sums over one total for each task of the first pass.
+
+    These numbers, 16 bytes a task, are all that reaches the driver: 16 MB for a million
+    tasks, that is for some 128 TB in tasks of 128 MB.
+    """
     totals = tokens.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).orderBy("part").collect()
     out, at = {}, 0
     for r in totals:

@@ -13,6 +13,12 @@ the smallest page_id is the response, the others are revisits that refer to it.
 Which page that is comes from digests and ids alone; payloads cross the shuffle
 compressed.
 
+The reader takes archives of others too: a dictionary that is itself compressed, any
+type of record, digests by other algorithms (checked where hashlib has them), HTTP
+messages, whose payload begins after their own headers, and record ids of any form
+(page_id is null unless it is one of ours). A header that may stand once must not stand
+twice.
+
 Defined results: null html is an empty payload; a null page_id is written as
 ``null`` and read back as null, and is never referred to while another id is
 there; rows that repeat a page_id and payload are records of one type; line
@@ -21,6 +27,8 @@ breaks in a url are percent-encoded; an empty table makes no archive.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import struct
 import uuid
@@ -30,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmerge.llm.common import hash_sample, materialise, scratch, text_batches
+from shelfmerge.llm.common import hash_sample, in_text_batches, materialise, scratch, text_batches
 
 MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 32 << 20
@@ -93,20 +101,22 @@ def write_archives(pages: DataFrame, dictionary: bytes | None = None, folder: st
     marked = small.join(
         roles, small["page_id"].eqNullSafe(roles["r_page_id"]) & (small["digest"] == roles["r_digest"]), "left"
     ).select("page_id", "url", "payload", "digest", "first")
-    to = folder or scratch(spark, "warc")
-    make_folder(spark, to)
+    to = make_folder(spark, folder or scratch(spark, "warc"))
     return materialise(marked.mapInArrow(writer(shared, to), "path string, n_records bigint, n_bytes bigint"), "warc-list")
 
 
-def make_folder(spark: SparkSession, folder: str) -> None:
+def make_folder(spark: SparkSession, folder: str) -> str:
+    """Makes the folder and names it in full, with its file system, so that executors use the same one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    return system.makeQualified(path).toString()
 
 
-def filesystem(path: str):
+def filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(uri)
 
 
 def compressor(shared):
@@ -167,7 +177,7 @@ def writer(shared, folder: str):
                 page_id, url, packed, digest, first = row
                 if out is None:
                     name = f"part-{uuid.uuid4().hex}.warc.zst"
-                    path, out = f"{folder}/{name}", fs.open_output_stream(f"{root}/{name}")
+                    path, out = f"{folder}/{name}", fs.open_output_stream(f"{root}/{name}", compression=None)
                     lead = skippable(shared.value)
                     out.write(lead)
                     count, size = 0, len(lead)
@@ -201,6 +211,11 @@ def frames(stream) -> Iterator[bytes]:
     dictionary = stream.read(size)
     if len(dictionary) != size:
         raise WarcError("the dictionary is cut short")
+    if dictionary[:4] == zstandard.FRAME_HEADER:
+        try:
+            dictionary = zstandard.ZstdDecompressor().decompressobj().decompress(dictionary)
+        except zstandard.ZstdError as e:
+            raise WarcError(f"broken dictionary: {e}") from e
     z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     held = b""
     while held := held or stream.read(CHUNK):
@@ -232,11 +247,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         name, colon, value = row.partition(":")
         if not colon or not name or name.strip() != name:
             raise WarcError(f"no header line: {row[:40]!r}")
+        if name.lower() in headers and name.lower() != "warc-concurrent-to":
+            raise WarcError(f"{name} twice")
         headers[name.lower()] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise WarcError(f"no {name}")
-    if not headers["content-length"].isdigit():
+    if not (headers["content-length"].isascii() and headers["content-length"].isdigit()):
         raise WarcError("no length")
     n = int(headers["content-length"])
     if rest[n:] != b"\r\n\r\n":
@@ -244,46 +261,76 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def page_of(value: str) -> int | None:
-    inner = value.removeprefix("<urn:page:").removesuffix(">")
-    return None if inner == "null" else int(inner)
+def page_of(value: str | None) -> int | None:
+    inner = (value or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(inner) if inner.removeprefix("-").isascii() and inner.removeprefix("-").isdigit() else None
+
+
+def check_digest(named: str | None, body: bytes, what: str) -> None:
+    """Holds a digest header (algorithm:value, in hexadecimal or base 32) against the bytes; unknown algorithms pass."""
+    algorithm, colon, value = (named or "").partition(":")
+    name = algorithm.lower().replace("sha-", "sha")
+    if not colon or name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return
+    found = hashlib.new(name, body, usedforsecurity=False).digest()
+    try:
+        given = bytes.fromhex(value) if len(value) == 2 * len(found) else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except (ValueError, binascii.Error) as e:
+        raise WarcError(f"no digest: {value[:80]!r}") from e
+    if given != found:
+        raise WarcError(f"{what} and digest differ")
+
+
+def http_payload(h: dict[str, str], body: bytes) -> tuple[bytes, bool]:
+    """What an HTTP message carries, and whether it stands as it was digested; other bodies as they are."""
+    if not h.get("content-type", "").lower().startswith("application/http"):
+        return body, True
+    head, _, rest = body.partition(b"\r\n\r\n")
+    return rest, b"\r\ntransfer-encoding:" not in head.lower()
 
 
 def read_record(data: bytes) -> dict:
-    """The row of one record; a response's digest and length are those of its payload."""
+    """The row of one record; digest and length are those of the payload, which a revisit leaves out."""
     h, body = parse(data)
-    digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
     kind = h["warc-type"]
-    if kind == "response":
-        if hashlib.sha256(body).hexdigest() != digest:
-            raise WarcError("payload and digest differ")
-        if int(h.get("x-payload-length", len(body))) != len(body):
+    check_digest(h.get("warc-block-digest"), body, "block")
+    payload, plain = http_payload(h, body)
+    length, named = h.get("x-payload-length"), h.get("warc-payload-digest")
+    if length is not None and not (length.isascii() and length.isdigit()):
+        raise WarcError("no payload length")
+    if kind == "revisit":
+        if "warc-refers-to" not in h and "warc-refers-to-target-uri" not in h and named is None:
+            raise WarcError("a revisit of nothing")
+    else:
+        if plain and "warc-segment-number" not in h:
+            check_digest(named, payload, "payload")
+        if length is not None and int(length) != len(payload):
             raise WarcError("payload and length differ")
-    elif kind != "revisit" or body or "warc-refers-to" not in h:
-        raise WarcError(f"unknown kind of record {kind!r}")
     url = h.get("warc-target-uri", "")
-    for c in "\r\n%":
-        url = url.replace(f"%{ord(c):02X}", c) if c != "%" else url
+    ours = h["warc-record-id"].startswith("<urn:page:")
+    if ours:
+        url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
     return {
-        "page_id": page_of(h["warc-record-id"]),
-        "url": url.replace("%25", "%"),
-        "payload": body if kind == "response" else None,
-        "payload_bytes": int(h["x-payload-length"]) if kind == "revisit" else len(body),
-        "payload_digest": digest,
+        "page_id": page_of(h["warc-record-id"]) if ours else None,
+        "url": url,
+        "payload": None if kind == "revisit" else payload,
+        "payload_bytes": int(length) if length is not None else len(payload),
+        "payload_digest": (named or "").removeprefix("sha256:") or (None if kind == "revisit" else hashlib.sha256(payload).hexdigest()),
         "record_type": kind,
-        "refers_to": page_of(h["warc-refers-to"]) if kind == "revisit" else None,
+        "refers_to": page_of(h.get("warc-refers-to")) if ours else None,
+        "record_id": h["warc-record-id"],
+        "refers_to_id": h.get("warc-refers-to"),
     }
 
 
 RECORDS = (
     "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, "
-    "refers_to bigint"
+    "refers_to bigint, record_id string, refers_to_id string"
 )
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per record of the listed archives (column path)."""
-    text_batches(archives.sparkSession)
     n = archives.count()
     schema = RECORDS if with_payload else RECORDS.replace("payload binary, ", "")
     fields = [f.split()[0] for f in schema.split(", ")]
@@ -295,7 +342,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 fs, local = filesystem(path)
                 rows, held = [], 0
-                with fs.open_input_stream(local) as stream:
+                with fs.open_input_stream(local, compression=None) as stream:
                     for data in frames(stream):
                         rows.append(read_record(data))
                         held += len(data)
@@ -305,7 +352,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([{f: r[f] for f in fields} for r in rows], form)
 
-    return archives.select("path").repartition(max(1, n)).mapInArrow(run, schema)
+    return in_text_batches(archives.select("path").repartition(max(1, n)), run, schema)
 
 
 def warc_report(pages: DataFrame) -> DataFrame:

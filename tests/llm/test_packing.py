@@ -36,6 +36,22 @@ def test_special_strings_and_contractions():
     assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
 
 
+def test_another_tokenizer_file_encodes_whole_texts(tmp_path):
+    import json
+
+    config = json.loads(T.to_str())
+    config["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(config))
+    other = packing.WordEncoder(str(path))
+    assert E.by_words and not other.by_words
+    texts = ["It's A Word. ÉÉ", None, "x"]
+    ids, n = other.encode(pa.array(texts))
+    want = [other.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
+    assert want != [T.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def verify(rows, texts, window):
     full = {i: T.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts.items()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -71,6 +87,18 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_packed_each(spark):
+    df = spark.createDataFrame([(1, "some words of one")] * 5 + [(1, "others"), (None, "none")], "doc_id bigint, text string").repartition(3)
+    rows = packing.pack(df, 8, with_ids=False).collect()
+    size = len(T.encode("some words of one", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in rows if r.doc_tokens == size and r.doc_id == 1 and size != 2) == 5 * size
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    at = 0
+    for s, o, n in places:
+        assert s * 8 + o == at
+        at += n
+
+
 def test_whole_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     verify(packing.packing_report(spark, df.repartition(5)).collect(), {r.doc_id: r.text for r in df.collect()}, 2048)

@@ -20,6 +20,39 @@ def rec(payload=b"body", **change):
     return warc.record(**(args | change))
 
 
+def foreign(kind, body, *more):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>", "WARC-Date: 2016-01-11T23:29:14Z", *more]
+    return "\r\n".join([*head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_records_of_others(spark, tmp_path):
+    import base64
+
+    page = b"<html>x</html>"
+    sha1 = base64.b32encode(hashlib.sha1(page).digest()).decode()
+    http = "Content-Type: application/http; msgtype=response"
+    message = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    records = [
+        foreign("warcinfo", b"software: any\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:a>", "WARC-Concurrent-To: <urn:b>"),
+        foreign("response", message, http, f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Target-URI: http://h/%25", f"WARC-Block-Digest: md5:{hashlib.md5(message).hexdigest()}"),
+        foreign("response", message.replace(b"\r\n\r\n", b"\r\nTransfer-Encoding: chunked\r\n\r\n") + b"0", http, f"WARC-Payload-Digest: sha1:{sha1}"),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", http, f"WARC-Payload-Digest: blake3:{sha1}", "WARC-Refers-To: <urn:uuid:1>"),
+        foreign("metadata", b"k: v"), foreign("other", b""),
+    ]
+    words = b"WARC/1.0 WARC-Type: response " * 9
+    packed = zstandard.ZstdCompressor().compress(words)
+    z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words))
+    (tmp_path / "a.warc.zst").write_bytes(warc.skippable(packed) + b"".join(z.compress(r) for r in records))
+    listed = spark.createDataFrame([(f"file://{tmp_path}/a.warc.zst",)], "path string")
+    rows = warc.read_archives(listed).collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "request", "response", "response", "revisit", "metadata", "other"]
+    assert rows[2].payload == page and rows[2].payload_digest == f"sha1:{sha1}" and rows[2].url == "http://h/%25"
+    assert rows[4].payload is None and rows[4].refers_to_id == "<urn:uuid:1>" and rows[4].refers_to is None
+    assert rows[5].payload_digest == hashlib.sha256(b"k: v").hexdigest()
+    assert all(r.page_id is None and r.record_id.startswith("<urn:uuid:9") for r in rows)
+
+
 def test_reading_back():
     frames = list(warc.frames(io.BytesIO(archive(rec(), rec(b""), rec(b"x" * 3_000_000), rec(role="revisit", first=9)))))
     rows = [warc.read_record(f) for f in frames]
@@ -45,7 +78,10 @@ def test_broken_archives(data):
     [
         b"no headers", rec().replace(b"WARC/1.1", b"HTTP/1.1"), rec() + b"more", rec()[:-5], rec().replace(b"body", b"bodY"),
         rec().replace(b"Content-Length: 4", b"Content-Length: x"), rec().replace(b"WARC-Date", b"WARC-Day"),
-        rec().replace(b"WARC-Type: response", b"WARC-Type: other"), rec().replace(b"WARC-Date:", b"WARC-Date"),
+        rec().replace(b"Content-Length: 4", b"Content-Length: 9\r\nContent-Length: 4"), rec().replace(b"WARC-Date:", b"WARC-Date"),
+        rec().replace(b"Content-Length: 4", "Content-Length: ٤".encode()), rec().replace(b"sha256:", b"sha256:zz"),
+        rec().replace(b"X-Payload-Length: 4", b"X-Payload-Length: -"), foreign("revisit", b""),
+        foreign("response", b"body", "WARC-Payload-Digest: sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"),
         rec().replace(b"X-Payload-Length: 4", b"X-Payload-Length: 5"),
     ],
 )
@@ -86,6 +122,8 @@ def test_many_archives(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     listed = warc.write_archives(df)
     assert listed.count() > 1
+    with open(listed.first().path.removeprefix("file:"), "rb") as f:
+        assert f.read(4) == struct.pack("<I", warc.MAGIC)  # the file itself begins with the dictionary
     back = warc.read_archives(listed).join(df.select("page_id", "html"), "page_id")
     assert back.count() == df.count()
     assert back.filter("record_type = 'response' and cast(payload as string) <> html").count() == 0
