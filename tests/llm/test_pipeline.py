@@ -1,11 +1,13 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmerge.llm import language
+from shelfmerge.llm import language, simhash
 from tests.llm.test_decontaminate import slow as slow_hits
 from tests.llm.test_line_dedup import slow as slow_lines
 from tests.llm.test_packing import verify
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_components
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +35,8 @@ def test_against_brute_force(spark, folder):
     assert not {90001, 90002, 90003} & set(texts)
     cut, gone = slow_lines(texts)
     texts = {d: t for d, t in cut.items() if not gone[d] or t.strip()}
-    comp = slow_components([(d, slow_fingerprint(t)) for d, t in texts.items()])
+    wide = simhash.wide_fingerprints(pa.array(texts.values()))  # held against their definition in test_simhash
+    comp = slow_components([(d, int.from_bytes(f.tobytes())) for d, f in zip(texts, wide)], simhash.WIDE.distance)
     texts = {d: t for d, t in texts.items() if comp[d] == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     texts = {d: t for d, t in texts.items() if not slow_hits(t, items)[-1]}
@@ -42,6 +45,22 @@ def test_against_brute_force(spark, folder):
     verify(rows, texts, 2048)
 
 
+def test_repeated_ids_and_clashing_columns(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    names = ["covered", "removed", "d", "text_key", "lang_pred", "score", "n_words", "hit_spans"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    again = docs.withColumn("text", F.concat(F.lit("quite another text: "), F.reverse("text")))
+    docs.union(again).union(docs.limit(5)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, folder)
+        assert rows.dtypes == docs.dtypes, name
+    kept = rows.collect()
+    assert all([r[n] for n in names] == list(range(len(names))) for r in kept)
+    assert sum(r.text.startswith("quite another") for r in kept) > 20 and len({(r.doc_id, r.text) for r in kept}) == len(kept)
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert len(corpus_pipeline.STAGES) == 5

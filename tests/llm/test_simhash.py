@@ -21,7 +21,7 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def slow_components(fps):
+def slow_components(fps, distance=3):
     """fps: list of (doc_id, fp); all pairs."""
     parent = {d: d for d, _ in fps}
 
@@ -32,7 +32,7 @@ def slow_components(fps):
 
     for i, (a, x) in enumerate(fps):
         for b, y in fps[:i]:
-            if bin((x ^ y) & (2**64 - 1)).count("1") <= 3:
+            if (x ^ y).bit_count() <= distance:
                 ra, rb = sorted((root(a), root(b)))
                 parent[rb] = ra
     return {d: root(d) for d, _ in fps}
