@@ -198,7 +198,7 @@ def span_rows(doc, start, end, ids, keys, ranges: int | None) -> pa.RecordBatch:
     last = np.r_[first[1:], len(doc)] if len(first) else first
     own = doc[first]
     data = [packed[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-    where = (mix(keys[own].view(np.uint64)) % np.uint64(ranges)).astype(np.int64) if ranges else np.zeros(len(own), np.int64)
+    where = (mix(keys[own].view(np.uint64) ^ mix(ids[own].view(np.uint64))) % np.uint64(ranges)).astype(np.int64) if ranges else np.zeros(len(own), np.int64)
     return rows_of(where, True, ids[own], keys[own], data)
 
 
@@ -280,14 +280,14 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     The spans of a document are as many as its windows at most.
     """
     spark = docs.sparkSession
-    few = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    ranges = max(few, docs.count() * PER_DOCUMENT // RANGE)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(2 * parts, docs.count() * PER_DOCUMENT // RANGE)
     rows = in_text_batches(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key().alias("text_key")).filter("doc_id is not null"),
         occurrences(ranges),
         ROWS,
     )
-    found = rows.repartition("range").sortWithinPartitions("range").mapInArrow(later, ROWS)
+    found = rows.repartition(max(parts, ranges // 2), "range").sortWithinPartitions("range").mapInArrow(later, ROWS)
     return found.groupBy("doc_id", "text_key").agg(F.collect_list("data").alias("spans"))
 
 
