@@ -1,9 +1,9 @@
-"""Text expressions: all are native columns and run inside generated code."""
+"""Text expressions: all are native columns; what ``let`` binds is worked out once per row, by interpreted lambdas."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,18 +11,8 @@ from pyspark.sql import functions as F
 #: Accented Latin letters and what they fold to, position by position.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
-#: Named character references that are decoded natively.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&apos;": "'",
-    "&copy;": "©",
-    "&middot;": "·",
-    "&amp;": "&",
-}
+#: Named character references: those of HTML 4 and the apostrophe; a no-break space becomes a space.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 #: Language names as sources write them, folded, and the name that is kept.
 LANGUAGE_NAMES = {
     "espanol": "Español",
@@ -64,7 +54,22 @@ def collapse(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
+    """Numeric and named character references as their characters, each once; what is none of them stays."""
+    parts = F.split(c, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
+
+
+def decoded(part: Column) -> Column:
+    """The text behind an ampersand, with the ampersand or what both stand for."""
+    name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});", 1)
+    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7))
+    number = digits.cast("int")
+    real = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    letter = F.when(number == 160, " ").when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    found = F.when(name.startswith("#"), letter).otherwise(look_up(ENTITIES, name))
+    after = F.substr(part, F.length(name) + 2)
+    return F.coalesce(F.when(name != "", F.concat(found, after)), F.concat(F.lit("&"), part))
 
 
 def strip_html(c: Column, keep_breaks: bool = False) -> Column:

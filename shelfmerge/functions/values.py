@@ -231,16 +231,20 @@ def guess_language(c: Column) -> Column:
     return let(F.lower(collapse(F.coalesce(c, F.lit("")))), lambda t: let(scores_of(t), decide))
 
 
-def stop_words(t: Column, words: list[str]) -> Column:
-    """How many words of a lower-case text are among these, in one pass of one pattern."""
-    letter = "[a-záéíóúñ]"
-    return F.regexp_count(t, F.lit(f"(?<!{letter})(?:{'|'.join(words)})(?!{letter})")).cast("double")
+def stop_words(found: Column, words: list[str]) -> Column:
+    """How many of the words found are among these."""
+    return F.size(F.filter(found, lambda w: w.isin(words))).cast("double")
 
 
 def scores_of(t: Column) -> Column:
+    """Scores of a lower-case text, which is split into words once."""
     accents = F.length(t) - F.length(F.translate(t, "áéíóúñ", ""))
-    es = stop_words(t, STOP_ES) + F.least(F.lit(3), accents) * 0.75
-    return F.struct(es.alias("es"), stop_words(t, STOP_EN).alias("en"))
+
+    def both(found: Column) -> Column:
+        es = stop_words(found, STOP_ES) + F.least(F.lit(3), accents) * 0.75
+        return F.struct(es.alias("es"), stop_words(found, STOP_EN).alias("en"))
+
+    return let(F.split(t, "[^a-záéíóúñ]+"), both)
 
 
 def decide(s: Column) -> Column:

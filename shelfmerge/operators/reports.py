@@ -22,7 +22,7 @@ EXPORT = {
 #: Catalogue of named reports: text with ? for arguments, over the view book_std.
 NAMED = {
     "count_total": "SELECT count(*) AS total FROM book_std",
-    "count_by_site": "SELECT site, count(*) AS c FROM book_std GROUP BY site",
+    "count_by_site": "SELECT site, count(*) AS c FROM book_std GROUP BY site ORDER BY c DESC, site",
     "latest": "SELECT isbn, titulo, site, url, updated_at FROM book_std ORDER BY updated_at DESC, site, url LIMIT 50",
     "site_count": "SELECT count(*) AS n FROM book_std WHERE site = ?",
     "site_latest": "SELECT isbn, titulo, autor, site, url, updated_at FROM book_std WHERE site = ? ORDER BY updated_at DESC, url LIMIT 50",

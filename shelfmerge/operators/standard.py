@@ -209,16 +209,22 @@ def wrap_lineage(raw: Column, std: Column, qc: Column) -> Column:
     return F.to_json(F.struct(raw.alias("raw"), std.alias("std"), qc.alias("qc")))
 
 
-def clean_table(df: DataFrame, html_columns: list[str], json_column: str | None = None) -> DataFrame:
+#: Keys of a JSON column that may become columns.
+MOST_KEYS = 500
+
+
+def clean_table(df: DataFrame, html_columns: list[str], json_column: str | None = None, most_keys: int = MOST_KEYS) -> DataFrame:
     """HTML out of the named columns; the keys of a JSON column as columns ``column__key``, sorted, existing ones stay.
 
-    Finding the keys is one small action.
+    Finding the keys is one small action. More than most_keys of them are an error: no table has so many columns.
     """
     out = df.withColumns({c: tx.strip_html(F.col(c)) for c in html_columns})
     if not json_column:
         return out
     parsed = F.from_json(json_column, "map<string,string>")
-    keys = df.select(F.explode(F.map_keys(parsed)).alias("k")).distinct().orderBy("k").collect()
+    keys = df.select(F.explode(F.map_keys(parsed)).alias("k")).distinct().orderBy("k").limit(most_keys + 1).collect()
+    if len(keys) > most_keys:
+        raise ValueError(f"{json_column} has more than {most_keys} keys; read it as a map")
     fresh = [r.k for r in keys if f"{json_column}__{r.k}" not in df.columns]
     return out.select("*", *[F.coalesce(F.try_element_at(parsed, F.lit(k)), F.lit("")).alias(f"{json_column}__{k}") for k in fresh])
 

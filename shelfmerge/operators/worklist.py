@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,9 +159,30 @@ def coverage(queries: DataFrame, found: DataFrame, by: str = "chunk") -> DataFra
     )
 
 
+#: Numbers in a block of with_position.
+BLOCK = 1 << 16
+
+
+def with_position(df: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """df with the place of each row, from 0, by a whole number that no two rows share.
+
+    Rows are numbered within blocks of numbers; the blocks' counts are summed up. The
+    numbers may have gaps, but should lie in dense stretches, as line numbers do: the
+    sums are over one row a block.
+    """
+    block = F.floor(F.col(order) / BLOCK).alias("_block")
+    counts = df.groupBy(block).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    placed = df.withColumn("_block", block).join(offsets, "_block")
+    return placed.withColumn(name, (F.col("_before") + within - 1).cast("bigint")).drop("_block", "_before")
+
+
 def chunk_worklist(df: DataFrame, n: int = 50, order: str = "line_no") -> DataFrame:
-    """df with chunk: n lines each. Line numbers that are dense need no global sort."""
-    return df.withColumn("chunk", F.floor(F.col(order) / max(1, n)).cast("bigint"))
+    """df with chunk, from 1: n rows each, the last perhaps fewer, by their place and not by the number itself."""
+    placed = with_position(df, order, "_place")
+    return placed.withColumn("chunk", F.floor(F.col("_place") / max(1, n)).cast("bigint") + 1).drop("_place")
 
 
 def crawl_stats(pages: DataFrame) -> DataFrame:
@@ -189,17 +214,25 @@ def next_unclaimed(queue: DataFrame, state: DataFrame, n: int = 1) -> DataFrame:
     return queue.join(state.select("isbn"), "isbn", "left_anti").orderBy("pos").limit(n)
 
 
-def queue_fingerprint(queue: DataFrame, slice_rows: int = 4096) -> DataFrame:
-    """Twelve hex digits that change with any number or its place.
+def queue_fingerprint(queue: DataFrame) -> DataFrame:
+    """The first twelve hex digits of the SHA-1 of all numbers in order, one a line: changes with any number or its place.
 
-    Numbers are digested by slices of the queue, so no list holds more than a slice,
-    or one digest a slice.
+    A digest of one text can only be taken in order, so one task does it; the rows
+    stream through it sorted, and none are held.
     """
-    digest = lambda c: F.sha1(F.array_join(c, "\n").cast("binary"))
-    listed = lambda a, b: F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda r: r[b])
-    slices = queue.withColumn("s", F.floor(F.col("pos") / slice_rows))
-    one = slices.groupBy("s").agg(digest(listed("pos", "isbn")).alias("h"))
-    return one.agg(F.substring(digest(listed("s", "h")), 1, 12).alias("queue_id"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, first = hashlib.sha1(usedforsecurity=False), True
+        for batch in batches:
+            if batch.num_rows:
+                text = "\n".join(x or "" for x in batch.column("isbn").to_pylist())
+                found.update((text if first else "\n" + text).encode())
+                first = False
+        yield pa.RecordBatch.from_pydict({"queue_id": [found.hexdigest()[:12]]})
+
+    found = queue.orderBy("pos").select("isbn").coalesce(1).mapInArrow(digest, "queue_id string")
+    nothing = F.substring(F.sha1(F.lit("").cast("binary")), 1, 12)
+    return found.agg(F.coalesce(F.max("queue_id"), nothing).alias("queue_id"))
 
 
 def resume_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ SELECT site, 'https://' || site || '.example.org/book/' || ean || '/' || CAST(sk
   CASE WHEN h % 8 = 3 THEN '' ELSE p_brand END AS editorial,
   {_cases("h % 9", ["'Paperback (8/28/2006)'", "'Rstica'", "'N/A'", "'Tapa dura'", "'Hardcover'", "'Kindle'", "'tapa blanda'", "'Trade Paperback'", "NULL"])} AS encuadernacion,
   CASE WHEN h % 6 = 5 THEN '' ELSE p_type END AS categoria,
-  CASE WHEN h % 5 = 4 THEN '' ELSE '<p>' || substring(text, 1, 200) || '</p>' END AS sinopsis,
+  CASE WHEN h % 5 = 4 THEN '' ELSE '<p>' || text || '</p>' END AS sinopsis,
   CASE WHEN h % 7 = 6 THEN '' WHEN lang = 'es' THEN 'castellano' WHEN lang = 'en' THEN 'English' ELSE lang END AS idioma,
   CASE WHEN h % 11 = 10 THEN '' ELSE CAST(p_size * 10 AS STRING) || ' paginas' END AS paginas,
   CASE WHEN h % 13 = 12 THEN '' ELSE CAST(p_size AS STRING) || ',5 X 20' END AS dimensiones,
@@ -72,8 +72,7 @@ FROM events
 """
 
 QUEUE = """
-SELECT CAST(user_id AS STRING) AS isbn, row_number() OVER (ORDER BY min(ts), user_id) AS pos
-FROM events WHERE user_id % 10 <> 3 GROUP BY user_id
+SELECT CAST(user_id AS STRING) AS isbn, min(event_id) AS pos FROM events WHERE user_id % 10 <> 3 GROUP BY user_id
 """
 
 
@@ -90,7 +89,10 @@ def table_of(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Dat
     """A derived table, written once per application to the shared folder and read as the Parquet table it stands for."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN or not exists(spark, f"{_WRITTEN[key]}/_SUCCESS"):
-        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = named or tempfile.mkdtemp(prefix="spark-shared-")
         path = f"{named.rstrip('/')}/shelfmerge/{name}-{uuid.uuid4().hex}"
         make().write.parquet(path)
         _WRITTEN[key] = path

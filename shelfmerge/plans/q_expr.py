@@ -143,9 +143,9 @@ def slugify(spark, sf):
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(w)), ' ') AS sorted, len(list_distinct(w)) AS n,
 array_to_string(list_transform(list_filter(list_zip(w, range(len(w))), lambda z: list_position(w, z[1]) = z[2] + 1), lambda z: z[1]), ' ') AS ordered
-FROM (SELECT doc_id, list_filter(string_split(substr(text, 1, 400), ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents))""")
+FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents))""")
 def ordered_distinct(spark, sf):
-    w = F.split(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 400), " ")
+    w = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     o = text.ordered_distinct(w)
     return documents(spark, sf).select(
         "doc_id", F.array_join(text.sorted_distinct(w), " ").alias("sorted"), F.size(o).cast("bigint").alias("n"), F.array_join(o, " ").alias("ordered")

@@ -54,12 +54,15 @@ def upsert_counts(spark, sf):
     return merge.upsert_counts(upserted(spark, sf))
 
 
-@query(with_book_std("""SELECT site, url, isbn, CAST(NULL AS VARCHAR) AS titulo FROM book_std WHERE h % 2 = 0
-UNION ALL SELECT site, url, isbn, titulo FROM book_std WHERE h % 3 = 0 AND h % 2 <> 0"""))
+@query(with_book_std("""SELECT site, url, CASE WHEN h % 4 = 0 THEN isbn || '-' ELSE isbn END AS isbn, CAST(NULL AS VARCHAR) AS titulo FROM book_std WHERE h % 2 = 0
+UNION ALL SELECT site, url, isbn, titulo FROM book_std WHERE h % 2 <> 0"""))
 def merge_tables(spark, sf):
     std = book_std(spark, sf)
-    dst = std.filter("h % 3 = 0").select("site", "url", "isbn", "titulo")
-    return merge.merge_tables(dst, std.filter("h % 2 = 0").select("site", "url", "isbn", "autor"))
+    dst = std.filter("h % 2 <> 0 or h % 3 = 0").select("site", "url", "isbn", "titulo")
+    src = std.filter("h % 2 = 0").select("site", "url", "isbn", "autor", F.lit(1).alias("seq"))
+    again = src.withColumns({"isbn": F.when(F.col("isbn") != "z", F.concat("isbn", F.lit("-"))), "seq": F.lit(2)})
+    again = again.join(std.filter("h % 4 = 0").select("site", "url"), ["site", "url"], "left_semi")
+    return merge.merge_tables(dst, again.unionByName(src), order="seq")
 
 
 SRC = "src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY isbn ORDER BY sk) AS r FROM book_std WHERE site = 'amazon_books' AND isbn <> '') WHERE r = 1)"
@@ -186,15 +189,15 @@ def cascade_stages(spark, sf):
     return out.withColumn("source_rank", F.col("source_rank").cast("bigint"))
 
 
-@query(with_both(f"""SELECT line_no // 50 AS chunk, count(*) AS submitted, count(*) FILTER (WHERE isbn IN ({HAVE})) AS found, count(*) FILTER (WHERE isbn NOT IN ({HAVE})) AS missing,
-round(count(*) FILTER (WHERE isbn IN ({HAVE})) / count(*), 4) AS rate FROM asked GROUP BY line_no // 50"""))
+@query(with_both(f"""SELECT chunk, count(*) AS submitted, count(*) FILTER (WHERE isbn IN ({HAVE})) AS found, count(*) FILTER (WHERE isbn NOT IN ({HAVE})) AS missing,
+round(count(*) FILTER (WHERE isbn IN ({HAVE})) / count(*), 4) AS rate FROM (SELECT *, (row_number() OVER (ORDER BY line_no) - 1) // 50 + 1 AS chunk FROM asked) GROUP BY chunk"""))
 def coverage(spark, sf):
     return worklist.coverage(worklist.chunk_worklist(asked(spark, sf)), have(spark, sf))
 
 
-@query(f"WITH q AS ({QUERIES}) SELECT line_no, raw, line_no // 37 AS chunk FROM q")
+@query(f"WITH q AS ({QUERIES}) SELECT line_no, raw, (row_number() OVER (ORDER BY line_no) - 1) // 37 + 1 AS chunk FROM q WHERE line_no % 10 <> 3")
 def chunk_worklist(spark, sf):
-    return worklist.chunk_worklist(queries_table(spark, sf), 37)
+    return worklist.chunk_worklist(queries_table(spark, sf).filter("line_no % 10 <> 3").drop("chunk"), 37)
 
 
 @query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN contains(url, '#') THEN 'skipped' WHEN length(html) < 2000 THEN 'errors' ELSE 'written' END AS outcome FROM pages) GROUP BY outcome")
@@ -281,8 +284,7 @@ def state_of_queue(spark, sf):
     return worklist.state_of_queue(held(spark, sf), queue(spark, sf)).select("isbn", "status")
 
 
-@query(f"""WITH q AS ({QUEUE}), one AS (SELECT pos // 4096 AS s, sha1(string_agg(isbn, chr(10) ORDER BY pos)) AS h FROM q GROUP BY pos // 4096)
-SELECT substr(sha1(string_agg(h, chr(10) ORDER BY s)), 1, 12) AS queue_id FROM one""")
+@query(f"SELECT substr(sha1(string_agg(isbn, chr(10) ORDER BY pos)), 1, 12) AS queue_id FROM ({QUEUE})")
 def queue_fingerprint(spark, sf):
     return worklist.queue_fingerprint(queue(spark, sf))
 

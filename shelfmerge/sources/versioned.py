@@ -1,0 +1,103 @@
+"""A Parquet table in buckets of its key, with versions: a write replaces the buckets it touches, in one step.
+
+The folder holds ``data``, with a folder for each write and in it one for each bucket,
+and ``versions``, with one small file for each version that names the folder of every
+bucket. A version counts from the moment its file has its name, by a rename to a name
+that was not there; whatever a stopped write has left behind belongs to no version. A
+version also names the batch that made it, so that a batch run again changes nothing.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BUCKETS = 64
+BUCKET = "_bucket"
+
+
+class VersionedTable:
+    """Rows by key, in ``buckets`` buckets; the number is fixed by the first write."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = BUCKETS):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.Path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        last = self.version()
+        self.buckets = last["buckets"] if last else buckets
+
+    def version(self) -> dict | None:
+        """The last version: number, batch, buckets, schema and folders; None before the first."""
+        folder = self.Path(f"{self.path}/versions")
+        if not self.fs.exists(folder):
+            return None
+        names = [s.getPath().getName() for s in self.fs.listStatus(folder)]
+        done = sorted(n for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+        if not done:
+            return None
+        text = "".join(r.value for r in self.spark.read.text(f"{self.path}/versions/{done[-1]}", wholetext=True).collect())
+        return json.loads(text)
+
+    def bucket_of(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        """The buckets that rows fall into: no more than there are."""
+        return sorted(r[0] for r in rows.select(self.bucket_of()).distinct().collect())
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """The table, or some buckets of it; None before the first write."""
+        last = self.version()
+        if not last:
+            return None
+        folders = [f for b, f in sorted(last["folders"].items()) if buckets is None or int(b) in buckets]
+        reader = self.spark.read.schema(last["schema"])
+        return reader.parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], last["schema"])
+
+    def seen(self, source: str, batch: int) -> bool:
+        last = self.version()
+        return bool(last) and last["batches"].get(source, -1) >= batch
+
+    def replace(self, rows: DataFrame, buckets: list[int], source: str = "", batch: int = -1) -> None:
+        """The rows become all there is in these buckets; other buckets stay."""
+        last = self.version() or {"number": 0, "folders": {}, "batches": {}}
+        name = f"data/{uuid.uuid4().hex}"
+        rows.withColumn(BUCKET, self.bucket_of()).write.partitionBy(BUCKET).parquet(f"{self.path}/{name}")
+        written = {s.getPath().getName() for s in self.fs.listStatus(self.Path(f"{self.path}/{name}"))}
+        folders = {b: f for b, f in last["folders"].items() if int(b) not in buckets}
+        folders |= {str(b): f"{name}/{BUCKET}={b}" for b in buckets if f"{BUCKET}={b}" in written}
+        self.publish(
+            {
+                "number": last["number"] + 1,
+                "batches": last["batches"] | ({source: batch} if batch >= 0 else {}),
+                "buckets": self.buckets,
+                "schema": ", ".join(f"`{c}` {t}" for c, t in rows.dtypes),
+                "folders": folders,
+            }
+        )
+        self.clean(last, folders)
+
+    def publish(self, version: dict) -> None:
+        folder = f"{self.path}/versions"
+        self.fs.mkdirs(self.Path(folder))
+        draft, final = self.Path(f"{folder}/.draft-{uuid.uuid4().hex}"), self.Path(f"{folder}/{version['number']:012d}.json")
+        out = self.fs.create(draft, True)
+        out.write(bytearray(json.dumps(version).encode()))
+        out.close()
+        if self.fs.exists(final) or not self.fs.rename(draft, final):
+            raise RuntimeError(f"another writer has made version {version['number']} of {self.path}")
+
+    def clean(self, before: dict, now: dict[str, str]) -> None:
+        """Drops what only versions before the last one name, so that readers of the last one may finish."""
+        number = before["number"] - 1
+        old = self.Path(f"{self.path}/versions/{number:012d}.json")
+        if number < 1 or not self.fs.exists(old):
+            return
+        text = "".join(r.value for r in self.spark.read.text(old.toString(), wholetext=True).collect())
+        kept = set(before["folders"].values()) | set(now.values())
+        for folder in set(json.loads(text)["folders"].values()) - kept:
+            self.fs.delete(self.Path(f"{self.path}/{folder}"), True)
+        self.fs.delete(old, False)

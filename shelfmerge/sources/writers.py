@@ -49,18 +49,3 @@ def write_chunks(df: DataFrame, path: str, n: int = 50, column: str = "raw") ->
     """A folder for each n lines."""
     chunks = chunk_worklist(df, n).select(F.col(column).alias("value"), "chunk")
     chunks.repartition("chunk").sortWithinPartitions("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
-
-
-def swap_table(df: DataFrame, path: str) -> None:
-    """Replaces a Parquet table by rows that may have been read from it: written beside, then renamed into place."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fresh, old = hadoop(path + ".new"), hadoop(path)
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = hadoop(path + ".old")
-    fs.delete(gone, True)
-    if fs.exists(old):
-        fs.rename(old, gone)
-    fs.rename(fresh, old)
-    fs.delete(gone, True)

@@ -10,6 +10,7 @@ from shelfmerge.functions import ids, text, urls, values
 from shelfmerge.operators import extract, gold, matching, merge, standard, worklist
 from shelfmerge.plans.fixtures import book_std, lease_events
 from shelfmerge.sources import readers, writers
+from shelfmerge.sources.versioned import VersionedTable
 from shelfmerge.streaming import jobs
 
 
@@ -166,6 +167,90 @@ def test_similarity(spark):
     assert got == [0.75, 0.0]
 
 
+CAPTURED = "site string, url string, isbn string, titulo string, encuadernacion string, updated_at timestamp, seq bigint"
+
+
+def captures_of(spark, *keys, title="t"):
+    return spark.createDataFrame([("s", k, "", f"{title} {k}", "", None, n) for n, k in enumerate(keys)], CAPTURED)
+
+
+def titles(spark, table):
+    held = VersionedTable(spark, table, merge.KEY).read()
+    return {} if held is None else {r.url: r.titulo for r in held.collect()}
+
+
+def test_a_write_stopped_anywhere_loses_no_row(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "t")
+    put = jobs.capture_batch(table, "c")
+    put(captures_of(spark, "a", "b", "c"), 0)
+    want = titles(spark, table)
+    assert set(want) == {"a", "b", "c"}
+    for step in ("publish", "clean"):
+        real = getattr(VersionedTable, step)
+        monkeypatch.setattr(VersionedTable, step, lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            put(captures_of(spark, "b", "d", title="new"), 1)
+        monkeypatch.setattr(VersionedTable, step, real)
+        want |= {} if step == "publish" else {"b": "new b", "d": "new d"}
+        assert titles(spark, table) == want
+    put(captures_of(spark, "b", "d", title="again"), 1)  # the batch is known
+    assert titles(spark, table) == want
+    put(captures_of(spark, "e"), 2)
+    assert set(titles(spark, table)) == {"a", "b", "c", "d", "e"}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    table = str(tmp_path / "t")
+    put = jobs.capture_batch(table, "c")
+    put(captures_of(spark, *map(str, range(40))), 0)
+    before = VersionedTable(spark, table, merge.KEY).version()["folders"]
+    put(captures_of(spark, "7", title="new"), 1)
+    after = VersionedTable(spark, table, merge.KEY).version()["folders"]
+    assert sum(before[b] != after[b] for b in after) == 1 and len(before) > 10
+    for k in range(3):
+        put(captures_of(spark, "7", title=f"new {k}"), 2 + k)
+    assert titles(spark, table)["7"] == "new 2 7" and len(titles(spark, table)) == 40
+    assert len([f for f in os.listdir(tmp_path / "t" / "versions") if f.endswith(".json")]) == 2
+
+
+def test_chunks_go_by_place(spark):
+    lines = spark.createDataFrame([(n, str(n)) for n in range(1, 101)], "line_no long, raw string").repartition(3)
+    got = worklist.chunk_worklist(lines, 50).groupBy("chunk").agg(F.count("*").alias("n"), F.min("line_no").alias("a")).orderBy("chunk").collect()
+    assert [tuple(r) for r in got] == [(1, 50, 1), (2, 50, 51)]
+    far = lines.withColumn("line_no", F.col("line_no") + F.when(F.col("line_no") > 70, 1 << 34).otherwise(0))
+    assert sorted(r.n for r in worklist.chunk_worklist(far, 30).groupBy("chunk").agg(F.count("*").alias("n")).collect()) == [10, 30, 30, 30]
+
+
+def test_queue_digest_and_merge_of_repeated_keys(spark):
+    queue = spark.createDataFrame([("9780306406157", 9), ("9780000000002", 1)], "isbn string, pos long").repartition(4)
+    assert worklist.queue_fingerprint(queue).first().queue_id == "6f0e1bd6828f"
+    assert worklist.queue_fingerprint(queue.limit(0)).first().queue_id == "da39a3ee5e6b"
+    dst = spark.createDataFrame([("s", "u", "old", "x"), ("s", "v", "kept", "y")], "site string, url string, isbn string, titulo string")
+    src = spark.createDataFrame([("s", "u", "1", 1), ("s", "u", "3", 3), ("s", "u", "2", 2), ("s", "w", "9", 1)], "site string, url string, isbn string, seq int")
+    rows = {(r.url, r.isbn, r.titulo) for r in merge.merge_tables(dst, src, order="seq").collect()}
+    assert rows == {("u", "3", None), ("v", "kept", "y"), ("w", "9", None)}
+    assert merge.merge_tables(dst, src.drop("seq")).count() == 3
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("Garc&iacute;a M&#225;rquez &amp; C&#xED;a", "García Márquez & Cía"), ("&amp;lt; &lt;b&gt; &quot;x&#39;", "&lt; <b> \"x'"),
+        ("a & b &unknown; &#0; &#xD800; &; &", "a & b &unknown; &#0; &#xD800; &; &"), ("&#128218;&euro;&ntilde;&Ntilde;", "📚€ñÑ"), ("x&nbsp;&#160;y", "x y"),
+    ],
+)
+def test_entities(spark, html, want):
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(text.strip_html(F.col("h"))).first()[0] == want
+
+
+def test_too_many_keys_are_an_error(spark):
+    df = spark.createDataFrame([(json.dumps({f"k{i}": 1 for i in range(6)}),)], "props string")
+    assert len(standard.clean_table(df, [], "props", 6).columns) == 7
+    with pytest.raises(ValueError, match="more than 5"):
+        standard.clean_table(df, [], "props", 5)
+
+
 def drain(df, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -179,12 +264,21 @@ def test_streams(spark, sf, tmp_path):
     stream = spark.readStream.schema(std.schema).parquet(src)
     table = str(tmp_path / "table")
     jobs.stream_ingest(stream, table, str(tmp_path / "c1")).awaitTermination()
-    n = spark.read.parquet(table).count()
+    rows_of = lambda: VersionedTable(spark, table, merge.KEY).read()
+    n = rows_of().count()
     assert n == spark.read.parquet(src).count()
     jobs.stream_ingest(stream, table, str(tmp_path / "c2")).awaitTermination()
-    assert spark.read.parquet(table).count() == n
+    assert rows_of().count() == n
+    lacking = rows_of().filter("site = 'amazon_books' and autor is not null and isbn <> ''").select("isbn").distinct()
+    other = lacking.withColumns({"site": F.lit("other"), "url": F.concat(F.lit("u"), "isbn")}).limit(20).collect()
+    empty = [c for c in std.columns if c not in ("isbn", "site", "url", "updated_at", "seq")]
+    rows = spark.createDataFrame(other).select("site", "url", "isbn", *[F.lit("").alias(c) for c in empty], F.current_timestamp().cast(dict(std.dtypes)["updated_at"]).alias("updated_at"), F.lit(1).cast(dict(std.dtypes)["seq"]).alias("seq"))
+    jobs.capture_batch(table, "more")(rows.select(*std.columns), 0)
+    n += len(other)
+    blank = lambda: rows_of().filter("site = 'other' and trim(autor) = ''").count()
+    before = blank()
     jobs.stream_enrich(stream, table, str(tmp_path / "c3")).awaitTermination()
-    assert spark.read.parquet(table).count() == n
+    assert rows_of().count() == n and blank() < before
     ev = lease_events(spark, sf)
     ev.repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "ev"))
     s = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))
