@@ -55,9 +55,12 @@ def collapse(c: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Numeric and named character references as their characters, each once; what is none of them stays."""
-    parts = F.split(c, "&")
-    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
-    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
+
+    def joined(parts: Column) -> Column:
+        rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+        return F.concat(parts[0], F.array_join(F.transform(rest, decoded), ""))
+
+    return let(F.split(c, "&"), joined)
 
 
 def decoded(part: Column) -> Column:

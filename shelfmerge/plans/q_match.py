@@ -1,8 +1,11 @@
 """Matching and extraction."""
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from shelfmerge.operators import extract, matching
+from shelfmerge.operators import extract, matching, site_specs
 from shelfmerge.plans import duck as d
 from shelfmerge.plans.base import query
 from shelfmerge.plans.fixtures import book_std, with_book_std
@@ -115,6 +118,32 @@ def extract_fields(spark, sf):
     return extract.extract_fields(pages(spark, sf)).select("page_id", "url", "titulo")
 
 
+#: Product pages as five sites write them, from the listings' own values.
+SITE_PAGES = {
+    "el_lector": "<h1 class='x product_title'>{t}</h1><div class='product-brand'><b>Autor:</b> x Autor: <a href='/a'>{a}</a></div><span class='sku'>{i}</span><table class='table'><tr><th>Editorial</th> <td>{e}</td></tr></table>",
+    "contrapunto": "<h1>{t}</h1><ul><li>Autor: <a>{a}</a></li><li> Editor: {e} </li></ul><dl><dt>ISBN</dt><dd class='isbn'>{i}</dd></dl>",
+    "yenny": "<h1 class='h1 js-product-name'>{t}</h1><p class='text-accent mb-3'>{a}</p><div class='std'><div><strong>ISBN:</strong> {i}</div><div><strong>Editorial:</strong> {e}</div></div>",
+    "bookpeople": "<h1 class='product-details__title'>{t}</h1><a href='/search?type=author&x'>{a}</a><div class='f--variation_field_publisher__11'><div class='product-details__label'>Publisher:</div>{e}</div><div class='f--variation_field_isbn_13__11'><div class='product-details__label'>ISBN:</div>{i}</div>",
+    "amazon_books": "<span id='productTitle' class='a'> {t} </span><span class='author notFaded'><a href='/x'>{a}</a></span><li><span class='a-text-bold'>Editorial &rlm; : </span> <span>{e}</span></li><li><span class='a-text-bold'>ISBN-13 : </span><span>{i}</span></li>",
+}
+SPEC_OF = {"contrapunto": "riverside"}
+
+
+@query(with_book_std(f"""SELECT site, url, {d.collapse("coalesce(titulo, '')")} AS titulo, coalesce(autor, '') AS autor, isbn,
+CASE WHEN site = 'el_lector' THEN {d.initcap("coalesce(editorial, '')")} ELSE coalesce(editorial, '') END AS editorial FROM book_std
+WHERE site IN ({", ".join(f"'{s}'" for s in SITE_PAGES)})"""))
+def extract_site_fields(spark, sf):
+    std = book_std(spark, sf)
+    shown = {k: F.coalesce(c, F.lit("")) for k, c in {"t": "titulo", "a": "autor", "i": "isbn", "e": "editorial"}.items()}
+    out = []
+    for site, form in SITE_PAGES.items():
+        parts = [shown[x[1]] if x in ("{t}", "{a}", "{i}", "{e}") else F.lit(x) for x in re.split(r"(\{[taie]\})", form) if x]
+        page = std.filter(F.col("site") == site).select(F.col("pk").alias("page_id"), "url", F.concat(*parts).alias("html"))
+        found = extract.extract_fields(page, site_specs.spec_of(SPEC_OF.get(site, site)))
+        out.append(found.select(F.lit(site).alias("site"), "url", "titulo", "autor", "isbn", "editorial"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @query(f"""SELECT page_id, min(k) - 1 AS first_at, link FROM (SELECT page_id, k, {d.canonical(d.resolve("url", "href"))} AS link FROM (SELECT page_id, url, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS k
 FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"'']+)', 1) AS l FROM pages))) GROUP BY page_id, link""")
 def extract_links(spark, sf):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmerge.functions import ids, text, urls, values
-from shelfmerge.operators import extract, gold, matching, merge, standard, worklist
+from shelfmerge.operators import extract, gold, matching, merge, site_specs, standard, worklist
 from shelfmerge.plans.fixtures import book_std, lease_events
 from shelfmerge.sources import readers, writers
 from shelfmerge.sources.versioned import VersionedTable
@@ -161,6 +161,39 @@ def test_extraction_of_odd_pages(spark):
     assert extract.extract_block(df, "x").count() == 3
 
 
+GOLDEN = {
+    "el_lector": (
+        "<img class='w-100' src='/i/1.jpg'><h1 class='product_title'>El t&iacute;tulo</h1><div class='product-brand'>Autor: <a>Ana D&#237;az</a></div><span class='sku'>978-1</span>"
+        "<div class='format'><span class='value'>Libro - Tapa dura</span><span class='value'>Espa&ntilde;ol</span></div><table><tr><th>Páginas</th><td>120</td></tr><tr><th>Medidas</th><td>21,5 X 14</td></tr></table>",
+        {"titulo": "El título", "autor": "Ana Díaz", "isbn": "9781", "idioma": "Español", "paginas": "120 págs", "dimensiones": "21.5 x 14 cm", "url_portada": "/i/1.jpg"},
+    ),
+    "riverside": (
+        "<header><h1>T</h1></header><p>uno</p><p>dos</p><dl><dd class='tapa'>Blanda</dd><dd class='paginas'>99</dd></dl><li>Editor: E</li><a id='portada_imagen' class='x' href='/p.jpg'>",
+        {"titulo": "T", "encuadernacion": "Blanda", "editorial": "E", "sinopsis": "uno\ndos", "url_portada": "/p.jpg", "autor": ""},
+    ),
+    "yenny": (
+        "<h1 class='js-product-name'>T</h1><span id='price_display' class='p' data-product-price='123400'>$1.234</span><div><strong>Fecha de publicación:</strong> 09/03/2022</div><div><strong>Páginas:</strong> 7</div>",
+        {"titulo": "T", "precio": "123400", "fecha_publicacion": "2022-03-09", "paginas": "7 págs"},
+    ),
+    "bookpeople": (
+        "<h1 class='product-details__title'>T</h1><time datetime='2025-11-18T00:00:00-06:00'>x</time><p class='product-details__price'>Now $12.50</p><select name='related_products'><option>a</option><option selected>Hardcover</option></select>",
+        {"titulo": "T", "fecha_publicacion": "2025-11-18", "precio": "12.50", "encuadernacion": "Hardcover"},
+    ),
+    "amazon_books": (
+        '<script type="application/ld+json">{"name":"The T","author":[{"@type":"Person","name":"A B"}],"isbn":"9780000000002"}</script><span id="productTitle">Other</span><span id="productSubtitle" class="s">Paperback – May 1, 2020</span>'
+        '<span class="a-text-bold">Print length \u200f : \u200e </span> <span>310 pages</span><img id="landingImage" src="s.jpg" data-old-hires="big.jpg">',
+        {"titulo": "The T", "autor": "A B", "isbn": "9780000000002", "encuadernacion": "Paperback", "paginas": "310 págs", "url_portada": "big.jpg"},
+    ),
+}
+
+
+@pytest.mark.parametrize("site", sorted(GOLDEN))
+def test_golden_pages_of_sites(spark, site):
+    html, want = GOLDEN[site]
+    row = extract.extract_fields(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), site_specs.spec_of(site)).first()
+    assert {k: row[k] for k in want} == want
+
+
 def test_similarity(spark):
     df = spark.createDataFrame([("abcd", "bcde"), (None, "x")], "a string, b string")
     got = [r.v for r in df.select(matching.title_similarity("a", "b").alias("v")).collect()]
