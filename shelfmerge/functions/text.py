@@ -60,7 +60,7 @@ def decode_entities(c: Column) -> Column:
         rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
         return F.concat(parts[0], F.array_join(F.transform(rest, decoded), ""))
 
-    return let(F.split(c, "&"), joined)
+    return let(c, lambda x: F.when(x.contains("&"), let(F.split(x, "&"), joined)).otherwise(x))
 
 
 def decoded(part: Column) -> Column:

@@ -121,9 +121,14 @@ def dupes(std: DataFrame, *keys: str, n: int = 100) -> DataFrame:
     return found.orderBy(F.desc("c"), *keys).limit(n)
 
 
+def each_issue(std: DataFrame, *columns: str) -> DataFrame:
+    """One row per issue, as i. A plain explode would have the optimizer work out all issues once more to see if there are any."""
+    return std.select(*columns, F.explode_outer("qc_issues").alias("i")).filter(F.col("i").isNotNull())
+
+
 def qc_report(std: DataFrame, only_warn: bool = False, min_count: int = 1) -> DataFrame:
     """Issues by (site, code, severity) with a __TOTAL__ row for each site; min_count holds for the others."""
-    issue = std.select("site", F.explode("qc_issues").alias("i"))
+    issue = each_issue(std, "site")
     rows = issue.select(
         "site",
         F.when(is_blank(F.col("i.code")), "UNKNOWN").otherwise(F.col("i.code")).alias("code"),
@@ -145,7 +150,7 @@ def qc_report(std: DataFrame, only_warn: bool = False, min_count: int = 1) -> Da
 
 def qc_details(std: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per issue."""
-    rows = std.select("site", "url", F.explode("qc_issues").alias("i")).select("site", "url", "i.*")
+    rows = each_issue(std, "site", "url").select("site", "url", "i.*")
     return rows.orderBy("site", "url", "code").limit(limit) if limit else rows
 
 
