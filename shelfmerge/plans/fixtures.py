@@ -85,15 +85,19 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local master without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
+
+
 def table_of(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, written once per application to the shared folder and read as the Parquet table it stands for."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN or not exists(spark, f"{_WRITTEN[key]}/_SUCCESS"):
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = named or tempfile.mkdtemp(prefix="spark-shared-")
-        path = f"{named.rstrip('/')}/shelfmerge/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/shelfmerge/{name}-{uuid.uuid4().hex}"
         make().write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])

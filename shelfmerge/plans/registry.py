@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmerge.plans import base, q_expr, q_match, q_reports, q_standard, q_work  # noqa: F401  (they register)
+from shelfmerge.plans import base, q_expr, q_match, q_reports, q_sinks, q_standard, q_work  # noqa: F401  (they register)
 
 
 def queries() -> dict[str, base.Query]:
