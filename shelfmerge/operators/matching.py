@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,10 @@ SCORED = "titulo autor editorial idioma paginas encuadernacion fecha_publicacion
 @F.pandas_udf(DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two titles; missing ones give 0."""
-    return pd.Series(
-        [difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)]
-    )
+    known: dict[tuple, float] = {}
+    for x, y in set(zip(a, b, strict=True)):
+        known[x, y] = difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+    return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype="float64")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -43,24 +45,98 @@ def match_flags(pairs: DataFrame) -> DataFrame:
     )
 
 
-def match_candidates(queries: DataFrame, candidates: DataFrame, block: int = 4) -> DataFrame:
-    """Pairs by number, and by title where both start alike, each pair once with its flags and similarity.
+#: Rows of one word that one task takes; words with more are dealt in parts.
+PART = 1 << 16
+#: Tasks that share the count of one word.
+SPLIT = 32
+
+
+def title_classes(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
+    """(title, words, first_id, n): the distinct normalized titles, the smallest id of each and how many rows hold it."""
+    title = normalize_title(F.col(title_column))
+    classes = df.select(title.alias("title"), F.col(id_column).alias("_id")).filter("title IS NOT NULL")
+    classes = classes.groupBy("title").agg(F.min("_id").alias("first_id"), F.count("*").alias("n"))
+    return classes.withColumn("words", F.array_distinct(F.split("title", " ")))
+
+
+def by_rarity(titles: DataFrame) -> DataFrame:
+    """(side, title, size, word, place, rows): each word of each title, placed from the rarest on.
 
-    queries: (query_id, q_isbn, q_title); candidates: (cand_id, isbn, titulo). Titles
-    meet by equal first characters, never all with all.
+    A word's count is gathered and handed back in SPLIT shares, so a word of a third
+    of all titles is no single task's work.
     """
-    number = queries.withColumn("_k", F.explode(isbn_candidates(F.col("q_isbn"))))
-    by_isbn = number.join(candidates.withColumn("_k", normalize_isbn(F.col("isbn"))).filter("_k <> ''"), "_k").drop("_k")
-    start = lambda c: F.substring(normalize_title(F.col(c)), 1, block)
-    by_title = (
-        queries.withColumn("_k", start("q_title"))
-        .join(candidates.withColumn("_k", start("titulo")), "_k")
-        .drop("_k")
-    )
-    pairs = match_flags(by_isbn.unionByName(by_title).dropDuplicates(["query_id", "cand_id"]))
-    return pairs.withColumn(
-        "similitud_titulo", title_similarity(F.lower(F.col("q_title")), F.lower(F.col("titulo")))
-    )
+    share = F.pmod(F.xxhash64("title"), F.lit(SPLIT)).alias("_s")
+    words = titles.select("side", "title", F.size("words").alias("size"), F.explode("words").alias("word"), share)
+    count = words.groupBy("word", "_s").count().groupBy("word").agg(F.sum("count").alias("rows"))
+    known = words.join(count.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)).cast("array<bigint>"))), ["word", "_s"])
+    placed = known.groupBy("side", "title", "size").agg(F.array_sort(F.collect_list(F.struct("rows", "word"))).alias("w"))
+    return placed.select("side", "title", "size", F.posexplode("w").alias("place", "w")).select("side", "title", "size", "w.word", "place", "w.rows")
+
+
+def dealt_join(many: DataFrame, few: DataFrame, on: str, rows: str, deal_by: Column, rule: Column | None = None) -> DataFrame:
+    """Inner join on a column; keys with over PART rows (a column of both sides) are dealt in parts, for which few is repeated."""
+    parts = F.ceil(F.col(rows) / PART).cast("bigint")
+    left = many.withColumn("_p", F.pmod(deal_by, parts)).drop(rows)
+    right = few.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop(rows)
+    both = left.join(right, [on, "_p"])
+    return (both.filter(rule) if rule is not None else both).drop(on, "_p")
+
+
+def title_links(queries: DataFrame, candidates: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """(q, c): all pairs of distinct titles whose word sets are alike by Jaccard ``overlap`` or one of which holds all words of the other.
+
+    queries and candidates: title_classes(). Two titles alike by the first rule share
+    one of the rarest ``size - ceil(overlap * size) + 1`` words of each; where one
+    holds the other, it has the other's rarest word. So only these words are joined,
+    and no pair is lost.
+    """
+    sides = queries.select(F.lit("q").alias("side"), "title", "words").unionByName(candidates.select(F.lit("c").alias("side"), "title", "words"))
+    words = by_rarity(sides)
+    q = words.filter("side = 'q'").select("word", "rows", F.col("title").alias("q"), F.col("size").alias("q_size"), F.col("place").alias("q_place"))
+    c = words.filter("side = 'c'").select("word", "rows", F.col("title").alias("c"), F.col("size").alias("c_size"), F.col("place").alias("c_place"))
+    start = lambda side: F.col(f"{side}_place") <= F.col(f"{side}_size") - F.ceil(F.col(f"{side}_size") * overlap - 1e-9)
+    # what both can still share behind this word has to be enough
+    most = F.least(F.col("q_size") - F.col("q_place"), F.col("c_size") - F.col("c_place"))
+    enough = most + F.least("q_place", "c_place") >= overlap / (1 + overlap) * (F.col("q_size") + F.col("c_size")) - 1e-9
+    deal = lambda side: F.xxhash64(side)
+    alike = dealt_join(c.filter(start("c")), q.filter(start("q")), "word", "rows", deal("c"), enough)
+    within = dealt_join(c, q.filter("q_place = 0"), "word", "rows", deal("c"), F.col("q_size") <= F.col("c_size"))
+    around = dealt_join(q, c.filter("c_place = 0"), "word", "rows", deal("q"), F.col("c_size") < F.col("q_size"))
+    pairs = alike.select("q", "c").union(within.select("q", "c")).union(around.select("q", "c")).distinct()
+    a, b = F.array_distinct(F.split("q", " ")), F.array_distinct(F.split("c", " "))
+    both, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
+    union = F.size(a) + F.size(b) - both
+    return pairs.filter((both >= union * overlap - 1e-9) | (both == least))
+
+
+def match_pairs(queries: DataFrame, candidates: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """Pairs by number, and by title_links(), each once with its flags.
+
+    queries: (query_id, q_isbn, q_title); candidates: (cand_id, isbn, titulo), ids
+    being unique. By number, candidates of one number and one title are one; by
+    title, those of one title: the smallest cand_id stands for them, and
+    title_classes() says how many they are. Blank titles meet nothing, nor do
+    blank numbers.
+    """
+    title = normalize_title(F.col("titulo"))
+    numbered = candidates.withColumn("_k", normalize_isbn(F.col("isbn"))).filter("_k <> ''")
+    numbered = numbered.groupBy("_k", title.alias("_t")).agg(F.min_by(F.struct(*candidates.columns), "cand_id").alias("r")).select("_k", "r.*")
+    asked = queries.withColumn("_k", F.explode(isbn_candidates(F.col("q_isbn"))))
+    by_isbn = asked.join(numbered, "_k").drop("_k")
+    q, c = title_classes(queries, "query_id", "q_title"), title_classes(candidates, "cand_id", "titulo")
+    first = candidates.join(c.select(F.col("first_id").alias("cand_id"), F.col("title").alias("c")), "cand_id")
+    linked = title_links(q, c, overlap).join(first, "c").drop("c")
+    linked = linked.join(q.select(F.col("title").alias("q"), F.col("n").alias("rows")), "q")
+    hot = q.filter(F.col("n") > PART).select(F.col("title").alias("q"), F.col("n").alias("rows"))
+    own = queries.withColumn("q", normalize_title(F.col("q_title"))).join(hot, "q", "left")
+    by_title = dealt_join(own.withColumn("rows", F.coalesce("rows", F.lit(1))), linked, "q", "rows", F.xxhash64("query_id"))
+    return match_flags(by_isbn.unionByName(by_title).dropDuplicates(["query_id", "cand_id"]))
+
+
+def match_candidates(queries: DataFrame, candidates: DataFrame, overlap: float = 0.5, similarity: Callable[[Column, Column], Column] = title_similarity) -> DataFrame:
+    """match_pairs() with the similarity of the lower-cased titles."""
+    alike = similarity(F.lower(F.col("q_title")), F.lower(F.col("titulo")))
+    return match_pairs(queries, candidates, overlap).withColumn("similitud_titulo", alike)
 
 
 def match_score(similarity: Column | float = 0.0) -> Column:

@@ -4,32 +4,47 @@ import re
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfmerge.operators import extract, matching, site_specs
 from shelfmerge.plans import duck as d
 from shelfmerge.plans.base import query
-from shelfmerge.plans.fixtures import book_std, with_book_std
+from shelfmerge.plans.fixtures import book_std, derived, table_of, with_book_std
 from shelfmerge.sources import readers
 
-#: Candidates of each part: those that start alike and fall in one residue class, and mostly the part itself.
-PAIRS = """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY (query_id * 31 + cand_id * 17) % 1009, cand_id) AS BIGINT) AS position, cand_id,
-'978' || lpad(CAST(query_id AS STRING), 10, '0') AS q_isbn, q_title, '978' || lpad(CAST(cand_id AS STRING), 10, '0') AS isbn, titulo FROM (
-SELECT q.p_partkey AS query_id, c.p_partkey AS cand_id, q.p_name AS q_title, CASE WHEN c.p_partkey % 3 = 0 THEN c.p_name ELSE c.p_name || ' ' || CAST(c.p_partkey % 3 AS STRING) END AS titulo
-FROM part q JOIN part c ON c.p_partkey % 97 = (q.p_partkey * 7) % 97 AND substr(c.p_name, 1, 4) = substr(q.p_name, 1, 4)
-WHERE c.p_partkey <> q.p_partkey OR q.p_partkey % 4 <> 0
-UNION ALL SELECT p_partkey, p_partkey, p_name, p_name FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 97 <> (p_partkey * 7) % 97) u"""
+#: Every part asks by a number, which a quarter of them has wrong, and by its name; every part is offered under three kinds of titles.
+ASKED = """SELECT p_partkey AS query_id, CASE WHEN p_partkey % 4 = 0 THEN '979' ELSE '978' END || lpad(CAST(p_partkey AS STRING), 10, '0') AS q_isbn, p_name AS q_title FROM part"""
+OFFERED = """SELECT p_partkey AS cand_id, '978' || lpad(CAST(p_partkey AS STRING), 10, '0') AS isbn,
+CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) || ': ' || p_brand ELSE p_type || ' ' || p_name END AS titulo FROM part"""
+
+
+def asked(spark, sf):
+    return derived(spark, sf, ASKED, "part")
+
+
+def offered(spark, sf):
+    return derived(spark, sf, OFFERED, "part")
 
 
 def pairs(spark, sf):
-    spark.read.parquet(f"{sf}/part.parquet").createOrReplaceTempView("part")
-    return spark.sql(PAIRS)
+    """Each query's pairs by number and by title, numbered in an order of their own."""
+    made = lambda: matching.match_pairs(asked(spark, sf), offered(spark, sf)).drop("isbn_match", "titulo_match_estricto", "titulo_match_relajado")
+    order = Window.partitionBy("query_id").orderBy((F.col("query_id") * 31 + F.col("cand_id") * 17) % 1009, "cand_id")
+    return table_of(spark, sf, "match_pairs", made).withColumn("position", F.row_number().over(order).cast("bigint"))
 
 
 def norm(c):
     return f"nullif(trim(regexp_replace({d.fold(f'lower({c})')}, '[^a-z0-9]+', ' ', 'g')), '')"
 
 
-FLAGS = f"""p AS ({PAIRS}), n AS (SELECT *, {norm("q_title")} AS a, {norm("titulo")} AS b FROM p),
+#: The same by brute force over the distinct titles.
+PAIRS = f"""asked AS ({ASKED}), offered AS ({OFFERED}),
+qt AS (SELECT DISTINCT q_title, {norm("q_title")} AS qn FROM asked), ct AS (SELECT {norm("titulo")} AS cn, min(cand_id) AS cand_id FROM offered GROUP BY ALL),
+tl AS (SELECT q_title, cand_id, list_distinct(string_split(qn, ' ')) AS a, list_distinct(string_split(cn, ' ')) AS b, len(list_intersect(a, b)) AS n_both FROM qt, ct),
+ids AS (SELECT query_id, cand_id FROM asked JOIN offered ON q_isbn = isbn
+ UNION SELECT query_id, cand_id FROM asked JOIN tl USING (q_title) WHERE n_both * 2 >= len(a) + len(b) - n_both OR n_both = least(len(a), len(b))),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (query_id * 31 + cand_id * 17) % 1009, cand_id) AS position FROM ids JOIN asked USING (query_id) JOIN offered USING (cand_id))"""
+FLAGS = f"""{PAIRS}, n AS (SELECT *, {norm("q_title")} AS a, {norm("titulo")} AS b FROM p),
 m AS (SELECT *, q_isbn = isbn AS isbn_match, coalesce(a = b, false) AS strict, coalesce(contains(b, a) OR contains(a, b), false) AND NOT coalesce(a = b, false) AS relaxed FROM n),
 s AS (SELECT *, CASE WHEN isbn_match THEN 100.0 ELSE 0 END + CASE WHEN strict THEN 20.0 ELSE 0 END + CASE WHEN relaxed THEN 5.0 ELSE 0 END AS score FROM m)"""
 
@@ -51,24 +66,30 @@ def match_reason(spark, sf):
     return matching.match_flags(pairs(spark, sf)).select("query_id", "cand_id", matching.match_reason().alias("reason"))
 
 
-@query()
+LIKENESS = "round(1 - levenshtein(lower(q_title), lower(titulo)) / greatest(length(q_title), length(titulo)), 6)"
+
+
+@query(f"WITH {FLAGS} SELECT query_id, cand_id, isbn_match, strict AS titulo_match_estricto, relaxed AS titulo_match_relajado, {LIKENESS} AS similitud_titulo FROM s")
 def match_candidates(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    isbn = F.concat(F.lit("978"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
-    q = part.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("query_id"), isbn.alias("q_isbn"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 7).cast("string")).alias("q_title"))
-    c = part.select(F.col("p_partkey").alias("cand_id"), isbn.alias("isbn"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 7).cast("string")).alias("titulo"))
-    c = c.withColumn("titulo", F.concat((F.col("cand_id") % 500).cast("string"), F.lit(" "), "titulo"))
-    q = q.withColumn("q_title", F.concat((F.col("query_id") % 500).cast("string"), F.lit(" "), "q_title"))
-    return matching.match_candidates(q, c).select("query_id", "cand_id", "isbn_match", F.round("similitud_titulo", 6).alias("similitud_titulo"))
+    found = matching.match_candidates(asked(spark, sf), offered(spark, sf), similarity=matching.edit_similarity)
+    flags = ["isbn_match", "titulo_match_estricto", "titulo_match_relajado"]
+    return found.select("query_id", "cand_id", *flags, F.round("similitud_titulo", 6).alias("similitud_titulo"))
+
+
+@query()
+def title_similarity(spark, sf):
+    """The ratio that SQL lacks; tests hold it against its definition."""
+    s = matching.title_similarity(F.lower(F.col("q_title")), F.lower(F.col("titulo")))
+    return pairs(spark, sf).select("query_id", "cand_id", F.round(s, 6).alias("similarity"))
 
 
-@query(f"""WITH p AS ({PAIRS}) SELECT query_id, cand_id, round(1 - levenshtein(q_title, titulo) / greatest(length(q_title), length(titulo)), 6) AS similarity FROM p""")
+@query(f"""WITH {PAIRS} SELECT query_id, cand_id, round(1 - levenshtein(q_title, titulo) / greatest(length(q_title), length(titulo)), 6) AS similarity FROM p""")
 def edit_similarity(spark, sf):
     s = matching.edit_similarity(F.col("q_title"), F.col("titulo"))
     return pairs(spark, sf).select("query_id", "cand_id", F.round(s, 6).alias("similarity"))
 
 
-@query(f"""WITH p AS ({PAIRS}), k AS (SELECT query_id, cand_id, position, query_id % 2 = 0 AS num, CASE WHEN query_id % 2 = 0 THEN CASE WHEN isbn = q_isbn THEN 10.0 ELSE 0.0 END
+@query(f"""WITH {PAIRS}, k AS (SELECT query_id, cand_id, position, query_id % 2 = 0 AS num, CASE WHEN query_id % 2 = 0 THEN CASE WHEN isbn = q_isbn THEN 10.0 ELSE 0.0 END
 ELSE 1 - levenshtein(lower(q_title), lower(titulo)) / greatest(length(q_title), length(titulo)) END AS score FROM p)
 SELECT query_id, cand_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM k WHERE NOT num OR score >= 8) WHERE rank <= 3""")
 def topk_per_query(spark, sf):

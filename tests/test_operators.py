@@ -1,7 +1,10 @@
 """Golden values, invariants, sources, sinks and streams."""
 
+import difflib
 import json
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +203,43 @@ def test_similarity(spark):
     assert got == [0.75, 0.0]
 
 
+@pytest.mark.parametrize("part", [3, 1 << 16])
+@pytest.mark.parametrize("overlap", [0.5, 0.8])
+def test_title_pairs_against_all_pairs(spark, monkeypatch, part, overlap):
+    monkeypatch.setattr(matching, "PART", part)  # three rows make a word hot: it is dealt in parts
+    rng = random.Random(part)
+    common, rare = ["the", "lost", "of"], [f"w{i}" for i in range(25)]
+    title = lambda: " ".join(rng.choices(common, k=rng.randint(0, 3)) + rng.choices(rare, k=rng.randint(0, 4)))
+    asked = [(i, "", title()) for i in range(60)] + [(60, None, None), (61, "", "  "), (62, "", "THE, Lost"), (63, "", "the lost")]
+    offered = [(i, "", title()) for i in range(150)] + [(150, None, None), (151, "", "The"), (152, "", "the lost"), (153, "", "Thé lost!")]
+    q = spark.createDataFrame(asked, "query_id long, q_isbn string, q_title string")
+    c = spark.createDataFrame(offered, "cand_id long, isbn string, titulo string")
+    words = lambda t: tuple(re.findall("[a-z0-9]+", (t or "").lower().replace("é", "e")))
+    first = {}
+    for i, _, t in offered:
+        if words(t):
+            first.setdefault(words(t), i)
+    want = set()
+    for i, _, t in asked:
+        for other, j in first.items():
+            a, b = set(words(t)), set(other)
+            n = len(a & b)
+            if a and (n >= overlap * len(a | b) - 1e-9 or n == min(len(a), len(b))):
+                want.add((i, j))
+    got = matching.match_candidates(q, c, overlap).collect()
+    assert {(r.query_id, r.cand_id) for r in got} == want and len(got) == len(want) > 60
+    for r in got:
+        assert r.similitud_titulo == difflib.SequenceMatcher(None, r.q_title.lower(), r.titulo.lower()).ratio()
+    assert matching.match_candidates(q.limit(0), c).count() == 0 == matching.match_candidates(q, c.limit(0)).count()
+
+
+def test_pairs_by_number_keep_one_of_each_title(spark):
+    q = spark.createDataFrame([(1, "978-0-306-40615-7", None), (2, "", "x y")], "query_id long, q_isbn string, q_title string")
+    c = spark.createDataFrame([(1, "0306406152", "a b"), (2, "0306406152", "A, B"), (3, "9780306406157", "a b"), (4, "", "x")], "cand_id long, isbn string, titulo string")
+    got = {(r.query_id, r.cand_id) for r in matching.match_pairs(q, c).collect()}
+    assert got == {(1, 1), (1, 3), (2, 4)}
+
+
 CAPTURED = "site string, url string, isbn string, titulo string, encuadernacion string, updated_at timestamp, seq bigint"
 
 
