@@ -97,14 +97,17 @@ def clean_paragraphs(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def titleish(c: Column) -> Column:
-    """All-capital text of four or more characters in title case, other text as it is.
+def title_case(c: Column) -> Column:
+    """Each run of letters with a capital first and small letters behind: ``O'NEILL-DÍAZ`` to ``O'Neill-Díaz``."""
+    apart = F.regexp_replace(c, r"(?<=[^\p{L}])(?=\p{L})", "\x01 ")
+    return F.regexp_replace(F.initcap(apart), "\x01 ", "")
+
 
-    A word starts after a blank only; text such as ``O'NEILL`` becomes ``O'neill``.
-    """
+def titleish(c: Column) -> Column:
+    """All-capital text of four or more characters in title case, other text as it is."""
     t = F.trim(F.coalesce(c, F.lit("")))
     shouting = (F.length(t) >= 4) & (t == F.upper(t)) & (t != F.lower(t))
-    return F.when(shouting, F.initcap(t)).otherwise(t)
+    return F.when(shouting, title_case(t)).otherwise(t)
 
 
 def fold_accents(c: Column) -> Column:

@@ -17,6 +17,12 @@ BINDINGS = [
     ("De Bolsillo", ["paperback", "mass market paperback"]),
     ("Rústica", ["trade paperback", "tapa blanda", "rustica", "rstica", "softcover", "soft cover"]),
 ]
+#: The same for marketplace listings.
+SIMPLE_BINDINGS = [
+    ("tapa dura", ["tapa dura", "hardcover"]),
+    ("tapa blanda", ["tapa blanda", "paperback"]),
+    ("rustica", ["rustica", "rústica"]),
+]
 MONTHS = {
     "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8,
     "septiembre": 9, "setiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12,
@@ -59,6 +65,18 @@ def binding_of(kept: Column, low: Column) -> Column:
     return out.when(low.isin("de bolsillo", "bolsillo"), "De Bolsillo").otherwise(kept)
 
 
+def simplify_binding(c: Column) -> Column:
+    """The second vocabulary, of marketplace listings: lower-case ``tapa dura``, ``tapa blanda``, ``rustica`` or the text without its lead-in."""
+
+    def named(low: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, texts in SIMPLE_BINDINGS:
+            out = out.when(any_in(low, texts), name)
+        return out.otherwise(F.trim(F.regexp_replace(low, r"^encuadernaci[oó]n\s+de\s+", "")))
+
+    return let(F.lower(clean_text(c)), named)
+
+
 def iso(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
 

@@ -38,9 +38,14 @@ def initcap(t: str) -> str:
     return f"array_to_string(list_transform(string_split({t}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
 
 
+def title_case(t: str) -> str:
+    words = f"string_split(regexp_replace({t}, '([^\\pL])(\\pL)', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+    return f"array_to_string(list_transform({words}, lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '')"
+
+
 def titleish(c: str) -> str:
     t = f"trim(coalesce({c}, ''))"
-    return f"CASE WHEN length({t}) >= 4 AND {t} = upper({t}) AND {t} <> lower({t}) THEN {initcap(t)} ELSE {t} END"
+    return f"CASE WHEN length({t}) >= 4 AND {t} = upper({t}) AND {t} <> lower({t}) THEN {title_case(t)} ELSE {t} END"
 
 
 def language(c: str) -> str:

@@ -162,6 +162,14 @@ def normalize_binding(spark, sf):
     return book_std(spark, sf).select("site", "url", values.normalize_binding(F.col("encuadernacion")).alias("binding"))
 
 
+@query(with_book_std("""SELECT site, url, CASE WHEN regexp_matches(b, 'tapa dura|hardcover') THEN 'tapa dura' WHEN regexp_matches(b, 'tapa blanda|paperback') THEN 'tapa blanda'
+WHEN regexp_matches(b, 'r[uú]stica') THEN 'rustica' ELSE regexp_replace(b, '^encuadernación de ', '') END AS binding
+FROM (SELECT *, 'encuadernación de ' || lower(trim(coalesce(encuadernacion, 'Piel'))) AS b FROM book_std)"""))
+def simplify_binding(spark, sf):
+    led = F.concat(F.lit("Encuadernación  de "), F.coalesce("encuadernacion", F.lit("Piel")))
+    return book_std(spark, sf).select("site", "url", values.simplify_binding(led).alias("binding"))
+
+
 OPTION = r"^(.*?)\s*\((\d{1,2})/(\d{1,2})/(\d{4})\)$"
 E = d.collapse("coalesce(encuadernacion, '')")
 

@@ -50,6 +50,12 @@ def one(spark, f, *args):
         (text.dedupe_repeated, "A B A B", "A B"),
         (text.titleish, "EL QUIJOTE", "El Quijote"),
         (text.titleish, "IBM", "IBM"),
+        (text.titleish, "LA CAÍDA DE O'NEILL-DÍAZ  (TOMO 2B)", "La Caída De O'Neill-Díaz  (Tomo 2B)"),
+        (values.simplify_binding, "  Encuadernación de  Piel ", "piel"),
+        (values.simplify_binding, "Encuadernación de tapa dura", "tapa dura"),
+        (values.simplify_binding, "Mass Market Paperback", "tapa blanda"),
+        (values.simplify_binding, "Rústica con solapas", "rustica"),
+        (values.simplify_binding, None, ""),
         (text.normalize_language, "CASTELLANO", "Español"),
         (text.clean_text, " a b​\t c﻿ ", "a b c"),
         (text.strip_html, "<p>a<br/>b &amp;amp; c</p><li>d", "a b &amp; c d"),
