@@ -239,16 +239,36 @@ def resume_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
     return chunks.join(done.select("chunk"), "chunk", "left_anti")
 
 
+def bursts(events: DataFrame, pause: int) -> DataFrame:
+    """events with ``burst``: when the run of its number's events began that no pause of so many seconds parts.
+
+    Rows are dealt by number and day, so a busy number is no single task's work; only
+    one row for each of its days meets to carry a run from day to day.
+    """
+    day = events.withColumn("_day", F.to_date("ts"))
+    rows, days = Window.partitionBy("isbn", "_day").orderBy("ts", "event_id"), Window.partitionBy("isbn").orderBy("_day")
+    ends = day.groupBy("isbn", "_day").agg(F.max("ts").alias("_end"))
+    ends = ends.select("isbn", "_day", F.lag("_end").over(days).alias("_before"))
+    before = F.coalesce(F.lag("ts").over(rows), F.col("_before"))
+    near = F.unix_micros("ts") - F.unix_micros(before) < pause * 1_000_000
+    begun = day.join(ends, ["isbn", "_day"]).withColumn("_start", F.when(~F.coalesce(near, F.lit(False)), F.col("ts")))
+    carried = begun.groupBy("isbn", "_day").agg(F.max("_start").alias("_last"))
+    carried = carried.select("isbn", "_day", F.max("_last").over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    burst = F.coalesce(F.max("_start").over(rows.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    return begun.join(carried, ["isbn", "_day"]).withColumn("burst", burst).drop("_day", "_before", "_start", "_open")
+
+
 def lease_state(events: DataFrame, as_of: Column, ttl_seconds: int = 900) -> DataFrame:
     """(isbn, status, worker, expires_at) as the log stands at a moment.
 
     claim starts a lease where none runs and nothing is final; heartbeat extends a
     running one; release ends it; done and skip end it for good. An action without a
-    running lease is rejected. Between two events of a number the state depends only
-    on the state before, so it folds over the number's own events in time order.
+    running lease is rejected. No lease outlives a pause of its length, so each burst
+    of events is folded on its own, in time order; the first that ends for good
+    decides, else the last.
     """
     ttl = max(30, ttl_seconds)
-    log = events.filter(F.col("ts") <= as_of).groupBy("isbn").agg(
+    log = bursts(events.filter(F.col("ts") <= as_of), ttl).groupBy("isbn", "burst").agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "action", "worker"))).alias("log")
     )
     none = F.struct(
@@ -272,7 +292,9 @@ def lease_state(events: DataFrame, as_of: Column, ttl_seconds: int = 900) -> Dat
             .otherwise(s)
         )
 
-    ended = log.select("isbn", F.aggregate("log", none, step).alias("s"))
+    folded = log.select("isbn", "burst", F.aggregate("log", none, step).alias("s"))
+    final_at = F.when(F.col("s.status").isin("done", "skipped"), F.col("burst"))
+    ended = folded.groupBy("isbn").agg(F.coalesce(F.min_by("s", final_at), F.max_by("s", "burst")).alias("s"))
     expired = (F.col("s.status") == "in_progress") & (F.col("s.until") <= as_of)
     live = lambda c: F.when(~expired, F.col(c))
     return ended.select(

@@ -246,6 +246,38 @@ def test_pairs_by_number_keep_one_of_each_title(spark):
     assert got == {(1, 1), (1, 3), (2, 4)}
 
 
+def test_lease_folds_by_bursts(spark):
+    """Against the fold over each whole log: busy numbers, pauses around the lease's length, runs over midnight, ties."""
+    rng, rows = random.Random(5), []
+    for isbn in range(40):
+        at = 86_400 * 20_000 - rng.randint(0, 4000)
+        for k in range(rng.choice([1, 3, 60])):
+            at += rng.choice([0, 1, 29, 30, 31, 20, 25, 90_000 if k % 20 == 19 else 5])
+            action = rng.choice(["claim"] * 4 + ["heartbeat"] * 6 + ["release"] + (["done", "skip"] if isbn % 3 == 0 else []))
+            rows.append((len(rows), at, str(isbn), f"w{rng.randint(0, 3)}", action))
+    ev = spark.createDataFrame(rows, "event_id long, at long, isbn string, worker string, action string").selectExpr("*", "timestamp_seconds(at) AS ts")
+    as_of, want = max(r[1] for r in rows) - 3, {}
+    for _, at, isbn, worker, action in sorted(rows, key=lambda r: (r[1], r[0])):
+        if at > as_of:
+            continue
+        status, who, until = want.setdefault(isbn, ("open", None, None))
+        live = status == "in_progress" and until > at
+        if status in ("done", "skipped"):
+            continue
+        if action == "claim" and not live:
+            want[isbn] = ("in_progress", worker, at + 30)
+        elif live and action == "heartbeat":
+            want[isbn] = (status, who, at + 30)
+        elif live and action == "release":
+            want[isbn] = ("open", None, None)
+        elif live and action in ("done", "skip"):
+            want[isbn] = ({"done": "done", "skip": "skipped"}[action], who, None)
+    want = {k: ("open", None, None) if v[0] == "in_progress" and v[2] <= as_of else v for k, v in want.items()}
+    got = worklist.lease_state(ev, F.timestamp_seconds(F.lit(as_of)), 30).selectExpr("isbn", "status", "worker", "unix_seconds(expires_at) AS u").collect()
+    assert {r.isbn: (r.status, r.worker, r.u) for r in got} == want and len(got) == len(want)
+    assert {v[0] for v in want.values()} >= {"open", "done"}
+
+
 CAPTURED = "site string, url string, isbn string, titulo string, encuadernacion string, updated_at timestamp, seq bigint"
 
 
