@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they fold to, position by position.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+def _folded(code: int) -> str:
+    """What is left of a character when its compatibility decomposition loses its combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+
+
+#: Characters of the alphabetic scripts and of full width that fold to one other, and what they fold to, position by
+#: position; combining marks stand behind them and fold to nothing.
+_FOLDED = {chr(c): _folded(c) for c in [*range(0xA0, 0x2000), *range(0xFF01, 0xFF5F)] if _folded(c) != chr(c)}
+ACCENTED = "".join(c for c, to in _FOLDED.items() if len(to) == 1) + "".join(c for c, to in _FOLDED.items() if not to)
+PLAIN = "".join(to for to in _FOLDED.values() if len(to) == 1)
 #: Named character references: those of HTML 4 and the apostrophe; a no-break space becomes a space.
 ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 #: Language names as sources write them, folded, and the name that is kept.
@@ -111,6 +120,7 @@ def titleish(c: Column) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
+    """Letters without their accents; characters that stand for several, such as ligatures, stay."""
     return F.translate(c, ACCENTED, PLAIN)
 
 
