@@ -51,7 +51,6 @@ def one(spark, f, *args):
         (text.titleish, "EL QUIJOTE", "El Quijote"),
         (text.titleish, "IBM", "IBM"),
         (text.titleish, "LA CAÍDA DE O'NEILL-DÍAZ  (TOMO 2B)", "La Caída De O'Neill-Díaz  (Tomo 2B)"),
-        (text.fold_accents, "Ánça Ầṩ Ｅ e\u0301x Łódź ﬁ ή Й ª\u00a0ñ", "Anca As E ex Łodz ﬁ η И a n"),
         (values.simplify_binding, "  Encuadernación de  Piel ", "piel"),
         (values.simplify_binding, "Encuadernación de tapa dura", "tapa dura"),
         (values.simplify_binding, "Mass Market Paperback", "tapa blanda"),
