@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmerge.llm import (
+    align,
     chat_format,
     decontaminate,
     extract_text,
@@ -62,6 +63,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_chat_format,
     op2_warc,
@@ -73,6 +78,7 @@ QUERIES = [
     op8_decontamination,
     op9_line_dedup,
     op10_language,
+    op12_alignment,
 ]
 
 
