@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmerge.llm.common import in_text_batches, materialise, per_worker
+from shelfmerge.llm.words import text_bytes
 
 #: Bytes of a text in one range; longer texts are cut.
 RANGE = 1 << 16
@@ -44,13 +46,15 @@ STRETCH = 1 << 12
 #: Fragments composed by one task of a level.
 FAN = 64
 #: Text bytes in a block; words that a worker remembers before it starts afresh.
-BLOCK_BYTES = 16 << 20
-CACHE_WORDS = 250_000
+BLOCK_BYTES = 8 << 20
+CACHE_WORDS = 150_000
 #: Counts told to a block in one row.
 ANSWERS = 4096
 
 #: Where both tokenizers end a token: after a visible character, before a space.
 SAFE = re.compile(r"(?<=\S)(?= )")
+# Fixed value: how the byte-level tokenizer parts words.
+WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts that single spaces do not cut into such words: white space before a space, a space in front, or the sign that stands for a space.
 ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |^ |\x{2581}"
 
@@ -122,26 +126,47 @@ class Aligner:
     """Words with the groups and pairs of their tokens, each worked out once."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a_path, self.whole = a_path, None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        signs = byte_of_sign()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.a_bytes[i] = bytes(signs[c] for c in token)
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        with open(a_path, encoding="utf-8") as f:
+            config = json.load(f)
+        signs, special = byte_of_sign(), {t["content"] for t in config["added_tokens"]}
+        self.a_bytes = [b""] * (1 + max(config["model"]["vocab"].values()))
+        for token, i in config["model"]["vocab"].items():
+            self.a_bytes[i] = b"" if token in special else bytes(signs[c] for c in token)
         self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
+            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
+            for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))
         ]
         self.blank = self.b.piece_to_id("▁")
         self.by_words = cut_by_words(a_path, b_path)
+        self.fast = self.ranked(config["model"]) if self.by_words else None
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.forget()
 
+    def ranked(self, model: dict):
+        """The first tokenizer by ranks, where its merges come in the order of their ids; else None."""
+        import tiktoken
+
+        for k, merge in enumerate(model["merges"]):
+            x, y = merge.split(" ") if isinstance(merge, str) else merge
+            if model["vocab"].get(x + y) != 256 + k:
+                return None
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if x}
+        return tiktoken.Encoding("a", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(model["merges"]) else None
+
+    def encode_a(self, words: list[str]) -> list[list[int]]:
+        """By the tokenizer itself."""
+        if self.whole is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.a_path)
+            self.whole.encode_special_tokens = True
+        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.text: list[str] = []
@@ -150,11 +175,10 @@ class Aligner:
         self.pair_at = np.zeros(1, np.int64)
         self.pair, self.mult = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def ids(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Of words that begin with a space; the second tokenizer puts that space there itself."""
-        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+    def encode_b(self, words: list[str]) -> list[list[int]]:
+        """Of words that begin with a space; the tokenizer puts that space there itself."""
         b = self.b.encode([w[1:] for w in words], num_threads=1)
-        return a, [[self.blank] if w == " " else x for w, x in zip(words, b, strict=True)]
+        return [[self.blank] if w == " " else x for w, x in zip(words, b, strict=True)]
 
     def fits(self, word: str, a: list[int], b: list[int]) -> bool:
         raw = word.encode()
@@ -162,25 +186,46 @@ class Aligner:
 
     def ends(self, word: str) -> tuple[bool, list[tuple[int, int]], list[tuple[int, int]]]:
         """Whether the bytes fit, and (end, id) of the tokens of either kind."""
-        (a,), (b,) = self.ids([word])
+        (a,), (b,) = self.encode_a([word]), self.encode_b([word])
         ends = [np.cumsum(size[x]).tolist() for size, x in ((self.a_size, a), (self.b_size, b))]
         return self.fits(word, a, b), list(zip(ends[0], a, strict=True)), list(zip(ends[1], b, strict=True))
 
+    def all_ids(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """(ids, word of each id) of either kind, and which words' bytes fit; the others have no ids.
+
+        Words that end visibly are encoded in one go by ranks, as they cannot run together.
+        """
+        n = len(words)
+        size = np.fromiter((len(w.encode()) for w in words), np.int64, n)
+        b_lists = self.encode_b(words)
+        b_many = np.fromiter(map(len, b_lists), np.int64, n)
+        b = np.fromiter(chain.from_iterable(b_lists), np.int64, int(b_many.sum()))
+        b_own = np.repeat(np.arange(n), b_many)
+        if self.fast and all(w[-1] > " " and not w[-1].isspace() for w in words):
+            a = np.array(self.fast.encode_ordinary("".join(words)), np.int64)
+            a_own = np.searchsorted(np.cumsum(size), np.cumsum(self.a_size[a]))
+        else:
+            a_lists = self.encode_a(words)
+            a_many = np.fromiter(map(len, a_lists), np.int64, n)
+            a, a_own = np.fromiter(chain.from_iterable(a_lists), np.int64, int(a_many.sum())), np.repeat(np.arange(n), a_many)
+        raw = "".join(words).encode()
+        good = np.ones(n, bool)
+        for ids, own, table, sizes in ((a, a_own, self.a_bytes, self.a_size), (b, b_own, self.b_bytes, self.b_size)):
+            if b"".join(map(table.__getitem__, ids.tolist())) != raw or (np.bincount(own, sizes[ids], n) != size).any():
+                bounds = np.searchsorted(own, np.arange(n + 1)).tolist()
+                held = ids.tolist()
+                good &= np.array([b"".join(map(table.__getitem__, held[x:y])) == w.encode() for w, x, y in zip(words, bounds, bounds[1:])], bool)
+        if not good.all():
+            a, a_own, b, b_own = a[good[a_own]], a_own[good[a_own]], b[good[b_own]], b_own[good[b_own]]
+        return [a, b], [a_own, b_own], good
+
     def learn(self, fresh: list[str]) -> None:
         """Works out unseen words, all at once."""
-        a_ids, b_ids = self.ids(fresh)
-        good = np.array([self.fits(*x) for x in zip(fresh, a_ids, b_ids, strict=True)], bool)
         n = len(fresh)
-        keep = good.tolist()
-        a_ids, b_ids = ([x if k else [] for x, k in zip(ids, keep, strict=True)] for ids in (a_ids, b_ids))
-        flat, own, end = [], [], []
-        start = None
-        for ids, size in ((a_ids, self.a_size), (b_ids, self.b_size)):
-            many = np.fromiter(map(len, ids), np.int64, n)
-            flat.append(np.fromiter((i for x in ids for i in x), np.int64, int(many.sum())))
-            own.append(np.repeat(np.arange(n), many))
-            end.append(np.cumsum(size[flat[-1]]))  # words that fit have as many bytes of either kind
-            start = np.bincount(own[-1], size[flat[-1]], n).astype(np.int64) if start is None else start
+        flat, own, good = self.all_ids(fresh)
+        # words that fit have as many bytes of either kind
+        start = np.bincount(own[0], self.a_size[flat[0]], n).astype(np.int64)
+        end = [np.cumsum(size[x]) for size, x in zip((self.a_size, self.b_size), flat, strict=True)]
         common = np.intersect1d(*end)
         group = [np.searchsorted(common, e) for e in end]
         size = [np.bincount(g, minlength=len(common)) for g in group]
@@ -205,21 +250,31 @@ class Aligner:
         self.pair_at = np.concatenate([self.pair_at, self.pair_at[-1] + np.cumsum(np.bincount(word[first], minlength=n))])
         self.pair, self.mult = np.concatenate([self.pair, pair[first]]), np.concatenate([self.mult, mult])
 
-    def words(self, texts: pa.Array) -> list[list[str]]:
-        """The words of each text, in order; each with the space before it, the first with the one put there."""
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Where each text's words begin among all, each word's bytes and its place in a list of the different ones, and that list.
+
+        Words come with the space before them, the first with the one put there.
+        """
         texts = texts.cast(pa.large_string()).fill_null("").take(pa.array(np.arange(len(texts))))
-        odd = np.ones(len(texts), bool) if not self.by_words else pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        parts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ").to_pylist()
-        for k in np.flatnonzero(odd).tolist():
-            parts[k] = odd_words(texts[k].as_py(), self.by_words)
-        return parts
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_words else np.ones(len(texts), bool)
+        data, bounds = text_bytes(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
+        start = np.flatnonzero(data == 32)
+        if odd.any():
+            text = np.searchsorted(bounds, start, "right") - 1
+            found = [start[~odd[text]]]
+            for k in np.flatnonzero(odd).tolist():
+                size = [len(w.encode()) for w in odd_words(texts[k].as_py(), self.by_words)]
+                found.append(bounds[k] + offsets(np.array(size))[:-1])
+            start = np.sort(np.concatenate(found))
+        at = np.r_[start, len(data)].astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+        found = found.dictionary_encode()
+        return np.searchsorted(start, bounds), np.diff(at), found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
 
 
 def odd_words(text: str, by_words: bool) -> list[str]:
-    """As between single spaces: without each word's first space."""
-    if not by_words or "▁" in text:
-        return [text]
-    return [w[1:] for w in SAFE.split(" " + text)]
+    """Words of a text that single spaces do not part, with the space put in front."""
+    return SAFE.split(" " + text) if by_words and "▁" not in text else [" " + text]
 
 
 def cut_by_words(a_path: str, b_path: str) -> bool:
@@ -324,80 +379,73 @@ class Block:
 
     def add(self, batch: pa.RecordBatch, keep_text: bool) -> None:
         al = self.aligner
-        parts = al.words(batch.column("text"))
-        columns = [batch.column(c).to_pylist() for c in ("doc_id", "uid", "k", "skip", "over")]
-        valid = batch.column("text").is_valid().to_pylist()
-        edges = []
-        for k, words in enumerate(parts):
-            parts[k] = words = [" " + w for w in words]
-            edges.append(self.edges(words, columns[3][k], columns[4][k]))
-        fresh = list(dict.fromkeys(w for words in parts for w in words if w not in al.place))
-        if fresh:
+        at, size, code, words = al.words(batch.column("text"))
+        if fresh := [w for w in words if w not in al.place]:
             al.learn(fresh)
-        for k, words in enumerate(parts):
-            front, back, cut, edges_good = edges[k]
-            at = np.fromiter(map(al.place.__getitem__, words), np.int64, len(words))
-            doc_id, uid, nth = (c[k] for c in columns[:3])
-            empty = not valid[k] or (uid is None and words == [" "])
-            good = not empty and edges_good and bool(al.good[at].all())
+        place = np.fromiter(map(al.place.__getitem__, words), np.int64, len(words))[code]
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(al.sums[place], axis=0)])
+        wrong = offsets(~al.good[place])
+        valid = batch.column("text").is_valid().to_pylist()
+        texts = al.text
+        for k, (doc_id, uid, nth, skip, over) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "k", "skip", "over")), strict=True)):
+            low, high, long = int(at[k]), int(at[k + 1]), uid is not None
+            front, back, cut, fits = Fragment(), None, True, True
+            if long:
+                low, high, front, back, fits = self.edges(low, high, size, code, words, skip, over)
+                cut = high > low or front.cut or back is not None
+            good = fits and wrong[high] == wrong[low] and (long or (valid[k] and size[low:high].tolist() != [1]))
             if not good:
-                at = at[:0]
-            unit, count = np.unique(at, return_counts=True)
-            n_a, n_b, n_groups, n_links = al.sums[at].sum(0).tolist()
-            shown_groups = ";".join(map(al.text.__getitem__, at.tolist()))
-            long = uid is not None
+                high = low
+            own = place[low:high]
+            unit, count = np.unique(own, return_counts=True)
+            shown_groups = ";".join(map(texts.__getitem__, own.tolist()))
             sha = hashlib.sha256(shown_groups.encode()).hexdigest() if good else ""
-            own = np.unique(al.pair[ragged(al.pair_at[unit], al.pair_at[unit + 1] - al.pair_at[unit])]) if long else None
+            pairs = np.unique(al.pair[ragged(al.pair_at[unit], al.pair_at[unit + 1] - al.pair_at[unit])]) if long else None
             edge = [front.head, front.tail if front.cut else ([], []), back.tail if back else ([], [])]
             self.rows.append(
-                (doc_id, uid, nth, good, n_a, n_b, n_groups, n_links, sha, shown_groups if long or keep_text else None, own, cut)
+                (doc_id, uid, nth, good, *(sums[high] - sums[low]).tolist(), sha, shown_groups if long or keep_text else None, pairs, cut)
                 + (tuple(as_struct(x) for x in (edge, front.closed, back.closed if back else [])) if long else (None,) * 3)
             )
             self.units.append(unit)
             self.counts.append(count)
         self.bytes += batch.column("text").nbytes
 
-    def edges(self, words: list[str], skip: int, over: int) -> tuple[Fragment, Fragment | None, bool, bool]:
-        """Takes the words that a range's ends cut off the list; their fragments, whether a common end lies within, whether their bytes fit."""
-        front, back, good = Fragment(), None, True
-        while skip and skip >= len(words[0].encode()):
-            skip -= len(words.pop(0).encode())
-        while over and over >= len(words[-1].encode()):
-            over -= len(words.pop().encode())
-        if skip and over and len(words) == 1:
-            raw = len(words[0].encode())
-            good, *tokens = self.aligner.ends(words.pop())
-            front = fragment(*([(e, i) for e, i in t if skip < e <= raw - over] for t in tokens))
-            return front, None, front.cut, good
+    def edges(self, low: int, high: int, size: np.ndarray, code: np.ndarray, words: list[str], skip: int, over: int):
+        """The whole words of a range, the fragments of those that its ends cut (the last None if none is), and whether their bytes fit."""
+        front, back, fits = Fragment(), None, True
+        while skip and skip >= size[low]:
+            skip, low = skip - int(size[low]), low + 1
+        while over and over >= size[high - 1]:
+            over, high = over - int(size[high - 1]), high - 1
         if skip:
-            good, *tokens = self.aligner.ends(words.pop(0))
-            front = fragment(*([(e, i) for e, i in t if e > skip] for t in tokens))
-        if over:
-            raw = len(words[-1].encode())
-            fits, *tokens = self.aligner.ends(words.pop())
-            good = good and fits
-            back = fragment(*([(e, i) for e, i in t if e <= raw - over] for t in tokens))
+            fits, *tokens = self.aligner.ends(words[code[low]])
+            to = int(size[low]) - (over if high - low == 1 else 0)
+            front = fragment(*([(e, i) for e, i in t if skip < e <= to] for t in tokens))
+            low += 1
+        if over and high > low:
+            good, *tokens = self.aligner.ends(words[code[high - 1]])
+            fits, high = fits and good, high - 1
+            back = fragment(*([(e, i) for e, i in t if e <= size[high] - over] for t in tokens))
             # the word begins at a common end, so its first group is closed, or open behind only
             back = Fragment(True, ([], []), [back.head, *back.closed] if back.cut else [], back.tail if back.cut else back.head)
-        return front, back, bool(words) or front.cut or back is not None, good
+        return low, high, front, back, fits
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         """The block's own row, then its documents."""
         al, n = self.aligner, len(self.rows)
-        doc = np.repeat(np.arange(n), np.fromiter(map(len, self.units), np.int64, n))
         unit, local = np.unique(np.concatenate([*self.units, np.zeros(0, np.int64)]), return_inverse=True)
         many = al.pair_at[unit + 1] - al.pair_at[unit]
         at = ragged(al.pair_at[unit], many)
         pairs, of_unit = np.unique(al.pair[at], return_inverse=True)
         unit_at = offsets(many)
-        short = np.array([r[1] is None for r in self.rows], bool)
-        use = np.flatnonzero(short[doc]) if n else doc
-        seen = ragged(unit_at[local[use]], many[local[use]])
-        held = np.unique(np.repeat(doc[use], many[local[use]]) * max(1, len(pairs)) + of_unit[seen])
-        df = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
+        df = np.zeros(len(pairs), np.int64)
+        bounds = offsets(np.fromiter(map(len, self.units), np.int64, n))
+        for k, row in enumerate(self.rows):
+            if row[1] is None:
+                own = local[bounds[k] : bounds[k + 1]]
+                df[np.unique(of_unit[ragged(unit_at[own], many[own])])] += 1
         one = {"block": [self.number], "kind": [0], "units": [unit_at.astype(np.int32)], "counts": [of_unit.astype(np.int32)], "third": [al.mult[at].astype(np.int32)], "pairs": [pairs], "df": [df]}
         yield filled(one)
-        bounds = offsets(np.fromiter(map(len, self.units), np.int64, n))
         counts = np.concatenate([*self.counts, np.zeros(0, np.int64)])
         fields = ["doc_id", "uid", "k", "good", "n_a", "n_b", "n_groups", "n_links", "sha", "middle", "pairs", "cut", "edge", "front", "back"]
         for a in range(0, n, 512):

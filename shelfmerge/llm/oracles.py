@@ -77,6 +77,19 @@ its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos ON pos.r = dw.r LEFT JOIN its ON its.r = dw.r"""
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({low("text")}, '{TERM}') AS t FROM documents),
+l AS (SELECT doc_id, r, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM l),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+b AS (SELECT item_id, row_number() OVER () AS q, regexp_extract_all({low("text")}, '{TERM}') AS t FROM benchmark),
+asked AS (SELECT DISTINCT q, term FROM (SELECT q, unnest(t) AS term FROM b)),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+s AS (SELECT q, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN l USING (r), c GROUP BY q, r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM
+(SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN l USING (r) WHERE score > 0) JOIN b USING (q) WHERE rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op2_warc": OP2, "op5_knn_join": OP5, "op6_url_filter": op6(), "op8_decontamination": OP8}
+    return {"op1_chat_format": OP1, "op2_warc": OP2, "op5_knn_join": OP5, "op6_url_filter": op6(), "op8_decontamination": OP8, "op13_ranked_search": OP13}

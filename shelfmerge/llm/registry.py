@@ -17,6 +17,7 @@ from shelfmerge.llm import (
     link_graph,
     oracles,
     packing,
+    ranked,
     simhash,
     warc,
 )
@@ -67,6 +68,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_report(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = [
     op1_chat_format,
     op2_warc,
@@ -79,6 +84,7 @@ QUERIES = [
     op9_line_dedup,
     op10_language,
     op12_alignment,
+    op13_ranked_search,
 ]
 
 

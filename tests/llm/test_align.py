@@ -17,7 +17,7 @@ def whole(aligner, text):
     """(a_ids, b_ids, groups) of a text encoded whole, or None."""
     if not text:
         return None
-    a = aligner.a.encode(" " + text, add_special_tokens=False).ids
+    (a,) = aligner.encode_a([" " + text])
     b = aligner.b.encode(text)
     if not aligner.fits(" " + text, a, b):
         return None
