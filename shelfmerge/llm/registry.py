@@ -15,6 +15,7 @@ from shelfmerge.llm import (
     language,
     line_dedup,
     link_graph,
+    mixing,
     oracles,
     packing,
     ranked,
@@ -64,6 +65,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_report(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES = [
     op8_decontamination,
     op9_line_dedup,
     op10_language,
+    op11_mixing,
     op12_alignment,
     op13_ranked_search,
 ]
