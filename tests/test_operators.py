@@ -13,7 +13,6 @@ from shelfmerge.functions import ids, text, urls, values
 from shelfmerge.operators import extract, gold, matching, merge, site_specs, standard, worklist
 from shelfmerge.plans.fixtures import book_std, lease_events
 from shelfmerge.sources import readers, writers
-from shelfmerge.sources.versioned import VersionedTable
 from shelfmerge.streaming import jobs
 
 
@@ -286,42 +285,139 @@ def captures_of(spark, *keys, title="t"):
 
 
 def titles(spark, table):
-    held = VersionedTable(spark, table, merge.KEY).read()
+    held = jobs.capture_table(spark, table).read()
     return {} if held is None else {r.url: r.titulo for r in held.collect()}
 
 
+def stopped_write(table, folder):
+    """What a write that was stopped leaves behind: a folder with a part file and no _SUCCESS."""
+    os.makedirs(f"{table}/{folder}/_temporary")
+    open(f"{table}/{folder}/part-0.parquet", "wb").write(b"half")
+
+
 def test_a_write_stopped_anywhere_loses_no_row(spark, tmp_path, monkeypatch):
     table = str(tmp_path / "t")
-    put = jobs.capture_batch(table, "c")
+    held, put = jobs.capture_table(spark, table), jobs.capture_batch(table, "c", every=3)
     put(captures_of(spark, "a", "b", "c"), 0)
-    want = titles(spark, table)
-    assert set(want) == {"a", "b", "c"}
-    for step in ("publish", "clean"):
-        real = getattr(VersionedTable, step)
-        monkeypatch.setattr(VersionedTable, step, lambda *a: (_ for _ in ()).throw(OSError("stopped")))
-        with pytest.raises(OSError):
-            put(captures_of(spark, "b", "d", title="new"), 1)
-        monkeypatch.setattr(VersionedTable, step, real)
-        want |= {} if step == "publish" else {"b": "new b", "d": "new d"}
-        assert titles(spark, table) == want
+    want = {k: f"t {k}" for k in "abc"}
+    assert titles(spark, table) == want
+    # while a change is written
+    stopped_write(table, f"change-{2:012d}-{held.batch_name('c', 1)}")
+    assert titles(spark, table) == want and not held.seen("c", 1)
+    put(captures_of(spark, "b", "d", title="new"), 1)
+    want |= {"b": "new b", "d": "new d"}
+    assert titles(spark, table) == want and held.seen("c", 1)
     put(captures_of(spark, "b", "d", title="again"), 1)  # the batch is known
     assert titles(spark, table) == want
-    put(captures_of(spark, "e"), 2)
-    assert set(titles(spark, table)) == {"a", "b", "c", "d", "e"}
+    # while a base is written
+    stopped_write(table, f"base-{2:012d}")
+    assert titles(spark, table) == want
+    held.compact()
+    assert titles(spark, table) == want and 2 in held.folders("base")
+    # between a base and the end of the old folders
+    with monkeypatch.context() as m:
+        m.setattr(jobs.ChangeTable, "clean", lambda self: (_ for _ in ()).throw(OSError("stopped")))
+        for n, k in enumerate("efg"):
+            try:
+                put(captures_of(spark, k, "a", title=f"t{n}"), 2 + n)
+            except OSError:
+                pass
+            want |= {k: f"t{n} {k}", "a": f"t{n} a"}
+            assert titles(spark, table) == want
+    put(captures_of(spark, "h"), 5)
+    held.compact()
+    held.compact()
+    assert titles(spark, table) == want | {"h": "t h"} and held.seen("c", 5)
+    assert len(held.folders("base")) <= 2 and len(held.folders("change")) <= 4
+
+
+def test_a_change_still_written_stays_out_of_the_base(spark, tmp_path):
+    table = str(tmp_path / "t")
+    held, put = jobs.capture_table(spark, table), jobs.capture_batch(table, "c")
+    put(captures_of(spark, "a"), 0)
+    stopped_write(table, f"change-{2:012d}-{held.batch_name('other', 0)}")
+    put(captures_of(spark, "b"), 1)
+    held.compact()
+    assert list(held.folders("base")) == [1] and set(titles(spark, table)) == {"a", "b"}
+
+
+def written(table):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(table) for f in names if f.startswith("part-"))
 
 
-def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
     table = str(tmp_path / "t")
     put = jobs.capture_batch(table, "c")
-    put(captures_of(spark, *map(str, range(40))), 0)
-    before = VersionedTable(spark, table, merge.KEY).version()["folders"]
-    put(captures_of(spark, "7", title="new"), 1)
-    after = VersionedTable(spark, table, merge.KEY).version()["folders"]
-    assert sum(before[b] != after[b] for b in after) == 1 and len(before) > 10
-    for k in range(3):
-        put(captures_of(spark, "7", title=f"new {k}"), 2 + k)
-    assert titles(spark, table)["7"] == "new 2 7" and len(titles(spark, table)) == 40
-    assert len([f for f in os.listdir(tmp_path / "t" / "versions") if f.endswith(".json")]) == 2
+    put(captures_of(spark, *map(str, range(4000))), 0)
+    jobs.capture_table(spark, table).compact()
+    whole = written(table)
+    put(captures_of(spark, *map(str, range(50)), title="new"), 1)
+    assert written(table) - whole < whole / 5
+    held = titles(spark, table)
+    assert len(held) == 4000 and held["49"] == "new 49" and held["50"] == "t 50"
+
+
+def test_the_last_of_repeated_keys_counts_and_the_first_time_stays(spark, tmp_path):
+    table = str(tmp_path / "t")
+    put = jobs.capture_batch(table, "c")
+    rows = lambda title, *seq: spark.createDataFrame([("s", "u", "", f"{title} {k}", "", None, k) for k in seq], CAPTURED)
+    put(rows("x", 2, 7, 3), 0)
+    first = jobs.capture_table(spark, table).read().first()
+    put(rows("y", 5, 1), 1)
+    last = jobs.capture_table(spark, table).read().first()
+    assert (first.titulo, last.titulo) == ("x 7", "y 5") and last.created_at == first.created_at < last.updated_at
+    jobs.capture_table(spark, table).compact()
+    assert jobs.capture_table(spark, table).read().first() == last
+
+
+def test_lookups_read_the_numbers_row_groups_alone(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = spark.range(20_000).select(F.lit("s").alias("site"), F.col("id").cast("string").alias("url"), F.format_string("978%010d", "id").alias("isbn"), F.lit("x").alias("titulo"))
+    held = jobs.capture_table(spark, table)
+    held.append(rows, "c", 0)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1000)
+    held.compact()
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    asked = spark.createDataFrame([("9780000000007",), ("9780000019999",), ("none",)], "isbn string")
+    found = held.find(asked)
+    assert sorted(r.url for r in found.collect()) == ["19999", "7"]
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [In(isbn" in plan.toString()
+    rows_read = lambda p: [p.metrics().apply("numOutputRows").value()] if p.nodeName().startswith("Scan parquet") else [n for k in range(p.children().size()) for n in rows_read(p.children().apply(k))]
+    assert 0 < sum(rows_read(plan)) <= 3000
+    many = held.find(rows.select("isbn").limit(6000))
+    assert many.count() == 6000
+
+
+def test_enrichment_reads_and_writes_the_batch_items_only(spark, tmp_path):
+    table = str(tmp_path / "t")
+    shape = "site string, url string, isbn string, encuadernacion string, seq long, " + ", ".join(f"{c} string" for c in merge.ENRICHED if c != "isbn")
+    row = lambda site, url, isbn, **more: (site, url, isbn, "", 1, *[more.get(c, "") for c in merge.ENRICHED if c != "isbn"])
+    put = jobs.capture_batch(table, "c", True)
+    put(spark.createDataFrame([row("a", str(k), f"978{k:010d}") for k in range(300)], shape), 0)
+    jobs.capture_table(spark, table).compact()
+    put(spark.createDataFrame([row("amazon_books", "z", "9780000000005", autor="Ana")], shape), 1)
+    got = {(r.site, r.url): r.autor for r in jobs.capture_table(spark, table).read().collect()}
+    assert len(got) == 301 and {k for k, v in got.items() if v == "Ana"} == {("a", "5"), ("amazon_books", "z")}
+    assert jobs.capture_table(spark, table).scan(list(jobs.capture_table(spark, table).open_changes()[1].values())).count() == 2
+
+
+def test_seen_urls_are_marked_after_the_sink_has_them(spark, tmp_path):
+    seen, got = str(tmp_path / "seen"), []
+    sink = lambda df, n: got.append((n, sorted(r.url for r in df.collect())))
+    urls_of = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    jobs.seen_batch(seen, "c", sink)(urls_of("a", "b", "a", None), 0)
+
+    def broken(df, n):
+        raise OSError("sink")
+
+    with pytest.raises(OSError):
+        jobs.seen_batch(seen, "c", broken)(urls_of("b", "c"), 1)
+    assert {r.url for r in jobs.seen_table(spark, seen).read().collect()} == {"a", "b"}
+    jobs.seen_batch(seen, "c", sink, every=2)(urls_of("b", "c"), 1)
+    jobs.seen_batch(seen, "c", sink)(urls_of("b", "c", "d"), 1)  # known
+    jobs.seen_batch(seen, "d", sink)(urls_of("a", "c", "d"), 0)
+    assert got == [(0, ["a", "b"]), (1, ["c"]), (0, ["d"])]
 
 
 def test_chunks_go_by_place(spark):
@@ -375,7 +471,7 @@ def test_streams(spark, sf, tmp_path):
     stream = spark.readStream.schema(std.schema).parquet(src)
     table = str(tmp_path / "table")
     jobs.stream_ingest(stream, table, str(tmp_path / "c1")).awaitTermination()
-    rows_of = lambda: VersionedTable(spark, table, merge.KEY).read()
+    rows_of = lambda: jobs.capture_table(spark, table).read()
     n = rows_of().count()
     assert n == spark.read.parquet(src).count()
     jobs.stream_ingest(stream, table, str(tmp_path / "c2")).awaitTermination()
