@@ -27,6 +27,43 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Letters counted one by one in a bound; all others count as one.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each letter of COUNTED comes in a text, and last all others: what ratio_bound() needs of it."""
+    n = [F.length(text) - F.length(F.replace(text, F.lit(c))) for c in COUNTED]
+    return F.array(*n, F.length(text) - sum(n[1:], n[0]))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No less than title_similarity() of two texts, from their letter_counts(): blocks that match have their letters in common."""
+    zero = F.lit(0)
+    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), zero, lambda t, x: t + x)
+    both = F.aggregate(a, zero, lambda t, x: t + x) + F.aggregate(b, zero, lambda t, x: t + x)
+    return F.coalesce(F.when(both > 0, 2.0 * common / both), F.lit(0.0))
+
+
+def bounded_pairs(pairs: DataFrame, a: str = "q_title", b: str = "titulo") -> DataFrame:
+    """pairs with _bound, from the counts of each distinct title, made once."""
+    counted = lambda c, n: pairs.select(F.col(c).alias(f"_{n}")).filter(F.col(c).isNotNull()).distinct().withColumn(f"_n{n}", letter_counts(F.lower(f"_{n}")))
+    known = pairs.join(counted(a, "a"), F.col(a) == F.col("_a"), "left").join(counted(b, "b"), F.col(b) == F.col("_b"), "left")
+    return known.withColumn("_bound", ratio_bound(F.col("_na"), F.col("_nb"))).drop("_a", "_b", "_na", "_nb")
+
+
+def similar_titles(pairs: DataFrame, least: float, a: str = "q_title", b: str = "titulo") -> DataFrame:
+    """The pairs whose lower-cased titles have a title_similarity() of least or more, as similitud_titulo; only pairs whose bound reaches it are compared."""
+    likely = bounded_pairs(pairs, a, b).filter(F.col("_bound") >= least - 1e-9).drop("_bound")
+    return likely.withColumn("similitud_titulo", title_similarity(F.lower(a), F.lower(b))).filter(F.col("similitud_titulo") >= least)
+
+
+def verification_share(pairs: DataFrame, least: float, a: str = "q_title", b: str = "titulo") -> DataFrame:
+    """(pairs, compared): how many pairs there are, and how many similar_titles() has to compare."""
+    bound = bounded_pairs(pairs, a, b)
+    return bound.agg(F.count("*").alias("pairs"), F.count_if(F.col("_bound") >= least - 1e-9).alias("compared"))
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """The native alternative: one minus the edit distance over the longer length."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -59,18 +96,19 @@ def title_classes(df: DataFrame, id_column: str, title_column: str) -> DataFrame
     return classes.withColumn("words", F.array_distinct(F.split("title", " ")))
 
 
-def by_rarity(titles: DataFrame) -> DataFrame:
+def by_rarity(titles: DataFrame, more: list[str] | None = None) -> DataFrame:
     """(side, title, size, word, place, rows): each word of each title, placed from the rarest on.
 
     A word's count is gathered and handed back in SPLIT shares, so a word of a third
     of all titles is no single task's work.
     """
     share = F.pmod(F.xxhash64("title"), F.lit(SPLIT)).alias("_s")
-    words = titles.select("side", "title", F.size("words").alias("size"), F.explode("words").alias("word"), share)
+    own = ["side", "title", "size", *(more or [])]
+    words = titles.withColumn("size", F.size("words")).select(*own, F.explode("words").alias("word"), share)
     count = words.groupBy("word", "_s").count().groupBy("word").agg(F.sum("count").alias("rows"))
     known = words.join(count.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)).cast("array<bigint>"))), ["word", "_s"])
-    placed = known.groupBy("side", "title", "size").agg(F.array_sort(F.collect_list(F.struct("rows", "word"))).alias("w"))
-    return placed.select("side", "title", "size", F.posexplode("w").alias("place", "w")).select("side", "title", "size", "w.word", "place", "w.rows")
+    placed = known.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("rows", "word"))).alias("w"))
+    return placed.select(*own, F.posexplode("w").alias("place", "w")).select(*own, "w.word", "place", "w.rows")
 
 
 def dealt_join(many: DataFrame, few: DataFrame, on: str, rows: str, deal_by: Column, rule: Column | None = None) -> DataFrame:
@@ -109,8 +147,55 @@ def title_links(queries: DataFrame, candidates: DataFrame, overlap: float = 0.5)
     return pairs.filter((both >= union * overlap - 1e-9) | (both == least))
 
 
-def match_pairs(queries: DataFrame, candidates: DataFrame, overlap: float = 0.5) -> DataFrame:
-    """Pairs by number, and by title_links(), each once with its flags.
+def jaccard(q: str = "q", c: str = "c") -> Column:
+    """Of the word sets of two normalized titles."""
+    a, b = F.array_distinct(F.split(q, " ")), F.array_distinct(F.split(c, " "))
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def best_links(links: DataFrame, k: int) -> DataFrame:
+    """The k best of (q, c, first_id, alike) for each q; Spark drops what cannot be among them before the exchange."""
+    w = Window.partitionBy("q").orderBy(F.desc("alike"), "first_id")
+    return links.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def top_title_links(queries: DataFrame, candidates: DataFrame, k: int, overlap: float = 0.5) -> DataFrame:
+    """(q, c, first_id, alike, rank): of the pairs of title_links() the k with the highest Jaccard similarity for each q, equals by first_id.
+
+    Pairs are verified where they meet, and only a query's k best leave the task. First
+    come the pairs alike by overlap; a query that has k of them is done, as one title
+    that merely holds the other is less alike. For the others such titles follow: of a
+    single word the k shortest titles with it, which are the best, and for more words
+    those under the rarest one. So what is written is bounded by k for each query, also
+    where one word is in every title.
+    """
+    sides = queries.select(F.lit("q").alias("side"), "title", "words", "first_id").unionByName(candidates.select(F.lit("c").alias("side"), "title", "words", "first_id"))
+    words = by_rarity(sides, ["first_id"]).persist()
+    named = lambda side: words.filter(F.col("side") == side).select("word", "rows", F.col("title").alias(side), F.col("size").alias(f"{side}_size"), F.col("place").alias(f"{side}_place"), *(["first_id"] if side == "c" else []))
+    q, c = named("q"), named("c")
+    start = lambda side: F.col(f"{side}_place") <= F.col(f"{side}_size") - F.ceil(F.col(f"{side}_size") * overlap - 1e-9)
+    most = F.least(F.col("q_size") - F.col("q_place"), F.col("c_size") - F.col("c_place"))
+    enough = most + F.least("q_place", "c_place") >= overlap / (1 + overlap) * (F.col("q_size") + F.col("c_size")) - 1e-9
+    kept = ["q", "c", "first_id", "alike"]
+    alike = dealt_join(c.filter(start("c")), q.filter(start("q")), "word", "rows", F.xxhash64("c"), enough & (jaccard() >= overlap - 1e-9))
+    alike = best_links(alike.withColumn("alike", jaccard()).select(*kept).distinct(), k).persist()
+    done = alike.filter(F.col("rank") == k).select("q")
+    open_ = q.join(done, "q", "left_anti")
+    held = lambda inner, outer: jaccard() >= F.col(f"{inner}_size") / F.col(f"{outer}_size") - 1e-9
+    far = lambda inner, outer: F.col(f"{inner}_size") < overlap * F.col(f"{outer}_size") - 1e-9
+    shortest = Window.partitionBy("word").orderBy("c_size", "first_id")
+    # titles that hold a single word: those far longer than it, the shortest first
+    few = c.filter(F.col("c_size") * overlap > 1 + 1e-9).withColumn("_r", F.row_number().over(shortest)).filter(F.col("_r") <= k).drop("rows", "_r")
+    single = open_.filter("q_size = 1").join(few, "word").withColumn("alike", 1 / F.col("c_size")).select(*kept)
+    within = dealt_join(c, open_.filter("q_place = 0 and q_size > 1"), "word", "rows", F.xxhash64("c"), far("q", "c") & held("q", "c"))
+    around = dealt_join(open_, c.filter("c_place = 0"), "word", "rows", F.xxhash64("q"), far("c", "q") & held("c", "q"))
+    rest = within.withColumn("alike", jaccard()).select(*kept).union(around.withColumn("alike", jaccard()).select(*kept))
+    return best_links(alike.select(*kept).union(single).union(rest), k)
+
+
+def match_pairs(queries: DataFrame, candidates: DataFrame, overlap: float = 0.5, k: int | None = None) -> DataFrame:
+    """Pairs by number, and by title_links(), each once with its flags; with k, of the latter each title's k best.
 
     queries: (query_id, q_isbn, q_title); candidates: (cand_id, isbn, titulo), ids
     being unique. By number, candidates of one number and one title are one; by
@@ -125,7 +210,8 @@ def match_pairs(queries: DataFrame, candidates: DataFrame, overlap: float = 0.5)
     by_isbn = asked.join(numbered, "_k").drop("_k")
     q, c = title_classes(queries, "query_id", "q_title"), title_classes(candidates, "cand_id", "titulo")
     first = candidates.join(c.select(F.col("first_id").alias("cand_id"), F.col("title").alias("c")), "cand_id")
-    linked = title_links(q, c, overlap).join(first, "c").drop("c")
+    links = title_links(q, c, overlap) if k is None else top_title_links(q, c, k, overlap).select("q", "c")
+    linked = links.join(first, "c").drop("c")
     linked = linked.join(q.select(F.col("title").alias("q"), F.col("n").alias("rows")), "q")
     hot = q.filter(F.col("n") > PART).select(F.col("title").alias("q"), F.col("n").alias("rows"))
     own = queries.withColumn("q", normalize_title(F.col("q_title"))).join(hot, "q", "left")

@@ -76,6 +76,51 @@ def match_candidates(spark, sf):
     return found.select("query_id", "cand_id", *flags, F.round("similitud_titulo", 6).alias("similitud_titulo"))
 
 
+K = 5
+
+
+@query(f"""WITH {PAIRS}, top AS (SELECT q_title, cand_id FROM (SELECT q_title, cand_id, row_number() OVER (PARTITION BY q_title ORDER BY n_both / CAST(len(a) + len(b) - n_both AS DOUBLE) DESC, cand_id) AS r
+FROM tl WHERE n_both * 2 >= len(a) + len(b) - n_both OR n_both = least(len(a), len(b))) WHERE r <= {K})
+SELECT query_id, cand_id FROM asked JOIN top USING (q_title) UNION SELECT query_id, cand_id FROM asked JOIN offered ON q_isbn = isbn""")
+def match_top_pairs(spark, sf):
+    """Each title's five best candidates, and those of its number: no more pairs than that for each query."""
+    return matching.match_pairs(asked(spark, sf), offered(spark, sf), k=K).select("query_id", "cand_id")
+
+
+#: Titles by single words: each part's first word asks among all names, where every word is in a great many.
+SINGLE = "SELECT p_partkey AS query_id, '' AS q_isbn, split_part(p_name, ' ', 1) AS q_title FROM part"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT {norm("q_title")} AS a FROM ({SINGLE})), c AS (SELECT {norm("p_name")} AS b, min(p_partkey) AS cand_id FROM part GROUP BY ALL),
+l AS (SELECT a, cand_id, list_distinct(string_split(b, ' ')) AS w FROM q, c), s AS (SELECT a, cand_id, row_number() OVER (PARTITION BY a ORDER BY 1.0 / len(w) DESC, cand_id) AS rank FROM l WHERE list_contains(w, a))
+SELECT a AS title, cand_id, CAST(rank AS INT) AS rank FROM s WHERE rank <= {K}""")
+def top_titles_of_a_word(spark, sf):
+    q = matching.title_classes(derived(spark, sf, SINGLE, "part"), "query_id", "q_title")
+    c = matching.title_classes(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name"), "p_partkey", "p_name")
+    return matching.top_title_links(q, c, K).select(F.col("q").alias("title"), F.col("first_id").alias("cand_id"), "rank")
+
+
+def common(a, b):
+    of = lambda t, x: f"(length({t}) - length(replace({t}, '{x}', '')))"
+    each = " + ".join(f"least({of(a, x)}, {of(b, x)})" for x in matching.COUNTED)
+    rest = lambda t: f"(length({t}) - ({' + '.join(of(t, x) for x in matching.COUNTED)}))"
+    return f"({each} + least({rest(a)}, {rest(b)}))"
+
+
+BOUND = f"2.0 * {common('lower(q_title)', 'lower(titulo)')} / (length(q_title) + length(titulo))"
+
+
+@query(f"WITH {PAIRS} SELECT query_id, cand_id, round({BOUND}, 6) AS bound FROM p")
+def ratio_bound(spark, sf):
+    found = matching.bounded_pairs(pairs(spark, sf))
+    return found.select("query_id", "cand_id", F.round("_bound", 6).alias("bound"))
+
+
+@query(f"WITH {PAIRS} SELECT count(*) AS pairs, count(*) FILTER (WHERE {BOUND} >= 0.8 - 1e-9) AS compared FROM p")
+def verification_share(spark, sf):
+    return matching.verification_share(pairs(spark, sf), 0.8)
+
+
 @query()
 def title_similarity(spark, sf):
     """The ratio that SQL lacks; tests hold it against its definition."""

@@ -506,3 +506,46 @@ def test_streams(spark, sf, tmp_path):
     urls_.write.parquet(str(tmp_path / "urls"))
     drain(jobs.dedupe_seen(spark.readStream.schema("url string").parquet(str(tmp_path / "urls"))), "seen")
     assert spark.table("seen").count() == 2
+
+
+def test_similar_titles_compare_only_what_can_pass(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeñ9ü ") for _ in range(rng.randint(0, 12)))
+    rows = [(word(), word()) for _ in range(150)] + [(x, x[:-1] + "z") for x in (word() for _ in range(60))] + [(None, "a"), ("", ""), ("Same", "sAME")]
+    pairs = spark.createDataFrame(rows, "q_title string, titulo string")
+    for least in (0.5, 0.8):
+        want = sorted((a, b) for a, b in rows if a and b and difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() >= least)
+        assert sorted((r.q_title, r.titulo) for r in matching.similar_titles(pairs, least).collect()) == want
+    share = matching.verification_share(pairs, 0.8).first()
+    assert share.pairs == len(rows) and len(want) <= share.compared < len(rows) / 2
+
+
+def brute_top(queries, candidates, k):
+    out = set()
+    for q in {t for _, t in queries}:
+        a, found = set(q.split()), []
+        for t in {t for _, t in candidates}:
+            b = set(t.split())
+            both = len(a & b)
+            if both and (2 * both >= len(a | b) or both == min(len(a), len(b))):
+                found.append((-both / len(a | b), min(i for i, x in candidates if x == t)))
+        out |= {(q, i) for _, i in sorted(found)[:k]}
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_top_titles_equal_all_pairs(spark, k):
+    rng = random.Random(k)
+    make = lambda n: [(i, " ".join(dict.fromkeys(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))))) for i in range(n)]
+    queries, candidates = make(60), make(250)
+    classes = lambda rows: matching.title_classes(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    got = matching.top_title_links(classes(queries), classes(candidates), k).collect()
+    assert {(r.q, r.first_id) for r in got} == brute_top(queries, candidates, k)
+    assert max(r["rank"] for r in got) <= k
+
+
+def test_a_word_of_all_titles_gives_k_pairs(spark):
+    rows = spark.range(3001).select("id", F.concat(F.lit("the "), F.col("id").cast("string"), F.lit(" x y")).alias("t"))
+    q = matching.title_classes(spark.createDataFrame([(1, "the")], "id long, t string"), "id", "t")
+    got = matching.top_title_links(q, matching.title_classes(rows, "id", "t"), 10).collect()
+    assert sorted(r.first_id for r in got) == list(range(10))
