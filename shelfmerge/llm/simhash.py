@@ -12,7 +12,8 @@ principle no link is lost. ``similar_groups``, which the pipeline uses, is for a
 Jaccard similarity of 0.8 over five-word shingles: 192 bits, eight segments of 24
 bits, ``WIDE.distance`` bits or fewer, which is what texts of such a similarity differ
 in; there both sides turn bits off, so segments meet that differ in one bit or in two,
-one set on either side, and of eight segments nearly always some meet.
+one set on either side, and of eight segments nearly always some meet. What meets so is
+only proposed: a link counts if the shingles themselves are that similar.
 
 Equal fingerprints are one node. The rows under one table key are compared inside a
 task, which returns links that connect what the verified links connect, fewer than
@@ -70,10 +71,14 @@ class Scheme:
     both: bool
     #: Bits of a part by which the rows of large keys are dealt again.
     part: int
+    #: Links of each row of a small group to its nearest; 0: as few as connect it.
+    nearest: int = 0
 
 
 NARROW = Scheme(64, 32, DISTANCE, False, 16)
-WIDE = Scheme(192, 24, 30, True, 24)
+WIDE = Scheme(192, 24, 32, True, 24, 8)
+#: Jaccard similarity of the shingles that a link of similar_groups needs.
+SIMILAR = 0.8
 
 
 def shingle_hashes(data: bytes | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -121,13 +126,15 @@ SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.
 ADDED = 255
 
 
-def wide_fingerprints(texts: pa.Array, width: int = 5) -> np.ndarray:
-    """192 majority bits of each text's shingles, as (texts, 24) bytes; zero without words."""
+def filled_words(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the words of all texts in order and the text of each; and how many texts there are.
+
+    A short text's words come again until they fill one shingle, with its length in them.
+    """
     data, bounds = text_bytes(pc.utf8_lower(texts))
     w = find_words(data, bounds, PARTING)
     n = len(bounds) - 1
     many = np.diff(np.searchsorted(w.text, np.arange(n + 1)))
-    # a short text's words come again until they fill one shingle, then the shingle's length is its own
     short = np.flatnonzero((many > 0) & (many < width))
     first = np.searchsorted(w.text, np.arange(n))
     h, text = w.hash, w.text
@@ -138,7 +145,11 @@ def wide_fingerprints(texts: pa.Array, width: int = 5) -> np.ndarray:
         h, text = np.concatenate([h[keep], extra]), np.concatenate([text[keep], np.repeat(short, width)])
         order = np.argsort(text, kind="stable")
         h, text = h[order], text[order]
-    ones, total = np.zeros((n, 192), np.int64), np.zeros(n, np.int64)
+    return h, text, n
+
+
+def word_shingles(h: np.ndarray, text: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, text) of the shingles of width words within one text, chunk by chunk."""
     for k in range(0, len(h), CHUNK):
         piece, own = h[k : k + CHUNK + width - 1], text[k : k + CHUNK + width - 1]
         m = len(piece) - width + 1
@@ -148,9 +159,15 @@ def wide_fingerprints(texts: pa.Array, width: int = 5) -> np.ndarray:
         for j in range(1, width):
             a = mix(a * np.uint64(0x9E3779B97F4A7C15) + piece[j : j + m])
         inside = own[:m] == own[width - 1 :]
-        a, own = a[inside], own[:m][inside]
-        if not len(a):
-            continue
+        if inside.any():
+            yield a[inside], own[:m][inside]
+
+
+def wide_fingerprints(texts: pa.Array, width: int = 5) -> np.ndarray:
+    """192 majority bits of each text's shingles, as (texts, 24) bytes; zero without words."""
+    h, text, n = filled_words(texts, width)
+    ones, total = np.zeros((n, 192), np.int64), np.zeros(n, np.int64)
+    for a, own in word_shingles(h, text, width):
         more = [mix(a ^ np.uint64(x)) for x in (0xC2B2AE3D27D4EB4F, 0xE7037ED1A0B428DB)]
         all_bits = np.stack([a, *more], axis=1).view(np.uint8).reshape(len(a), 24)
         place = np.arange(len(own))
@@ -162,6 +179,17 @@ def wide_fingerprints(texts: pa.Array, width: int = 5) -> np.ndarray:
     return np.packbits(2 * ones > total[:, None], axis=1)
 
 
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, s): the different shingles of each text, by 32 bits of their hash."""
+    for batch in batches:
+        h, text, n = filled_words(batch.column("text"), 5)
+        found = [(own << 32) | (a >> np.uint64(32)).astype(np.int64) for a, own in word_shingles(h, text, 5)]
+        every = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+        at = np.searchsorted(every >> 32, np.arange(n + 1)).astype(np.int32)
+        low = (every & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.ListArray.from_arrays(pa.array(at), pa.array(low))], ["text_key", "s"])
+
+
 def wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = wide_fingerprints(batch.column("text"))
@@ -201,11 +229,12 @@ def dealt_again(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return spread.select("key", F.col("made").alias("sub"), (F.col("probe") | F.col("off")).alias("probe"), "fp")
 
 
-def solve_groups(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+def solve_groups(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int, both: bool, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Rows u, v whose links connect, within each group, what the links of the scheme connect.
 
     group: sorted numbers; fp: rows of 64-bit words. A link has a table entry on one
-    side at least, unless both.
+    side at least, unless both. With nearest, small groups give each row's links to so
+    many nearest rows besides, as links may fail a later check.
     """
     n = len(group)
     end = np.searchsorted(group, group, "right")
@@ -216,16 +245,30 @@ def solve_groups(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance:
     large = end - start > LARGE
     some = [spread_from(np.arange(a, end[a]), probe, fp, distance, both) for a in np.unique(start[large]).tolist()]
     fan[large] = 0
-    upto, at = np.cumsum(fan), 0
+    upto, at, more = np.cumsum(fan), 0, []
     while at < n:
         stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
         few = fan[at:stop]
         u = np.repeat(np.arange(at, at + len(few)), few)
         v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(few) - few, few)
-        near = np.bitwise_count(fp[u] ^ fp[v]).sum(1, np.int64) <= distance
-        some.append(tree(u[near], v[near]))
+        apart = np.bitwise_count(fp[u] ^ fp[v]).sum(1, np.int64)
+        near = apart <= distance
+        u, v, apart = u[near], v[near], apart[near]
+        some.append(tree(u, v))
+        if nearest:
+            more.append(first_links(u, v, apart, nearest))
         at = stop
-    return tree(*(np.concatenate(x) for x in zip(*some))) if some else tree(fan, fan)
+    found = tree(*(np.concatenate(x) for x in zip(*some))) if some else tree(fan, fan)
+    return tuple(np.concatenate(x) for x in zip(found, *more))
+
+
+def first_links(u: np.ndarray, v: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links that are among the n nearest of either end."""
+    end, link = np.concatenate([u, v]), np.tile(np.arange(len(u)), 2)
+    order = np.lexsort((np.tile(apart, 2), end))
+    end, link = end[order], link[order]
+    kept = np.unique(link[np.arange(len(end)) - np.searchsorted(end, end) < n])
+    return u[kept], v[kept]
 
 
 def tree(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +326,7 @@ def solver(keys: list[str], scheme: Scheme, both: bool):
                 change[1:] |= c[1:] != c[:-1]
             group = np.cumsum(change)
             fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), "<u8").reshape(part.num_rows, -1)
-            u, v = solve_groups(group, part.column("probe").to_numpy(zero_copy_only=False), fp, scheme.distance, both)
+            u, v = solve_groups(group, part.column("probe").to_numpy(zero_copy_only=False), fp, scheme.distance, both, scheme.nearest)
             u, v = (part.column("fp").take(pa.array(x)) for x in (u, v))
             out = pa.RecordBatch.from_arrays([u, v], ["u", "v"])
             return out.filter(pc.not_equal(u, v))
@@ -347,12 +390,38 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
-def similar_groups(docs: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
-    """(doc_id, text_key, root): the group of every row over five-word shingles; text_key is the text's hash."""
+def similar_links(texts: DataFrame, pairs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (u, v) of text keys whose texts' shingles have a Jaccard similarity of least or more; no words are like no words.
+
+    texts: (text_key, text). Only texts in a pair send their shingles.
+    """
+    asked = pairs.select(F.col("u").alias("text_key")).union(pairs.select("v")).distinct()
+    linked = texts.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = materialise(in_text_batches(linked, shingle_rows, "text_key bigint, s array<int>"), "shingles")
+    side = lambda k: sets.select(F.col("text_key").alias(k), F.col("s").alias(f"s_{k}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    common = F.size(F.array_intersect("s_u", "s_v"))
+    union = F.size("s_u") + F.size("s_v") - common
+    return both.filter(common >= least * union - 1e-9).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, limit: int = WIDE_LIMIT, least: float = SIMILAR) -> DataFrame:
+    """(doc_id, text_key, root): the group of every row over five-word shingles; text_key is the text's hash, root the least one of its group.
+
+    Fingerprints propose links, between texts of the same one and of near ones; only
+    those whose shingles are alike count.
+    """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     marked = materialise(in_text_batches(rows, wide_rows, "doc_id bigint, text_key bigint, fp binary"), "fingerprints")
-    placed = rooted(marked.select("fp").distinct(), limit, WIDE)
-    return marked.join(placed, "fp").select("doc_id", "text_key", "root")
+    texts = marked.select("fp", "text_key").distinct()
+    first = materialise(texts.groupBy("fp").agg(F.min("text_key").alias("first"), F.count("*").alias("n")), "simhash-nodes")
+    links = links_between(first.select("fp"), limit, WIDE).distinct()
+    named = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"key_{c}"))
+    links = links.join(named("u"), "u").join(named("v"), "v").select(F.col("key_u").alias("u"), F.col("key_v").alias("v"))
+    same = texts.join(first.filter("n > 1"), "fp").filter("text_key <> first").select(F.col("first").alias("u"), F.col("text_key").alias("v"))
+    pairs = materialise(links.union(same), "simhash-pairs")
+    roots = components(similar_links(rows.select("text_key", "text"), pairs, least)).withColumnRenamed("node", "text_key")
+    return marked.join(roots, "text_key", "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from shelfmerge.llm import language, simhash
 from tests.llm.test_decontaminate import slow as slow_hits
 from tests.llm.test_line_dedup import slow as slow_lines
 from tests.llm.test_packing import verify
-from tests.llm.test_simhash import slow_components
+from tests.llm.test_simhash import alike
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,13 @@ def test_against_brute_force(spark, folder):
     cut, gone = slow_lines(texts)
     texts = {d: t for d, t in cut.items() if not gone[d] or t.strip()}
     wide = simhash.wide_fingerprints(pa.array(texts.values()))  # held against their definition in test_simhash
-    comp = slow_components([(d, int.from_bytes(f.tobytes())) for d, f in zip(texts, wide)], simhash.WIDE.distance)
+    fp = dict(zip(texts, (int.from_bytes(f.tobytes()) for f in wide)))
+    comp = {d: d for d in texts}
+    for a in sorted(texts):  # within the distance, and alike by their shingles
+        for b in sorted(texts):
+            if a < b and comp[a] != comp[b] and (fp[a] ^ fp[b]).bit_count() <= simhash.WIDE.distance and alike(texts[a], texts[b]):
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = {d: new if c == old else c for d, c in comp.items()}
     texts = {d: t for d, t in texts.items() if comp[d] == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     texts = {d: t for d, t in texts.items() if not slow_hits(t, items)[-1]}

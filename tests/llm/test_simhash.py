@@ -159,11 +159,51 @@ def test_similar_texts_meet_and_others_do_not(spark):
     assert len(near) > 60
     for limit in (simhash.WIDE_LIMIT, 1):
         df = spark.createDataFrame(rows, ID_TEXT)
-        root = {r.doc_id: bytes(r.root) for r in simhash.similar_groups(df, limit).collect()}
+        root = {r.doc_id: r.root for r in simhash.similar_groups(df, limit).collect()}
         assert sum(root[a] == root[b] for a, b in near) >= (0.85 if limit > 1 else 0.75) * len(near)
         assert len({root[3 * k + 2] for k in range(120)} | {root[3 * k] for k in range(120)}) == 240
 
 
+def shingled(text):
+    import re
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower())
+    return set(zip(*(words[k:] for k in range(5)))) if len(words) > 4 else {tuple(words)} if words else set()
+
+
+def alike(a, b):
+    a, b = shingled(a), shingled(b)
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def test_no_text_goes_that_is_not_similar(spark):
+    """Texts from 0.55 to 0.95 to their first: whatever is grouped hangs together by links of 0.8."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=7))
+    texts, n = [], 240
+    for _ in range(30):
+        w = [word() for _ in range(n)]
+        texts.append(w)
+        for changes in (1, 2, 4, 6, 8, 10):
+            x = list(w)
+            for p in rng.sample(range(n // 6), changes):
+                x[6 * p] = word()
+            texts.append(x)
+    text = {k: " ".join(t) for k, t in enumerate(texts)}
+    df = spark.createDataFrame(list(text.items()), ID_TEXT)
+    groups = {}
+    for r in simhash.similar_groups(df).collect():
+        groups.setdefault(r.root, []).append(r.doc_id)
+    for members in groups.values():
+        reached = {members[0]}
+        while more := {b for b in members if b not in reached and any(alike(text[a], text[b]) for a in reached)}:
+            reached |= more
+        assert reached == set(members)
+    root = {d: g for g, m in groups.items() for d in m}
+    pairs = [(a, b) for a in text for b in range(a + 1, 7 * (a // 7) + 7) if alike(text[a], text[b])]
+    assert len(pairs) > 60 and sum(root[a] == root[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
 def test_large_and_dense_groups_are_solved_alike(monkeypatch):
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 2**63, (1, 3), np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (300, 3)).astype(np.uint64))
