@@ -190,12 +190,14 @@ SITE_PAGES = {
     "contrapunto": "<h1>{t}</h1><ul><li>Autor: <a>{a}</a></li><li> Editor: {e} </li></ul><dl><dt>ISBN</dt><dd class='isbn'>{i}</dd></dl>",
     "yenny": "<h1 class='h1 js-product-name'>{t}</h1><p class='text-accent mb-3'>{a}</p><div class='std'><div><strong>ISBN:</strong> {i}</div><div><strong>Editorial:</strong> {e}</div></div>",
     "bookpeople": "<h1 class='product-details__title'>{t}</h1><a href='/search?type=author&x'>{a}</a><div class='f--variation_field_publisher__11'><div class='product-details__label'>Publisher:</div>{e}</div><div class='f--variation_field_isbn_13__11'><div class='product-details__label'>ISBN:</div>{i}</div>",
+    "cuspide": "<div><h1 id='t-p-f'>{t}</h1><div><a href='/libros-ebooks/x'>{a}</a><a href='/libros-ebooks/y'>Ver más</a></div></div><div class='ficha-tecnica'><p data-campo='ISBN'><b>ISBN:</b> {i}</p><p data-campo='Editorial'><b>Editorial:</b><i>{e}</i> <i class='tooltip'>?</i></p></div>",
+    "casa_del_libro": "<h1 id='t-p-f'>{t}</h1><div class='ficha-tecnica' id='contributors'><ul><li data-campo='ISBN'>ISBN: {i}<li data-campo='Editorial'>Editorial: {e}</ul></div>",
     "amazon_books": "<span id='productTitle' class='a'> {t} </span><span class='author notFaded'><a href='/x'>{a}</a></span><li><span class='a-text-bold'>Editorial &rlm; : </span> <span>{e}</span></li><li><span class='a-text-bold'>ISBN-13 : </span><span>{i}</span></li>",
 }
 SPEC_OF = {"contrapunto": "riverside"}
 
 
-@query(with_book_std(f"""SELECT site, url, {d.collapse("coalesce(titulo, '')")} AS titulo, coalesce(autor, '') AS autor, isbn,
+@query(with_book_std(f"""SELECT site, url, {d.collapse("coalesce(titulo, '')")} AS titulo, CASE WHEN site = 'casa_del_libro' THEN '' ELSE coalesce(autor, '') END AS autor, isbn,
 CASE WHEN site = 'el_lector' THEN {d.initcap("coalesce(editorial, '')")} ELSE coalesce(editorial, '') END AS editorial FROM book_std
 WHERE site IN ({", ".join(f"'{s}'" for s in SITE_PAGES)})"""))
 def extract_site_fields(spark, sf):
@@ -205,8 +207,9 @@ def extract_site_fields(spark, sf):
     for site, form in SITE_PAGES.items():
         parts = [shown[x[1]] if x in ("{t}", "{a}", "{i}", "{e}") else F.lit(x) for x in re.split(r"(\{[taie]\})", form) if x]
         page = std.filter(F.col("site") == site).select(F.col("pk").alias("page_id"), "url", F.concat(*parts).alias("html"))
-        found = extract.extract_fields(page, site_specs.spec_of(SPEC_OF.get(site, site)))
-        out.append(found.select(F.lit(site).alias("site"), "url", "titulo", "autor", "isbn", "editorial"))
+        found = site_specs.extract_fields(page, site_specs.spec_of(SPEC_OF.get(site, site)))
+        author = F.col("autor") if "autor" in found.columns else F.lit("")
+        out.append(found.select(F.lit(site).alias("site"), "url", "titulo", author.alias("autor"), "isbn", "editorial"))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

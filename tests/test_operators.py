@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmerge.functions import ids, text, urls, values
-from shelfmerge.operators import extract, gold, matching, merge, site_specs, standard, worklist
+from shelfmerge.operators import elements, extract, gold, matching, merge, site_specs, standard, worklist
 from shelfmerge.plans.fixtures import book_std, lease_events
 from shelfmerge.sources import readers, writers
 from shelfmerge.streaming import jobs
@@ -192,16 +192,73 @@ GOLDEN = {
         '<span class="a-text-bold">Print length \u200f : \u200e </span> <span>310 pages</span><img id="landingImage" src="s.jpg" data-old-hires="big.jpg">',
         {"titulo": "The T", "autor": "A B", "isbn": "9780000000002", "encuadernacion": "Paperback", "paginas": "310 págs", "url_portada": "big.jpg"},
     ),
+    "contrapunto": (
+        "<div class='product__title'><h1>T <b>dos</b></h1></div><div class='pivot-authors'><a>Ana</a>, <a>Luis</a><a>Ana</a></div><p class='pivot-metadata'><strong>EDITORIAL:</strong> Blume<br><b>ISBN:</b> 978-84 <br>"
+        "N° DE PÁGINAS: 320<br><b>FECHA DE PUBLICACIÓN:</b><i>09/03/2022</i></p><span class='price-item price-item--sale'>$9.265 CLP</span><details><summary>Envíos</summary><div class='accordion__content'>no</div></details>"
+        "<details><summary><h2>Descripción del libro</h2></summary><div class='accordion__content rte'><p>Un <div>texto</div></p></div></details><div class='product__media'><img src='//c/p.jpg'></div>",
+        {"titulo": "T dos", "autor": "Ana, Luis", "editorial": "Blume", "isbn": "97884", "paginas": "320 págs", "fecha_publicacion": "2022-03-09", "precio": "9265", "sinopsis": "Un texto", "url_portada": "//c/p.jpg", "idioma": ""},
+    ),
+    "cuspide": (
+        "<main><div><div><h1 id='t-p-f'>El T</h1></div><a href='/libros-ebooks/ana/1'>Ana D</a><a href='/libros-ebooks/x'>Ver más</a></div></main><div class='producto-asociado'><p>Ebook 5,00 €</p></div>"
+        "<div class='producto-asociado selected'><p>Tapa dura<p>1.021,50 €</div><div class='ficha-tecnica' id='contributors'><span data-campo='ISBN'><b>ISBN:</b> 9788400000000 <span class='tooltip'>hint</span></span>"
+        "<span data-campo='Editorial'><b>Editorial:</b> <a>ALMA ALMA</a></span><span data-campo='Alto'><b>Alto:</b> 21 cm</span><span data-campo='Ancho'><b>Ancho:</b> 14 cm</span><span data-campo='Grueso'><b>Grueso:</b> 2 cm</span></div>"
+        "<div class='resumen-content'>corto</div><div class='resumen-content'><p>uno</p><p>dos tres</p></div><cdl-img><img src='a.jpg' srcset='b.jpg 100w, c.jpg 300w'></cdl-img><a href='/libros-ebooks/otro'>Otro</a>",
+        {"titulo": "El T", "autor": "Ana D", "precio": "1021.50", "encuadernacion": "Tapa dura", "isbn": "9788400000000", "editorial": "ALMA", "dimensiones": "21 cm x 14 cm x 2 cm", "sinopsis": "uno\ndos tres", "url_portada": "c.jpg"},
+    ),
+    "casa_del_libro": (
+        "<h1>T</h1><h2>Sinopsis de T</h2><div class='resumen'><div class='resumen-content'>uno<br>dos</div></div><div class='ficha-tecnica'><div data-campo='ISBN'><b>ISBN:</b>9788400000000</div>"
+        "<div data-campo='Encuadernación'>Encuadernación: Tapa blanda</div><div data-campo='Idioma'>Idioma: CASTELLANO CASTELLANO</div></div><img src='x.jpg'>",
+        {"titulo": "T", "isbn": "9788400000000", "encuadernacion": "Tapa blanda", "idioma": "CASTELLANO", "sinopsis": "uno\ndos", "url_portada": "x.jpg", "dimensiones": ""},
+    ),
+    "iberlibro": (
+        "<img id='isbn-image' src='/i.jpg'><h2 id='book-author'>de <a>Ana D</a></h2><dl class='listing-metadata'><dt>Título:</dt><dd>El T</dd><dt>Editor</dt><dd>Alma</dd><dt>Fecha de publicación</dt><dd>1999</dd>"
+        "<dt>ISBN 10</dt><dd>84-000</dd><dt>ISBN 13</dt><dd>978-84000</dd><dt>Encuadernación<dd>Encuadernación de tapa dura</dl><dl><dt>Editor</dt><dd>no</dd></dl>",
+        {"titulo": "El T", "autor": "Ana D", "editorial": "Alma", "fecha_publicacion": "1999", "isbn": "97884000", "encuadernacion": "tapa dura", "url_portada": "/i.jpg"},
+    ),
 }
 
 
 @pytest.mark.parametrize("site", sorted(GOLDEN))
 def test_golden_pages_of_sites(spark, site):
     html, want = GOLDEN[site]
-    row = extract.extract_fields(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), site_specs.spec_of(site)).first()
+    row = site_specs.extract_fields(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), site_specs.spec_of(site)).first()
     assert {k: row[k] for k in want} == want
 
 
+TREE = """<!doctype html><!-- <p id=no> --><DIV id=a class="x y"><p>one<p>two <b title='1 > 0'>bold</b> end</div><script>if (a < b) "<p id='s'>"</script>
+<ul><li>Autor: <i>A: B</i><li class=k>in<ul><li>deep</ul></ul><img src=i.jpg alt="<p>"><p data-x="unclosed>three</p><br/>last"""
+
+
+@pytest.mark.parametrize(
+    ("s", "want"),
+    [
+        ("p", "one"), ("p (1)", "two <b title='1 > 0'>bold</b> end"), ("#a > p b", "bold"), (".x.y p b @title", "1 > 0"), ("p#s", ""), ("#no", ""), ("div b ..", " end"),
+        ("li{autor:}", " <i>A: B</i>"), ("li li", "deep"), ("ul > li.k", "in<ul><li>deep</ul>"), ("li.k !z", "in<ul><li>deep</ul>"), ("img @src", "i.jpg"), ("img @alt", "<p>"), ("b ^ li", "Autor: <i>A: B</i>"),
+        ("div + script ", 'if (a < b) "<p id=\'s\'>"'), ("script[:inner*=\"a < b\"] + ul li i", "A: B"), ("p{~TWÓ} b", "bold"), ("b (*)", "bold"), ("li (*)", "\x1f".join(["Autor: <i>A: B</i>", "in<ul><li>deep</ul>", "deep"])), ("p (7)", ""),
+    ],
+)
+def test_selectors(s, want):
+    assert elements.select(elements.Page(TREE), s) == want
+
+
+def test_unreadable_selectors_are_errors():
+    for bad in ("p >", "&", "p { x"):
+        with pytest.raises(ValueError):
+            elements.selector(bad)
+
+
+def test_a_megabyte_takes_linear_time():
+    import time
+
+    took = {}
+    for form in ("<a ", "<p>x", "<div>", "<a b='", '<a b="c', "</p>", "<li>", "<!--", "<script>"):
+        for n in (50_000, 200_000):
+            began = time.perf_counter()
+            elements.select(elements.Page(form * n), "div p > b")
+            took[form, n] = time.perf_counter() - began
+        assert took[form, 200_000] < 12 * took[form, 50_000] + 0.5, form
+
+
 def test_similarity(spark):
     df = spark.createDataFrame([("abcd", "bcde"), (None, "x")], "a string, b string")
     got = [r.v for r in df.select(matching.title_similarity("a", "b").alias("v")).collect()]

@@ -47,7 +47,7 @@ def test_query_without_oracle_has_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-PYTHON = {"title_similarity", "queue_fingerprint", "extract_block", "links_from_category_json"}
+PYTHON = {"title_similarity", "extract_site_fields", "queue_fingerprint", "extract_block", "links_from_category_json"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
