@@ -3,12 +3,15 @@
 Markup is stripped into lines, one for each block element. Places that never hold the
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts)
 give no lines. A line has the length of its text outside links, and none if it is
-mostly links. On a page that marks its article a line inside the mark has ``MARKED``
-characters more, links count as its text, and a line outside has none. A window of
-three lines slides over these lengths; where its sum surges past the threshold a
-stretch begins, with the short lines that lead up to it; at the dive back to nothing
-it ends, and all lines between are kept. The threshold is ``SURGE`` characters, or
-``SHARE`` of the page's fullest window where that is less, so short articles count.
+mostly links. A window of three lines slides over these lengths; where its sum surges
+past the threshold a stretch begins, with the short lines that lead up to it; at the
+dive back to nothing it ends, and all lines between are kept. The threshold is
+``SURGE`` characters, or ``SHARE`` of the page's fullest window where that is less, so
+short articles count. Behind a dive a stretch goes on with the next line of the element
+that held its last one, so links in an article do not cut off its end.
+
+The mark of an article is a prior on the lengths: a line inside counts ``PRIOR`` times,
+its links as text, and of a stretch on a page with a mark only lines inside are kept.
 
 The page is read forward once. Elements left open end with the element around them;
 an article is never part of a menu or advert, so its start ends those still open. A tag
@@ -36,8 +39,8 @@ WINDOW = 3
 #: Characters that a stretch must surge past at most, and what share of the fullest window is enough.
 SURGE = 80
 SHARE = 0.25
-#: Characters that the mark of an article is worth: its lines surge on their own.
-MARKED = 4 * SURGE
+#: How many times a line inside the mark of an article counts.
+PRIOR = 4
 #: Share of a line's characters in links from which it counts as a menu's.
 LINKED = 0.6
 #: Tags of a page whose quotes may be looked for to its end; further ones end at the next ``>``.
@@ -55,7 +58,7 @@ INLINE = set(
 )
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set("nav header footer aside form menu dialog button select head fieldset".split())
-#: Parts of class names, ids and roles of elements that hold no text of the article, wherever they stand.
+#: Class names, ids and roles of elements that hold no text of the article, wherever they stand: whole, or as their last part, or before HOLDERS.
 FOREIGN = set(
     "ad ads adv advert advertisement adverts advertising adsense sponsor sponsored comment comments disqus share sharing "
     "newsletter subscribe signup login cookie cookies consent gdpr".split()
@@ -69,6 +72,13 @@ WHOLE = set(
     "promo banner notice notices alert header reply replies social related recommended popup modal widget search "
     "complementary contentinfo".split()
 )
+#: Parts of names that only say that something is held there.
+HOLDERS = set(
+    "area banner bar block bottom box button buttons code container content form holder icon icons inline inner item items left link links list "
+    "main middle modal notice outer overlay panel popup right section slot space text thread title top unit widget widgets wrap wrapper zone".split()
+)
+#: Elements that hold an article's blocks.
+KEEPS = set("div section article main td blockquote center".split())
 #: Class names that begin so tell of an element beside, and are on the one around it.
 AROUND = ("with", "has", "no", "without", "show", "hide")
 CUTS_P = set("p div ul ol li table tr td th h1 h2 h3 h4 h5 h6 pre blockquote section article main dl dt dd hr form".split())
@@ -84,16 +94,24 @@ def is_beside(tag: str, attrs: str, inside: bool) -> bool:
             parts = re.split(r"[^a-z0-9]+", token)
             if parts[0] in AROUND:
                 continue
-            if not FOREIGN.isdisjoint(parts) or not inside and (token in WHOLE or not BESIDE.isdisjoint(parts)):
+            if named(parts, FOREIGN) or not inside and (token in WHOLE or named(parts, BESIDE)):
                 return True
     return False
 
 
+def named(parts: list[str], words: set[str]) -> bool:
+    """Whether a name is of these words: ``comments``, ``post-comments``, ``comment-list``, but not ``comment-analysis``."""
+    parts = [p for p in parts if p]
+    return bool(parts) and (parts[-1] in words or parts[0] in words and all(p in HOLDERS or p in words or p.isdigit() for p in parts[1:]))
+
+
 class Lines:
-    """The lines of a page: text, length outside links, and whether each lies in the article."""
+    """The lines of a page: text, length outside links, length, whether each lies in the article, and the element that keeps it (0: the page)."""
 
     def __init__(self, page: str):
-        self.rows: list[tuple[str, int, bool]] = []
+        self.rows: list[tuple[str, int, int, bool, int]] = []
+        self.keepers: list[int] = [0]
+        self.kept = 0
         self.open: list[tuple[str, bool]] = []
         self.opened: Counter[str] = Counter()
         self.beside = self.article = self.link = 0
@@ -146,7 +164,7 @@ class Lines:
         if text:
             solid = len(text.replace(" ", ""))
             free = solid - self.linked
-            self.rows.append((text, free if free > (1 - LINKED) * solid else 0, self.article > 0))
+            self.rows.append((text, free if free > (1 - LINKED) * solid else 0, solid, self.article > 0, self.keepers[-1]))
         self.parts, self.linked = [], 0
 
     def start(self, tag: str, attrs: str) -> None:
@@ -167,6 +185,9 @@ class Lines:
         beside = is_beside(tag, attrs, self.article > 0)
         if beside:
             self.line()
+        if tag in KEEPS:
+            self.kept += 1
+            self.keepers.append(self.kept)
         self.open.append((tag, beside))
         self.opened[tag] += 1
         self.beside += beside
@@ -184,8 +205,10 @@ class Lines:
     def close(self) -> str:
         tag, beside = self.open.pop()
         self.opened[tag] -= 1
-        if beside or tag in ("article", "main"):
+        if beside or tag in KEEPS:
             self.line()
+        if tag in KEEPS:
+            self.keepers.pop()
         self.beside -= beside
         self.article -= tag in ("article", "main")
         self.link -= tag == "a"
@@ -197,12 +220,13 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     found = Lines(page or "")
     if not found.rows:
         return ""
-    if found.marked:
-        length = np.array([len(t) + MARKED if inside else 0 for t, _, inside in found.rows], np.int64)
-    else:
-        length = np.array([free for _, free, _ in found.rows], np.int64)
+    length = np.array([PRIOR * solid if inside else free for _, free, solid, inside, _ in found.rows], np.int64)
+    inside = np.array([r[3] for r in found.rows]) if found.marked else np.ones(len(length), bool)
+    keeper = [r[4] for r in found.rows]
     sums = np.convolve(length, np.ones(window, np.int64))[window - 1 :]
-    least = min(surge, SHARE * sums.max())
+    # on a page with a mark the fullest window is one of its own
+    least = min(surge, SHARE * np.convolve(np.where(inside, length, 0), np.ones(window, np.int64)).max())
+    solid = np.flatnonzero(length)
     out, k, done = [], 0, 0
     while k < len(sums):
         if not length[k] or sums[k] < least:
@@ -211,11 +235,20 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         first, stop = k, k
         while first > done and length[first - 1]:  # short lines that lead up to the surge
             first -= 1
-        while stop < len(sums) and sums[stop]:
-            stop += 1
-        done = k + 1 + int(np.flatnonzero(length[k:stop])[-1])
-        out += [t for t, _, _ in found.rows[first:done]]
-        k = stop
+        taken = range(first, first)
+        while True:
+            while stop < len(sums) and sums[stop]:
+                stop += 1
+            done = stop if stop == len(sums) else int(solid[np.searchsorted(solid, stop) - 1]) + 1
+            out += [found.rows[j][0] for j in range(max(first, taken.stop), done) if inside[j]]
+            taken = range(first, done)
+            # behind the dive: the next line that is no link, if the element of the last one keeps it too
+            after = int(np.searchsorted(solid, done))
+            if after == len(solid) or not keeper[done - 1] or keeper[solid[after]] != keeper[done - 1]:
+                break
+            first = stop = int(solid[after])
+            taken = range(first, first)
+        k = max(stop, k + 1)
     return "\n".join(out)
 
 

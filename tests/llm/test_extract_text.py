@@ -36,12 +36,34 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
-def test_the_window_decides_on_marked_pages_too():
+def test_the_mark_is_a_prior_and_lets_nothing_between_through():
+    page = "<article><p>A</p></article><p>Buy now cheap</p><article><p>B</p></article>"
+    assert main_text(page) == "A\nB"
     page = "<article><p>one</p></article><p>between</p><p>them</p><article><p>two</p></article><p>after</p><p>all</p>"
-    assert main_text(page) == "one\nbetween\nthem\ntwo"
-    assert main_text(page, window=1) == main_text(page, window=2) == "one\ntwo"
-    far = page.replace("<p>them</p>", "<p>them</p><p>and</p>")
-    assert main_text(far) == "one\ntwo" and main_text(far, window=4) == "one\nbetween\nthem\nand\ntwo"
+    assert main_text(page) == "one\ntwo"
+    teaser = f"<article><p>{LONG}</p><p>{LONG}</p></article>" + "<p><a href='/'>x y</a></p>" * 4 + "<article><p>Other</p></article>"
+    assert main_text(teaser) == f"{LONG}\n{LONG}"  # a short one elsewhere does not surge
+    assert main_text(teaser, window=7) == f"{LONG}\n{LONG}\nOther"
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+def test_links_do_not_cut_off_the_end(tag):
+    close = "A closing paragraph of some sixty characters, or nearly that."
+    links = "<ul>" + "<li><a href='/x'>a link of the article</a></li>" * 3 + "</ul>"
+    page = f"<{tag}><p>{LONG}</p><p>{LONG}</p>{links}<p>{close}</p></{tag}><footer>Imprint</footer>"
+    text = main_text(page).split("\n")
+    assert text[-1] == close and text.count(LONG) == 2 and "Imprint" not in text
+    twice = f"<{tag}><p>{LONG}</p>{links}<p>middle</p>{links}<p>{close}</p></{tag}>" + links + "<div><p>no</p></div>"
+    kept = [t for t in main_text(twice).split("\n") if not t.startswith("a link")]
+    assert kept == [LONG, "middle", close]
+
+
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_parts_of_names_do_not_decide(mark):
+    kept = ["share-price", "ad-hoc", "comment-analysis", "newsletter-history", "shared"]
+    gone = ["ad", "ad-slot", "post-comments", "comment-list", "share-buttons", "cookie-banner-2", "ads"]
+    page = f"<{mark}><p>{LONG}</p>" + "".join(f"<p class='{c}'>{c} {LONG}</p>" for c in kept + gone) + f"</{mark}>"
+    assert main_text(page) == "\n".join([LONG, *(f"{c} {LONG}" for c in kept)])
 
 
 @pytest.mark.parametrize(
@@ -75,6 +97,12 @@ def test_whole_table(spark, sf):
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_the_window_finds_the_same_without_marks(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    unmarked = [re.sub(r"(</?)(?:article|main)\b", r"\1div", p or "") for p in pages]
+    assert sum(main_text(a) == main_text(b) for a, b in zip(pages, unmarked)) >= 0.98 * len(pages)
+
+
 def test_long_and_broken(spark):
     rows = [(1, None, None), (2, "u", "<" * 100_000), (3, "u", "<article>" + "<div>" * 5000 + "deep"), (4, "u", "<article><p>" + "w " * 500_000), (4, "u", "&#xZZ;&"), (5, "u", "<p class='a" + "b" * 1000)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
