@@ -262,7 +262,9 @@ def scores_of(t: Column) -> Column:
         es = stop_words(found, STOP_ES) + F.least(F.lit(3), accents) * 0.75
         return F.struct(es.alias("es"), stop_words(found, STOP_EN).alias("en"))
 
-    return let(F.split(t, "[^a-záéíóúñ]+"), both)
+    # all words are looked at once; the two lists are counted in the few that are left
+    known = F.filter(F.split(t, "[^a-záéíóúñ]+"), lambda w: w.isin(sorted({*STOP_ES, *STOP_EN})))
+    return let(known, both)
 
 
 def decide(s: Column) -> Column:
