@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from html.entities import name2codepoint
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +13,33 @@ from pyspark.sql import functions as F
 #: Accented Latin letters and what they fold to, position by position.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+#: Planes of letters whose decompositions are looked at; syllables that decompose by arithmetic are left as they are.
+LETTERS = range(0x80, 0x10000)
+SYLLABLES = range(0xAC00, 0xD7A4)
+
+
+def decompositions() -> dict[str, str]:
+    """What each letter is without its marks, where that is something else: its compatibility decomposition, or nothing for a mark."""
+    found = {}
+    for code in LETTERS:
+        if code in SYLLABLES or 0xD800 <= code < 0xE000:
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if plain != chr(code):
+            found[chr(code)] = plain
+    return found
+
+
+#: Letters that become one letter, then marks, which go; and those that become several.
+_ONE = {c: p for c, p in decompositions().items() if len(p) == 1}
+_MARKS = "".join(c for c, p in decompositions().items() if not p)
+SEVERAL = {c: p for c, p in decompositions().items() if len(p) > 1}
 #: Named character references: those of HTML 4 and the apostrophe; a no-break space becomes a space.
 ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+#: The letters of SEVERAL, run by run.
+SEVERAL_CLASS = "[" + "".join(
+    f"{chr(min(run))}-{chr(max(run))}" for run in ([*map(ord, [c for _, c in g])] for _, g in groupby(enumerate(sorted(SEVERAL)), lambda x: ord(x[1]) - x[0]))
+) + "]"
 #: Language names as sources write them, folded, and the name that is kept.
 LANGUAGE_NAMES = {
     "espanol": "Español",
@@ -50,7 +77,8 @@ def first_filled(*columns: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """White space becomes single spaces; those that are single already are not touched."""
+    return F.trim(F.regexp_replace(c, r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def decode_entities(c: Column) -> Column:
@@ -111,7 +139,13 @@ def titleish(c: Column) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Letters without their accents, by compatibility decomposition: also ligatures, full-width letters and loose marks.
+
+    Texts of ASCII are what they are; only those with a letter that becomes several are taken letter by letter.
+    """
+    one = F.translate(c, "".join(_ONE) + _MARKS, "".join(_ONE.values()))
+    each = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(look_up(SEVERAL, x), x)), "")
+    return F.when(F.length(c) == F.octet_length(c), c).when(c.rlike(SEVERAL_CLASS), each).otherwise(one)
 
 
 def normalize_language(c: Column) -> Column:

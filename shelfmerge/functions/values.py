@@ -246,7 +246,7 @@ def best_cover(urls: Column, isbn: Column) -> Column:
 
 def guess_language(c: Column) -> Column:
     """struct(lang, conf): Spanish or English by stop words and accents; empty where undecided."""
-    return let(F.lower(collapse(F.coalesce(c, F.lit("")))), lambda t: let(scores_of(t), decide))
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda t: let(scores_of(t), decide))
 
 
 def stop_words(found: Column, words: list[str]) -> Column:

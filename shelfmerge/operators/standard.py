@@ -103,7 +103,7 @@ def qc_rules(std: DataFrame, mode: str = "fix", fix: float = 0.75, warn: float =
     """std with qc_issues; in fix mode wrong languages and covers are put right, flag mode only reports."""
     mend = mode == "fix"
     clean = lambda c: tx.collapse(F.coalesce(F.col(c), F.lit("")))
-    guess = vl.guess_language(F.concat_ws(". ", clean("titulo"), clean("sinopsis")))
+    guess = vl.guess_language(F.concat_ws(". ", "titulo", "sinopsis"))  # white space makes no difference to it
     rows = std.withColumns(
         {
             "_g": guess,

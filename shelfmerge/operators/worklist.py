@@ -230,7 +230,7 @@ def queue_fingerprint(queue: DataFrame) -> DataFrame:
                 first = False
         yield pa.RecordBatch.from_pydict({"queue_id": [found.hexdigest()[:12]]})
 
-    found = queue.orderBy("pos").select("isbn").coalesce(1).mapInArrow(digest, "queue_id string")
+    found = queue.select("isbn", "pos").repartition(1).sortWithinPartitions("pos").select("isbn").mapInArrow(digest, "queue_id string")
     nothing = F.substring(F.sha1(F.lit("").cast("binary")), 1, 12)
     return found.agg(F.coalesce(F.max("queue_id"), nothing).alias("queue_id"))
 

@@ -1,11 +1,13 @@
 """Merges, worklists, queues and leases."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfmerge.operators import extract, merge, worklist
 from shelfmerge.plans import duck as d
 from shelfmerge.plans.base import query
-from shelfmerge.plans.fixtures import LEASE_EVENTS, QUERIES, QUEUE, book_std, lease_events, queries_table, queue, with_book_std
+from shelfmerge.plans.fixtures import LEASE_EVENTS, QUERIES, QUEUE, book_std, lease_events, queries_table, queue, shared_folder, with_book_std
 from shelfmerge.streaming import jobs
 
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
@@ -256,6 +258,21 @@ def lease_query(as_of):
 query(LEASE.replace("@@", AS_OF) + " SELECT * FROM leases", "lease_state")(lease_query(AS_OF))
 query(LEASE.replace("@@", "2024-02-01 00:00:00") + " SELECT * FROM leases", "lease_state_last")(lease_query("2024-02-01 00:00:00"))
 
+
+
+@query(LEASE.replace("@@", AS_OF) + " SELECT * FROM leases")
+def lease_stream(spark, sf):
+    """The log as a stream, its changes written, and the state at the moment read from them."""
+    path = f"{shared_folder(spark)}/shelfmerge/leases-{uuid.uuid4().hex}"
+    log = lease_events(spark, sf)
+    log.write.parquet(f"{path}/in")
+    changes = jobs.lease_stream(spark.readStream.schema(log.schema).parquet(f"{path}/in"))
+    changes.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out", "parquet").awaitTermination()
+    at = jobs.leases_at(spark.read.schema(changes.schema).parquet(f"{path}/out"), F.lit(AS_OF).cast("timestamp"))
+    every = log.select("isbn").distinct().join(at, "isbn", "left")
+    return every.select("isbn", F.coalesce("status", F.lit("open")).alias("status"), "worker", F.unix_micros("expires_at").alias("until_us"))
+
+
 STATUS = LEASE.replace("@@", AS_OF) + f", q AS ({QUEUE}), status AS (SELECT q.isbn, q.pos, coalesce(nullif(l.status, 'open'), 'open') AS status FROM q LEFT JOIN leases l ON l.isbn = q.isbn)"
 
 

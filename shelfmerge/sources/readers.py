@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,13 +78,38 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return worklist.queue_rows(df.select("pos", "isbn", *[F.lit("").alias(c) for c in columns[1:]]), from_text=True)
 
 
-def read_sitemap_urls(spark: SparkSession, path: str, row_tag: str = "url", products_only: bool = True) -> DataFrame:
+def read_sitemap_urls(spark: SparkSession, path: str | list[str], row_tag: str = "url", products_only: bool = True) -> DataFrame:
     """Distinct addresses of a sitemap (row_tag url) or an index of sitemaps (row_tag sitemap), gzip or not."""
     df = spark.read.format("xml").option("rowTag", row_tag).schema("loc string").load(path)
     urls = df.select(canonical_url(F.col("loc")).alias("url")).filter("url <> ''").distinct()
     return urls.filter(classify_url(F.col("url")) == "product") if products_only else urls
 
 
+#: Levels of indexes that are followed, and sitemaps that one index may name by the protocol.
+INDEX_DEPTH = 3
+INDEX_ENTRIES = 50_000
+
+
+def read_sitemap_index(spark: SparkSession, path: str, folder: str | None = None, products_only: bool = True) -> DataFrame:
+    """Distinct addresses of all sitemaps that an index names, and of those that these name, gzip or not.
+
+    Sitemaps have been landed in folder (the index's own) under the last part of their
+    address; those not there are left out. Names reach the driver, of which an index
+    has a bounded number; the sitemaps themselves are read as one table.
+    """
+    folder = folder or path.rstrip("/").rpartition("/")[0]
+    files, level = [path], [path]
+    for _ in range(INDEX_DEPTH):
+        named = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(level)
+        last = F.regexp_extract(F.trim("loc"), r"([^/?#]+)(?:[?#].*)?$", 1).alias("name")
+        names = [r.name for r in named.select(last).filter("name <> ''").distinct().limit(INDEX_ENTRIES * len(level)).collect()]
+        level = [f for f in (f"{folder}/{n}" for n in sorted(names)) if f not in files and exists(spark, f)]
+        if not level:
+            break
+        files += level
+    return read_sitemap_urls(spark, files, "url", products_only)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
@@ -96,13 +122,13 @@ class CategoryLinks:
 
     def eval(self, text: str) -> Iterator[tuple[str, str]]:
         try:
-            todo = [("other", json.loads(text or ""))]
+            todo = deque([("other", json.loads(text or ""))])
         except ValueError:
             return
         while todo:
-            kind, x = todo.pop(0)
+            kind, x = todo.popleft()
             if isinstance(x, list):
-                todo += [(kind, y) for y in x]
+                todo.extend((kind, y) for y in x)
             elif isinstance(x, dict):
                 for key, y in x.items():
                     if key in ("src", "href", "url") and isinstance(y, str):

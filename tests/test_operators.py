@@ -606,3 +606,42 @@ def test_a_word_of_all_titles_gives_k_pairs(spark):
     q = matching.title_classes(spark.createDataFrame([(1, "the")], "id long, t string"), "id", "t")
     got = matching.top_title_links(q, matching.title_classes(rows, "id", "t"), 10).collect()
     assert sorted(r.first_id for r in got) == list(range(10))
+
+
+def test_leases_run_out_by_timer_and_survive_a_restart(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    form = "event_id long, ts timestamp, isbn string, worker string, action string"
+
+    def arrive(*rows):
+        made = [(n, f"2024-01-01 {t}", *rest) for n, (t, *rest) in enumerate(rows)]
+        df = spark.createDataFrame(made, form.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1)
+        df.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(form).parquet(src)
+        q = jobs.lease_stream(stream, 60, "10 seconds").writeStream.option("checkpointLocation", cp).trigger(availableNow=True).start(out, "parquet")
+        q.awaitTermination()
+        return {r.isbn: r.status for r in jobs.leases_at(spark.read.parquet(out), F.lit("2024-01-02").cast("timestamp")).collect()}, spark.read.parquet(out)
+
+    arrive(("10:00:00", "a", "w1", "claim"), ("10:00:30", "a", "w1", "heartbeat"), ("10:00:10", "b", "w2", "claim"), ("10:00:20", "b", "w3", "claim"), ("10:00:05", "c", "w1", "done"))
+    # a new start: b's lease ends by its own action, a's by its timer as time goes on
+    last, rows = arrive(("10:00:40", "b", "w2", "done"), ("10:05:00", "z", "w9", "claim"))
+    last, rows = arrive(("10:05:10", "b", "w2", "claim"), ("10:09:00", "a", "w4", "claim"))
+    said = [(r.isbn, r.status, r.worker, str(r.ts)[11:]) for r in rows.orderBy("ts", "isbn").collect()]
+    assert ("a", "open", None, "10:01:30") in said and ("z", "open", None, "10:06:00") in said
+    assert [x[1:3] for x in said if x[0] == "b"] == [("in_progress", "w2"), ("done", "w2")]
+    assert [x[1:3] for x in said if x[0] == "a"] == [("in_progress", "w1"), ("in_progress", "w1"), ("open", None), ("in_progress", "w4")]
+    assert last["b"] == "done" and "c" not in last
+
+
+def test_folding_is_by_compatibility_decomposition(spark):
+    import unicodedata
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(1, 0x10000) if c not in text.SYLLABLES and not 0xD800 <= c < 0xE000]
+    given = ["ﬁnal ﬀ", "Tiếng Việt", "ＡＢＣ１２", "e\u0301a\u0308", "½ ™ №", "Ærø ßø", "", "plain", "𝐀 and 漢字", *("".join(rng.choices(letters, k=40)) for _ in range(300)), "".join(letters[::7])]
+    df = spark.createDataFrame([(t,) for t in given] + [(None,)], "t string")
+    got = [r[0] for r in df.select(text.fold_accents(F.col("t"))).collect()]
+    want = [plain(t) if all(ord(c) < 0x10000 for c in t) else t for t in given]
+    assert got[:-1] == want and got[-1] is None
+    plan = df.select(text.fold_accents(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
