@@ -36,6 +36,8 @@ _MARKS = "".join(c for c, p in decompositions().items() if not p)
 SEVERAL = {c: p for c, p in decompositions().items() if len(p) > 1}
 #: Named character references: those of HTML 4 and the apostrophe; a no-break space becomes a space.
 ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+FOLDED, PLAIN_OF = "".join(_ONE) + _MARKS, "".join(_ONE.values())
+SEVERAL_TABLE = "\x01".join(f"{c}\x02{p}" for c, p in SEVERAL.items())
 #: The letters of SEVERAL, run by run.
 SEVERAL_CLASS = "[" + "".join(
     f"{chr(min(run))}-{chr(max(run))}" for run in ([*map(ord, [c for _, c in g])] for _, g in groupby(enumerate(sorted(SEVERAL)), lambda x: ord(x[1]) - x[0]))
@@ -143,8 +145,9 @@ def fold_accents(c: Column) -> Column:
 
     Texts of ASCII are what they are; only those with a letter that becomes several are taken letter by letter.
     """
-    one = F.translate(c, "".join(_ONE) + _MARKS, "".join(_ONE.values()))
-    each = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(look_up(SEVERAL, x), x)), "")
+    one = F.translate(c, FOLDED, PLAIN_OF)
+    table = F.str_to_map(F.lit(SEVERAL_TABLE), F.lit("\x01"), F.lit("\x02"))  # one literal, folded to a map once
+    each = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     return F.when(F.length(c) == F.octet_length(c), c).when(c.rlike(SEVERAL_CLASS), each).otherwise(one)
 
 
