@@ -30,6 +30,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -219,6 +220,11 @@ def frames(stream) -> Iterator[bytes]:
     z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     held = b""
     while held := held or stream.read(CHUNK):
+        while len(held) < 8 and (more := stream.read(CHUNK)):
+            held += more
+        if held[3:4] == b"\x18" and held[1:3] == b"\x2a\x4d" and held[0] >> 4 == 5:
+            held = skipped(held, stream)
+            continue
         frame, parts = z.decompressobj(), []
         while True:
             try:
@@ -234,12 +240,29 @@ def frames(stream) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def skipped(held: bytes, stream) -> bytes:
+    """What follows a skippable frame, which may stand between any two others."""
+    left = 8 + int.from_bytes(held[4:8], "little")
+    while len(held) < left:
+        left, held = left - len(held), stream.read(CHUNK)
+        if not held:
+            raise WarcError("a skippable frame is cut short")
+    return held[left:]
+
+
+def count_of(value: str, what: str) -> int:
+    """A number of bytes, of 18 digits at most."""
+    if not (value.isascii() and value.isdigit() and len(value) <= 18):
+        raise WarcError(f"no {what}")
+    return int(value)
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of one record, checked."""
+    """Headers and body of one record, checked. Bytes that are no UTF-8 are U+FFFD; a line that begins with white space goes on with the last."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     if not gap:
         raise WarcError("no end of headers")
-    version, *rows = head.decode("utf-8").split("\r\n")
+    version, *rows = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
     if version not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError(f"unknown version {version[:20]!r}")
     headers: dict[str, str] = {}
@@ -253,9 +276,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise WarcError(f"no {name}")
-    if not (headers["content-length"].isascii() and headers["content-length"].isdigit()):
-        raise WarcError("no length")
-    n = int(headers["content-length"])
+    n = count_of(headers["content-length"], "length")
     if rest[n:] != b"\r\n\r\n":
         raise WarcError("content length and record differ")
     return headers, rest[:n]
@@ -263,7 +284,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def page_of(value: str | None) -> int | None:
     inner = (value or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(inner) if inner.removeprefix("-").isascii() and inner.removeprefix("-").isdigit() else None
+    digits = inner.removeprefix("-")
+    number = int(inner) if digits.isascii() and digits.isdigit() and len(digits) <= 19 else None
+    return number if number is not None and -(2**63) <= number < 2**63 else None
 
 
 def check_digest(named: str | None, body: bytes, what: str) -> None:
@@ -296,15 +319,14 @@ def read_record(data: bytes) -> dict:
     check_digest(h.get("warc-block-digest"), body, "block")
     payload, plain = http_payload(h, body)
     length, named = h.get("x-payload-length"), h.get("warc-payload-digest")
-    if length is not None and not (length.isascii() and length.isdigit()):
-        raise WarcError("no payload length")
+    length = None if length is None else count_of(length, "payload length")
     if kind == "revisit":
         if "warc-refers-to" not in h and "warc-refers-to-target-uri" not in h and named is None:
             raise WarcError("a revisit of nothing")
     else:
         if plain and "warc-segment-number" not in h:
             check_digest(named, payload, "payload")
-        if length is not None and int(length) != len(payload):
+        if length is not None and length != len(payload):
             raise WarcError("payload and length differ")
     url = h.get("warc-target-uri", "")
     ours = h["warc-record-id"].startswith("<urn:page:")
@@ -314,7 +336,7 @@ def read_record(data: bytes) -> dict:
         "page_id": page_of(h["warc-record-id"]) if ours else None,
         "url": url,
         "payload": None if kind == "revisit" else payload,
-        "payload_bytes": int(length) if length is not None else len(payload),
+        "payload_bytes": length if length is not None else len(payload),
         "payload_digest": (named or "").removeprefix("sha256:") or (None if kind == "revisit" else hashlib.sha256(payload).hexdigest()),
         "record_type": kind,
         "refers_to": page_of(h.get("warc-refers-to")) if ours else None,
@@ -329,10 +351,38 @@ RECORDS = (
 )
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per record of the listed archives (column path)."""
+def records_of(stream, keep_broken: bool) -> Iterator[tuple[dict, int]]:
+    """Rows of an archive's records, with their bytes; a broken one is an error, or a row that names it."""
+    found = frames(stream)
+    while True:
+        try:
+            data = next(found, None)
+        except WarcError as e:  # what follows cannot be found
+            if not keep_broken:
+                raise
+            yield {"error": str(e)}, 0
+            return
+        if data is None:
+            return
+        try:
+            row = read_record(data)
+        except WarcError as e:
+            if not keep_broken:
+                raise
+            row = {"error": str(e)}
+        yield row, len(data)
+
+
+def read_archives(archives: DataFrame, with_payload: bool = True, keep_broken: bool = False) -> DataFrame:
+    """One row per record of the listed archives (column path).
+
+    A broken record or archive is an error; with keep_broken it is a row of nulls but for
+    its path and what is wrong (columns path and error), and the records after it are
+    read, unless the archive itself ends there.
+    """
     n = archives.count()
     schema = RECORDS if with_payload else RECORDS.replace("payload binary, ", "")
+    schema += ", path string, error string" if keep_broken else ""
     fields = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,14 +393,15 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 fs, local = filesystem(path)
                 rows, held = [], 0
                 with fs.open_input_stream(local, compression=None) as stream:
-                    for data in frames(stream):
-                        rows.append(read_record(data))
-                        held += len(data)
+                    for row, size in records_of(stream, keep_broken):
+                        row = row | {"path": path}
+                        rows.append({f: row.get(f) for f in fields})
+                        held += size
                         if len(rows) >= 1000 or held > 8 << 20:
-                            yield pa.RecordBatch.from_pylist([{f: r[f] for f in fields} for r in rows], form)
+                            yield pa.RecordBatch.from_pylist(rows, form)
                             rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist([{f: r[f] for f in fields} for r in rows], form)
+                    yield pa.RecordBatch.from_pylist(rows, form)
 
     return in_text_batches(archives.select("path").repartition(max(1, n)), run, schema)
 

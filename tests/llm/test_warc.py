@@ -90,6 +90,40 @@ def test_broken_records(data):
         warc.read_record(data)
 
 
+def skippable(n, nibble=3):
+    return struct.pack("<II", 0x184D2A50 + nibble, n) + b"\x28" * n
+
+
+def test_foreign_bytes_folded_lines_and_padding():
+    odd = rec().replace(b"WARC-Date", b"X-Note: caf\xe9\r\n  and\r\n\tmore\r\nWARC-Date")
+    assert warc.read_record(odd)["payload"] == b"body" and warc.parse(odd)[0]["x-note"] == "caf\ufffd and more"
+    one = archive(rec())
+    lead = 8 + struct.unpack("<I", one[4:8])[0]
+    for n in (0, 5, warc.CHUNK - 8, warc.CHUNK + 3):
+        padded = one[:lead] + skippable(n) + one[lead:] + skippable(n, 15) + skippable(1)
+        assert list(warc.frames(io.BytesIO(padded))) == list(warc.frames(io.BytesIO(one)))
+    with pytest.raises(warc.WarcError):
+        list(warc.frames(io.BytesIO(one + skippable(9)[:-1])))
+    for bad in (b"9" * 5000, b"1" * 19):
+        with pytest.raises(warc.WarcError):
+            warc.read_record(rec().replace(b"Content-Length: 4", b"Content-Length: " + bad))
+    assert warc.page_of("<urn:page:" + "9" * 40 + ">") is None and warc.page_of(f"<urn:page:{2**63}>") is None
+    assert warc.page_of(f"<urn:page:{-(2**63)}>") == -(2**63)
+
+
+def test_broken_records_become_rows(spark, tmp_path):
+    good, bad = rec(), rec().replace(b"body", b"bodY")
+    files = {"a": archive(good, bad, good), "b": archive(good) + b"junk junk", "c": b"", "d": archive(good)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    listed = spark.createDataFrame([(str(tmp_path / n),) for n in files], "path string")
+    rows = warc.read_archives(listed, keep_broken=True).collect()
+    said = sorted((r.path[-1], r.error is None, r.payload and bytes(r.payload)) for r in rows)
+    assert said == [("a", False, None), ("a", True, b"body"), ("a", True, b"body"), ("b", False, None), ("b", True, b"body"), ("c", False, None), ("d", True, b"body")]
+    with pytest.raises(Exception, match="WarcError"):
+        warc.read_archives(listed).collect()
+
+
 def slow(rows):
     first = {}
     for p, _, h in rows:
