@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 from itertools import groupby
 
 from pyspark.sql import Column
@@ -34,8 +34,18 @@ def decompositions() -> dict[str, str]:
 _ONE = {c: p for c, p in decompositions().items() if len(p) == 1}
 _MARKS = "".join(c for c, p in decompositions().items() if not p)
 SEVERAL = {c: p for c, p in decompositions().items() if len(p) > 1}
-#: Named character references: those of HTML 4 and the apostrophe; a no-break space becomes a space.
-ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+#: Spaces other than those of ASCII: references to them become a space.
+SPACES = [c for c in range(0x80, 0x10000) if chr(c).isspace() and c != 0x85]
+#: Named character references of HTML 5, with their semicolon where they need it; those of HTML 4 are looked at first.
+ENTITIES = {
+    name: "".join(" " if ord(c) in SPACES else c for c in value)
+    for name, value in sorted(html5.items(), key=lambda x: (x[0].rstrip(";") not in name2codepoint, x[0]))
+}
+ENTITY_TABLE = "\x01".join(f"{name}\x02{value}" for name, value in ENTITIES.items())
+#: References that count without their semicolon too, even with letters behind; the longest that fits.
+BARE = "^(" + "|".join(sorted((n for n in ENTITIES if n[-1] != ";"), key=len, reverse=True)) + ")"
+#: What numbers of the upper control characters mean: the signs of Windows-1252.
+CONTROLS = {c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
 FOLDED, PLAIN_OF = "".join(_ONE) + _MARKS, "".join(_ONE.values())
 SEVERAL_TABLE = "\x01".join(f"{c}\x02{p}" for c, p in SEVERAL.items())
 #: The letters of SEVERAL, run by run.
@@ -79,12 +89,17 @@ def first_filled(*columns: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """White space becomes single spaces; those that are single already are not touched."""
-    return F.trim(F.regexp_replace(c, r"\s{2,}|[\t\n\x0B\f\r]", " "))
+    """White space becomes single spaces: each kind by a plain replacement, runs by a pattern only where there are some."""
+    for other in "\t\n\x0B\f\r":
+        c = F.replace(c, F.lit(other), F.lit(" "))
+    return let(c, lambda x: F.trim(F.when(x.contains("  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x)))
 
 
 def decode_entities(c: Column) -> Column:
-    """Numeric and named character references as their characters, each once; what is none of them stays."""
+    """Character references as their characters, each once, as HTML 5 reads them: by number or name, also without a semicolon.
+
+    What is none of them stays; references to spaces become a plain space.
+    """
 
     def joined(parts: Column) -> Column:
         rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
@@ -95,19 +110,42 @@ def decode_entities(c: Column) -> Column:
 
 def decoded(part: Column) -> Column:
     """The text behind an ampersand, with the ampersand or what both stand for."""
-    name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});", 1)
-    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7))
-    number = digits.cast("int")
-    real = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    letter = F.when(number == 160, " ").when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-    found = F.when(name.startswith("#"), letter).otherwise(look_up(ENTITIES, name))
-    after = F.substr(part, F.length(name) + 2)
-    return F.coalesce(F.when(name != "", F.concat(found, after)), F.concat(F.lit("&"), part))
+    table = F.str_to_map(F.lit(ENTITY_TABLE), F.lit("\x01"), F.lit("\x02"))  # one literal, folded to a map once
+    behind = lambda name: F.substr(part, F.length(name) + 1)
+
+    def found(name: Column) -> Column:
+        bare = F.regexp_extract(name, BARE, 1)
+        by_name = F.coalesce(
+            F.concat(F.try_element_at(table, name), behind(name)),
+            F.when(bare != "", let(bare, lambda b: F.concat(F.try_element_at(table, b), behind(b)))),
+        )
+        return F.when(name.startswith("#"), F.concat(numbered(name), behind(name))).when(name != "", by_name)
+
+    name = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <#;]{1,32};?)", 1)
+    return F.coalesce(let(name, found), F.concat(F.lit("&"), part))
+
+
+def numbered(name: Column) -> Column:
+    """The character of ``#233;`` or ``#xE9``; nothing for numbers that mean none, U+FFFD for those that cannot."""
+
+    def character(n: Column) -> Column:
+        none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFF) >= 0xFFFE)
+        return (
+            F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n.isin(SPACES), " ")
+            .when(n.between(0x80, 0x9F), look_up(CONTROLS, n))
+            .when(none, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        )
+
+    digits = F.concat(F.lit("0"), F.regexp_replace(name, "^#[xX]?0*|;$", ""))
+    number = F.when(F.length(digits) > 8, F.lit(0x110000)).when(name.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("int"))
+    return let(number.otherwise(digits.cast("int")), character)
 
 
 def strip_html(c: Column, keep_breaks: bool = False) -> Column:
     """Text without tags; block ends and breaks part words, or stay as line breaks."""
-    broken = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<br\s*/?>|</(?:p|div|li|tr|h1|h2|h3)\s*>", "\n")
+    broken = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<(?:br\s*/?|/(?:p|div|li|tr|h1|h2|h3)\s*)>", "\n")
     text = decode_entities(F.regexp_replace(broken, r"<[^>]+>", "" if keep_breaks else " "))
     if not keep_breaks:
         return collapse(text)

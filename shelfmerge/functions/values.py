@@ -256,10 +256,10 @@ def stop_words(found: Column, words: list[str]) -> Column:
 
 def scores_of(t: Column) -> Column:
     """Scores of a lower-case text, which is split into words once."""
-    accents = F.length(t) - F.length(F.translate(t, "áéíóúñ", ""))
+    accents = F.size(F.split(t, "[áéíóúñ]", 4)) - 1  # three at most count
 
     def both(found: Column) -> Column:
-        es = stop_words(found, STOP_ES) + F.least(F.lit(3), accents) * 0.75
+        es = stop_words(found, STOP_ES) + accents * 0.75
         return F.struct(es.alias("es"), stop_words(found, STOP_EN).alias("en"))
 
     # all words are looked at once; the two lists are counted in the few that are left

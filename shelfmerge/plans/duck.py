@@ -29,8 +29,8 @@ def fold(c: str) -> str:
 def strip_html(c: str) -> str:
     broken = f"regexp_replace(coalesce({c}, ''), '(?i)<br\\s*/?>|</(p|div|li|tr|h1|h2|h3)\\s*>', chr(10), 'g')"
     t = f"regexp_replace({broken}, '<[^>]+>', ' ', 'g')"
-    for a, b in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        t = f"replace({t}, {q(a)}, {q(b)})"
+    for a, b in [("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&apos;", "'"), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")]:
+        t = f"regexp_replace({t}, {q(a)}, {q(b)}, 'g')"
     return collapse(t)
 
 

@@ -1,10 +1,12 @@
 """Golden values, invariants, sources, sinks and streams."""
 
 import difflib
+import html
 import json
 import os
 import random
 import re
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -500,7 +502,7 @@ def test_queue_digest_and_merge_of_repeated_keys(spark):
     ("html", "want"),
     [
         ("Garc&iacute;a M&#225;rquez &amp; C&#xED;a", "García Márquez & Cía"), ("&amp;lt; &lt;b&gt; &quot;x&#39;", "&lt; <b> \"x'"),
-        ("a & b &unknown; &#0; &#xD800; &; &", "a & b &unknown; &#0; &#xD800; &; &"), ("&#128218;&euro;&ntilde;&Ntilde;", "📚€ñÑ"), ("x&nbsp;&#160;y", "x y"),
+        ("a & b &unknown; &#0; &#xD800; &; &", "a & b &unknown; \ufffd \ufffd &; &"), ("R&ampD &copy2020 &notit; &hellip;", "R&D ©2020 ¬it; …"), ("&#128218;&euro;&ntilde;&Ntilde;", "📚€ñÑ"), ("x&nbsp;&#160;y", "x y"),
     ],
 )
 def test_entities(spark, html, want):
@@ -508,6 +510,25 @@ def test_entities(spark, html, want):
     assert df.select(text.strip_html(F.col("h"))).first()[0] == want
 
 
+def test_references_are_read_as_the_standard_library_does(spark):
+    names = list(html5)
+    atoms = [*"&;ax9<é", "&#", "&#x", "amp", "lt", "&copy", "&AMP", "&#150;", "&#0;", "&#xD800", "&#x110000", f"&#{'9' * 40};", "&#xFFFE;", "&#13;", "&#x1F600;", "&#00065", "&#1;", "&#x80", "&#x85;", "&NotEqualTilde;", "&ensp;", "&nbsp"]
+    rng = random.Random(7)
+    given = ["".join(rng.choices(atoms, k=rng.randint(1, 8))) for _ in range(2000)] + [f"&{n}" for n in names] + [f"x&{n}y" for n in names]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, c string").select("i", "c", text.decode_entities(F.col("c")).alias("got"))
+    plain = lambda s: "".join(" " if ord(c) in text.SPACES else c for c in html.unescape(s))
+    assert [(r.c, r.got) for r in df.collect() if r.got != plain(r.c)] == []
+
+
+def test_white_space_and_breaks(spark):
+    given = ["", " ", "a", "  a\t\tb \n c\x0b\f\rd  ", "a\u00a0 b", "<BR/>x<br   >y</P >z</h3>", "<a </p> b>c", "a \n\n\n\n b"]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, c string")
+    rows = df.select("c", text.collapse(F.col("c")).alias("one"), text.strip_html(F.col("c")).alias("bare")).collect()
+    assert [r.one for r in rows] == [re.sub(r"[ \t\n\x0b\f\r]+", " ", r.c).strip(" ") for r in rows]
+    broken = [re.sub(r"(?i)<br\s*/?>|</(?:p|div|li|tr|h1|h2|h3)\s*>", "\n", r.c) for r in rows]
+    assert [r.bare for r in rows] == [re.sub(r"[ \t\n\x0b\f\r]+", " ", re.sub("<[^>]+>", " ", b)).strip(" ") for b in broken]
+
+
 def test_too_many_keys_are_an_error(spark):
     df = spark.createDataFrame([(json.dumps({f"k{i}": 1 for i in range(6)}),)], "props string")
     assert len(standard.clean_table(df, [], "props", 6).columns) == 7
