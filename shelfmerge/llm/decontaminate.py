@@ -14,10 +14,12 @@ benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,22 +159,63 @@ def find_contamination(
     """docs with n_words, hit_spans (word positions) and item_ids (sorted as strings).
 
     Existing columns of these names are replaced; all others are kept. One scan
-    without a shuffle for each pass_bytes of benchmark.
+    without a shuffle where the benchmark fits one pass. A larger one takes a scan of
+    the texts for each part, which writes no text but only what was found, by the
+    text's digest; the last part's scan reads the table joined to that.
     """
     spark = docs.sparkSession
     n, parts = benchmark_parts(benchmark, pass_bytes)
-    out = (
-        docs.withColumn("n_words", F.lit(0).cast("bigint"))
-        .withColumn("hit_spans", F.array().cast(SPANS))
-        .withColumn("item_ids", F.array().cast("array<string>"))
-    )
+    name = uuid.uuid4().hex
+    found = []
     for k, items in enumerate(parts):
         shared = spark.sparkContext.broadcast(items)
-        out = in_text_batches(out, searcher(shared, window, uuid.uuid4().hex), out.schema)
-        if n > 1:
-            out = materialise(out, f"decontaminate-{k}")
-            shared.destroy()
-    return out
+        run = searcher(shared, window, f"{name}-{k}")
+        if k == n - 1:
+            out = with_found(docs, found)
+            return in_text_batches(out, run, out.schema)
+        texts = with_found(docs.select("text", digest_of("text").alias("digest")), [])
+        hits = in_text_batches(texts, only_hits(run), "digest binary, hit_spans " + SPANS + ", item_ids array<string>")
+        # equal texts have equal hits: one row for each, however many copies there are
+        same = hits.groupBy("digest").agg(F.first("hit_spans").alias("hit_spans"), F.first("item_ids").alias("item_ids"))
+        found.append(materialise(same, f"decontaminate-{k}"))
+        shared.destroy()
+
+
+def digest_of(text: str):
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
+def with_found(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """docs with the columns of the search: what earlier parts found in a text, or nothing."""
+    new = {
+        "n_words": F.lit(0).cast("bigint"),
+        "hit_spans": F.array().cast(SPANS),
+        "item_ids": F.array().cast("array<string>"),
+    }
+    if not found:
+        return docs.withColumns(new)
+    rows = functools.reduce(DataFrame.unionByName, found)
+    of_text = rows.groupBy(F.col("digest").alias("text_digest")).agg(
+        F.flatten(F.collect_list("hit_spans")).alias("spans_before"),
+        F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("ids_before"),
+    )
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), digest_of("text").alias("own_digest"))
+    joined = own.join(of_text, F.col("own_digest") == F.col("text_digest"), "left")
+    new["hit_spans"] = F.coalesce("spans_before", new["hit_spans"])
+    new["item_ids"] = F.coalesce("ids_before", new["item_ids"])
+    kept = [new.pop(c).alias(c) if c in new else F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    return joined.select(*kept, *[v.alias(c) for c, v in new.items()])
+
+
+def only_hits(run):
+    """What run finds, for the rows that hold any, without their texts."""
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            some = pa.compute.greater(pa.compute.list_value_length(batch.column("hit_spans")), 0)
+            yield batch.select(["digest", "hit_spans", "item_ids"]).filter(some)
+
+    return hits
 
 
 def searcher(shared, window: int, name: str):

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from shelfmerge.llm import decontaminate as d
+from shelfmerge.llm.common import materialise
 
 
 def low(text):
@@ -108,3 +109,23 @@ def test_real_tables(spark, sf):
     for i in [k for k, r in some.items() if r.contaminated][:20] + list(some)[:20]:
         r = some[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == slow(texts[i], items)
+
+
+def test_passes_write_what_they_found_and_no_text(spark, monkeypatch):
+    written = []
+
+    def watched(df, what):
+        out = materialise(df, what)
+        written.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(d, "materialise", watched)
+    docs = DOCS * 40 + [(8, "clean and long " * 5000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("digest", d.F.lit("own")).withColumn("d", d.F.lit(1))
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    n, _ = d.benchmark_parts(bench, 40)
+    many = d.find_contamination(df, bench, pass_bytes=40)
+    assert many.columns == [*df.columns, "n_words", "hit_spans", "item_ids"]
+    assert sorted(many.collect()) == sorted(d.find_contamination(df, bench).collect())
+    assert len(written) == n - 1
+    assert all(columns == {"digest", "hit_spans", "item_ids"} and rows <= len(DOCS) for columns, rows in written)
