@@ -15,8 +15,8 @@ lines after the first.
 A map task decides what it can: an occurrence that is not the least among those it
 holds is not the least anywhere, so only one row per task and window meets the others
 in a shuffle, however frequent the window. Windows cross it packed by ranges of their
-hash; a range holds about ``RANGE`` windows whatever the size of the corpus, and a
-reducing task holds one range at a time.
+hash; a range holds about ``RANGE`` windows whatever the size of the corpus and of its
+texts, whose line ends are counted first, and a reducing task holds one range at a time.
 
 Defined results: null texts stay null, texts of fewer than three lines stay whole;
 rows with a null doc_id stay as they are and count as nobody's first; rows that
@@ -43,8 +43,8 @@ NEAR = 3
 #: Windows that a map task holds before it decides what it can; windows of a hash range, about.
 HELD = 1 << 20
 RANGE = 1 << 20
-#: Windows of a document, about, from which the number of ranges is estimated.
-PER_DOCUMENT = 40
+#: Bytes for which one content cut is reckoned where the number of windows is estimated.
+CUT_BYTES = 32
 NONE = np.uint64(2**64 - 1)
 
 FIRST, SECOND = Powers(0xC2B2AE3D27D4EB4F), Powers(0xA0761D6478BD642F)
@@ -274,6 +274,16 @@ def text_key():
     return F.xxhash64("text")
 
 
+def windows_about(docs: DataFrame) -> float:
+    """About how many windows docs have: their ends of sentences and lines, and the cuts that their bytes may hold.
+
+    Long sentences are cut at every fourth word at most, and a word and its blank take two
+    bytes or more, so there are never more than four times as many (``CUT_BYTES`` / 8).
+    """
+    ends = F.octet_length("text") - F.octet_length(F.regexp_replace("text", r"[.!?\n]+", ""))
+    return docs.filter("doc_id is not null").agg(F.sum(ends + F.octet_length("text") / CUT_BYTES)).first()[0] or 0.0
+
+
 def covered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans): packed spans of lines that later occurrences cover, one row per document that has any.
 
@@ -281,7 +291,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(2 * parts, docs.count() * PER_DOCUMENT // RANGE)
+    ranges = max(2 * parts, int(windows_about(docs)) // RANGE)
     rows = in_text_batches(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key().alias("text_key")).filter("doc_id is not null"),
         occurrences(ranges),

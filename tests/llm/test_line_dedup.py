@@ -214,3 +214,23 @@ def test_many_ranges_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(ld, "RANGE", 1)
     _, got = run(spark, docs)
     assert {d: (r.text, r.n_removed) for d, r in got.items()} == {d: (texts[d], n[d]) for d in docs}
+
+
+def test_windows_are_reckoned_by_lines_whatever_the_texts(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    short = "a b c d. " * 3000
+    for texts in (["\n".join(words(9) for _ in range(2000))] * 3, [words(6000)], [short], [None, ""]):
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+        real = sum(max(0, len(lines(t)) - ld.LINES + 1) for t in set(texts)) * (len(texts) // len(set(texts)))
+        about = ld.windows_about(df)
+        assert real / 4 <= about <= 4 * real + 64
+
+
+def test_a_range_of_long_documents_holds_few_windows(spark, monkeypatch):
+    monkeypatch.setattr(ld, "RANGE", 500)
+    df = spark.createDataFrame([(k, "\n".join(f"line {k} {n} ends." for n in range(2000))) for k in range(8)], "doc_id bigint, text string")
+    ranges = int(ld.windows_about(df)) // ld.RANGE
+    rows = common.in_text_batches(df.withColumn("text_key", ld.text_key()), ld.occurrences(ranges), ld.ROWS).filter("not decided")
+    sizes = [r.n // ld.WINDOW.itemsize for r in rows.groupBy("range").agg(ld.F.sum(ld.F.octet_length("data")).alias("n")).collect()]
+    assert sum(sizes) == 8 * 1998 and max(sizes) <= 2 * ld.RANGE
