@@ -269,7 +269,7 @@ def lease_stream(spark, sf):
     changes = jobs.lease_stream(spark.readStream.schema(log.schema).parquet(f"{path}/in"))
     changes.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out", "parquet").awaitTermination()
     at = jobs.leases_at(spark.read.schema(changes.schema).parquet(f"{path}/out"), F.lit(AS_OF).cast("timestamp"))
-    every = log.select("isbn").distinct().join(at, "isbn", "left")
+    every = log.filter(F.col("ts") <= F.lit(AS_OF).cast("timestamp")).select("isbn").distinct().join(at, "isbn", "left")
     return every.select("isbn", F.coalesce("status", F.lit("open")).alias("status"), "worker", F.unix_micros("expires_at").alias("until_us"))
 
 
