@@ -6,7 +6,7 @@ from shelfmerge.functions import ids, text, urls, values
 from shelfmerge.operators.extract import non_digital as printed_formats
 from shelfmerge.plans import duck as d
 from shelfmerge.plans.base import query
-from shelfmerge.plans.fixtures import QUERIES, book_std, queries_table, with_book_std
+from shelfmerge.plans.fixtures import QUERIES, listings, queries_table, with_book_std
 
 PAGES = "SELECT page_id, url, html FROM pages"
 
@@ -57,7 +57,7 @@ def isbn_candidates(spark, sf):
 @query(with_book_std("SELECT site, url, regexp_extract(url, '/book/([0-9Xx]{10,13})', 1) AS book, regexp_extract(url, '^[a-z]+://[^/?#]*/book/([0-9]+)/', 1) AS segment, regexp_extract(url, '[^0-9]([0-9]{10,13})[^0-9]', 1) AS run FROM book_std"))
 def isbn_from_url(spark, sf):
     u = F.col("url")
-    return book_std(spark, sf).select("site", "url", *[ids.isbn_from_url(u, r).alias(r) for r in ("book", "segment", "run")])
+    return listings(spark, sf).select("site", "url", *[ids.isbn_from_url(u, r).alias(r) for r in ("book", "segment", "run")])
 
 
 @query(f"SELECT page_id, {d.strip_html('html')} AS text FROM pages")
@@ -77,12 +77,12 @@ def clean_paragraphs(spark, sf):
 
 @query(with_book_std(f"SELECT site, url, {d.titleish('titulo')} AS titulo FROM book_std"))
 def titleish(spark, sf):
-    return book_std(spark, sf).select("site", "url", text.titleish(F.col("titulo")).alias("titulo"))
+    return listings(spark, sf).select("site", "url", text.titleish(F.col("titulo")).alias("titulo"))
 
 
 @query(with_book_std(f"SELECT site, url, {d.language('idioma')} AS idioma FROM book_std"))
 def normalize_language(spark, sf):
-    return book_std(spark, sf).select("site", "url", text.normalize_language(F.col("idioma")).alias("idioma"))
+    return listings(spark, sf).select("site", "url", text.normalize_language(F.col("idioma")).alias("idioma"))
 
 
 @query(f"SELECT doc_id, {d.fold('text')} AS text FROM documents")
@@ -127,7 +127,7 @@ def classify_url(spark, sf):
 
 @query(with_book_std(f"SELECT site, url, coalesce(CASE WHEN NOT {d.blank('titulo')} THEN titulo END, CASE WHEN NOT {d.blank('autor')} THEN autor END, editorial, '') AS v FROM book_std"))
 def first_filled(spark, sf):
-    return book_std(spark, sf).select("site", "url", text.first_filled(*map(F.col, ("titulo", "autor", "editorial"))).alias("v"))
+    return listings(spark, sf).select("site", "url", text.first_filled(*map(F.col, ("titulo", "autor", "editorial"))).alias("v"))
 
 
 @query("SELECT p_partkey, p_name AS once FROM part")
@@ -154,12 +154,12 @@ def ordered_distinct(spark, sf):
 
 @query(with_book_std("SELECT site, url, 'https://www.amazon.com/s?k=' || isbn || '&i=stripbooks' AS search, substr(coalesce(autor, ''), 1, 7) AS head FROM book_std"))
 def search_url(spark, sf):
-    return book_std(spark, sf).select("site", "url", ids.search_url(F.col("isbn")).alias("search"), text.head(F.col("autor"), 7).alias("head"))
+    return listings(spark, sf).select("site", "url", ids.search_url(F.col("isbn")).alias("search"), text.head(F.col("autor"), 7).alias("head"))
 
 
 @query(with_book_std(f"SELECT site, url, {d.binding('encuadernacion')} AS binding FROM book_std"))
 def normalize_binding(spark, sf):
-    return book_std(spark, sf).select("site", "url", values.normalize_binding(F.col("encuadernacion")).alias("binding"))
+    return listings(spark, sf).select("site", "url", values.normalize_binding(F.col("encuadernacion")).alias("binding"))
 
 
 @query(with_book_std("""SELECT site, url, CASE WHEN regexp_matches(b, 'tapa dura|hardcover') THEN 'tapa dura' WHEN regexp_matches(b, 'tapa blanda|paperback') THEN 'tapa blanda'
@@ -167,7 +167,7 @@ WHEN regexp_matches(b, 'r[uú]stica') THEN 'rustica' ELSE regexp_replace(b, '^en
 FROM (SELECT *, 'encuadernación de ' || lower(trim(coalesce(encuadernacion, 'Piel'))) AS b FROM book_std)"""))
 def simplify_binding(spark, sf):
     led = F.concat(F.lit("Encuadernación  de "), F.coalesce("encuadernacion", F.lit("Piel")))
-    return book_std(spark, sf).select("site", "url", values.simplify_binding(led).alias("binding"))
+    return listings(spark, sf).select("site", "url", values.simplify_binding(led).alias("binding"))
 
 
 OPTION = r"^(.*?)\s*\((\d{1,2})/(\d{1,2})/(\d{4})\)$"
@@ -177,7 +177,7 @@ E = d.collapse("coalesce(encuadernacion, '')")
 @query(with_book_std(f"SELECT site, url, nullif(CASE WHEN regexp_matches({E}, {d.q(OPTION)}) THEN trim({d.ext(E, OPTION, 1)}) ELSE {E} END, '') AS binding, CASE WHEN regexp_matches({E}, {d.q(OPTION)}) THEN {d.iso(d.ext(E, OPTION, 4), d.ext(E, OPTION, 2), d.ext(E, OPTION, 3))} END AS date FROM book_std"))
 def split_binding_date(spark, sf):
     s = values.split_binding_date(F.col("encuadernacion"))
-    return book_std(spark, sf).select("site", "url", s["binding"].alias("binding"), s["date"].alias("date"))
+    return listings(spark, sf).select("site", "url", s["binding"].alias("binding"), s["date"].alias("date"))
 
 
 FORMAT = "CASE p_partkey % 3 WHEN 0 THEN 'Tapa Blanda - ' || p_type WHEN 1 THEN 'tapa dura' ELSE p_name END"
@@ -197,7 +197,7 @@ def binding_from_subtitle(spark, sf):
 @query(with_book_std(f"SELECT site, url, {d.date('fecha_publicacion')} AS fecha, CAST(TRY_CAST({d.date('fecha_publicacion')} AS DATE) AS VARCHAR) AS valid FROM book_std"))
 def parse_date_iso(spark, sf):
     iso = values.parse_date_iso(F.col("fecha_publicacion"))
-    return book_std(spark, sf).select("site", "url", iso.alias("fecha"), iso.try_cast("date").cast("string").alias("valid"))
+    return listings(spark, sf).select("site", "url", iso.alias("fecha"), iso.try_cast("date").cast("string").alias("valid"))
 
 
 MONTHS = "enero,Febrero,marzo,April,mayo,June,julio,agosto,Setiembre,octubre,November,diciembre,otro"
@@ -207,19 +207,19 @@ AT = "CAST(pk % 13 AS INT)"
 
 @query(with_book_std(f"SELECT site, url, {d.month_date('said')} AS fecha FROM (SELECT site, url, {SAID.replace('@@', AT + ' + 1')} AS said FROM book_std)"))
 def parse_month_date(spark, sf):
-    return book_std(spark, sf).select("site", "url", values.parse_month_date(F.expr(SAID.replace('@@', AT))).alias("fecha"))
+    return listings(spark, sf).select("site", "url", values.parse_month_date(F.expr(SAID.replace('@@', AT))).alias("fecha"))
 
 
 @query(with_book_std(f"SELECT site, url, {d.pages('paginas')} AS display, TRY_CAST(regexp_extract(paginas, '(\\d+)', 1) AS INT) AS num FROM book_std"))
 def format_pages(spark, sf):
     p = values.format_pages(F.col("paginas"))
-    return book_std(spark, sf).select("site", "url", p["display"].alias("display"), p["num"].alias("num"))
+    return listings(spark, sf).select("site", "url", p["display"].alias("display"), p["num"].alias("num"))
 
 
 @query(with_book_std(f"SELECT site, url, {d.dimensions('dimensiones')} AS plain, {d.dimensions('mm')} AS with_unit FROM (SELECT *, dimensiones || ' MM' AS mm FROM book_std)"))
 def format_dimensions(spark, sf):
     c = F.col("dimensiones")
-    return book_std(spark, sf).select("site", "url", values.format_dimensions(c).alias("plain"), values.format_dimensions(F.concat(c, F.lit(" MM"))).alias("with_unit"))
+    return listings(spark, sf).select("site", "url", values.format_dimensions(c).alias("plain"), values.format_dimensions(F.concat(c, F.lit(" MM"))).alias("with_unit"))
 
 
 CENTS = "CAST(round(p_retailprice * 100) AS BIGINT)"
@@ -248,7 +248,7 @@ def minor_to_major(spark, sf):
 
 @query(with_book_std(f"SELECT site, url, {d.placeholder('url_portada')} AS why FROM book_std"))
 def is_placeholder_cover(spark, sf):
-    return book_std(spark, sf).select("site", "url", values.placeholder_cover(F.col("url_portada")).alias("why"))
+    return listings(spark, sf).select("site", "url", values.placeholder_cover(F.col("url_portada")).alias("why"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'b.jpg' ELSE 'a.jpg' END AS best, 'c.jpg' AS last FROM part")

@@ -32,9 +32,9 @@ def write_standard(df: DataFrame, path: str, mode: str = "append", full: bool =
     plain(standard_columns(df, full)).write.mode(mode).option("header", True).csv(path)
 
 
-def export_by_isbn(std: DataFrame, isbns: DataFrame) -> DataFrame:
-    """The listed numbers' rows under the export names, ordered."""
-    return scan_all(std.join(isbns.select("isbn").distinct(), "isbn", "left_semi"))
+def export_by_isbn(std: DataFrame, isbns: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The listed numbers' rows under the export names, ordered; texts as in scan_all()."""
+    return scan_all(std.join(isbns.select("isbn").distinct(), "isbn", "left_semi"), texts)
 
 
 def export_master(master: DataFrame, path: str) -> None:

@@ -1,10 +1,14 @@
 """What the small tables do not show: rows that only larger ones have, and what is written and shuffled."""
 
+import itertools
+import uuid
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmerge.plans import base, registry
+from shelfmerge.operators import standard, texts
+from shelfmerge.plans import base, fixtures, registry
 
 registry.queries()
 
@@ -31,3 +35,69 @@ def test_lease_stream_leaves_out_numbers_without_events_yet(spark, late):
     names = [d[0] for d in want.description]
     want = sorted((tuple(r[names.index(k)] for k in sorted(names)) for r in want.fetchall()), key=str)
     assert rows_of(base.QUERIES["lease_stream"](spark, late)) == want
+
+
+# ---- long texts held once
+
+
+def by_reference(spark, rows, column):
+    """rows with references in a column's place, and (ref, text)."""
+    path = rows.sparkSession.conf.get("spark.sql.warehouse.dir") + f"/refs-{uuid.uuid4().hex}"
+    texts.numbered(rows.select(F.col(column).alias("text")).filter("text <> ''").distinct(), "text").write.parquet(path)
+    known = spark.read.parquet(path)
+    refs = rows.join(known.withColumnRenamed("text", column), column, "left")
+    return refs.withColumn(column, F.coalesce("ref", F.col(column))).select(*rows.columns), known.select("ref", "text")
+
+
+@pytest.mark.parametrize("name", ["book_std", "listings"])
+def test_what_is_written_of_listings_holds_no_synopses(spark, sf, name):
+    getattr(fixtures, name)(spark, sf)
+    made = [p for (_, folder, _), p in fixtures._WRITTEN.items() if folder == sf and "synopses" not in p]
+    longest = [spark.read.parquet(p).agg(F.max(F.length("sinopsis"))).first()[0] for p in made if "sinopsis" in spark.read.parquet(p).columns]
+    assert longest and max(longest) <= 20
+
+
+def test_book_std_has_its_synopses(spark, sf):
+    c = duckdb.connect()
+    for t in ("lineitem", "part", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = c.execute(f"SELECT site, url, sinopsis FROM ({fixtures.BOOK_STD})").fetchall()
+    assert sorted(map(tuple, fixtures.book_std(spark, sf).select("site", "url", "sinopsis").collect())) == sorted(want)
+
+
+def test_references_sort_as_their_texts(spark):
+    rows = spark.createDataFrame([("b",), ("",), (None,), ("a b",), ("a",), ("ñ",), ("Z" * 50,)], "text string")
+    got = texts.numbered(rows, "text").collect()
+    assert {r.text: r.ref for r in got if not (r.text or "").strip()} == {"": "", None: None}
+    full = [r for r in got if r.text]
+    assert [r.text for r in sorted(full, key=lambda r: r.ref)] == sorted((r.text for r in full), key=str.encode)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_ordered_with_texts_is_the_plain_order(spark, parts):
+    rows = spark.range(700).select(
+        F.when(F.col("id") % 13 != 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("a"), F.format_string("%05d", (F.col("id") * 7919) % 700).alias("b"),
+        F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 7 != 0, F.concat(F.lit("long text "), F.col("id") % 11)).alias("t"),
+    )
+    thin, known = by_reference(spark, rows, "t")
+    got = [tuple(r) for r in texts.ordered_with_texts(thin.repartition(5), known, "t", ["a", "b"], parts).collect()]
+    assert got == [tuple(r) for r in rows.orderBy("a", "b").collect()]
+
+
+def test_scan_all_keeps_its_order(spark, sf):
+    got = [(r.SITE, r.ISBN, r.TITULO, r.URL) for r in base.QUERIES["scan_all"](spark, sf).collect()]
+    assert got == sorted(got)
+
+
+def test_rules_by_reference_give_the_same(spark, sf):
+    words = ["the end of the day", "el fin de los días", "", None, "l'été", "ÁÉ y", "no es of"]
+    rows = spark.createDataFrame([(f"u{i}", a, b, lang) for i, (a, b, lang) in enumerate(itertools.product(words, [*words, "a the in. é"], ["", "Español"]))], "url string, titulo string, sinopsis string, idioma string")
+    rows = rows.withColumns({"isbn": F.lit("1"), "url_portada": F.lit("")})
+    thin, known = by_reference(spark, rows, "sinopsis")
+    pick = lambda df: rows_of(df.select("url", "idioma", F.to_json("qc_issues").alias("q")))
+    for mode in ("flag", "fix"):
+        assert pick(standard.qc_rules(thin, mode, texts=known)) == pick(standard.qc_rules(rows, mode))
+    raw = rows.select(F.lit("s").alias("site"), F.create_map(*[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(["url"] * 2 + ["titulo"] * 2 + ["sinopsis"] * 2)]).alias("raw"), F.create_map().cast("map<string,string>").alias("info"))
+    thin_raw = thin.select(F.lit("s").alias("site"), F.create_map(*[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(["url"] * 2 + ["titulo"] * 2 + ["sinopsis"] * 2)]).alias("raw"), F.create_map().cast("map<string,string>").alias("info"))
+    whole = lambda df: rows_of(df.withColumn("qc_issues", F.to_json("qc_issues")))
+    assert whole(standard.standardize(thin_raw, known)) == whole(standard.standardize(raw))
