@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmerge.operators import standard, texts
+from shelfmerge.operators import matching, standard, texts
 from shelfmerge.plans import base, fixtures, registry
 
 registry.queries()
@@ -101,3 +101,23 @@ def test_rules_by_reference_give_the_same(spark, sf):
     thin_raw = thin.select(F.lit("s").alias("site"), F.create_map(*[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(["url"] * 2 + ["titulo"] * 2 + ["sinopsis"] * 2)]).alias("raw"), F.create_map().cast("map<string,string>").alias("info"))
     whole = lambda df: rows_of(df.withColumn("qc_issues", F.to_json("qc_issues")))
     assert whole(standard.standardize(thin_raw, known)) == whole(standard.standardize(raw))
+
+
+# ---- matching
+
+
+def test_pairs_are_not_sorted_to_find_those_that_come_twice(spark):
+    q = spark.createDataFrame([(1, "9780306406157", "red lamp"), (2, "0306406152", "red lamp"), (3, None, "red lamp"), (4, "9780306406157", None), (5, "", "blue")], "query_id long, q_isbn string, q_title string")
+    c = spark.createDataFrame([(1, "9780306406157", "Red lamp"), (2, "9780306406157", "red LAMP"), (3, "9780306406157", "other"), (4, None, "red lamp x"), (5, "0306406152", "red lamp"), (6, "", "red lamp")], "cand_id long, isbn string, titulo string")
+    found = matching.match_pairs(q, c)
+    got = [(r.query_id, r.cand_id) for r in found.collect()]
+    assert sorted(got) == sorted(set(got))
+    number = {(a, b) for a in (1, 2, 4) for b in (1, 3, 5)}
+    assert set(got) == number | {(a, b) for a in (1, 2, 3) for b in (1, 4)}
+    assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verification_share_works_on_distinct_titles(spark):
+    pairs = spark.range(4000).select(F.lit("red lamp").alias("q_title"), F.when(F.col("id") % 2 == 0, "red lamp").when(F.col("id") % 3 == 0, "zzz").alias("titulo"))
+    assert tuple(matching.verification_share(pairs, 0.8).first()) == (4000, 2000)
+    assert tuple(matching.verification_share(pairs.limit(0), 0.8).first()) == (0, 0)
