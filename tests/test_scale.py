@@ -1,5 +1,6 @@
 """What the small tables do not show: rows that only larger ones have, and what is written and shuffled."""
 
+import bisect
 import itertools
 import uuid
 
@@ -7,8 +8,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmerge.operators import matching, standard, texts
+from shelfmerge.operators import matching, merge, standard, texts
 from shelfmerge.plans import base, fixtures, registry
+from shelfmerge.sources import changes
+from shelfmerge.streaming import jobs
 
 registry.queries()
 
@@ -121,3 +124,13 @@ def test_verification_share_works_on_distinct_titles(spark):
     pairs = spark.range(4000).select(F.lit("red lamp").alias("q_title"), F.when(F.col("id") % 2 == 0, "red lamp").when(F.col("id") % 3 == 0, "zzz").alias("titulo"))
     assert tuple(matching.verification_share(pairs, 0.8).first()) == (4000, 2000)
     assert tuple(matching.verification_share(pairs.limit(0), 0.8).first()) == (0, 0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 199])
+def test_bounds_are_counted_by_halves(spark, n):
+    bounds = sorted({f"{k * 37 % 1000:03d}" for k in range(n)})
+    keys = spark.range(0, 1000, 7).select(F.format_string("%03d", "id").alias("k")).union(spark.createDataFrame([("",), (bounds[0],), (bounds[-1],)], "k string"))
+    key, bound = F.struct("k"), F.array(*[F.struct(F.lit(b).alias("k")) for b in bounds])
+    counted = keys.select("k", texts.bounds_passed(key, bound, len(bounds)).alias("n"))
+    assert all(r.n == bisect.bisect_right(bounds, r.k) for r in counted.collect())
+    assert "size(filter" not in counted._jdf.queryExecution().optimizedPlan().toString()  # which compares a row with all bounds
