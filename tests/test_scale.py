@@ -134,3 +134,36 @@ def test_bounds_are_counted_by_halves(spark, n):
     counted = keys.select("k", texts.bounds_passed(key, bound, len(bounds)).alias("n"))
     assert all(r.n == bisect.bisect_right(bounds, r.k) for r in counted.collect())
     assert "size(filter" not in counted._jdf.queryExecution().optimizedPlan().toString()  # which compares a row with all bounds
+
+
+def test_rows_without_a_number_are_no_single_tasks_work(spark):
+    shape = "site string, url string, seq long, updated_at timestamp, " + ", ".join(f"{c} string" for c in merge.ENRICHED)
+    rows = spark.createDataFrame([("amazon_books", str(k), k, None, str(k % 2), *[""] * 9) for k in range(200)], shape)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        parts = merge.enrich(rows, rows, F.current_timestamp()).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert parts > 1
+
+
+def test_a_table_of_changes_reads_the_columns_asked_for(spark, tmp_path):
+    held = changes.ChangeTable(spark, str(tmp_path / "t"), ["k"], "v")
+    held.append(spark.createDataFrame([("a", "1", "x", 1), ("a", "2", "y", 2), ("b", "3", "z", 1)], "k string, v string, w string, seq long"), "c", 0, "seq")
+    some = held.read(["v"])
+    assert sorted(map(tuple, some.collect())) == [("a", "2"), ("b", "3")]
+    assert "w:string" not in some._jdf.queryExecution().executedPlan().toString()
+    assert [r.k for r in held.find(spark.createDataFrame([("2",), ("3",)], "v string"), without=spark.createDataFrame([("a",)], "k string")).collect()] == ["b"]
+
+
+def test_a_batch_is_appended_without_a_shuffle(spark, tmp_path, monkeypatch):
+    plans = []
+    append = changes.ChangeTable.append
+    monkeypatch.setattr(changes.ChangeTable, "append", lambda self, rows, *a: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), append(self, rows, *a)))
+    shape = "site string, url string, isbn string, encuadernacion string, titulo string, seq long"
+    batch = spark.createDataFrame([("a", "u", "1", "", "new", 2), ("a", "u", "1", "", "old", 1), ("a", " ", "1", "", "none", 1)], shape)
+    jobs.capture_batch(str(tmp_path / "t"), "c")(batch, 0)
+    assert "Exchange" not in plans[0] and [r.titulo for r in jobs.capture_table(spark, str(tmp_path / "t")).read().collect()] == ["new"]
