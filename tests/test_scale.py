@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmerge.functions import text
 from shelfmerge.operators import matching, merge, standard, texts
 from shelfmerge.plans import base, fixtures, registry
 from shelfmerge.sources import changes
@@ -167,3 +168,9 @@ def test_a_batch_is_appended_without_a_shuffle(spark, tmp_path, monkeypatch):
     batch = spark.createDataFrame([("a", "u", "1", "", "new", 2), ("a", "u", "1", "", "old", 1), ("a", " ", "1", "", "none", 1)], shape)
     jobs.capture_batch(str(tmp_path / "t"), "c")(batch, 0)
     assert "Exchange" not in plans[0] and [r.titulo for r in jobs.capture_table(spark, str(tmp_path / "t")).read().collect()] == ["new"]
+
+
+def test_plans_do_not_show_names_of_references(spark):
+    rows = spark.createDataFrame([("&rarr;x&DownArrow;&eacuteb",)], "t string").select(text.strip_html(F.col("t")).alias("t"))
+    assert rows.first().t == "\u2192x\u2193\u00e9b"
+    assert "Arrow" not in rows._jdf.queryExecution().executedPlan().toString()
