@@ -13,14 +13,19 @@ Jaccard similarity of 0.8 over five-word shingles: 192 bits, eight segments of 2
 bits, ``WIDE.distance`` bits or fewer, which is what texts of such a similarity differ
 in; there both sides turn bits off, so segments meet that differ in one bit or in two,
 one set on either side, and of eight segments nearly always some meet. What meets so is
-only proposed: a link counts if the shingles themselves are that similar.
+only proposed: a link counts if the shingles themselves are that similar. First each
+row's nearest and as few links as connect a group are proposed; then, of the rows for
+which that left some out, every pair that meets and is not in one group yet, so none is
+lost to those limits. Texts whose shingles are the same, repeats included, are one node.
 
 Equal fingerprints are one node. The rows under one table key are compared inside a
 task, which returns links that connect what the verified links connect, fewer than
 rows, however dense the group. A key with more than ``LIMIT`` rows, found by counts
 before any row is dealt, is not solved as one: its rows are dealt by the parts of the
-rest of the fingerprint too, again with balls of radius one. In a large group what has
-been reached once is not compared again, so a dense one costs little more than its rows.
+rest of the fingerprint too, again with balls of radius one; that is exact for three
+bits, not for the wide kind, where the second look deals such keys into blocks and
+compares every two of them. In a large group what has been reached once is not compared
+again, so a dense one costs little more than its rows.
 
 Defined results: null texts and texts without words have fingerprint zero and link like
 others; a text with fewer words than a shingle is one shingle; repeated rows share one
@@ -165,8 +170,13 @@ def word_shingles(h: np.ndarray, text: np.ndarray, width: int) -> Iterator[tuple
 
 def wide_fingerprints(texts: pa.Array, width: int = 5) -> np.ndarray:
     """192 majority bits of each text's shingles, as (texts, 24) bytes; zero without words."""
+    return wide_marks(texts, width)[0]
+
+
+def wide_marks(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """wide_fingerprints(), and the sum of each text's shingle hashes, which is one for the same shingles in any order."""
     h, text, n = filled_words(texts, width)
-    ones, total = np.zeros((n, 192), np.int64), np.zeros(n, np.int64)
+    ones, total, sums = np.zeros((n, 192), np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64)
     for a, own in word_shingles(h, text, width):
         more = [mix(a ^ np.uint64(x)) for x in (0xC2B2AE3D27D4EB4F, 0xE7037ED1A0B428DB)]
         all_bits = np.stack([a, *more], axis=1).view(np.uint8).reshape(len(a), 24)
@@ -176,7 +186,8 @@ def wide_fingerprints(texts: pa.Array, width: int = 5) -> np.ndarray:
         added = np.add.reduceat(SPREAD[all_bits], starts, axis=0)
         np.add.at(ones, own[starts], added.view(np.uint8).reshape(len(starts), 192))
         np.add.at(total, own[starts], np.diff(np.r_[starts, len(own)]))
-    return np.packbits(2 * ones > total[:, None], axis=1)
+        np.add.at(sums, own[starts], np.add.reduceat(more[0], starts))
+    return np.packbits(2 * ones > total[:, None], axis=1), sums.view(np.int64)
 
 
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +203,10 @@ def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = wide_fingerprints(batch.column("text"))
+        fp, sums = wide_marks(batch.column("text"))
         offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * 24).buffers()[1]
         column = pa.Array.from_buffers(pa.binary(), len(fp), [None, offsets, pa.py_buffer(fp.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), column], ["doc_id", "text_key", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), column, pa.array(sums)], ["doc_id", "text_key", "fp", "sums"])
 
 
 def balls(nodes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -203,8 +214,8 @@ def balls(nodes: DataFrame, scheme: Scheme) -> DataFrame:
 
     The key is the segment's number above its bits.
     """
-    rows = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(scheme.bits // scheme.width - 1))).alias("seg"))
-    return with_ball(rows, scheme.width).select(F.col("made").alias("key"), F.col("off").alias("probe"), "fp")
+    rows = nodes.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(scheme.bits // scheme.width - 1))))
+    return with_ball(rows, scheme.width).select(F.col("made").alias("key"), F.col("off").alias("probe"), *nodes.columns)
 
 
 def with_ball(rows: DataFrame, size: int) -> DataFrame:
@@ -234,7 +245,8 @@ def solve_groups(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance:
 
     group: sorted numbers; fp: rows of 64-bit words. A link has a table entry on one
     side at least, unless both. With nearest, small groups give each row's links to so
-    many nearest rows besides, as links may fail a later check.
+    many nearest rows besides, as links may fail a later check; and a row that has more
+    is given with itself.
     """
     n = len(group)
     end = np.searchsorted(group, group, "right")
@@ -245,7 +257,8 @@ def solve_groups(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance:
     large = end - start > LARGE
     some = [spread_from(np.arange(a, end[a]), probe, fp, distance, both) for a in np.unique(start[large]).tolist()]
     fan[large] = 0
-    upto, at, more = np.cumsum(fan), 0, []
+    upto, at = np.cumsum(fan), 0
+    more = [(x, x) for x in (np.unique(np.concatenate(s)) for s in some)] if nearest else []
     while at < n:
         stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
         few = fan[at:stop]
@@ -256,19 +269,39 @@ def solve_groups(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance:
         u, v, apart = u[near], v[near], apart[near]
         some.append(tree(u, v))
         if nearest:
-            more.append(first_links(u, v, apart, nearest))
+            kept = first_links(u, v, apart, nearest)
+            short = np.unique(np.concatenate([u[~kept], v[~kept]]))
+            more += [(u[kept], v[kept]), (short, short)]
         at = stop
     found = tree(*(np.concatenate(x) for x in zip(*some))) if some else tree(fan, fan)
     return tuple(np.concatenate(x) for x in zip(found, *more))
 
 
-def first_links(u: np.ndarray, v: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links that are among the n nearest of either end."""
+def first_links(u: np.ndarray, v: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
+    """Which links are among the n nearest of either end."""
     end, link = np.concatenate([u, v]), np.tile(np.arange(len(u)), 2)
     order = np.lexsort((np.tile(apart, 2), end))
     end, link = end[order], link[order]
-    kept = np.unique(link[np.arange(len(end)) - np.searchsorted(end, end) < n])
-    return u[kept], v[kept]
+    kept = np.zeros(len(u), bool)
+    kept[link[np.arange(len(end)) - np.searchsorted(end, end) < n]] = True
+    return kept
+
+
+def across(group: np.ndarray, root: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within a group that are near and have different roots, some at a time; rows are sorted by group and root."""
+    end = np.searchsorted(group, group, "right")
+    run = np.cumsum(np.r_[False, (group[1:] != group[:-1]) | (root[1:] != root[:-1])])
+    other = np.searchsorted(run, run, "right")
+    fan = end - other
+    upto, at = np.cumsum(fan), 0
+    while at < len(group):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
+        few = fan[at:stop]
+        u = np.repeat(np.arange(at, at + len(few)), few)
+        v = np.repeat(other[at:stop] - np.cumsum(few) + few, few) + np.arange(len(u))
+        near = np.bitwise_count(fp[u] ^ fp[v]).sum(1, np.int64) <= distance
+        yield u[near], v[near]
+        at = stop
 
 
 def tree(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,54 +348,93 @@ def spread_from(rows: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: i
 SOLVED = 1 << 16
 
 
+def numbered_groups(part: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """The number of each row's group, rows with equal keys standing together."""
+    change = np.zeros(part.num_rows, bool)
+    for k in keys:
+        c = part.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
+
+
+def fp_words(part: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(part.column("fp").to_pylist()), "<u8").reshape(part.num_rows, -1)
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], solve) -> Iterator[pa.RecordBatch]:
+    """What solve() yields of rows that come sorted by keys, many groups at a time, each of them whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < SOLVED:
+            continue
+        part = pa.concat_batches(held)
+        same = np.ones(part.num_rows, bool)
+        for k in keys:
+            c = part.column(k).to_numpy()
+            same &= c == c[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield from solve(part.slice(0, cut))
+        held = [part.slice(cut)]
+    if held:
+        yield from solve(pa.concat_batches(held))
+
+
 def solver(keys: list[str], scheme: Scheme, both: bool):
     """Links (u, v) of the rows, which come sorted by key and probe."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(part: pa.RecordBatch) -> pa.RecordBatch:
-            columns = [part.column(k).to_numpy() for k in keys]
-            change = np.zeros(part.num_rows, bool)
-            for c in columns:
-                change[1:] |= c[1:] != c[:-1]
-            group = np.cumsum(change)
-            fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), "<u8").reshape(part.num_rows, -1)
-            u, v = solve_groups(group, part.column("probe").to_numpy(zero_copy_only=False), fp, scheme.distance, both, scheme.nearest)
-            u, v = (part.column("fp").take(pa.array(x)) for x in (u, v))
-            out = pa.RecordBatch.from_arrays([u, v], ["u", "v"])
-            return out.filter(pc.not_equal(u, v))
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) < SOLVED:
-                continue
-            part = pa.concat_batches(held)
-            same = np.ones(part.num_rows, bool)
-            for k in keys:
-                c = part.column(k).to_numpy()
-                same &= c == c[-1]
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield solve(part.slice(0, cut))
-            held = [part.slice(cut)]
-        if held:
-            yield solve(pa.concat_batches(held))
-
-    return run
+    def solve(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        probe = part.column("probe").to_numpy(zero_copy_only=False)
+        u, v = solve_groups(numbered_groups(part, keys), probe, fp_words(part), scheme.distance, both, scheme.nearest)
+        u, v = (part.column("fp").take(pa.array(x)) for x in (u, v))
+        out = pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+        yield out if scheme.nearest else out.filter(pc.not_equal(u, v))
+
+    return lambda batches: in_groups(batches, keys, solve)
 
 
 def links_between(nodes: DataFrame, limit: int = LIMIT, scheme: Scheme = NARROW) -> DataFrame:
-    """(u, v): links between distinct fingerprints (column fp, binary) that give the same components as all links."""
+    """(u, v): links between distinct fingerprints (column fp, binary) that give the same components as all links.
+
+    A scheme with nearest gives (u, u) too, of each row that may have links besides.
+    """
     dealt = balls(nodes, scheme)
     counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("entries"))
     large = materialise(counts.filter((F.col("n") > limit) & ((F.col("entries") > 0) | F.lit(scheme.both))).select("key"), "simhash-large")
     if large.isEmpty():
         return solved(dealt, ["key"], scheme, scheme.both)
     small = solved(dealt.join(large, "key", "left_anti"), ["key"], scheme, scheme.both)
-    again = dealt_again(dealt.join(large, "key", "left_semi"), scheme)
-    return small.union(solved(again, ["key", "sub"], scheme, True))
+    theirs = dealt.join(large, "key", "left_semi")
+    found = small.union(solved(dealt_again(theirs, scheme), ["key", "sub"], scheme, True))
+    return found.union(theirs.select("fp", "fp")) if scheme.nearest else found
+
+
+def links_across(nodes: DataFrame, limit: int, scheme: Scheme) -> DataFrame:
+    """(u, v): all pairs of nodes (fp, node, root) that meet and have different roots.
+
+    Keys with one root alone have none. The rows of a key over the limit are dealt into
+    blocks, and every two blocks are a group, so that no pair is lost and none is large.
+    """
+    dealt = balls(nodes, scheme).drop("probe")
+    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
+    blocks = F.when(F.col("n") <= limit, 1).otherwise(F.ceil(2 * F.col("n") / limit)).cast("int")
+    rows = dealt.join(counts.filter("a < b").select("key", blocks.alias("blocks")), "key")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("other")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = (F.least(own, other).cast("bigint") * F.col("blocks") + F.greatest(own, other)).alias("sub")
+    keys = ["key", "sub"]
+    rows = rows.select("key", pair, "root", "node", "fp").repartition(*keys).sortWithinPartitions(*keys, "root")
+
+    def solve(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node = part.column("node")
+        for u, v in across(numbered_groups(part, keys), part.column("root").to_numpy(), fp_words(part), scheme.distance):
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(u)), node.take(pa.array(v))], ["u", "v"])
+
+    found = rows.mapInArrow(lambda batches: in_groups(batches, keys, solve), "u bigint, v bigint")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def solved(rows: DataFrame, keys: list[str], scheme: Scheme, both: bool) -> DataFrame:
@@ -409,19 +481,36 @@ def similar_groups(docs: DataFrame, limit: int = WIDE_LIMIT, least: float = SIMI
     """(doc_id, text_key, root): the group of every row over five-word shingles; text_key is the text's hash, root the least one of its group.
 
     Fingerprints propose links, between texts of the same one and of near ones; only
-    those whose shingles are alike count.
+    those whose shingles are alike count. What the first proposals left out is looked at
+    once more, between different groups, so that limits drop no pair that meets.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    marked = materialise(in_text_batches(rows, wide_rows, "doc_id bigint, text_key bigint, fp binary"), "fingerprints")
-    texts = marked.select("fp", "text_key").distinct()
-    first = materialise(texts.groupBy("fp").agg(F.min("text_key").alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    links = links_between(first.select("fp"), limit, WIDE).distinct()
+    of_rows = in_text_batches(rows, wide_rows, "doc_id bigint, text_key bigint, fp binary, sums bigint")
+    marked = materialise(of_rows, "fingerprints")
+    nodes = materialise(marked.groupBy("fp", "sums").agg(F.min("text_key").alias("node")), "simhash-nodes")
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "simhash-nodes")
+    links = materialise(links_between(first.select("fp"), limit, WIDE).distinct(), "simhash-links")
+    near = links.filter("u <> v")
     named = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"key_{c}"))
-    links = links.join(named("u"), "u").join(named("v"), "v").select(F.col("key_u").alias("u"), F.col("key_v").alias("v"))
-    same = texts.join(first.filter("n > 1"), "fp").filter("text_key <> first").select(F.col("first").alias("u"), F.col("text_key").alias("v"))
-    pairs = materialise(links.union(same), "simhash-pairs")
-    roots = components(similar_links(rows.select("text_key", "text"), pairs, least)).withColumnRenamed("node", "text_key")
-    return marked.join(roots, "text_key", "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+    named_links = near.join(named("u"), "u").join(named("v"), "v").select(F.col("key_u").alias("u"), F.col("key_v").alias("v"))
+    several = first.filter("n > 1")
+    same = nodes.join(several, "fp").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    ordered = lambda pairs: pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialise(ordered(named_links.union(same)), "simhash-pairs")
+    texts = rows.select("text_key", "text")
+    alike = materialise(similar_links(texts, pairs, least), "simhash-alike")
+    roots = components(alike)
+    # pairs that were not proposed: of rows with more links, of fingerprints with several nodes, and of their neighbours
+    open_fps = links.filter("u = v").select(F.col("u").alias("fp")).union(several.select("fp"))
+    beside = near.union(near.select("v", "u")).join(several.select(F.col("fp").alias("u")), "u", "left_semi")
+    open_fps = open_fps.union(beside.select("v")).distinct()
+    left = nodes.join(open_fps, "fp", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = materialise(left.select("fp", "node", "root"), "simhash-left")
+    more = materialise(links_across(left, limit, WIDE).join(pairs, ["u", "v"], "left_anti"), "simhash-pairs")
+    if not more.isEmpty():
+        roots = components(alike.union(similar_links(texts, more, least)))
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return marked.join(placed, ["fp", "sums"]).select("doc_id", "text_key", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

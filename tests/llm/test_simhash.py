@@ -226,3 +226,44 @@ def test_whole_table(spark, sf):
     comp = slow_components(rows)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicate_report(df).collect()}
     assert got == {i: (f"{x:016x}", comp[i]) for i, x in rows}
+
+
+def test_limits_drop_no_pair_that_meets(spark):
+    """Groups of texts around 0.8, each with more neighbours than are proposed at first: no pair that meets is parted."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=7))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(400)]
+        for _ in range(50):
+            w = list(base)
+            for p in rng.sample(range(0, 400, 5), 5):
+                w[p] = word()
+            texts.append(" ".join(w))
+    fp = simhash.wide_fingerprints(pa.array(texts))
+    keys = []
+    for x in fp:
+        parts = [int.from_bytes(x[3 * s : 3 * s + 3].tobytes(), "big") for s in range(8)]
+        keys.append({(s, p & ~(1 << b) if b >= 0 else p) for s, p in enumerate(parts) for b in range(-1, 24)})
+    shingles = [shingled(t) for t in texts]
+    pairs = []
+    for a in range(len(texts)):
+        for b in range(a):
+            meet = keys[a] & keys[b] and np.bitwise_count(fp[a] ^ fp[b]).sum() <= simhash.WIDE.distance
+            if meet and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]) - 1e-9:
+                pairs.append((a, b))
+    assert len(pairs) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), ID_TEXT)
+    for limit in (simhash.WIDE_LIMIT, 20):
+        root = {r.doc_id: r.root for r in simhash.similar_groups(df, limit).collect()}
+        assert [p for p in pairs if root[p[0]] != root[p[1]]] == []
+        assert len(set(root.values())) > 20
+
+
+def test_texts_of_one_fingerprint_are_compared_with_each_other():
+    """Pairs across roots are all given, however many stand in a group."""
+    fp = np.zeros((7, 3), np.uint64)
+    fp[6] = 2**63
+    group, root = np.array([0, 0, 0, 0, 1, 1, 1]), np.array([1, 1, 2, 3, 1, 2, 2])
+    found = [(a, b) for u, v in simhash.across(group, root, fp, 2) for a, b in zip(u.tolist(), v.tolist())]
+    assert sorted(found) == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (4, 5)]
