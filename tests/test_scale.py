@@ -110,6 +110,26 @@ def test_rules_by_reference_give_the_same(spark, sf):
 # ---- matching
 
 
+def test_an_items_listings_lie_together(spark, sf, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        for t in ("lineitem", "part", "documents"):
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+        files = fixtures.listings(spark, str(tmp_path)).select("pk", F.input_file_name()).distinct().groupBy("pk").count()
+        assert files.agg(F.max("count")).first()[0] == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_lookup_shuffles_only_the_best_rows(spark):
+    long, short = "9780306406157", "0306406152"
+    rows = [(long, "b", "u1", 1, "t"), (short, "a", "u2", 2, "t"), (long, "a", "u3", 1, None), (short, "Amazon_Books ", "u4", 1, "t"), ("", "a", "u5", 9, "t"), (None, "a", "u6", 9, "t"), ("77", "a", "u8", None, "t"), ("77", "a", "u7", None, "t")]
+    std = spark.createDataFrame(rows, "isbn string, site string, url string, updated_at int, titulo string").withColumns({c: F.lit("x") for c in matching.SCORED if c != "titulo"})
+    found = matching.lookup(std, std.select("isbn").union(spark.createDataFrame([("5",)], "isbn string")))
+    assert sorted((r.asked, r.url, r.filled, r.n_rows, r.missing) for r in found.collect()) == [(short, "u4", 9, 4, ""), ("77", "u7", 9, 2, ""), (long, "u4", 9, 4, "")]
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_are_not_sorted_to_find_those_that_come_twice(spark):
     q = spark.createDataFrame([(1, "9780306406157", "red lamp"), (2, "0306406152", "red lamp"), (3, None, "red lamp"), (4, "9780306406157", None), (5, "", "blue")], "query_id long, q_isbn string, q_title string")
     c = spark.createDataFrame([(1, "9780306406157", "Red lamp"), (2, "9780306406157", "red LAMP"), (3, "9780306406157", "other"), (4, None, "red lamp x"), (5, "0306406152", "red lamp"), (6, "", "red lamp")], "cand_id long, isbn string, titulo string")
