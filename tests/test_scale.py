@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmerge.functions import text
+from shelfmerge.functions import text, values
 from shelfmerge.operators import matching, merge, standard, texts
 from shelfmerge.plans import base, fixtures, registry
 from shelfmerge.sources import changes
@@ -107,6 +107,25 @@ def test_rules_by_reference_give_the_same(spark, sf):
     assert whole(standard.standardize(thin_raw, known)) == whole(standard.standardize(raw))
 
 
+def test_rules_are_compiled(spark, sf):
+    """What is bound in an expression, by a lambda, is interpreted."""
+    rules = standard.qc_rules(fixtures.listings(spark, sf), "flag", texts=fixtures.texts(spark, sf))
+    assert "transform(" not in rules._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_met_with_the_keys_at_once(spark):
+    m = spark.createDataFrame([({"ean": "1", "gtin13": "2"}, {"isbn": "3"}), ({"x": "1"}, {"isbn": "3", "ean": "4"}), ({}, {}), (None, None)], "r map<string,string>, i map<string,string>")
+    got = m.select(standard.pick(F.col("r"), standard.ALIASES["isbn"], F.col("i")).alias("v"), standard.pick(F.col("r"), standard.ALIASES["isbn"]).alias("w"))
+    assert [tuple(r) for r in got.collect()] == [("2", "2"), ("3", ""), ("", ""), ("", "")]
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stop_words_are_whole_words(spark):
+    t = spark.createDataFrame([("A la la-el ELLA. is 1a2 this\nthe ñan lañ",), ("",), (None,)], "t string")
+    got = [tuple(r.c) for r in t.select(values.language_counts(F.col("t")).alias("c")).collect()]
+    assert got == [(5.0, 5.0, 2), (0.0, 0.0, 0), (0.0, 0.0, 0)]
+
+
 # ---- matching
 
 
