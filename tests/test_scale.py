@@ -126,6 +126,11 @@ def test_stop_words_are_whole_words(spark):
     assert got == [(5.0, 5.0, 2), (0.0, 0.0, 0), (0.0, 0.0, 0)]
 
 
+def test_lineage_meets_each_text_once(spark, sf):
+    plan = base.QUERIES["wrap_lineage"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 # ---- matching
 
 
@@ -149,6 +154,8 @@ def test_lookup_shuffles_only_the_best_rows(spark):
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
 
 
+
+
 def test_pairs_are_not_sorted_to_find_those_that_come_twice(spark):
     q = spark.createDataFrame([(1, "9780306406157", "red lamp"), (2, "0306406152", "red lamp"), (3, None, "red lamp"), (4, "9780306406157", None), (5, "", "blue")], "query_id long, q_isbn string, q_title string")
     c = spark.createDataFrame([(1, "9780306406157", "Red lamp"), (2, "9780306406157", "red LAMP"), (3, "9780306406157", "other"), (4, None, "red lamp x"), (5, "0306406152", "red lamp"), (6, "", "red lamp")], "cand_id long, isbn string, titulo string")
