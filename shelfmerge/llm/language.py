@@ -8,6 +8,12 @@ hash from the documents whose crc32(doc_id) mod 5 is not 0; only their text and
 lang are used. Of a longer text ``SAMPLE_CHARS`` characters are learned from, at a
 place drawn by hash. A text to be named is counted whole, piece by piece.
 
+A linear SVM names some language for any text, also for one in none it has learned. So
+of each text the share of its runs is counted that the learned texts hold. How low that
+share may be is calibrated: each half of the learned texts is held against the runs of
+the other, and a text with under half of the lowest share found is in no learned
+language and scores 0. Texts with fewer than ``LEAST`` unknown runs are too short to tell.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 without any labelled text to learn from, every text is ``und``; a null doc_id
 hashes as the empty string and so is held out; repeated rows each get a row.
@@ -31,8 +37,10 @@ SAMPLE = 2400
 SAMPLE_CHARS = 16384
 SIZE = 1 << 13
 PIECE = 4 << 20
-#: Score below which keep_identified() rejects a text; by default only texts without a language go.
-REJECT_BELOW = 0.0
+#: Unknown runs without which no text is taken to be in no learned language.
+LEAST = 12
+#: Score below which keep_identified() rejects a text; texts in a learned language score more than 0, all others 0.
+REJECT_BELOW = 1e-9
 
 #: Families of the languages that have relatives among the usual ones; any other is its own.
 FAMILIES = {
@@ -53,18 +61,49 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def features(data: bytes) -> np.ndarray:
-    """Hashed counts of the three-byte runs, damped and scaled to length one."""
-    out = np.zeros(SIZE, np.int64)
+def runs(data: bytes) -> Iterator[np.ndarray]:
+    """The three-byte runs over lower-cased letters, as numbers, piece by piece."""
     for at in range(0, max(1, len(data) - 2), PIECE):
         b = np.frombuffer((data[at : at + PIECE + 2]).translate(LETTERS), np.uint8).astype(np.uint32)
         if len(b) < 3:
             b = np.concatenate([b, np.full(3 - len(b), 32, np.uint32)])
         code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-        code = code[code != 0x202020]
+        yield code[code != 0x202020]
+
+
+def counted(data: bytes, known: np.ndarray | None = None) -> tuple[np.ndarray, int, int]:
+    """(features, runs, known runs): hashed counts of the runs, damped and scaled to length one; known: a table over all runs."""
+    out, n, met = np.zeros(SIZE, np.int64), 0, 0
+    for code in runs(data):
         out += np.bincount((code * np.uint32(2654435761)) >> np.uint32(32 - SIZE.bit_length() + 1), minlength=SIZE)
+        n += len(code)
+        met += int(np.count_nonzero(known[code])) if known is not None else 0
     x = np.sqrt(out.astype(np.float32))
-    return x / max(float(np.linalg.norm(x)), 1e-9)
+    return x / max(float(np.linalg.norm(x)), 1e-9), n, met
+
+
+def features(data: bytes) -> np.ndarray:
+    return counted(data)[0]
+
+
+def table_of(codes: np.ndarray) -> np.ndarray:
+    """Over all runs, whether they are among the codes."""
+    table = np.zeros(1 << 24, bool)
+    table[codes] = True
+    return table
+
+
+def calibrated(rows: list[bytes]) -> tuple[np.ndarray, float]:
+    """(codes, share): the runs of the texts, and half of the lowest share that a half of the texts knows of a text of the other."""
+    half, lowest = [(k // 4) % 2 for k in range(len(rows))], 1.0  # a text and its snippet lie side by side
+    tables = [table_of(np.zeros(0, np.int64)) for _ in range(2)]
+    for data, h in zip(rows, half, strict=True):
+        for code in runs(data):
+            tables[h][code] = True
+    for data, h in zip(rows, half, strict=True):
+        _, n, met = counted(data, tables[1 - h])
+        lowest = min(lowest, met / n) if n - met >= LEAST else lowest
+    return np.flatnonzero(tables[0] | tables[1]).astype(np.uint32), lowest / 2
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 120, cost: float = 20.0) -> np.ndarray:
@@ -101,10 +140,22 @@ class Classifier:
             for a, b in combinations(langs, 2):
                 own = np.isin(lang, [a, b])
                 self.by_pair[a, b] = fit_svm(x[own], np.where(lang[own] == a, 1, -1).astype(np.float32))
+        self.codes, self.share = calibrated([t for t, _ in rows])
+        self.known: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}  # made anew by each worker
 
     def predict(self, data: bytes) -> tuple[str, float]:
+        """(language, score): the likeliest learned language; score 0 if the text is in none of them."""
+        if self.known is None:
+            self.known = table_of(self.codes)
+        x, n, met = counted(data, self.known)
+        lang, score = self.likeliest(x)
+        return lang, 0.0 if n - met >= LEAST and met < self.share * n else score
+
+    def likeliest(self, x: np.ndarray) -> tuple[str, float]:
         """(language, score): the family's share times the language's mean share of its pairs."""
-        x = features(data)
         margins = np.array([w[:-1] @ x + w[-1] for w in self.by_family])
         shares = np.exp(3 * (margins - margins.max()))
         best = int(margins.argmax())
@@ -187,7 +238,13 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, below: float = REJECT_BELOW) -> DataFrame:
-    """Documents that are not ``und`` and score at least ``below``, with their own columns."""
+    """Documents in a learned language, by a score of at least ``below``, with their own columns.
+
+    Where there is nothing to learn from, no text can be told to be in no language, and all with a letter stay.
+    """
+    model = train(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), "text")
-    kept = identify(packed, train(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= below))
+    kept = identify(packed, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= below))
     return kept.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])

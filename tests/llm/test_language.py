@@ -75,3 +75,35 @@ def test_pairs_within_a_family():
     assert len(c.by_pair) == 3
     for t, lang in rows:
         assert c.predict(t)[0] == lang
+
+
+NO_LANGUAGE = {
+    -1: "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    -2: "人人生而自由在尊严和权利上一律平等",
+    -3: "xkqz wvbn zzkw qpfj xvqz jjqk wwxz kkqj vvzx " * 40,
+    -4: "iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAAHElEQVQI12P4" * 3,
+}
+
+
+def test_texts_in_no_learned_language_go_and_clean_ones_stay(spark):
+    real = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    short = {-5: "Xq.", -6: "Ö", -7: "Да", -8: "the 12 of 34 zq"}
+    planted = spark.createDataFrame([(i, t, None) for i, t in (NO_LANGUAGE | short).items()], "doc_id bigint, text string, lang string")
+    kept = [r.doc_id for r in language.keep_identified(real.union(planted)).select("doc_id").collect()]
+    assert sorted(i for i in kept if i < 0) == sorted(short)
+    assert len(kept) - len(short) == real.filter("text rlike '[a-zA-Z]'").count()
+
+
+def test_a_language_once_learned_is_kept(spark):
+    russian = [(i, f"Все люди рождаются свободными и равными, номер {i}", "ru") for i in range(40)]
+    english = [(100 + i, f"all people are born free and equal, number {i}", "en") for i in range(40)]
+    chinese = [(200, NO_LANGUAGE[-2], None)]
+    df = spark.createDataFrame(russian + english + chinese, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in language.keep_identified(df).collect()) == [*range(40), *range(100, 140)]
+    got = {r.doc_id: r for r in language.language_report(df).collect()}
+    assert got[200].lang_pred in ("ru", "en") and got[200].score == 0 and min(got[i].score for i in range(40)) > 0
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, "12 - ½", None), (3, None, None)], "doc_id bigint, text string, lang string")
+    assert [r.doc_id for r in language.keep_identified(df).collect()] == [1]
