@@ -1,6 +1,7 @@
 """What the small tables do not show: rows that only larger ones have, and what is written and shuffled."""
 
 import bisect
+import difflib
 import itertools
 import uuid
 
@@ -167,6 +168,29 @@ def test_pairs_are_not_sorted_to_find_those_that_come_twice(spark):
     assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_links_and_members_give_all_pairs(spark):
+    """Of all candidates, copies and other spellings too, none that meets a query is left out."""
+    q = spark.createDataFrame([(1, "9780306406157", "red lamp"), (2, "0306406152", "blue"), (3, None, "Red  lamp"), (4, "", None)], "query_id long, q_isbn string, q_title string")
+    offered = [(1, "9780306406157", "red lamp"), (2, "9780306406157", "red lamp"), (3, "0306406152", "RED lamp!"), (4, None, "red lamp"), (5, "", "RED lamp!"), (6, "1", "green"), (7, "9780306406157", None), (8, "9780306406157", None), (9, "1", "blue sky"), (10, "2", "blue sky"), (11, None, None)]
+    c = spark.createDataFrame(offered, "cand_id long, isbn string, titulo string")
+    rows = matching.match_links(q, c).collect()
+    members = {r.cand_id: r for r in rows if r.by == "member"}
+    assert sorted(members) == [o[0] for o in offered] and len(rows) == len({(r.query_id, r.cand_id, r.by) for r in rows})
+    got = {}
+    for r in rows:
+        for m in members.values() if r.by != "member" else ():
+            if r.cand_id == (m.offer_id if r.by == "number" else m.title_id):
+                got.setdefault((r.query_id, m.cand_id), set()).add((r.by, r.titulo_match_estricto, round(r.similitud_titulo, 6)))
+    titled = {(a, b) for a in (1, 3) for b in (1, 2, 3, 4, 5)} | {(2, 9), (2, 10)}
+    assert set(got) == titled | {(a, b) for a in (1, 2) for b in (1, 2, 3, 7, 8)}
+    assert {p for p, how in got.items() if any(by == "title" for by, *_ in how)} == titled
+    text = {i: t for i, _, t in offered}
+    for (a, b), how in got.items():
+        asked = {1: "red lamp", 2: "blue", 3: "red  lamp"}[a]
+        same = difflib.SequenceMatcher(None, asked, text[b].lower()).ratio() if text[b] else 0.0
+        assert {s for *_, s in how} == {round(same, 6)}
+
+
 def test_verification_share_works_on_distinct_titles(spark):
     pairs = spark.range(4000).select(F.lit("red lamp").alias("q_title"), F.when(F.col("id") % 2 == 0, "red lamp").when(F.col("id") % 3 == 0, "zzz").alias("titulo"))
     assert tuple(matching.verification_share(pairs, 0.8).first()) == (4000, 2000)
