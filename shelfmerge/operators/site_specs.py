@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -32,15 +32,21 @@ def pick(*selectors: str, by: Finish = strip_html) -> tuple[tuple[str, Finish],
     return tuple((s, by) for s in selectors)
 
 
-def extract_fields(pages: DataFrame, spec: Spec | PageSpec = GENERIC) -> DataFrame:
-    """page_id, url and the fields of a spec; missing ones are empty."""
+def extract_fields(pages: DataFrame, spec: Spec | PageSpec = GENERIC, names: Sequence[str] | None = None) -> DataFrame:
+    """page_id, url and the fields of a spec; missing ones are empty. names: of these fields, and nothing else is looked for in the pages."""
     if isinstance(spec, Spec):
-        return by_patterns(pages, spec)
-    wanted = list(dict.fromkeys(s for picks in spec.fields.values() for s, _ in picks))
+        out = by_patterns(pages, spec)
+        return out if names is None else out.select("page_id", "url", *[n for n in spec.fields if n in names])
+    made = {n: f for n, f in spec.derived.items() if names is None or n in names}
+    fields = {n: picks for n, picks in spec.fields.items() if names is None or made or n in names}  # what is derived may need any
+    wanted = list(dict.fromkeys(s for picks in fields.values() for s, _ in picks))
     place = {s: f"s{k}" for k, s in enumerate(wanted)}
-    columns = [first_filled([finish(F.col(place[s])) for s, finish in picks]).alias(name) for name, picks in spec.fields.items()]
-    out = select_all(pages, wanted).select("page_id", "url", *columns)
-    return out.withColumns({name: F.coalesce(made(), F.lit("")) for name, made in spec.derived.items()}) if spec.derived else out
+    # step by step: what is found is finished once, and then asked whether it is blank
+    tried = {(n, k): (f"{n}_{k}", finish(F.col(place[s]))) for n, picks in fields.items() for k, (s, finish) in enumerate(picks)}
+    finished = select_all(pages, wanted).select("page_id", "url", *[F.trim(made_of).alias(c) for c, made_of in tried.values()])
+    out = finished.select("page_id", "url", *[first_filled([F.col(tried[n, k][0]) for k in range(len(picks))]).alias(n) for n, picks in fields.items()])
+    out = out.withColumns({name: F.coalesce(f(), F.lit("")) for name, f in made.items()}) if made else out
+    return out if names is None else out.select("page_id", "url", *[c for c in out.columns if c in names])
 
 
 def paragraphs(c: Column) -> Column:

@@ -3,6 +3,7 @@
 import bisect
 import difflib
 import itertools
+import re
 import uuid
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmerge.functions import text, values
-from shelfmerge.operators import matching, merge, standard, texts
+from shelfmerge.operators import elements, matching, merge, site_specs, standard, texts
 from shelfmerge.plans import base, fixtures, registry
 from shelfmerge.sources import changes
 from shelfmerge.streaming import jobs
@@ -244,3 +245,24 @@ def test_plans_do_not_show_names_of_references(spark):
     rows = spark.createDataFrame([("&rarr;x&DownArrow;&eacuteb",)], "t string").select(text.strip_html(F.col("t")).alias("t"))
     assert rows.first().t == "\u2192x\u2193\u00e9b"
     assert "Arrow" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_the_fields_asked_for_are_looked_for(spark):
+    spec = site_specs.spec_of("amazon_books")
+    page = spark.createDataFrame([(1, "u", "<span id='productTitle'> a &amp; b </span><li><span class='a-text-bold'>ISBN-13 :</span><span>978-0306406157</span></li><li><span class='a-text-bold'>Idioma</span><span>Español</span></li>")], "page_id long, url string, html string")
+    few, whole = site_specs.extract_fields(page, spec, ["isbn", "titulo"]), site_specs.extract_fields(page, spec)
+    assert few.columns == ["page_id", "url", "titulo", "isbn"] and few.first() == whole.select(few.columns).first() == (1, "u", "a & b", "9780306406157")
+    asked = lambda df: set(re.findall(r"\bs\d+#", df._jdf.queryExecution().analyzed().toString()))
+    assert len(asked(few)) == len({s for n in ("isbn", "titulo") for s, _ in spec.fields[n]}) < len(asked(whole))
+    sizes = spark.createDataFrame([(1, "u", "<div class='ficha-tecnica'>" + "".join(f"<p data-campo='{n}'><b>{n}:</b> {v}</p>" for n, v in (("Alto", 3), ("Ancho", 2), ("Grueso", 1))) + "</div>")], "page_id long, url string, html string")
+    assert site_specs.extract_fields(sizes, site_specs.spec_of("cuspide"), ["dimensiones"]).first() == (1, "u", "3 x 2 x 1")
+
+
+def test_pages_are_read_in_few_steps(monkeypatch):
+    """A tag in which a selector's value stands nowhere is not taken apart, unless by a reference."""
+    page = elements.Page("<div>" + "<p class='x'>a</p>" * 50 + "<b class='y&#122;'>c</b><i class='yz'>d</i></div>")
+    assert [elements.select(page, s) for s in (".yz", ".yz (1)", "p.x (49)", "div > i", "p.q")] == ["c", "d", "a", "d", ""]
+    other = elements.Page(page.html)
+    taken, read = [], elements.Page.attributes
+    monkeypatch.setattr(elements.Page, "attributes", lambda self, node: taken.append(node) or read(self, node))
+    assert elements.select(other, ".yz") == "c" and len(taken) == 2
