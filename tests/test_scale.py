@@ -266,3 +266,22 @@ def test_pages_are_read_in_few_steps(monkeypatch):
     taken, read = [], elements.Page.attributes
     monkeypatch.setattr(elements.Page, "attributes", lambda self, node: taken.append(node) or read(self, node))
     assert elements.select(other, ".yz") == "c" and len(taken) == 2
+
+
+@pytest.mark.parametrize("name", ["harmonize", "coerce_legacy", "wrap_lineage"])
+def test_rows_meet_their_texts_before_they_are_made(spark, sf, name):
+    """No exchange holds a finished row: its address is put together behind all of them, also where texts are too many to broadcast."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        df = base.QUERIES[name](spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        want = df.count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    lines = plan.split("== ")[0].splitlines()
+    last = max(i for i, x in enumerate(lines) if "example.org" in x)
+    first = min(i for i, x in enumerate(lines) if "Exchange" in x)
+    assert last < first and want == base.QUERIES["count_total"](spark, sf).first()[0]
