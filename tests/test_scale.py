@@ -285,3 +285,15 @@ def test_rows_meet_their_texts_before_they_are_made(spark, sf, name):
     last = max(i for i, x in enumerate(lines) if "example.org" in x)
     first = min(i for i, x in enumerate(lines) if "Exchange" in x)
     assert last < first and want == base.QUERIES["count_total"](spark, sf).first()[0]
+
+
+@pytest.mark.parametrize("handed", [0, 64 << 20])
+def test_few_texts_are_not_shuffled_for_an_order(spark, monkeypatch, handed):
+    monkeypatch.setattr(texts, "HANDED", handed)
+    rows = spark.range(900).select(F.format_string("%05d", (F.col("id") * 7919) % 900).alias("a"), F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 7 != 0, F.concat(F.lit("long text "), F.col("id") % 11)).alias("t"))
+    thin, known = by_reference(spark, rows, "t")
+    known = known.union(spark.createDataFrame([("", ""), ("", "")], "ref string, text string"))  # what is blank stands for itself
+    got = texts.ordered_with_texts(thin.repartition(5), known, "t", ["a"])
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in rows.orderBy("a").collect()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan and "ShuffledHashJoin" not in plan) == bool(handed)
